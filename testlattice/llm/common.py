@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -46,8 +47,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back, so that a lost executor costs no long recomputation."""
+    """Write ``df`` to the shared checkpoint folder and read it back, so that a lost executor costs no long recomputation.
+
+    Shuffle files of steps before the last checkpoint are of no more use; Spark deletes them when their owners are collected, which is
+    asked for here, as a driver with little to do collects seldom.
+    """
     ready(df.sparkSession)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.checkpoint()
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import exact_dedup as exact
 from . import line_dedup as lines
-from . import mixing, near_dedup, sentencepiece_codec, toxicity
+from . import mixing, near_dedup, sentencepiece_codec, suffix_dedup, toxicity
 from .common import table
 
 #: Folder of public tokenizer files; a setting of the session has precedence.
@@ -30,6 +30,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).drop("kept", "spans")
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 

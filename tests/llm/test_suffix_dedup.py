@@ -1,0 +1,66 @@
+import hashlib
+import random
+from collections import Counter
+
+import pytest
+
+from testlattice.llm import suffix_dedup as sd
+from testlattice.llm import suffix_ranks as sr
+
+L = sr.LENGTH
+
+
+def brute(texts):
+    """(n_bytes, n_removed, n_spans, kept_sha256) of each text."""
+    texts = [(t or "").encode() for t in texts]
+    seen = Counter(t[i : i + L] for t in texts for i in range(len(t) - L + 1))
+    out = []
+    for t in texts:
+        gone = bytearray(len(t))
+        for i in range(len(t) - L + 1):
+            if seen[t[i : i + L]] > 1:
+                gone[i : i + L] = b"\1" * L
+        runs = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
+        kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
+        out.append((len(t), sum(gone), runs, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def made():
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdeéü") for _ in range(rng.randrange(1, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passages = [text(n) for n in (30, 45, 60, 120)]
+    texts = [text(rng.choice([1, 20, 50, 150])) for _ in range(40)]
+    texts += [text(rng.randrange(30)) + rng.choice(passages) + text(rng.randrange(30)) for _ in range(80)]
+    texts += [p[k : k + n] for p in passages for k in (0, 7) for n in (199, 200, 201, 260)]
+    texts += ["a" * 150, "a" * 200, "a" * 201, "b" * 500, "xyz " * 100, ("For " * 90) + text(40), "", None, texts[0], texts[30], texts[30], text(400) * 2]
+    return texts
+
+
+@pytest.mark.parametrize("crowd", [512, 2])
+def test_same_as_brute_force(spark, crowd):
+    texts = made()
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, gram string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in sd.suffix_dedup(df, crowd=crowd).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts)
+
+
+def test_slices_of_long_texts(monkeypatch):
+    monkeypatch.setattr(sr, "SLICE", 300)
+    text = "".join(random.Random(1).choice("abcdefgh ") for _ in range(2000)).encode()
+    gram, block, first, size = sr.anchors(text)
+    assert first[0] == 0 and (first[1:] == (first + size)[:-1]).all() and (first + size)[-1] == len(text) - L + 1
+
+
+def test_null_ids_and_empty_table(spark):
+    df = spark.createDataFrame([(None, "é" * 100), (None, "é" * 100), (1, None)], "doc_id long, text string")
+    assert sorted((r["n_bytes"], r["n_removed"]) for r in sd.suffix_dedup(df).collect()) == [(0, 0), (200, 200), (200, 200)]
+    assert sd.suffix_dedup(df.limit(0)).count() == 0
+
+
+def test_test_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id")
+    texts = [r["text"] for r in df.collect()]
+    got = [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in sd.suffix_dedup(df).orderBy("doc_id").collect()]
+    assert got == brute(texts)
