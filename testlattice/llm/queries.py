@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import exact_dedup as exact
 from . import line_dedup as lines
-from . import mixing, near_dedup, sentencepiece_codec, suffix_dedup, toxicity
+from . import html_text, media, mixing, near_dedup, sentencepiece_codec, suffix_dedup, toxicity
 from .common import table
 
 #: Folder of public tokenizer files; a setting of the session has precedence.
@@ -42,10 +42,18 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_digest(table(spark, sf_dir, "documents"), tokenizer_file(spark, "piece_bpe_32k.model"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.html_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1).drop("kept_text")
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media(table(spark, sf_dir, "documents")).drop("media", "shots")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
     return out.select("doc_id", "held_out", "score", "predicted")
