@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import exact_dedup as exact
 from . import line_dedup as lines
-from . import html_text, media, mixing, near_dedup, sentencepiece_codec, suffix_dedup, toxicity
+from . import html_text, media, mixing, near_dedup, sentencepiece_codec, suffix_dedup, token_file, toxicity
 from .common import table
 
 #: Folder of public tokenizer files; a setting of the session has precedence.
@@ -46,6 +46,10 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.html_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file.token_file(table(spark, sf_dir, "documents"), tokenizer_file(spark, "word_bpe_49k.json"), end_id=2).drop("token_ids")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1).drop("kept_text")
 
