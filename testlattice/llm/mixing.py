@@ -36,7 +36,7 @@ def source_totals(docs: DataFrame) -> DataFrame:
 
 
 def _bisect(totals: DataFrame, holds: F.Column, low: float, high: float, largest: bool) -> float:
-    """The largest (or smallest) exponent in [low, high] at which ``holds``, a condition on (entropy, most), is true."""
+    """The largest (or smallest) exponent in [low, high] at which ``holds``, a condition on (entropy, most, spread), is true."""
     for _ in range(PASSES):
         step = (high - low) / (POINTS + 1)
         grid = F.explode(F.transform(F.sequence(F.lit(1), F.lit(POINTS)), lambda i: F.struct(i.alias("i"), (F.lit(low) + i * F.lit(step)).alias("a"))))
@@ -44,8 +44,8 @@ def _bisect(totals: DataFrame, holds: F.Column, low: float, high: float, largest
         found = (
             totals.select("share", grid.alias("g"))
             .groupBy("g.i")
-            .agg(F.sum(power).alias("z"), F.sum(power * F.col("g.a") * F.ln("share")).alias("zl"), F.max(power / F.col("share")).alias("ratio"))
-            .select("i", (F.ln("z") - F.col("zl") / F.col("z")).alias("entropy"), (F.col("ratio") / F.col("z")).alias("most"))
+            .agg(F.sum(power).alias("z"), F.sum(power * F.col("g.a") * F.ln("share")).alias("zl"), F.max(power / F.col("share")).alias("ratio"), F.min(power / F.col("share")).alias("least"))
+            .select("i", (F.ln("z") - F.col("zl") / F.col("z")).alias("entropy"), (F.col("ratio") / F.col("z")).alias("most"), (F.col("ratio") / F.col("least")).alias("spread"))
             .agg(F.max(F.when(holds, F.col("i"))).alias("last"), F.min(F.when(holds, F.col("i"))).alias("first"))
             .first()
         )
@@ -58,30 +58,34 @@ def _bisect(totals: DataFrame, holds: F.Column, low: float, high: float, largest
     return round(low if largest else high, 6)
 
 
-def temperature_weights(totals: DataFrame, entropy_ratio: float = 0.98, max_repeats: float = 4.0, budget: int | None = None) -> tuple[DataFrame, float]:
+def temperature_weights(totals: DataFrame, entropy_ratio: float = 0.98, max_repeats: float = 4.0, budget: int | str | None = None) -> tuple[DataFrame, float]:
     """Weights of the sources and the exponent.
 
     ``entropy_ratio``: target entropy as a part of the largest possible, ln(number of sources). ``max_repeats``: how many times
-    over a source may be read at most. ``budget``: tokens of the mix; all tokens once if None. ``max_repeats`` is at least
-    budget / all tokens, as no exponent could meet less.
+    over a source may be read at most. ``budget``: tokens of the mix; all tokens once if None; "cover" for the least budget with which
+    every source is read whole at least once. ``max_repeats`` is at least budget / all tokens, as no exponent could meet less.
     """
     whole = totals.agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).first()
     total, n = whole["t"] or 0, whole["n"]
-    budget = total if budget is None else budget
+    cover = budget == "cover"
+    budget = total if budget is None or cover else budget
     shares = cut_lineage(totals.withColumn("share", F.col("n_tokens") / F.lit(float(max(total, 1)))))
     alpha = 1.0
     if n > 1:
         alpha = _bisect(shares, F.col("entropy") >= F.lit(entropy_ratio * math.log(n)), 0.0, 1.0, largest=True)
         limit = max(max_repeats, budget / total)
-        floor = _bisect(shares, F.col("most") * F.lit(budget / total) <= F.lit(limit * (1 + 1e-9)), 0.0, 1.0, largest=False)
+        repeats = F.col("spread") if cover else F.col("most") * F.lit(budget / total)
+        floor = _bisect(shares, repeats <= F.lit(limit * (1 + 1e-9)), 0.0, 1.0, largest=False)
         alpha = max(alpha, floor)
     power = F.pow(F.col("share"), F.lit(alpha))
-    z = shares.agg(F.sum(power)).first()[0] or 1.0
+    found = shares.agg(F.sum(power).alias("z"), F.min(power / F.col("share")).alias("least")).first()
+    z = found["z"] or 1.0
+    budget = math.ceil(total * z / found["least"]) if cover and found["least"] else budget
     weight = F.round(power / F.lit(z), 9)
     return shares.select("source", "n_docs", "n_tokens", weight.alias("weight"), F.floor(weight * F.lit(float(budget)) + F.lit(0.5)).cast("long").alias("quota")), alpha
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", entropy_ratio: float = 0.98, max_repeats: float = 4.0, budget: int | None = None, block_tokens: int = 100_000, seed: int = 0) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", entropy_ratio: float = 0.98, max_repeats: float = 4.0, budget: int | str | None = None, block_tokens: int = 100_000, seed: int = 0) -> DataFrame:
     """The mix, one row for each document drawn: block, slot, ``id_col``, source, epoch, n_tokens, weight, alpha."""
     rows = cut_lineage(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("n_tokens")).where("n_tokens > 0"))
     weights, alpha = temperature_weights(source_totals(rows), entropy_ratio, max_repeats, budget)
