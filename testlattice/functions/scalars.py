@@ -25,9 +25,9 @@ def _dotted(relative: Column) -> Column:
 
 def path_to_fqn(path: Column) -> Column:
     """class name of a production source path, null if it is none."""
-    out = None
+    out = F
     for root in SOURCE_ROOTS:
-        out = (out or F).when(path.contains(root), _dotted(_after(path, root)))
+        out = out.when(path.contains(root), _dotted(_after(path, root)))
     rest = _after(path, "/src/")
     other = path.contains("/src/") & rest.contains("/") & ~rest.startswith("test/") & ~rest.startswith("testsrc/")
     return F.when(path.endswith(".java"), out.when(other, _dotted(rest)))
