@@ -29,13 +29,13 @@ def changed_tests(name_status: DataFrame) -> DataFrame:
 def patch_classes(patch: DataFrame, by: str = "patch_id") -> DataFrame:
     """Every patch line with the class of the file it belongs to; lines are (patch_id, line_no, line).
 
-    A ``diff --git`` line always carries a struct, whose class may be null, so a file that is no source ends the one before. Patches are independent
+    A ``diff --git`` line always carries a struct, whose path may name no class, so a file that is no source ends the one before. Patches are independent
     of each other: they are filled in partitions of their own.
     """
     head = F.col("line").startswith("diff --git")
-    mark = F.when(head, F.struct(sf.path_to_fqn(sf.diff_target(F.col("line"))).alias("class_fqn")))
+    mark = F.when(head, F.struct(sf.diff_target(F.col("line")).alias("path")))
     fill = F.last(mark, ignorenulls=True).over(W.partitionBy(by).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0))
-    return patch.withColumn("_head", head).withColumn("class_fqn", fill["class_fqn"])
+    return patch.withColumn("_head", head).withColumn("_path", fill["path"]).withColumn("class_fqn", sf.path_to_fqn(F.col("_path"))).drop("_path")
 
 
 def changed_methods(patch: DataFrame, by: str = "patch_id") -> DataFrame:

@@ -54,9 +54,17 @@ def code_lines(text: Column) -> Column:
     return F.aggregate(F.split(F.replace(text, F.lit("\r"), F.lit("")), "\n"), start, step, lambda s: s["lines"])
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def source_reason(text: Column) -> Column:
     """why a test class may have no coverage; null if its source says nothing."""
-    lines = code_lines(text)
+    return _bound(code_lines(text), lambda lines: _reason(text, lines))
+
+
+def _reason(text: Column, lines: Column) -> Column:
     some = lambda f: F.exists(lines, f)
     annotated = lambda x, a: (x == a) | x.startswith(f"{a}(")
     return (
