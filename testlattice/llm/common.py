@@ -46,15 +46,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back, so that a lost executor costs no long recomputation.
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle and checkpoint files that no live DataFrame needs.
 
-    Shuffle files of steps before the last checkpoint are of no more use; Spark deletes them when their owners are collected, which is
-    asked for here, as a driver with little to do collects seldom.
+    Spark deletes them when their owners are collected; a driver with little to do collects seldom, so it is asked to.
     """
-    ready(df.sparkSession)
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back, so that a lost executor costs no long recomputation."""
+    ready(df.sparkSession)
+    release(df.sparkSession)
     return df.checkpoint()
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, map_batches, ready, utf8
+from .common import cut_lineage, map_batches, ready, release, utf8
 from .suffix_ranks import LENGTH, anchors, ranks
 
 CROWD, SORTED_BLOCKS = 512, 2000
@@ -140,14 +140,9 @@ def _sorted_by_spark(blocks: DataFrame) -> DataFrame:
     return map_batches(found, join_runs, FOUND)
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
-    """One row for each row of ``docs``: ``id_col``, n_bytes, n_removed, n_spans, kept (binary), kept_sha256, spans (removed runs)."""
-    ready(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    id_type = rows.schema["_id"].dataType.simpleString()
-    keyed = rows.withColumn("doc", F.unhex(F.md5(F.col("_text").cast("binary"))))
-
-    every = _anchor_rows(rows)
+def _spans(texts: DataFrame, crowd: int) -> DataFrame:
+    """(_doc, cut): the spans to remove from each text, from rows of (doc, _text)."""
+    every = _anchor_rows(texts)
     names = every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
     round1 = cut_lineage(every.join(names, "gram", "left_semi"))
 
@@ -159,14 +154,25 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         out = [(w["gram"], w["block"], w["different"], text[w["first"] : w["first"] + w["size"] + LENGTH - 1]) for text, want in zip(utf8(batch, "_text"), batch.column("want").to_pylist(), strict=True) for w in want]
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["gram", "block", "different", "piece"])
 
-    with_text = keyed.where(F.octet_length("_text") >= LENGTH).select("doc", "_text").join(wanted, F.col("doc") == F.col("_doc"))
+    with_text = texts.where(F.octet_length("_text") >= LENGTH).select("doc", "_text").join(wanted, F.col("doc") == F.col("_doc"))
     found_pieces = map_batches(with_text.select("_text", "want"), pieces, "gram long, block long, different long, piece binary")
     open_blocks = cut_lineage(found_pieces.dropDuplicates(["gram", "block"]))
     found = _sorted_in_task(open_blocks.where(F.col("different") <= crowd)).unionByName(_sorted_by_spark(open_blocks.where(F.col("different") > crowd)))
 
     whole = blocks.where("n > 1").select("gram", "block", F.lit(0).alias("start"), (F.col("size") + LENGTH - 1).alias("stop"))
     spans = round1.join(whole.unionByName(found), ["gram", "block"]).select(F.col("doc").alias("_doc"), F.struct((F.col("first") + F.col("start")).alias("a"), (F.col("first") + F.col("stop")).alias("b")).alias("span"))
-    by_doc = cut_lineage(spans.groupBy("_doc").agg(F.collect_set("span").alias("cut")))
+    return spans.groupBy("_doc").agg(F.collect_set("span").alias("cut"))
+
+
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
+    """One row for each row of ``docs``: ``id_col``, n_bytes, n_removed, n_spans, kept (binary), kept_sha256, spans (removed runs)."""
+    ready(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    id_type = rows.schema["_id"].dataType.simpleString()
+    keyed = rows.withColumn("doc", F.unhex(F.md5(F.col("_text").cast("binary"))))
+
+    by_doc = cut_lineage(_spans(keyed, crowd))
+    release(docs.sparkSession)
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         total, removed, count, kept, digest, runs = [], [], [], [], [], []

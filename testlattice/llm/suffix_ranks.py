@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 LENGTH, GRAM = 200, 32
 WINDOW = LENGTH - GRAM + 1
@@ -12,23 +13,26 @@ _FIRST = (np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) ^ (np.ara
 _SECOND = (np.arange(1, 257, dtype=np.uint64) * _U(0xD6E8FEB86659FD93)) ^ (np.arange(1, 257, dtype=np.uint64) * _U(0xA0761D6478BD642F) >> _U(31))
 
 
-def pair(left: np.ndarray, right: np.ndarray, seed: int) -> np.ndarray:
-    """The rank of a rank pair: a 64-bit name that depends on both and on their order."""
-    out = left * _U(0xFF51AFD7ED558CCD + 2 * seed)
-    out ^= out >> _U(32)
-    out += right
-    out *= _U(0xC4CEB9FE1A85EC53)
-    out ^= out >> _U(29)
-    return out
+def _odd(have: int, table: np.ndarray) -> np.uint64:
+    """The multiplier of the left rank when ranks of ``have`` bytes are paired."""
+    return table[(have * 37 + 11) % 256] | _U(1)
 
 
 def ranks(data: np.ndarray, length: int, table: np.ndarray = _FIRST) -> np.ndarray:
-    """Rank of the ``length`` bytes from every position: ranks of pairs at offset 1, 2, 4, ... and what is left to ``length``."""
+    """Rank of the ``length`` bytes from every position: names of rank pairs at offset 1, 2, 4, ... and of what is left to ``length``.
+
+    The name of a pair is left * odd + right modulo 2^64, with another odd number for each offset; names are mixed at the end.
+    """
     out, have = table[data], 1
     while have < length:
         step = min(have, length - have)
-        out = pair(out[: max(0, len(out) - step)], out[step:], have)
+        paired = out[: max(0, len(out) - step)] * _odd(have, table)
+        paired += out[step:]
+        out = paired
         have += step
+    out ^= out >> _U(32)
+    out *= _U(0xD6E8FEB86659FD93)
+    out ^= out >> _U(29)
     return out
 
 
@@ -59,19 +63,11 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
         owner = (least((gram >> _U(21) << _U(21)) | place, WINDOW) & _U((1 << 21) - 1)).astype(np.int64)
         first = np.flatnonzero(np.diff(owner, prepend=-1))
         size = np.diff(np.append(first, len(owner)))
-        fine = ranks(piece, LENGTH)
-        other = ranks(piece, LENGTH, _SECOND)
-        last = first + size - 1
-        middle = (first + last) >> 1
-        block = pair(pair(fine[first], fine[last], 1), fine[middle], 2) ^ pair(pair(other[middle], other[last], 3), other[first], 4)
-        block = pair(block, ((owner[first] - first).astype(np.uint64) << _U(32)) | size.astype(np.uint64), 5)
+        inside = owner[first] - first
+        ends = first + size + LENGTH - 1
+        block = np.fromiter((xxhash.xxh3_64_intdigest(text[at + a : at + b], seed=k) for a, b, k in zip(first.tolist(), ends.tolist(), inside.tolist(), strict=True)), _U, len(first))
         parts.append((gram[owner[first]], block, first + at, size))
     if not parts:
         return np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
-
-def windows(text: bytes, first: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two ranks (128 bits) of each window that starts in [first, first + size)."""
-    piece = np.frombuffer(text[first : first + size + LENGTH - 1], np.uint8)
-    return ranks(piece, LENGTH), ranks(piece, LENGTH, _SECOND)
