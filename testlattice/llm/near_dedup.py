@@ -1,7 +1,7 @@
 """MinHash near-dedup with HyperMinHash sketches.
 
 A document's set holds the hashes of its distinct five-word shingles. Its sketch has 256 buckets; a bucket keeps the least of the
-hashes that fall into it, as a count of leading zeros and ten bits of mantissa, 16 bits in all. Four neighbouring registers are a
+hashes that fall into it, as a count of leading zeros and ten bits of mantissa, 16 bits in all. Five neighbouring registers are a
 band, and documents with an equal band are candidates. Documents of at most SMALL shingles fill too few registers; they, and those
 that can be like them, are found by prefix filtering, which is exact: in an order of shingles from rare to frequent, the first
 quarter of two sets with similarity 0.75 has a shingle in common.
@@ -9,15 +9,18 @@ quarter of two sets with similarity 0.75 has a shingle in common.
 Pairs within a group of candidates are never all made:
 
 1. Documents with equal sets are one node, named by its smallest id.
-2. In every group each node is paired with the group's smallest node only. Pairs that pass the collision-corrected estimate from
-   the sketches are confirmed on the full sets; confirmed ones are links. A node's centre is the closest node it is linked with.
+2. In every group each node is paired with one node, the pivot, its smallest. Pairs that pass the collision-corrected estimate from
+   the sketches are confirmed on the full sets; confirmed ones are links. Groups that still have more than CROWD centres in several
+   components get PIVOTS more pivots for nodes of other components, twice. A node's centre is the closest pivot it is linked with.
 3. What can still be missed are links between nodes of one group in different components. Jaccard distance obeys the triangle
-   inequality, so two centres that are farther apart than 0.25 plus their radii exclude all links between their nodes. The other
-   pairs of centres, and where these leave it open the pairs of their nodes, are confirmed on full sets too.
-4. Groups with more than CROWD centres, such as those of a passage that very many documents share, don't take part in step 3;
-   all documents in them go through prefix filtering with each other instead, where shared passages come last.
+   inequality, so two centres that are farther apart than 0.25 plus their radii exclude all links between their nodes. The centres of
+   a group, CROWD at most, are estimated side by side in a task; only pairs that the estimate leaves open become rows. They, and where these leave it
+   open the pairs of their nodes, are confirmed on full sets too.
+4. Groups with more than CROWD centres, such as those of a passage that very many documents share, don't take part in step 3. Documents
+   with more than two such bands, or such a prefix, go through prefix filtering with each other instead, where shared passages come last; the others
+   have 49 other bands.
 
-Bands miss a pair of similarity 0.75 with a probability of about (1 - 0.75^4)^48, 1e-8.
+Bands miss a pair of similarity 0.75 with a probability of about (1 - 0.75^5)^51, 1e-6.
 
 Defined results: null counts as empty; a text without words has an empty set and no links; with fewer than five words the whole
 sequence is the only shingle; repeated rows are equal sets; rows that share an id are one node; a null id is never linked.
@@ -36,8 +39,8 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, map_batches, utf8
 from .graph import components
 
-WORDS, BUCKETS, BANDS, MANTISSA = 5, 256, 48, 10
-SMALL, NEAR_SMALL, CROWD = 64, 86, 32
+WORDS, BUCKETS, ROWS, BANDS, MANTISSA = 5, 256, 5, 51, 10
+SMALL, NEAR_SMALL, CROWD, PIVOTS = 64, 86, 48, 4
 EMPTY = 0xFFFF
 _U = np.uint64
 
@@ -121,14 +124,16 @@ def _marks(rows: DataFrame) -> DataFrame:
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
-    """(band, key, node): the registers of a band are its key."""
+    """(band, key, node): the key is a 64-bit name of a band's registers."""
     node_type = nodes.schema["node"].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         grid = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(-1, BUCKETS)
-        keys = np.ascontiguousarray(grid).view(np.int64)[:, :BANDS]
-        row, band = np.nonzero(keys != -1)
-        return pa.RecordBatch.from_arrays([pa.array(band.astype(np.int32)), pa.array(keys[row, band]), batch.column("node").take(pa.array(row))], ["band", "key", "node"])
+        bands = grid[:, : ROWS * BANDS].reshape(-1, BANDS, ROWS)
+        row, band = np.nonzero((bands != EMPTY).any(2))
+        four = np.ascontiguousarray(bands[row, band, :4]).view(_U)[:, 0]
+        keys = (four * _U(0x9E3779B97F4A7C15) ^ (four >> _U(31))) + bands[row, band, 4] * _U(0xC2B2AE3D27D4EB4F)
+        return pa.RecordBatch.from_arrays([pa.array(band.astype(np.int32)), pa.array(keys.view(np.int64)), batch.column("node").take(pa.array(row))], ["band", "key", "node"])
 
     return map_batches(nodes.where("sketch is not null").select("node", "sketch"), work, f"band int, key long, node {node_type}")
 
@@ -166,10 +171,16 @@ def _likely(pairs: DataFrame, nodes: DataFrame, slack: str = "0") -> DataFrame:
     return map_batches(pairs, work, pairs.select(*kept).schema)
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs with the sizes of intersection and union of their full sets."""
+def _confirm(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs with the sizes of intersection and union of their full sets, from the texts of the documents they name."""
     kept = pairs.columns
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("_text").alias("t_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("_text").alias("t_b")), "b")
+    pairs = cut_lineage(pairs)
+    schema = pairs.withColumns({"both": F.lit(0).cast("long"), "either": F.lit(0).cast("long")}).schema
+    if pairs.isEmpty():
+        return pairs.sparkSession.createDataFrame([], schema)
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = rows.join(named, F.col("_id") == F.col("node"), "left_semi").dropDuplicates(["_id"])
+    both = pairs.join(texts.select(F.col("_id").alias("a"), F.col("_text").alias("t_a")), "a").join(texts.select(F.col("_id").alias("b"), F.col("_text").alias("t_b")), "b")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         out, last, last_set = [], None, None
@@ -179,8 +190,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             out.append(similarity(shingles(x), last_set))
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], [*kept, "both", "either"])
 
-    schema = pairs.withColumns({"both": F.lit(0).cast("long"), "either": F.lit(0).cast("long")}).schema
-    return map_batches(both, work, schema)
+    return cut_lineage(map_batches(both, work, schema))
 
 
 LINKED = "100 * both >= 75 * either"
@@ -191,56 +201,114 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     marks = cut_lineage(_marks(rows))
     classes = marks.where("digest is not null and _id is not null").groupBy("digest").agg(F.min("_id").alias("node"))
-    members = marks.select("_id", "n", "digest").join(classes, "digest", "left").select("_id", "n", F.coalesce("node", "_id").alias("node"))
-    nodes = marks.join(classes.withColumnRenamed("digest", "_d"), (F.col("digest") == F.col("_d")) & (F.col("_id") == F.col("node"))).select("node", "n", "sketch", "small").dropDuplicates(["node"])
-    nodes = cut_lineage(nodes)
+    members = cut_lineage(marks.select("_id", "n", "digest").join(classes, "digest", "left").select("_id", "n", F.coalesce("node", "_id").alias("node")))
+    nodes = cut_lineage(marks.join(classes.withColumnRenamed("digest", "_d"), (F.col("digest") == F.col("_d")) & (F.col("_id") == F.col("node"))).select("node", "n", "sketch", "small").dropDuplicates(["node"]))
+    del marks, classes
 
     every = _bands(nodes).unionByName(_prefixes(nodes.where("small is not null").select("node", F.col("small").alias("set")), -1))
     groups = every.groupBy("band", "key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1").select("band", "key", "pivot")
     held = cut_lineage(every.join(groups, ["band", "key"]))
-    wanted = held.select("node").distinct()
-    texts = cut_lineage(rows.join(wanted, F.col("_id") == F.col("node"), "left_semi").select(F.col("_id").alias("node"), "_text").dropDuplicates(["node"]))
+    del every, groups
 
     pairs = held.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    first = cut_lineage(_confirm(_likely(pairs, nodes), texts).where(LINKED))
-    links = first.select("a", "b")
-    labels = cut_lineage(components(links))
-    centres = cut_lineage(first.groupBy(F.col("a").alias("node")).agg(F.min(F.struct((1 - F.col("both") / F.col("either")).alias("d"), F.col("b").alias("centre"))).alias("x")).select("node", "x.centre", "x.d"))
-
-    placed = held.select("band", "key", "node").join(labels, "node", "left").join(centres, "node", "left").select("band", "key", "node", F.coalesce("component", "node").alias("component"), F.coalesce("centre", "node").alias("centre"), F.coalesce("d", F.lit(0.0)).alias("d"))
-    by_centre = placed.groupBy("band", "key", "centre", "component").agg(F.max("d").alias("r"))
-    mixed = cut_lineage(by_centre.groupBy("band", "key").agg(F.count(F.lit(1)).alias("centres"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("band", "key", "centres"))
-    small = cut_lineage(by_centre.join(mixed.where(F.col("centres") <= crowd), ["band", "key"]))
-    one, two = small.select("band", "key", F.col("centre").alias("a"), F.col("component").alias("ca"), F.col("r").alias("ra")), small.select("band", "key", F.col("centre").alias("b"), F.col("component").alias("cb"), F.col("r").alias("rb"))
-    apart = one.join(two, ["band", "key"]).where("a < b and ca <> cb").groupBy("a", "b").agg(F.max("ra").alias("ra"), F.max("rb").alias("rb"))
-    second = cut_lineage(_confirm(_likely(apart, nodes, "ra + rb"), texts))
+    stars = _confirm(_likely(pairs, nodes), rows).where(LINKED).select("a", "b", (1 - F.col("both") / F.col("either")).alias("d"))
+    labels = components(stars.select("a", "b"))
+    placed, mixed = _state(held.select("band", "key", "node"), labels, stars)
+    for turn in range(2):
+        crowds = mixed.where(F.col("centres") > crowd)
+        if crowds.isEmpty():
+            break
+        crowded = cut_lineage(placed.join(crowds, ["band", "key"], "left_semi"))
+        tries = F.array(*(F.struct(F.xxhash64("node", F.lit(turn * PIVOTS + i)).alias("h"), "node", "component") for i in range(PIVOTS)))
+        pivots = crowded.groupBy("band", "key").agg(*(F.max(tries[i]).alias(f"p{i}") for i in range(PIVOTS))).select("band", "key", F.explode(F.array(*(f"p{i}" for i in range(PIVOTS)))).alias("p")).select("band", "key", F.col("p.node").alias("b"), F.col("p.component").alias("cb"))
+        pairs = crowded.join(pivots, ["band", "key"]).where("component <> cb").select(F.col("node").alias("a"), "b").distinct()
+        more = _confirm(_likely(pairs, nodes), rows).where(LINKED).select("a", "b", (1 - F.col("both") / F.col("either")).alias("d"))
+        if more.isEmpty():
+            break
+        stars = cut_lineage(stars.union(more))
+        labels = components(stars.select("a", "b"))
+        placed, mixed = _state(held.select("band", "key", "node"), labels, stars)
+    links = stars.select("a", "b")
+
+    near = cut_lineage(placed.join(mixed.where(F.col("centres") <= crowd).select("band", "key"), ["band", "key"], "left_semi"))
+    second = _confirm(_open_pairs(near, nodes), rows)
     links = links.union(second.where(LINKED).select("a", "b"))
 
     open_ = second.where(f"not ({LINKED}) and ra + rb > 0 and 1 - both / either - ra - rb <= 0.25 + 1e-9").select("a", "b", (1 - F.col("both") / F.col("either")).alias("gap"))
-    in_small = placed.join(mixed.where(F.col("centres") <= crowd).select("band", "key"), ["band", "key"], "left_semi")
-    left = in_small.select("band", "key", F.col("node").alias("u"), F.col("centre").alias("a"), F.col("d").alias("du"), F.col("component").alias("cu"))
-    right = in_small.select("band", "key", F.col("node").alias("v"), F.col("centre").alias("b"), F.col("d").alias("dv"), F.col("component").alias("cv"))
+    left = near.select("band", "key", F.col("node").alias("u"), F.col("centre").alias("a"), F.col("d").alias("du"), F.col("component").alias("cu"))
+    right = near.select("band", "key", F.col("node").alias("v"), F.col("centre").alias("b"), F.col("d").alias("dv"), F.col("component").alias("cv"))
     rest = left.join(open_, "a").join(right, ["band", "key", "b"]).where("cu <> cv and gap - du - dv <= 0.25 + 1e-9").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-    links = links.union(_confirm(_likely(rest, nodes), texts).where(LINKED).select("a", "b"))
+    links = links.union(_confirm(_likely(rest, nodes), rows).where(LINKED).select("a", "b"))
 
-    crowded = placed.join(mixed.where(F.col("centres") > crowd).select("band", "key"), ["band", "key"], "left_semi").select("node", "component").distinct()
-    links = links.union(_crowd_links(cut_lineage(crowded), texts, nodes))
+    many = placed.join(mixed.where(F.col("centres") > crowd).select("band", "key"), ["band", "key"], "left_semi")
+    dominated = many.groupBy("node").agg(F.min("component").alias("component"), F.count_distinct("band").alias("bands"), F.min("band").alias("least")).where("bands > 2 or least < 0").select("node", "component")
+    links = links.union(_crowd_links(cut_lineage(dominated), rows, nodes))
 
-    final = components(cut_lineage(links))
-    out = members.join(final.select("node", "component"), "node", "left").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
+    final = components(links)
+    out = members.join(final, "node", "left").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
-def _crowd_links(crowded: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links among the nodes of crowded groups that are in different components, by exact prefix filtering."""
+def _open_pairs(near: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b, ra, rb) of centres of one group, in different components, that may be as close as 0.25 plus their radii.
+
+    Sets of small documents are compared as they are, others by their sketches.
+    """
+    node_type = nodes.schema["node"].dataType.simpleString()
+    centres = near.groupBy("band", "key", "centre", "component").agg(F.max("d").alias("r"))
+    known = centres.join(nodes.withColumnRenamed("node", "centre"), "centre")
+    groups = known.groupBy("band", "key").agg(F.collect_list(F.struct("centre", "component", "r", "n", "sketch", "small")).alias("g")).select("g")
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for group in batch.column("g").to_pylist():
+            group.sort(key=lambda x: (x["centre"], x["component"]))
+            flat = np.stack([np.frombuffer(x["sketch"] or b"\xff" * 512, np.uint16) for x in group])
+            sets = [np.array(x["small"] or (), np.int64).view(_U) for x in group]
+            for i, x in enumerate(group):
+                same = ((flat[i + 1 :] == flat[i]) & (flat[i] != EMPTY)).sum(1)
+                filled = ((flat[i + 1 :] != EMPTY) | (flat[i] != EMPTY)).sum(1)
+                for k, y in enumerate(group[i + 1 :]):
+                    if x["component"] == y["component"] or x["centre"] == y["centre"]:
+                        continue
+                    least = 0.75 - x["r"] - y["r"] - 1e-9
+                    if x["small"] and y["small"]:
+                        both, either = similarity(sets[i], sets[i + 1 + k])
+                        likely = both >= least * either
+                    elif same[k] / max(1, filled[k]) + 6 * (0.1875 / max(1, filled[k])) ** 0.5 < least:  # the correction for accidents lowers it further
+                        likely = False
+                    else:
+                        value, sd = estimate(flat[i], flat[i + 1 + k], x["n"], y["n"])
+                        likely = value + 6 * sd >= least
+                    if likely:
+                        out.append((x["centre"], y["centre"], x["r"], y["r"]))
+        kinds = (batch.schema.field("g").type.value_type.field("centre").type, batch.schema.field("g").type.value_type.field("centre").type, pa.float64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["a", "b", "ra", "rb"])
+
+    return map_batches(groups, work, f"a {node_type}, b {node_type}, ra double, rb double").groupBy("a", "b").agg(F.max("ra").alias("ra"), F.max("rb").alias("rb"))
+
+
+def _state(held: DataFrame, labels: DataFrame, stars: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(band, key, node, component, centre, d) of groups with several components, and the number of centres of each."""
+    centres = stars.groupBy(F.col("a").alias("node")).agg(F.min(F.struct("d", F.col("b").alias("centre"))).alias("x")).select("node", "x.centre", "x.d")
+    known = cut_lineage(labels.join(centres, "node", "left"))
+    placed = held.join(known, "node", "left").select("band", "key", "node", F.coalesce("component", "node").alias("component"), F.coalesce("centre", "node").alias("centre"), F.coalesce("d", F.lit(0.0)).alias("d"))
+    mixed = placed.groupBy("band", "key", "centre").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).groupBy("band", "key").agg(F.count(F.lit(1)).alias("centres"), F.min("c0").alias("c0"), F.max("c1").alias("c1")).where("c0 <> c1").select("band", "key", "centres")
+    return placed, cut_lineage(mixed)
+
+
+def _crowd_links(crowded: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links among the given nodes (node, component) that are in different components, by exact prefix filtering."""
     node_type = crowded.schema["node"].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(x).view(np.int64) for x in utf8(batch, "_text")]
-        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
+        return pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
 
-    sets = map_batches(texts.join(crowded.select("node"), "node", "left_semi"), work, f"node {node_type}, set array<long>")
-    keys = cut_lineage(_prefixes(sets, -2).join(crowded, "node"))
+    own = rows.join(crowded.select(F.col("node").alias("_id")), "_id", "left_semi").dropDuplicates(["_id"])
+    keys = cut_lineage(_prefixes(map_batches(own, work, f"node {node_type}, set array<long>"), -2).join(crowded, "node"))
+    several = keys.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
+    keys = keys.join(several, "key", "left_semi")
     one, two = keys.select("key", F.col("node").alias("a"), F.col("component").alias("ca")), keys.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
     pairs = one.join(two, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-    return _confirm(_likely(pairs, nodes), texts).where(LINKED).select("a", "b")
+    return _confirm(_likely(pairs, nodes), rows).where(LINKED).select("a", "b")
