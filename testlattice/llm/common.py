@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Python workers get batches of at most so many rows and bytes, whatever the length of a text.
-BATCH_ROWS, BATCH_BYTES = 1000, "16m"
+BATCH_ROWS, BATCH_BYTES = 1000, "4m"
 
 _shipped: set[str] = set()
 

@@ -90,10 +90,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = cut_lineage(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("n_tokens")).where("n_tokens > 0"))
     weights, alpha = temperature_weights(source_totals(rows), entropy_ratio, max_repeats, budget)
     weights = cut_lineage(weights.where("quota > 0").withColumn("slices", F.ceil(F.sqrt("n_docs")).cast("long")))
-    blocks = max(1, math.ceil((weights.agg(F.sum("quota")).first()[0] or 0) / block_tokens))
+    sums = weights.agg(F.sum("quota").alias("quota"), F.sum("n_docs").alias("docs")).first()
+    blocks = max(1, math.ceil((sums["quota"] or 0) / block_tokens))
+    salts = math.ceil((sums["docs"] or 1) ** (1 / 3))  # a source's documents meet its weight in so many places
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
     drawn = (
-        rows.join(weights.withColumnRenamed("n_tokens", "have"), "source")
+        rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+        .join(weights.withColumnRenamed("n_tokens", "have").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["source", "salt"])
         .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("quota") - 1) / F.col("have")).cast("long"))))
         .withColumn("key", key)
         .withColumn("slice", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") * F.col("slices") / F.lit(4294967296.0)).cast("long"))

@@ -9,7 +9,8 @@ quarter of two sets with similarity 0.75 has a shingle in common.
 Pairs within a group of candidates are never all made:
 
 1. Documents with equal sets are one node, named by its smallest id.
-2. In every group each node is paired with one node, the pivot, its smallest. Pairs that pass the collision-corrected estimate from
+2. In every group each node is paired with one node, the pivot: the one whose own groups are largest in sum, which in a group of near copies is the text
+   they were made from. Pairs that pass the collision-corrected estimate from
    the sketches are confirmed on the full sets; confirmed ones are links. Groups that still have more than CROWD centres in several
    components get PIVOTS more pivots for nodes of other components, twice. A node's centre is the closest pivot it is linked with.
 3. What can still be missed are links between nodes of one group in different components. Jaccard distance obeys the triangle
@@ -206,11 +207,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     del marks, classes
 
     every = _bands(nodes).unionByName(_prefixes(nodes.where("small is not null").select("node", F.col("small").alias("set")), -1))
-    groups = every.groupBy("band", "key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1").select("band", "key", "pivot")
+    groups = every.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     held = cut_lineage(every.join(groups, ["band", "key"]))
     del every, groups
 
-    pairs = held.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    popular = held.groupBy("node").agg(F.sum("size").alias("known"))
+    pivots = held.join(popular, "node").groupBy("band", "key").agg(F.max(F.struct("known", "node")).alias("p")).select("band", "key", F.col("p.node").alias("pivot"))
+    pairs = held.join(pivots, ["band", "key"]).where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     stars = _confirm(_likely(pairs, nodes), rows).where(LINKED).select("a", "b", (1 - F.col("both") / F.col("either")).alias("d"))
     labels = components(stars.select("a", "b"))
     placed, mixed = _state(held.select("band", "key", "node"), labels, stars)

@@ -15,6 +15,7 @@ Defined results: null counts as empty; the empty text has no ids; special tokens
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import struct
@@ -33,7 +34,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values of the format
 UNIGRAM, BPE = 1, 2
 UNIT = f"{MARK}*[^{MARK}]+|{MARK}+"
-MEMO = 400_000
+MEMO = 150_000
 PROBES = ("", " ", "a", "Hello  world\n\tü", " leading and trailing ", "12345 67.8%", "<s> </s> <unk> <pad>", "\U0001d50a zero\x00byte", "ein Straßenfest — déjà vu, ¿qué tal? ñandú", MARK + " mark " + MARK * 3 + "x", "aaa aaaa aaaaa" * 5, "日本語のテキスト", "a\r\nb c　d")
 
 
@@ -161,7 +162,7 @@ class Codec:
         parts = [re.findall(UNIT, self.whole.normalizer.normalize_str(x)) if x else [] for x in texts]
         if len(self.memo) > MEMO:
             self.memo.clear()
-        new = list({u for x in parts for u in x} - self.memo.keys())
+        new = list({u for x in parts for u in x if u not in self.memo})
         self.memo.update(zip(new, (x.ids for x in self.units.encode_batch_fast(new, add_special_tokens=False)), strict=True))
         get = self.memo.__getitem__
         return [[i for u in map(get, x) for i in u] for x in parts]
@@ -225,13 +226,17 @@ def crc_of_ids(ids) -> int:
 
 def encode_digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_tokens, ids_crc32 (ids as little-endian unsigned 32-bit integers), decoded_sha256, round_trip."""
-    out = encode(docs, model_path, id_col, text_col)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    id_type = rows.schema["_id"].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        column = batch.column("ids")
-        values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-        return pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(np.diff(ends), pa.int64()), pa.array([crc_of_ids(values[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.int64()), batch.column("decoded"), batch.column("round_trip")], [id_col, "n_tokens", "ids_crc32", "decoded", "round_trip"])
-
-    id_type = out.schema[id_col].dataType.simpleString()
-    digests = map_batches(out, work, f"`{id_col}` {id_type}, n_tokens long, ids_crc32 long, decoded string, round_trip boolean")
-    return digests.select(id_col, "n_tokens", "ids_crc32", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "round_trip")
+        own, out = codec(model_path), []
+        for data in utf8(batch, "_text"):
+            text = data.decode("utf-8", "replace")
+            ids = own.encode([text])[0]
+            back = own.decode([ids])[0]
+            out.append((len(ids), crc_of_ids(ids), hashlib.sha256(back.encode()).hexdigest(), own.decoded(text) == back))
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
+        return pa.RecordBatch.from_arrays([batch.column("_id"), *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds))], ["_id", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip"])
+
+    return map_batches(rows, work, f"_id {id_type}, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean").withColumnRenamed("_id", id_col)

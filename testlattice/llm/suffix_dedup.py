@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, map_batches, ready, release, utf8
 from .suffix_ranks import LENGTH, anchors, ranks
 
-CROWD, SORTED_BLOCKS = 512, 2000
+CROWD, SORTED_BLOCKS = 8192, 2000
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -143,7 +143,7 @@ def _sorted_by_spark(blocks: DataFrame) -> DataFrame:
 def _spans(texts: DataFrame, crowd: int) -> DataFrame:
     """(_doc, cut): the spans to remove from each text, from rows of (doc, _text)."""
     every = _anchor_rows(texts)
-    names = every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    names = cut_lineage(every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))  # a table of its own, so that Spark can split a frequent rank in the join
     round1 = cut_lineage(every.join(names, "gram", "left_semi"))
 
     blocks = cut_lineage(round1.groupBy("gram", "block").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "first", "size")).alias("r")).select("gram", "block", "n", "r.*"))

@@ -30,7 +30,7 @@ from . import token_coder
 from .common import ready, utf8
 
 MAGIC = b"TLTS1\0\0\0"
-SEGMENT, SIDE_BY_SIDE, MEMO = 1 << 20, 8 << 20, 300_000
+SEGMENT, SIDE_BY_SIDE, MEMO = 1 << 20, 8 << 20, 150_000
 
 
 class Encoder:
@@ -46,7 +46,7 @@ class Encoder:
         if len(self.memo) > MEMO:
             self.memo.clear()
         words = [t.split() for t in texts]
-        new = list({w for x in words for w in x} - self.memo.keys())
+        new = list({w for x in words for w in x if w not in self.memo})
         if new:
             got = self.own.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
             self.memo.update(zip(new, (x.ids for x in got), strict=True))
