@@ -6,12 +6,17 @@ links count with 0. Sums over windows of three lines form the distribution: text
 ends where the sum dives to 0, and what lies between is kept. A page that marks its article (``article``, ``main``) has all other lines at 0 and
 a threshold of one character, so that no short paragraph of the article is lost.
 
+Classes and ids are matched as whole names: hints, alone or joined to each other and to words of place (``cookie-notice``, ``site-footer``), not ``has-sidebar``. They never
+mark an article or an element that holds one; only names of comments do, and only on a page that has text in an article elsewhere. A form counts as part of the
+page if it holds an article, a heading of first order or a header, menu or footer, or if nothing else counts.
+
 Defined results: null and text-free pages give ''; character references are decoded; any white space within a line becomes one blank;
 lines are trimmed and joined by one newline; a page whose sums never reach the threshold keeps all lines that count.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 
@@ -33,6 +38,10 @@ HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adslot adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay menu menus submenu nav navbar navigation breadcrumb breadcrumbs "
     "sidebar sidenav aside footer masthead topbar toolbar comment comments commentlist respond reply replies disqus share sharing social related recommended recommendations newsletter subscribe subscription signup login search pagination pager widget skip".split()
 )
+PLACES = frozenset("site page main top bottom primary secondary global mobile desktop list item items area box bar block container wrapper wrap inner section form button buttons link links icons posts articles slot unit title thread header".split())
+THREAD = frozenset("comment comments commentlist respond reply replies disqus".split())
+WRAPPED = frozenset("article main nav header footer h1".split())  # what a form that wraps a page holds
+NO, HINT, COMMENT, FORM, SURE = range(5)  # why an element is outside the article
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]{0,65536}"|'[^']{0,65536}')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][\w:.-]*)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
@@ -41,22 +50,45 @@ def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(text)} if text and not text.isspace() else {}
 
 
-def _outside(name: str, attributes: dict[str, str], in_article: bool) -> bool:
-    """Whether an element holds something other than the article."""
-    if name in SKIPPED or name == "header" and not in_article:
-        return True
+@functools.lru_cache(65536)
+def _hint(name: str) -> int:
+    """What a whole class name or id says: nothing, something other than the article, or comments."""
+    parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
+    hints = HINTS.intersection(parts)
+    if not hints or not all(x in HINTS or x in PLACES for x in parts):
+        return NO
+    return COMMENT if hints & THREAD else HINT
+
+
+def _header(name: str) -> bool:
+    parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
+    return "header" in parts and all(x == "header" or x in PLACES for x in parts)
+
+
+def _outside(name: str, attributes: dict[str, str], in_article: bool) -> int:
+    """Whether, and why, an element holds something other than the article."""
+    if name == "form":
+        weak = FORM
+    elif name in SKIPPED or name == "header" and not in_article:
+        return SURE
+    else:
+        weak = NO
     if not attributes or name in ("html", "body", "main"):
-        return False
+        return weak
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "") or attributes.get("role") in ROLES:
-        return True
-    words = set(re.split(r"[^a-z0-9]+", f"{attributes.get('class', '')} {attributes.get('id', '')}"))
-    return bool(words & HINTS) or "header" in words and not in_article
+        return SURE
+    if weak:
+        return weak
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".split()
+    return max(map(_hint, names), default=NO) or (HINT if not in_article and any(map(_header, names)) else NO)
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
     """(text, characters in links, outside the article by markup, inside a marked article) of each line."""
-    out: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, outside, in article
+    out: list[tuple[str, int, int]] = []
+    stack: list[tuple[str, int]] = []  # name, element
+    up, why, inside = [-1], [NO], [False]  # parent, reason to be outside and being in an article, of each element; 0 is the page
+    holds = [False]  # whether an article begins at or in the element
     parts: list[str] = []
     linked = 0
 
@@ -64,7 +96,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append((text, linked, *(stack[-1][1:] if stack else (False, False))))
+            out.append((text, linked, stack[-1][1] if stack else 0))
         parts.clear()
         linked = 0
 
@@ -108,14 +140,42 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
             links = sum(x[0] == "a" for x in stack)
         if rest.endswith("/") and name in ("svg", "path"):
             continue
-        outside, article = stack[-1][1:] if stack else (False, False)
+        parent = stack[-1][1] if stack else 0
         attributes = _attributes(rest)
-        outside = outside or _outside(name, attributes, article)
-        article = article or name in ("article", "main") or attributes.get("role") in ("main", "article")
-        stack.append((name, outside, article))
+        starts = name in ("article", "main") or attributes.get("role") in ("main", "article")
+        up.append(parent)
+        why.append(_outside(name, attributes, inside[parent]))
+        inside.append(inside[parent] or starts)
+        holds.append(False)
+        k = len(up) - 1
+        if starts and why[k] != SURE:
+            while k > 0 and why[k] != SURE and not holds[k]:
+                holds[k] = True
+                k = up[k]
+            k = parent
+        if starts or name in WRAPPED or attributes.get("role") in ("navigation", "banner", "contentinfo"):
+            while k > 0:  # a form around it is the page
+                if why[k] == FORM:
+                    why[k] = NO
+                k = up[k]
+        stack.append((name, len(up) - 1))
         links += name == "a"
     line()
-    return out
+
+    def marked(comments: bool) -> list[bool]:
+        outside = [False]
+        for k in range(1, len(up)):
+            own = why[k] in (FORM, SURE) or why[k] == HINT and not holds[k] or why[k] == COMMENT and (comments or not holds[k])
+            outside.append(outside[up[k]] or own)
+        return outside
+
+    outside = marked(True)
+    if not any(inside[k] and not outside[k] for _, _, k in out):
+        outside = marked(False)
+    if all(outside[k] for _, _, k in out):  # nothing but forms
+        why[:] = [NO if x == FORM else x for x in why]
+        outside = marked(False)
+    return [(text, n, outside[k], inside[k]) for text, n, k in out]
 
 
 def weights_of(lines: list[tuple[str, int, bool, bool]]) -> tuple[list[int], int]:

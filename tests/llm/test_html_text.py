@@ -16,6 +16,26 @@ def test_article_with_everything_around_it(spark):
     assert {r["page_id"]: (r["text"], r["n_chars"]) for r in ht.html_text(df).collect()} == {1: (want, len(want)), 2: ("", 0), 3: ("", 0)}
 
 
+def test_hints_spare_the_article():
+    """Classes of layout, of the article itself or of what holds it, and a form around the page, lose no text of the article."""
+    for page in (
+        "<article class='post has-sidebar'><p>one<p>two</article>",
+        "<div id=page class=no-sidebar><article><p>one<p>two</article></div>",
+        "<article class='comments-open category-social'><p>one<p>two</article>",
+        "<div class=widget><div role=article class=ad><p>one<p>two</div></div>",
+        "<div class='sidebar'><main class=menu><p>one<p>two</main></div>",
+        "<form id=aspnetForm><div class=menu>m</div><article><p>one<form><p>mail</form><p>two</article></form>",
+        "<form><h1>one</h1><p>two</p></form><p class=footer>no",
+        "<div class=content-sidebar-wrap><form><div>one</div><div>two</div></form></div>",
+        "<section class=comments><article class=comment><p>one<p>two</article></section>",
+    ):
+        assert ht.main_text(page).split("\n") == ["one", "two"], page
+    for name in ("cookie-notice", "site-footer", "sidebar", "comment-list", "AD"):
+        assert ht.main_text(f"<article><p>one<div class='x {name}'>no</div><p>two</article>") == "one\ntwo"
+    assert ht.main_text("<article><p>one<div class=no-ads><p>two</div></article>") == "one\ntwo"
+    assert ht.main_text("<aside><article>no</article></aside><div hidden><article>no</article></div><p>one") == "one"
+
+
 def test_page_without_article():
     long = "a sentence of some length that goes on and on until it is long enough for the surge"
     page = f"<body><div class=menu><a href=/>Home</a></div><ul><li><a>a</a><li><a>b</a><li><a>c</a></ul><div><p>{long}</p><p>short</p><p>{long}</p></div><div id=footer>f</div></body>"
