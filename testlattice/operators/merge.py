@@ -78,13 +78,21 @@ def prune(selected: DataFrame, xml_file: DataFrame) -> DataFrame:
     return selected.join(there, "test_name", "left_semi")
 
 
-def stale_artifacts(files: DataFrame, test_classes: DataFrame) -> DataFrame:
-    """Files whose name contains the name of an affected test class, ending at a word's end.
+def stale_artifacts(files: DataFrame, test_classes: DataFrame, unmapped: DataFrame | None = None) -> DataFrame:
+    """Files whose name contains the name of an affected test class, or the simple name of an unmapped one (class_fqn).
 
-    The names of a file's parts are its candidates, so this is an equality join; names are matched where they begin after '_', '-', '.' or at the start.
+    Candidates are all parts of a file name that are as long as some class name, so containing is an equality join, and exact.
     """
-    tokens = files.select("file_name", F.explode(F.array_distinct(F.split("file_name", "[^A-Za-z0-9$]+"))).alias("test_class"))
-    return tokens.join(test_classes.select("test_class").distinct(), "test_class", "left_semi").select("file_name").distinct()
+    names = test_classes.select("test_class")
+    if unmapped is not None:
+        names = names.unionByName(unmapped.select(sf.short_class(F.col("class_fqn")).alias("test_class")))
+    names = names.where("test_class is not null").distinct()
+    sizes = names.agg(F.collect_set(F.length("test_class")).alias("sizes"))
+    own = files.select("file_name").distinct().crossJoin(F.broadcast(sizes))
+    fitting = own.select("file_name", F.explode(F.filter("sizes", lambda n: n <= F.length("file_name"))).alias("size"))
+    starts = fitting.select("file_name", "size", F.explode(F.sequence(F.lit(1), F.length("file_name") - F.col("size") + 1)).alias("at"))
+    parts = starts.select("file_name", F.substring(F.col("file_name"), F.col("at"), F.col("size")).alias("test_class"))
+    return parts.join(names, "test_class", "left_semi").select("file_name").distinct()
 
 
 def run_summary(metric: DataFrame, *keys: str) -> DataFrame:

@@ -219,3 +219,15 @@ def test_live_metrics(spark, tmp_path):
     stream.processAllAvailable()
     stream.stop()
     assert rows(spark.table("live")) == [("A", 3, 2, 0, 1)]
+
+
+def test_stale_artifacts_contain_the_name(spark):
+    names = ["TEST-Order_IT-a.xml", "MyFooTest.xml", "FooTest2.xml", "session_FooTest#a.exec", "Order-IT.xml", "fooTest.xml", "x", "", None, "a.Outer$InnerTest.xml", "TEST-com.acme.NewSpecs.xml"]
+    files = spark.createDataFrame([(x,) for x in names], "file_name string")
+    classes = ["Order_IT", "FooTest", "Outer$InnerTest", "AVeryLongNameOfATestClassThatNoFileHas", None]
+    tests = spark.createDataFrame([(x,) for x in classes], "test_class string")
+    unmapped = spark.createDataFrame([("com.acme.NewSpec",), ("Order",)], "class_fqn string")
+    want = lambda known: sorted(f for f in names if f is not None and any(c in f for c in known))
+    assert [x for x, in rows(merge.stale_artifacts(files, tests))] == want(classes[:-1])
+    assert [x for x, in rows(merge.stale_artifacts(files, tests, unmapped))] == want([*classes[:-1], "NewSpec", "Order"])
+    assert merge.stale_artifacts(files, tests.limit(0)).isEmpty()
