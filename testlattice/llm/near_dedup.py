@@ -255,7 +255,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _open_pairs(near: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b, ra, rb) of centres of one group, in different components, that may be as close as 0.25 plus their radii.
 
-    Sets of small documents are compared as they are, others by their sketches.
+    Sets of small documents are compared as they are, others by their sketches, and where one has no sketch and the other no small set by their sizes.
     """
     node_type = nodes.schema["node"].dataType.simpleString()
     centres = near.groupBy("band", "key", "centre", "component").agg(F.max("d").alias("r"))
@@ -278,6 +278,8 @@ def _open_pairs(near: DataFrame, nodes: DataFrame) -> DataFrame:
                     if x["small"] and y["small"]:
                         both, either = similarity(sets[i], sets[i + 1 + k])
                         likely = both >= least * either
+                    elif not x["sketch"] or not y["sketch"]:  # no estimate: only the sizes exclude a pair
+                        likely = min(x["n"], y["n"]) >= least * max(x["n"], y["n"])
                     elif same[k] / max(1, filled[k]) + 6 * (0.1875 / max(1, filled[k])) ** 0.5 < least:  # the correction for accidents lowers it further
                         likely = False
                     else:

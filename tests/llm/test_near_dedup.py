@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from testlattice.llm import near_dedup as nd
 from testlattice.llm.graph import components
@@ -97,3 +98,44 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, k) for k in range(101, 140)] + [(5, 5), (200, 201), (201, 200)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(1, 41)} | {i: 100 for i in range(100, 140)} | {200: 200, 201: 200}
+
+
+def border_family(seed=3, families=6):
+    """Short texts of 60 shingles, in 80, in 100, and hot third texts that hold the last ones but aren't linked with them."""
+    rng = random.Random(seed)
+    docs = []
+    for f in range(families):
+        words = lambda n, f=f: [f"f{f}x{rng.randrange(10**6)}" for _ in range(n)]
+        v = words(104)
+        docs += [v, v[:84], v[:64]]
+        for _ in range(12):  # near copies make the short text a pivot
+            own = v[:64]
+            own[rng.randrange(1, 63)] = words(1)[0]
+            docs.append(own)
+        for _ in range(24):
+            hot = v + words(36)
+            docs.append(hot)
+            for _ in range(6):
+                own = list(hot)
+                own[rng.randrange(len(own))] = words(1)[0]
+                docs.append(own)
+    docs = [" ".join(x) for x in docs]
+    rng.shuffle(docs)
+    return list(enumerate(docs))
+
+
+def test_size_border_with_hot_texts(spark):
+    docs = border_family()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in nd.near_dedup(df).collect()}
+    assert got == brute(docs)
+
+
+def test_open_pairs_without_a_common_form(spark):
+    """A centre without a sketch and one without a small set stay open unless their sizes exclude them."""
+    words = [f"w{i}" for i in range(200)]
+    rows = spark.createDataFrame([(1, " ".join(words[:64])), (2, " ".join(words[:104])), (3, " ".join(words))], "_id long, _text string")
+    nodes = nd._marks(rows).select(F.col("_id").alias("node"), "n", "sketch", "small")
+    near = spark.createDataFrame([(0, 1, 1, 1, 1, 0.25), (0, 1, 2, 2, 2, 0.0), (0, 1, 3, 3, 3, 0.0)], "band int, key long, node long, component long, centre long, d double")
+    got = {(r["a"], r["b"]) for r in nd._open_pairs(near, nodes).collect()}
+    assert (1, 2) in got and (1, 3) not in got
