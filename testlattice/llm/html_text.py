@@ -6,6 +6,9 @@ links count with 0. Sums over windows of three lines form the distribution: text
 ends where the sum dives to 0, and what lies between is kept. A page that marks its article (``article``, ``main``) has all other lines at 0 and
 a threshold of one character, so that no short paragraph of the article is lost.
 
+On a page that marks none, windows run over the lines that markup leaves, and the block container that holds a surge keeps all its other lines too, such as headings,
+bylines, short paragraphs and paragraphs of links; headings of first order are kept wherever they count.
+
 Classes and ids are matched as whole names: hints, alone or joined to each other and to words of place (``cookie-notice``, ``site-footer``), not ``has-sidebar``. They never
 mark an article or an element that holds one; only names of comments do, and only on a page that has text in an article elsewhere. A form counts as part of the
 page if it holds an article, a heading of first order or a header, menu or footer, or if nothing else counts.
@@ -38,6 +41,8 @@ HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adslot adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay menu menus submenu nav navbar navigation breadcrumb breadcrumbs "
     "sidebar sidenav aside footer masthead topbar toolbar comment comments commentlist respond reply replies disqus share sharing social related recommended recommendations newsletter subscribe subscription signup login search pagination pager widget skip".split()
 )
+CONTAINERS = frozenset("div section td th table tbody tr center dd details blockquote form".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PLACES = frozenset("site page main top bottom primary secondary global mobile desktop list item items area box bar block container wrapper wrap inner section form button buttons link links icons posts articles slot unit title thread header".split())
 THREAD = frozenset("comment comments commentlist respond reply replies disqus".split())
 WRAPPED = frozenset("article main nav header footer h1".split())  # what a form that wraps a page holds
@@ -83,10 +88,14 @@ def _outside(name: str, attributes: dict[str, str], in_article: bool) -> int:
     return max(map(_hint, names), default=NO) or (HINT if not in_article and any(map(_header, names)) else NO)
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters in links, outside the article by markup, inside a marked article) of each line."""
+def blocks_of(page: str) -> tuple[list[tuple[str, int, bool, bool]], list[int], list[int], list[str]]:
+    """Lines, the element of each, and the parent and name of every element; element 0 is the page.
+
+    A line is (text, characters in links, outside the article by markup, inside a marked article).
+    """
     out: list[tuple[str, int, int]] = []
     stack: list[tuple[str, int]] = []  # name, element
+    names = [""]
     up, why, inside = [-1], [NO], [False]  # parent, reason to be outside and being in an article, of each element; 0 is the page
     holds = [False]  # whether an article begins at or in the element
     parts: list[str] = []
@@ -144,6 +153,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         attributes = _attributes(rest)
         starts = name in ("article", "main") or attributes.get("role") in ("main", "article")
         up.append(parent)
+        names.append(name)
         why.append(_outside(name, attributes, inside[parent]))
         inside.append(inside[parent] or starts)
         holds.append(False)
@@ -175,7 +185,11 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
     if all(outside[k] for _, _, k in out):  # nothing but forms
         why[:] = [NO if x == FORM else x for x in why]
         outside = marked(False)
-    return [(text, n, outside[k], inside[k]) for text, n, k in out]
+    return [(text, n, outside[k], inside[k]) for text, n, k in out], [k for _, _, k in out], up, names
+
+
+def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
+    return blocks_of(page)[0]
 
 
 def weights_of(lines: list[tuple[str, int, bool, bool]]) -> tuple[list[int], int]:
@@ -208,9 +222,69 @@ def between(weights: list[int], surge: int) -> list[bool]:
     return keep if any(keep) else [w > 0 for w in weights]
 
 
+def held(weights: list[int], elements: list[int], up: list[int], names: list[str], keep: list[bool]) -> list[bool]:
+    """``keep`` and the lines that belong to a block container that holds the surge, of a page without a marked article.
+
+    A line's container is the innermost element of CONTAINERS around it with several lines. Containers whose own lines weigh SURGE keep all their lines; of the page itself, which
+    holds menus too, those that count, headings, and all of its own between its first and last that count but lists of links. Between two such containers of one parent, lines that count are kept.
+    """
+    several = [0] * len(up)
+    for k in elements:
+        several[k] += 1
+    for k in range(len(up) - 1, 0, -1):
+        several[up[k]] += several[k]
+    page = [True] * len(up)  # html, body and what holds no container of its own
+    box = [0] * len(up)  # container of each element
+    for k in range(1, len(up)):
+        page[k] = page[up[k]] and names[k] in ("html", "body")
+        box[k] = k if names[k] in CONTAINERS and several[k] > 1 and not page[k] else 0 if page[k] else box[up[k]]
+    own = [0] * len(up)
+    for w, k in zip(weights, elements, strict=True):
+        own[box[k]] += w
+    surges = [x >= SURGE for x in own]
+    if not any(surges):
+        return [k or bool(w) and names[e] == "h1" for k, w, e in zip(keep, weights, elements, strict=True)] if any(keep) else keep
+
+    within = [False] * len(up)
+    for k in range(1, len(up)):
+        within[k] = within[up[k]] or box[k] == k and surges[k]
+    heading, item = [False] * len(up), [False] * len(up)
+    for k in range(1, len(up)):
+        heading[k] = heading[up[k]] or names[k] in HEADINGS
+        item[k] = item[up[k]] or names[k] == "li"
+    keep = [a or within[k] or bool(w) and names[k] == "h1" for a, w, k in zip(keep, weights, elements, strict=True)]
+    if surges[0]:
+        mine = [i for i, k in enumerate(elements) if not box[k]]
+        counted = [i for i in mine if weights[i]]
+        for i in mine:
+            keep[i] = keep[i] or weights[i] > 0 or heading[elements[i]] or counted[0] < i < counted[-1] and not item[elements[i]]
+    spans: dict[int, list[int]] = {}  # parent: first and last line of its surging containers, and their number
+    last = -1
+    for i, k in enumerate(elements):
+        at = box[k]
+        while at and not surges[at]:
+            at = box[up[at]]
+        if at:
+            span = spans.setdefault(box[up[at]], [i, i, 0])
+            span[1] = i
+            span[2] += at != last
+            last = at
+    for first, end, n in spans.values():
+        if n > 1:
+            for i in range(first, end):
+                keep[i] = keep[i] or weights[i] > 0
+    return keep
+
+
 def main_text(page: str) -> str:
-    lines = lines_of(page)
-    keep = between(*weights_of(lines))
+    lines, elements, up, names = blocks_of(page)
+    weights, surge = weights_of(lines)
+    if surge == SURGE:  # no marked article: lines outside by markup don't part the others
+        here = [i for i, x in enumerate(lines) if not x[2]]
+        lines, elements, weights = ([x[i] for i in here] for x in (lines, elements, weights))
+        keep = held(weights, elements, up, names, between(weights, surge))
+    else:
+        keep = between(weights, surge)
     return "\n".join(text for (text, *_), k in zip(lines, keep, strict=True) if k)
 
 

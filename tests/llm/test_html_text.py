@@ -43,6 +43,25 @@ def test_page_without_article():
     assert ht.main_text("<p>tiny</p>") == "tiny"
 
 
+def test_container_of_the_surge():
+    """Without a marked article, adverts, bylines and links between its lines part nothing from the text."""
+    long = "a sentence of some length that goes on and on until it is long enough for the surge"
+    links = "<p><a>one</a></p><p><a>two</a></p><p><a>three</a></p>"
+    adverts = "<div class=ad><p>buy<p>this<p>now</div>"
+    menu = "<ul><li><a>a</a><li><a>b</a><li><a>c</a><li><a>d</a></ul>"
+    text = lambda inner: ht.main_text(inner).split("\n")
+    for head, tail in ((f"<body>{menu}<div>", f"</div>{menu}"), (f"<table><tr><td>{menu}</td></tr></table><section>", f"</section>{menu}")):
+        assert text(f"{head}<h1>Title</h1>{links}<p>{long}</p>{tail}") == ["Title", "one", "two", "three", long]
+        assert text(f"{head}<p>{long}</p>{adverts}<p>short</p><ul><li>x<li>y</ul>{adverts}<p>{long}</p>{tail}") == [long, "short", "x", "y", long]
+        assert text(f"{head}<p>{long}</p><p><a>a paragraph that is one link</a></p><p>{long}</p>{tail}") == [long, "a paragraph that is one link", long]
+        assert text(f"{head}<div>{long}</div>{links}<div>short</div>{links}<div>{long}</div>{tail}") == [long, "one", "two", "three", "short", "one", "two", "three", long]
+    assert text(f"<body><h1>Title</h1>{menu}<p>{long}</p>{menu}") == ["Title", long]
+    assert text(f"<body>{menu}<h1>Title</h1>{links}<p>short</p>{links}<p>{long}</p>{menu}") == ["Title", "one", "two", "three", "short", "one", "two", "three", long]
+    assert text(f"<body>{menu}<div><h1>Title</h1><p>x</div>{links}<div><p>{long}<p>end</div>{menu}") == ["Title", long, "end"]
+    part = f"<section><h2>Head</h2><p>{long}</section>"
+    assert text(f"<body>{menu}<div id=content>{part}{links}<p>short</p>{links}{part}</div>") == ["Head", long, "short", "Head", long]
+
+
 def test_broken_markup():
     assert ht.main_text("a < b <p class='x>y</p> z") == "a < b\ny\nz"
     assert ht.main_text("<article><p>open <b>tags") == "open tags"
