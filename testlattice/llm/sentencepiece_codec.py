@@ -4,7 +4,7 @@ The model file (a protobuf) is read here: pieces with score and type, the model
 From them a tokenizers pipeline is rebuilt: the normaliser (character map, extra white space, dummy prefix, the metaspace
 marker for a blank), a BPE or unigram model with byte fallback, and the matching decoder. Batches are encoded by the
 library's own threads. Before a worker encodes anything it compares the rebuilt tokenizer with the sentencepiece
-library on fixed probe texts, and fails if one differs; ``verify=True`` compares every text of the table as well.
+library on fixed probe texts, and fails if one differs; ``encode_digest``, and ``encode`` with ``verify=True``, compare every text of the table as well.
 
 Where no piece holds the marker after another character, no merge can cross from a word to a following marker. The
 text is cut there, which changes no id, and a worker hands only words that it has not met to the library; the memo of
@@ -180,10 +180,13 @@ class Codec:
             out.append(text[1:] if self.model.dummy_prefix and text.startswith(" ") else text)
         return out
 
-    def check(self, texts: list[str]) -> None:
-        for text, got in zip(texts, self.encode(texts), strict=True):
-            if got != (want := self.plain.encode(text)):
+    def check(self, texts: list[str]) -> list[list[int]]:
+        """Ids of the texts, which must be those of the library."""
+        ids = self.encode(texts)
+        for text, got, want in zip(texts, ids, self.plain.encode(texts, num_threads=1), strict=True):
+            if got != want:
                 raise AssertionError(f"the rebuilt tokenizer differs from sentencepiece on {text[:80]!r}: {got[:20]} and {want[:20]}")
+        return ids
 
     def decoded(self, text: str) -> str:
         """What decoding has to give back: the text after normalisation; a marker in the text comes back as a blank."""
@@ -208,9 +211,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = codec(model_path)
         texts = [x.decode("utf-8", "replace") for x in utf8(batch, "_text")]
-        ids = own.encode(texts)
-        if verify:
-            own.check(texts)
+        ids = own.check(texts) if verify else own.encode(texts)
         back = own.decode(ids)
         same = [own.decoded(t) == b for t, b in zip(texts, back, strict=True)]
         flat = np.fromiter((i for x in ids for i in x), np.int32)
@@ -224,18 +225,19 @@ def crc_of_ids(ids) -> int:
     return zlib.crc32(np.asarray(ids, "<u4").tobytes())
 
 
+def digests(own: Codec, texts: list[str]) -> list[tuple[int, int, str, bool]]:
+    """(n_tokens, ids_crc32, decoded_sha256, round_trip) of each text of a batch, whose ids are checked against the library."""
+    ids = own.check(texts)
+    return [(len(x), crc_of_ids(x), hashlib.sha256(back.encode()).hexdigest(), own.decoded(t) == back) for t, x, back in zip(texts, ids, own.decode(ids), strict=True)]
+
+
 def encode_digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, n_tokens, ids_crc32 (ids as little-endian unsigned 32-bit integers), decoded_sha256, round_trip."""
+    """``id_col``, n_tokens, ids_crc32 (ids as little-endian unsigned 32-bit integers), decoded_sha256, round_trip; every text is checked."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     id_type = rows.schema["_id"].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own, out = codec(model_path), []
-        for data in utf8(batch, "_text"):
-            text = data.decode("utf-8", "replace")
-            ids = own.encode([text])[0]
-            back = own.decode([ids])[0]
-            out.append((len(ids), crc_of_ids(ids), hashlib.sha256(back.encode()).hexdigest(), own.decoded(text) == back))
+        out = digests(codec(model_path), [x.decode("utf-8", "replace") for x in utf8(batch, "_text")])
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
         return pa.RecordBatch.from_arrays([batch.column("_id"), *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds))], ["_id", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip"])
 

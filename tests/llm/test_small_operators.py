@@ -151,3 +151,13 @@ def test_toxicity_without_labels_and_with_odd_rows(spark):
     out = tx.toxicity(docs, none).collect()
     assert len(out) == 3 and {r["predicted"] for r in out} == {0} and len({r["score"] for r in out}) == 1
     assert tx.toxicity(docs.limit(0), none).count() == 0
+
+
+def test_sentencepiece_digests_check_every_text():
+    own = sp.Codec(MODEL)
+    texts = ["one two three", "", "a  b\n"]
+    assert [x[0] for x in sp.digests(own, texts)] == [len(own.plain.encode(x)) for x in texts]
+    unit = next(u for u in own.memo if "three" in u)
+    own.memo[unit] = own.memo[unit] + [5]  # a text on which the rebuilt tokenizer is wrong
+    with pytest.raises(AssertionError, match="differs"):
+        sp.digests(own, ["none here", "one two three"])
