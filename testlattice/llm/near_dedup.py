@@ -1,27 +1,22 @@
 """MinHash near-dedup with HyperMinHash sketches.
 
-A document's set holds the hashes of its distinct five-word shingles. Its sketch has 256 buckets; a bucket keeps the least of the
-hashes that fall into it, as a count of leading zeros and ten bits of mantissa, 16 bits in all. Five neighbouring registers are a
-band, and documents with an equal band are candidates. Documents of at most SMALL shingles fill too few registers; they, and those
-that can be like them, are found by prefix filtering, which is exact: in an order of shingles from rare to frequent, the first
-quarter of two sets with similarity 0.75 has a shingle in common.
+A document's set holds the hashes of its distinct five-word shingles. Its sketch has 256 buckets; a bucket keeps the least value of the set under a
+permutation of its own, as a count of leading zeros and ten bits of mantissa, 16 bits in all. A permutation for each bucket, rather than one that deals
+the hashes out to buckets, leaves no bucket empty, so that short texts are compared as well as long ones. Five neighbouring registers are a band, and
+documents with an equal band are candidates.
 
 Pairs within a group of candidates are never all made:
 
-1. Documents with equal sets are one node, named by its smallest id.
+1. Documents with equal sets are one node, named by its smallest id. Bands that hold the same nodes are one group.
 2. In every group each node is paired with one node, the pivot: the one whose own groups are largest in sum, which in a group of near copies is the text
-   they were made from. Pairs that pass the collision-corrected estimate from
-   the sketches are confirmed on the full sets; confirmed ones are links. Groups that still have more than CROWD centres in several
-   components get PIVOTS more pivots for nodes of other components, twice. A node's centre is the closest pivot it is linked with.
-3. What can still be missed are links between nodes of one group in different components. Jaccard distance obeys the triangle
-   inequality, so two centres that are farther apart than 0.25 plus their radii exclude all links between their nodes. The centres of
-   a group, CROWD at most, are estimated side by side in a task; only pairs that the estimate leaves open become rows. They, and where these leave it
-   open the pairs of their nodes, are confirmed on full sets too.
-4. Groups with more than CROWD centres, such as those of a passage that very many documents share, don't take part in step 3. Documents
-   with more than two such bands, or such a prefix, go through prefix filtering with each other instead, where shared passages come last; the others
-   have 49 other bands.
-
-Bands miss a pair of similarity 0.75 with a probability of about (1 - 0.75^5)^51, 1e-6.
+   they were made from. Pairs that pass the collision-corrected estimate from the sketches are confirmed on the full sets; confirmed ones are links.
+3. What can still be missed are links between nodes of one group in different components. Their sketches are compared side by side in tasks, in blocks of
+   at most about ``crowd`` nodes; larger groups are divided by size, so that only blocks meet whose sizes allow a link, and then by hash. A pair that the estimate
+   doesn't exclude becomes a row, once, at the first band that its nodes share. For every two components the best pair is confirmed first; the others only if
+   the components are still apart.
+
+Bands miss a pair of similarity 0.75 with a probability of (1 - 0.75^5)^51, 1e-6; the estimate is held to exclude a pair when it is five standard deviations
+below, 3e-7. Nothing else is left out, whatever the size of a group. All links are confirmed on full sets.
 
 Defined results: null counts as empty; a text without words has an empty set and no links; with fewer than five words the whole
 sequence is the only shingle; repeated rows are equal sets; rows that share an id are one node; a null id is never linked.
@@ -30,6 +25,7 @@ sequence is the only shingle; repeated rows are equal sets; rows that share an i
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +37,11 @@ from .common import cut_lineage, map_batches, utf8
 from .graph import components
 
 WORDS, BUCKETS, ROWS, BANDS, MANTISSA = 5, 256, 5, 51, 10
-SMALL, NEAR_SMALL, CROWD, PIVOTS = 64, 86, 48, 4
-EMPTY = 0xFFFF
+CROWD, SIGMAS, LEAST = 2048, 5.0, 0.75
 _U = np.uint64
+_rng = np.random.default_rng(20240)
+_FACTOR = (_rng.integers(0, 1 << 31, BUCKETS, dtype=_U) * _U(2) + _U(1)).astype(np.uint32)[:, None]
+_MASK = _rng.integers(0, 1 << 32, BUCKETS, dtype=_U).astype(np.uint32)[:, None]
 
 
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
@@ -66,33 +64,34 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
-    """256 registers: leading zeros of a bucket's least hash in the upper six bits, its mantissa below."""
-    out = np.full(BUCKETS, EMPTY, np.uint16)
-    if len(hashes):
-        bucket = (hashes >> _U(56)).astype(np.int64)
-        first = np.flatnonzero(np.diff(bucket, prepend=-1))
-        part, power = np.frexp((hashes[first] << _U(8)).astype(np.float64))
-        zeros = np.minimum(64 - power, 62)
-        out[bucket[first]] = (zeros << MANTISSA) | np.clip((part - 0.5) * 2 * (1 << MANTISSA), 0, (1 << MANTISSA) - 1).astype(np.int64)
-    return out
+    """256 registers: leading zeros of the least value under a bucket's permutation in the upper six bits, its mantissa below."""
+    part = (hashes >> _U(32)).astype(np.uint32)
+    least = np.full(BUCKETS, 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(part), 512):
+        np.minimum(least, ((part[None, i : i + 512] ^ _MASK) * _FACTOR).min(1), out=least)
+    fraction, power = np.frexp(least.astype(np.float64) + 0.5)
+    return (((32 - power) << MANTISSA) | ((fraction - 0.5) * (2 << MANTISSA)).astype(np.int64)).astype(np.uint16)
 
 
 @functools.lru_cache(4096)
 def _accident(n: float, m: float) -> float:
-    """Probability that a register of two disjoint sets with n and m hashes a bucket is filled and equal."""
-    zeros = 2.0 ** -(np.arange(56) + 1)[:, None]
+    """Probability that a register of two disjoint sets with n and m hashes is equal."""
+    zeros = 2.0 ** -(np.arange(33) + 1)[:, None]
     low = zeros * (1 + np.arange(1 << MANTISSA) / (1 << MANTISSA))
     high = low + zeros / (1 << MANTISSA)
     return float(((np.exp(-n * low) - np.exp(-n * high)) * (np.exp(-m * low) - np.exp(-m * high))).sum())
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int) -> tuple[float, float]:
-    """Jaccard similarity from two sketches, corrected for accidental equality, and its standard deviation at 0.75."""
-    filled = int(((a != EMPTY) | (b != EMPTY)).sum())
-    same = int(((a == b) & (a != EMPTY)).sum())
-    near = lambda x: 2.0 ** (round(4 * np.log2(max(x, 1))) / 4) / BUCKETS
+def corrected(same: int, n: int, m: int) -> tuple[float, float]:
+    """Jaccard similarity from the number of equal registers, without those equal by accident, and its standard deviation at 0.75."""
+    near = lambda x: 2.0 ** (round(4 * np.log2(max(x, 1))) / 4)
     by_chance = _accident(near(n), near(m)) * BUCKETS
-    return max(0.0, (same - by_chance) / max(1e-9, filled - by_chance)), float(np.sqrt(0.75 * 0.25 / max(1, filled)))
+    return max(0.0, (same - by_chance) / (BUCKETS - by_chance)), float(np.sqrt(LEAST * (1 - LEAST) / BUCKETS))
+
+
+def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int) -> tuple[float, float]:
+    """Jaccard similarity of sets of n and m hashes from their sketches, corrected for accidental equality, and its standard deviation at 0.75."""
+    return corrected(int((a == b).sum()), n, m)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -105,7 +104,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 
 
 def _marks(rows: DataFrame) -> DataFrame:
-    """(_id, n, digest of the set, sketch, hashes of small sets) of every row."""
+    """(_id, n, digest of the set, sketch) of every row."""
     id_type = rows.schema["_id"].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -115,86 +114,80 @@ def _marks(rows: DataFrame) -> DataFrame:
                 batch.column("_id"),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                pa.array([sketch(s).tobytes() if len(s) > SMALL else None for s in sets], pa.binary()),
-                pa.array([s.view(np.int64) if 0 < len(s) <= NEAR_SMALL else None for s in sets], pa.list_(pa.int64())),
+                pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary()),
             ],
-            ["_id", "n", "digest", "sketch", "small"],
+            ["_id", "n", "digest", "sketch"],
         )
 
-    return map_batches(rows, work, f"_id {id_type}, n long, digest binary, sketch binary, small array<long>")
+    return map_batches(rows, work, f"_id {id_type}, n long, digest binary, sketch binary")
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
-    """(band, key, node): the key is a 64-bit name of a band's registers."""
+    """(key, node) for each band: a 64-bit name of its registers, with the band's number in the lowest six bits."""
     node_type = nodes.schema["node"].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         grid = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(-1, BUCKETS)
-        bands = grid[:, : ROWS * BANDS].reshape(-1, BANDS, ROWS)
-        row, band = np.nonzero((bands != EMPTY).any(2))
-        four = np.ascontiguousarray(bands[row, band, :4]).view(_U)[:, 0]
-        keys = (four * _U(0x9E3779B97F4A7C15) ^ (four >> _U(31))) + bands[row, band, 4] * _U(0xC2B2AE3D27D4EB4F)
-        return pa.RecordBatch.from_arrays([pa.array(band.astype(np.int32)), pa.array(keys.view(np.int64)), batch.column("node").take(pa.array(row))], ["band", "key", "node"])
+        bands = np.ascontiguousarray(grid[:, : ROWS * BANDS]).reshape(-1, BANDS, ROWS)
+        four = np.ascontiguousarray(bands[:, :, :4]).view(_U)[:, :, 0]
+        keys = (four ^ (bands[:, :, 4].astype(_U) * _U(0xC2B2AE3D27D4EB4F))) * _U(0x9E3779B97F4A7C15)
+        keys ^= keys >> _U(29)
+        keys *= _U(0xBF58476D1CE4E5B9)
+        keys = (keys & ~_U(63)) | np.arange(BANDS, dtype=_U)
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).reshape(-1)), batch.column("node").take(pa.array(np.repeat(np.arange(len(grid)), BANDS)))], ["key", "node"])
 
-    return map_batches(nodes.where("sketch is not null").select("node", "sketch"), work, f"band int, key long, node {node_type}")
+    return map_batches(nodes.select("node", "sketch"), work, f"key long, node {node_type}")
 
 
-def _prefixes(sets: DataFrame, band: int) -> DataFrame:
-    """(band, key, node): the rarest n - ceil(3n/4) + 1 shingles of each set (node, set array<long>)."""
-    tokens = sets.select("node", F.explode("set").alias("key"))
-    often = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("docs"))
-    ranked = tokens.join(often, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("docs", "key"))).alias("s"))
-    size = F.size("s")
-    least = size - F.ceil(size * 0.75).cast("int") + 1
-    return ranked.select(F.lit(band).alias("band"), F.explode(F.slice("s", F.lit(1), least)).alias("t"), "node").where("t.docs > 1").select("band", F.col("t.key").alias("key"), "node")
+def _groups(nodes: DataFrame) -> DataFrame:
+    """(key, size, node) of bands that several nodes share; of bands with the same nodes only the first stands."""
+    every = _bands(nodes).repartition("key")
+    own = every.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.min("node").alias("first"), F.max("node").alias("last")).where("size > 1")
+    names = own.groupBy("size", "x", "y", "first", "last").agg(F.min(F.struct(F.col("key").bitwiseAND(63).alias("band"), "key")).alias("k")).select("k.key", "size")
+    return every.join(names, "key")
 
 
-def _likely(pairs: DataFrame, nodes: DataFrame, slack: str = "0") -> DataFrame:
-    """Pairs (a, b, ...) whose estimate does not exclude a distance of 0.25 plus ``slack``; pairs without sketches stay."""
-    own = nodes.where("sketch is not null").select("node", "n", "sketch")
+def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that the estimate does not exclude."""
+    own = nodes.select("node", "n", "sketch")
+    both = pairs
     for side in ("a", "b"):
-        pairs = pairs.join(own.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side, "left")
-    kept = [c for c in pairs.columns if c[:2] not in ("n_", "s_")]
-    pairs = pairs.withColumn("slack", F.expr(slack).cast("double"))
+        both = both.join(own.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        take = []
-        rows = zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "s_a", "s_b", "slack")), strict=True)
-        for i, (n, m, s, t, slack_) in enumerate(rows):
-            if s is None or t is None:
-                take.append(i)
-                continue
-            value, sd = estimate(np.frombuffer(s, np.uint16), np.frombuffer(t, np.uint16), n, m)
-            if value + 6 * sd >= 0.75 - slack_:
-                take.append(i)
-        return pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(take, pa.int32())) for c in kept], kept)
+        s, t = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("s_a", "s_b"))
+        sizes = zip((s == t).sum(1).tolist(), batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist(), strict=True)
+        take = [i for i, (same, n, m) in enumerate(sizes) if _open(same, n, m)]
+        return pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(take, pa.int32())) for c in ("a", "b")], ["a", "b"])
+
+    return map_batches(both, work, pairs.select("a", "b").schema)
 
-    return map_batches(pairs, work, pairs.select(*kept).schema)
 
+def _open(same: int, n: int, m: int) -> bool:
+    if min(n, m) < LEAST * max(n, m):
+        return False
+    value, sd = corrected(same, n, m)
+    return value + SIGMAS * sd >= LEAST
 
-def _confirm(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pairs with the sizes of intersection and union of their full sets, from the texts of the documents they name."""
-    kept = pairs.columns
-    pairs = cut_lineage(pairs)
-    schema = pairs.withColumns({"both": F.lit(0).cast("long"), "either": F.lit(0).cast("long")}).schema
+
+def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of the pairs (a, b), those whose full sets are as similar as a link needs."""
+    pairs = cut_lineage(pairs.select("a", "b"))
     if pairs.isEmpty():
-        return pairs.sparkSession.createDataFrame([], schema)
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = rows.join(named, F.col("_id") == F.col("node"), "left_semi").dropDuplicates(["_id"])
-    both = pairs.join(texts.select(F.col("_id").alias("a"), F.col("_text").alias("t_a")), "a").join(texts.select(F.col("_id").alias("b"), F.col("_text").alias("t_b")), "b")
+        return pairs
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("_text").alias("t_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("_text").alias("t_b")), "b")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out, last, last_set = [], None, None
-        for x, y in zip(utf8(batch, "t_a"), utf8(batch, "t_b"), strict=True):
+        take, last, last_set = [], None, None
+        for i, (x, y) in enumerate(zip(utf8(batch, "t_a"), utf8(batch, "t_b"), strict=True)):
             if y != last:
                 last, last_set = y, shingles(y)
-            out.append(similarity(shingles(x), last_set))
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], [*kept, "both", "either"])
-
-    return cut_lineage(map_batches(both, work, schema))
-
+            common, every = similarity(shingles(x), last_set)
+            if 100 * common >= 75 * every:
+                take.append(i)
+        return pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(take, pa.int32())) for c in ("a", "b")], ["a", "b"])
 
-LINKED = "100 * both >= 75 * either"
+    return cut_lineage(map_batches(both, work, pairs.schema))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
@@ -203,117 +196,103 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marks = cut_lineage(_marks(rows))
     classes = marks.where("digest is not null and _id is not null").groupBy("digest").agg(F.min("_id").alias("node"))
     members = cut_lineage(marks.select("_id", "n", "digest").join(classes, "digest", "left").select("_id", "n", F.coalesce("node", "_id").alias("node")))
-    nodes = cut_lineage(marks.join(classes.withColumnRenamed("digest", "_d"), (F.col("digest") == F.col("_d")) & (F.col("_id") == F.col("node"))).select("node", "n", "sketch", "small").dropDuplicates(["node"]))
+    nodes = cut_lineage(marks.join(classes.withColumnRenamed("digest", "_d"), (F.col("digest") == F.col("_d")) & (F.col("_id") == F.col("node"))).select("node", "n", "sketch").dropDuplicates(["node"]))
     del marks, classes
 
-    every = _bands(nodes).unionByName(_prefixes(nodes.where("small is not null").select("node", F.col("small").alias("set")), -1))
-    groups = every.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    held = cut_lineage(every.join(groups, ["band", "key"]))
-    del every, groups
+    held = cut_lineage(_groups(nodes))
+    own = held.select("node").distinct()
+    nodes = cut_lineage(nodes.join(own, "node", "left_semi"))
+    texts = cut_lineage(rows.withColumnRenamed("_id", "node").join(own, "node", "left_semi").dropDuplicates(["node"]))
 
     popular = held.groupBy("node").agg(F.sum("size").alias("known"))
-    pivots = held.join(popular, "node").groupBy("band", "key").agg(F.max(F.struct("known", "node")).alias("p")).select("band", "key", F.col("p.node").alias("pivot"))
-    pairs = held.join(pivots, ["band", "key"]).where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    stars = _confirm(_likely(pairs, nodes), rows).where(LINKED).select("a", "b", (1 - F.col("both") / F.col("either")).alias("d"))
-    labels = components(stars.select("a", "b"))
-    placed, mixed = _state(held.select("band", "key", "node"), labels, stars)
-    for turn in range(2):
-        crowds = mixed.where(F.col("centres") > crowd)
-        if crowds.isEmpty():
-            break
-        crowded = cut_lineage(placed.join(crowds, ["band", "key"], "left_semi"))
-        tries = F.array(*(F.struct(F.xxhash64("node", F.lit(turn * PIVOTS + i)).alias("h"), "node", "component") for i in range(PIVOTS)))
-        pivots = crowded.groupBy("band", "key").agg(*(F.max(tries[i]).alias(f"p{i}") for i in range(PIVOTS))).select("band", "key", F.explode(F.array(*(f"p{i}" for i in range(PIVOTS)))).alias("p")).select("band", "key", F.col("p.node").alias("b"), F.col("p.component").alias("cb"))
-        pairs = crowded.join(pivots, ["band", "key"]).where("component <> cb").select(F.col("node").alias("a"), "b").distinct()
-        more = _confirm(_likely(pairs, nodes), rows).where(LINKED).select("a", "b", (1 - F.col("both") / F.col("either")).alias("d"))
-        if more.isEmpty():
-            break
-        stars = cut_lineage(stars.union(more))
-        labels = components(stars.select("a", "b"))
-        placed, mixed = _state(held.select("band", "key", "node"), labels, stars)
-    links = stars.select("a", "b")
-
-    near = cut_lineage(placed.join(mixed.where(F.col("centres") <= crowd).select("band", "key"), ["band", "key"], "left_semi"))
-    second = _confirm(_open_pairs(near, nodes), rows)
-    links = links.union(second.where(LINKED).select("a", "b"))
-
-    open_ = second.where(f"not ({LINKED}) and ra + rb > 0 and 1 - both / either - ra - rb <= 0.25 + 1e-9").select("a", "b", (1 - F.col("both") / F.col("either")).alias("gap"))
-    left = near.select("band", "key", F.col("node").alias("u"), F.col("centre").alias("a"), F.col("d").alias("du"), F.col("component").alias("cu"))
-    right = near.select("band", "key", F.col("node").alias("v"), F.col("centre").alias("b"), F.col("d").alias("dv"), F.col("component").alias("cv"))
-    rest = left.join(open_, "a").join(right, ["band", "key", "b"]).where("cu <> cv and gap - du - dv <= 0.25 + 1e-9").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-    links = links.union(_confirm(_likely(rest, nodes), rows).where(LINKED).select("a", "b"))
-
-    many = placed.join(mixed.where(F.col("centres") > crowd).select("band", "key"), ["band", "key"], "left_semi")
-    dominated = many.groupBy("node").agg(F.min("component").alias("component"), F.count_distinct("band").alias("bands"), F.min("band").alias("least")).where("bands > 2 or least < 0").select("node", "component")
-    links = links.union(_crowd_links(cut_lineage(dominated), rows, nodes))
-
-    final = components(links)
-    out = members.join(final, "node", "left").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
+    pivots = held.join(popular, "node").groupBy("key").agg(F.max(F.struct("known", "node")).alias("p")).select("key", F.col("p.node").alias("pivot"))
+    pairs = held.join(pivots, "key").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    links = _links(_likely(pairs, nodes), texts)
+    labels = components(links)
+
+    apart = cut_lineage(_apart(held, labels, nodes, crowd))
+    best = apart.groupBy("ca", "cb").agg(F.max(F.struct("same", "a", "b")).alias("p")).select("p.a", "p.b")
+    second = _links(best, texts)
+    if not second.isEmpty():
+        links = cut_lineage(links.union(second))
+        labels = components(links)
+    rest = apart.select("a", "b").join(best, ["a", "b"], "left_anti")
+    for side in ("a", "b"):
+        rest = rest.join(labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
+    third = _links(rest.where("coalesce(ca, a) <> coalesce(cb, b)"), texts)
+    if not third.isEmpty():
+        labels = components(links.union(third))
+
+    out = members.join(labels, "node", "left").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
-def _open_pairs(near: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b, ra, rb) of centres of one group, in different components, that may be as close as 0.25 plus their radii.
+def _apart(held: DataFrame, labels: DataFrame, nodes: DataFrame, crowd: int) -> DataFrame:
+    """(a, b, ca, cb, same) of pairs in one group but different components that the estimate doesn't exclude; same: equal registers.
 
-    Sets of small documents are compared as they are, others by their sketches, and where one has no sketch and the other no small set by their sizes.
+    A group goes to one place, a larger one to a place for every two of its blocks: nodes of like size, at most about ``crowd``.
     """
     node_type = nodes.schema["node"].dataType.simpleString()
-    centres = near.groupBy("band", "key", "centre", "component").agg(F.max("d").alias("r"))
-    known = centres.join(nodes.withColumnRenamed("node", "centre"), "centre")
-    groups = known.groupBy("band", "key").agg(F.collect_list(F.struct("centre", "component", "r", "n", "sketch", "small")).alias("g")).select("g")
+    placed = held.join(labels, "node", "left").select("key", "size", "node", F.coalesce("component", "node").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
+    known = placed.join(mixed, "key", "left_semi").join(nodes, "node").withColumn("like", F.when(F.col("size") > crowd, F.floor(F.log("n") / np.log(4 / 3))).otherwise(F.lit(0)).cast("int"))
+    large = known.where(F.col("size") > crowd).groupBy("key", "like").agg(F.ceil(F.count(F.lit(1)) / crowd).cast("int").alias("parts"))
+    large = large.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("like", "parts"))).alias("blocks"))
+    known = known.join(large, "key", "left")
+    parts = lambda d: F.coalesce(F.try_element_at("blocks", F.col("like") + d), F.lit(0 if d else 1))
+    block = F.pmod(F.xxhash64("node", F.lit(7)), parts(0)).cast("int")
+    known = known.withColumn("block", block)
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    place = lambda b, c, d, e: F.struct(b.alias("b"), c.alias("c"), d.alias("d"), e.alias("e"))
+    like, at = F.col("like"), F.col("block")
+    slots = F.concat(
+        F.transform(upto(parts(0)), lambda i: place(like, F.least(at, i), like, F.greatest(at, i))),
+        F.when(parts(1) > 0, F.transform(upto(F.greatest(parts(1), F.lit(1))), lambda i: place(like, at, like + 1, i))).otherwise(F.array().cast("array<struct<b:int,c:int,d:int,e:int>>")),
+        F.when(parts(-1) > 0, F.transform(upto(F.greatest(parts(-1), F.lit(1))), lambda i: place(like - 1, i, like, at))).otherwise(F.array().cast("array<struct<b:int,c:int,d:int,e:int>>")),
+    )
+    dealt = known.withColumn("slot", F.explode(slots)).select("key", "slot", F.struct("node", "component", "n", "sketch", ((F.col("like") == F.col("slot.b")) & (F.col("block") == F.col("slot.c"))).alias("left"), ((F.col("like") == F.col("slot.d")) & (F.col("block") == F.col("slot.e"))).alias("right")).alias("m"))
+    places = dealt.groupBy("key", "slot").agg(F.collect_list("m").alias("g")).select((F.col("key").bitwiseAND(63)).cast("int").alias("band"), "g")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for band, group in zip(batch.column("band").to_pylist(), batch.column("g"), strict=True):
+                out += _side_by_side(band, group.values)
+            kind = batch.schema.field("g").type.value_type.field("node").type
+            kinds = (kind, kind, kind, kind, pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["a", "b", "ca", "cb", "same"])
+
+    return places.mapInArrow(compare, f"a {node_type}, b {node_type}, ca {node_type}, cb {node_type}, same int")
+
+
+def _side_by_side(band: int, group: pa.StructArray) -> list[tuple]:
+    """Open pairs (a, b, ca, cb, same) of a place: nodes of its left block with nodes of its right one, in order of component and node."""
+    nodes, names = group.field("node").to_pylist(), group.field("component").to_pylist()
+    sizes = np.array(group.field("n").to_pylist())
+    grid = np.frombuffer(b"".join(group.field("sketch").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+    left, right = (np.array(group.field(x).to_pylist(), bool) for x in ("left", "right"))
+    numbers = {c: i for i, c in enumerate(dict.fromkeys(names))}
+    own = np.array([numbers[c] for c in names])
+    order = np.argsort(own, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    out = []
+    for i in np.flatnonzero(left).tolist():
+        with_ = right & (own != own[i]) & (sizes >= LEAST * sizes[i]) & (LEAST * sizes <= sizes[i]) & ~(left & (place < place[i]) & right[i])
+        others = np.flatnonzero(with_)
+        if not len(others):
+            continue
+        same = (grid[others] == grid[i]).sum(1)
+        for j, count in zip(others[same >= _fewest()].tolist(), same[same >= _fewest()].tolist(), strict=True):
+            if not _open(count, int(sizes[i]), int(sizes[j])):
+                continue
+            shared = (grid[i, : ROWS * BANDS] == grid[j, : ROWS * BANDS]).reshape(BANDS, ROWS).all(1)
+            if int(shared.argmax()) == band and shared[band]:
+                a, b = (i, j) if (names[i], nodes[i]) < (names[j], nodes[j]) else (j, i)
+                out.append((nodes[a], nodes[b], names[a], names[b], count))
+    return out
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for group in batch.column("g").to_pylist():
-            group.sort(key=lambda x: (x["centre"], x["component"]))
-            flat = np.stack([np.frombuffer(x["sketch"] or b"\xff" * 512, np.uint16) for x in group])
-            sets = [np.array(x["small"] or (), np.int64).view(_U) for x in group]
-            for i, x in enumerate(group):
-                same = ((flat[i + 1 :] == flat[i]) & (flat[i] != EMPTY)).sum(1)
-                filled = ((flat[i + 1 :] != EMPTY) | (flat[i] != EMPTY)).sum(1)
-                for k, y in enumerate(group[i + 1 :]):
-                    if x["component"] == y["component"] or x["centre"] == y["centre"]:
-                        continue
-                    least = 0.75 - x["r"] - y["r"] - 1e-9
-                    if x["small"] and y["small"]:
-                        both, either = similarity(sets[i], sets[i + 1 + k])
-                        likely = both >= least * either
-                    elif not x["sketch"] or not y["sketch"]:  # no estimate: only the sizes exclude a pair
-                        likely = min(x["n"], y["n"]) >= least * max(x["n"], y["n"])
-                    elif same[k] / max(1, filled[k]) + 6 * (0.1875 / max(1, filled[k])) ** 0.5 < least:  # the correction for accidents lowers it further
-                        likely = False
-                    else:
-                        value, sd = estimate(flat[i], flat[i + 1 + k], x["n"], y["n"])
-                        likely = value + 6 * sd >= least
-                    if likely:
-                        out.append((x["centre"], y["centre"], x["r"], y["r"]))
-        kinds = (batch.schema.field("g").type.value_type.field("centre").type, batch.schema.field("g").type.value_type.field("centre").type, pa.float64(), pa.float64())
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["a", "b", "ra", "rb"])
-
-    return map_batches(groups, work, f"a {node_type}, b {node_type}, ra double, rb double").groupBy("a", "b").agg(F.max("ra").alias("ra"), F.max("rb").alias("rb"))
-
-
-def _state(held: DataFrame, labels: DataFrame, stars: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(band, key, node, component, centre, d) of groups with several components, and the number of centres of each."""
-    centres = stars.groupBy(F.col("a").alias("node")).agg(F.min(F.struct("d", F.col("b").alias("centre"))).alias("x")).select("node", "x.centre", "x.d")
-    known = cut_lineage(labels.join(centres, "node", "left"))
-    placed = held.join(known, "node", "left").select("band", "key", "node", F.coalesce("component", "node").alias("component"), F.coalesce("centre", "node").alias("centre"), F.coalesce("d", F.lit(0.0)).alias("d"))
-    mixed = placed.groupBy("band", "key", "centre").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).groupBy("band", "key").agg(F.count(F.lit(1)).alias("centres"), F.min("c0").alias("c0"), F.max("c1").alias("c1")).where("c0 <> c1").select("band", "key", "centres")
-    return placed, cut_lineage(mixed)
-
-
-def _crowd_links(crowded: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links among the given nodes (node, component) that are in different components, by exact prefix filtering."""
-    node_type = crowded.schema["node"].dataType.simpleString()
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(x).view(np.int64) for x in utf8(batch, "_text")]
-        return pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
-
-    own = rows.join(crowded.select(F.col("node").alias("_id")), "_id", "left_semi").dropDuplicates(["_id"])
-    keys = cut_lineage(_prefixes(map_batches(own, work, f"node {node_type}, set array<long>"), -2).join(crowded, "node"))
-    several = keys.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
-    keys = keys.join(several, "key", "left_semi")
-    one, two = keys.select("key", F.col("node").alias("a"), F.col("component").alias("ca")), keys.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
-    pairs = one.join(two, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-    return _confirm(_likely(pairs, nodes), rows).where(LINKED).select("a", "b")
+def _fewest() -> int:
+    """Fewer equal registers than this exclude a pair whatever the accidents."""
+    return int(BUCKETS * (LEAST - SIGMAS * np.sqrt(LEAST * (1 - LEAST) / BUCKETS)))

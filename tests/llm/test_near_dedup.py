@@ -131,11 +131,23 @@ def test_size_border_with_hot_texts(spark):
     assert got == brute(docs)
 
 
-def test_open_pairs_without_a_common_form(spark):
-    """A centre without a sketch and one without a small set stay open unless their sizes exclude them."""
-    words = [f"w{i}" for i in range(200)]
-    rows = spark.createDataFrame([(1, " ".join(words[:64])), (2, " ".join(words[:104])), (3, " ".join(words))], "_id long, _text string")
-    nodes = nd._marks(rows).select(F.col("_id").alias("node"), "n", "sketch", "small")
-    near = spark.createDataFrame([(0, 1, 1, 1, 1, 0.25), (0, 1, 2, 2, 2, 0.0), (0, 1, 3, 3, 3, 0.0)], "band int, key long, node long, component long, centre long, d double")
-    got = {(r["a"], r["b"]) for r in nd._open_pairs(near, nodes).collect()}
-    assert (1, 2) in got and (1, 3) not in got
+def test_a_pair_becomes_a_row_once(spark):
+    """Blocks of any size give each open pair of different components once, and none within a component."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[k : k + 150]) for k in (0, 0, 4, 8, 12, 200)]
+    rows = spark.createDataFrame([(i, t + f" end{i}") for i, t in enumerate(texts)], "_id long, _text string")
+    nodes = nd._marks(rows).select(F.col("_id").alias("node"), "n", "sketch")
+    held = nd._groups(nodes)
+    labels = spark.createDataFrame([(0, 0), (1, 0)], "node long, component long")
+    want = {(0, 2), (1, 2), (0, 3), (1, 3), (2, 3), (2, 4), (3, 4), (0, 4), (1, 4)}
+    for crowd in (1, 2, 3, 100):
+        got = [(r["a"], r["b"]) for r in nd._apart(held, labels, nodes, crowd).collect()]
+        assert len(got) == len(set(got)) and set(got) <= want and {(2, 3), (3, 4)} <= set(got)
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    words = [f"w{i}" for i in range(150_000)]
+    rows = [(1, " ".join(words), 5, "x"), (2, " ".join(words[:140_000]), 6, "y"), (3, " ".join(words[:90_000]), 7, "z"), (4, "short", 8, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n long, component_id string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in nd.near_dedup(df).collect()}
+    assert got == brute([(r[0], r[1]) for r in rows])
