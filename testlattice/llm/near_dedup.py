@@ -10,10 +10,9 @@ Pairs within a group of candidates are never all made:
 1. Documents with equal sets are one node, named by its smallest id. Bands that hold the same nodes are one group.
 2. In every group each node is paired with one node, the pivot: the one whose own groups are largest in sum, which in a group of near copies is the text
    they were made from. Pairs that pass the collision-corrected estimate from the sketches are confirmed on the full sets; confirmed ones are links.
-3. What can still be missed are links between nodes of one group in different components. Their sketches are compared side by side in tasks, in blocks of
-   at most about ``crowd`` nodes; larger groups are divided by size, so that only blocks meet whose sizes allow a link, and then by hash. A pair that the estimate
-   doesn't exclude becomes a row, once, at the first band that its nodes share. For every two components the best pair is confirmed first; the others only if
-   the components are still apart.
+3. What can still be missed are links between nodes of one group in different components. They meet in tasks, in blocks of at most ``crowd`` nodes of common
+   length (fewer long ones); larger groups are divided by size, so that only blocks meet whose sizes allow a link, and then by hash. There, at the first band
+   that two nodes share, pairs that the estimate doesn't exclude are confirmed on the full sets, and one link for each two components becomes a row.
 
 Bands miss a pair of similarity 0.75 with a probability of (1 - 0.75^5)^51, 1e-6; the estimate is held to exclude a pair when it is five standard deviations
 below, 3e-7. Nothing else is left out, whatever the size of a group. All links are confirmed on full sets.
@@ -170,24 +169,29 @@ def _open(same: int, n: int, m: int) -> bool:
     return value + SIGMAS * sd >= LEAST
 
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _sets(rows: DataFrame) -> DataFrame:
+    """(node, set) of rows (node, _text): the sorted hashes, 8 bytes each."""
+    node_type = rows.schema["node"].dataType.simpleString()
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingles(x).tobytes() for x in utf8(batch, "_text")], pa.binary())], ["node", "set"])
+
+    return map_batches(rows, work, f"node {node_type}, set binary")
+
+
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of the pairs (a, b), those whose full sets are as similar as a link needs."""
-    pairs = cut_lineage(pairs.select("a", "b"))
-    if pairs.isEmpty():
-        return pairs
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("_text").alias("t_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("_text").alias("t_b")), "b")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("s_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("s_b")), "b")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        take, last, last_set = [], None, None
-        for i, (x, y) in enumerate(zip(utf8(batch, "t_a"), utf8(batch, "t_b"), strict=True)):
-            if y != last:
-                last, last_set = y, shingles(y)
-            common, every = similarity(shingles(x), last_set)
+        take = []
+        for i, (x, y) in enumerate(zip(batch.column("s_a").to_pylist(), batch.column("s_b").to_pylist(), strict=True)):
+            common, every = similarity(np.frombuffer(x, _U), np.frombuffer(y, _U))
             if 100 * common >= 75 * every:
                 take.append(i)
         return pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(take, pa.int32())) for c in ("a", "b")], ["a", "b"])
 
-    return cut_lineage(map_batches(both, work, pairs.schema))
+    return map_batches(both, work, pairs.select("a", "b").schema)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
@@ -202,97 +206,89 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = cut_lineage(_groups(nodes))
     own = held.select("node").distinct()
     nodes = cut_lineage(nodes.join(own, "node", "left_semi"))
-    texts = cut_lineage(rows.withColumnRenamed("_id", "node").join(own, "node", "left_semi").dropDuplicates(["node"]))
+    sets = cut_lineage(_sets(rows.withColumnRenamed("_id", "node").join(own, "node", "left_semi").dropDuplicates(["node"])))
 
     popular = held.groupBy("node").agg(F.sum("size").alias("known"))
     pivots = held.join(popular, "node").groupBy("key").agg(F.max(F.struct("known", "node")).alias("p")).select("key", F.col("p.node").alias("pivot"))
     pairs = held.join(pivots, "key").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = _links(_likely(pairs, nodes), texts)
+    links = cut_lineage(_links(_likely(pairs, nodes), sets))
     labels = components(links)
-
-    apart = cut_lineage(_apart(held, labels, nodes, crowd))
-    best = apart.groupBy("ca", "cb").agg(F.max(F.struct("same", "a", "b")).alias("p")).select("p.a", "p.b")
-    second = _links(best, texts)
-    if not second.isEmpty():
-        links = cut_lineage(links.union(second))
-        labels = components(links)
-    rest = apart.select("a", "b").join(best, ["a", "b"], "left_anti")
-    for side in ("a", "b"):
-        rest = rest.join(labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
-    third = _links(rest.where("coalesce(ca, a) <> coalesce(cb, b)"), texts)
-    if not third.isEmpty():
-        labels = components(links.union(third))
+    more = cut_lineage(_apart(held, labels, nodes.join(sets, "node"), crowd))
+    if not more.isEmpty():
+        labels = components(links.union(more))
 
     out = members.join(labels, "node", "left").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
 def _apart(held: DataFrame, labels: DataFrame, nodes: DataFrame, crowd: int) -> DataFrame:
-    """(a, b, ca, cb, same) of pairs in one group but different components that the estimate doesn't exclude; same: equal registers.
+    """Links (a, b) between nodes that share a group and are in different components: at least one for any two components that have one there.
 
-    A group goes to one place, a larger one to a place for every two of its blocks: nodes of like size, at most about ``crowd``.
+    A group goes to one place, a larger one to a place for every two of its blocks: nodes of like size, at most about ``crowd`` with up to 512 shingles.
     """
     node_type = nodes.schema["node"].dataType.simpleString()
-    placed = held.join(labels, "node", "left").select("key", "size", "node", F.coalesce("component", "node").alias("component"))
+    placed = held.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
-    known = placed.join(mixed, "key", "left_semi").join(nodes, "node").withColumn("like", F.when(F.col("size") > crowd, F.floor(F.log("n") / np.log(4 / 3))).otherwise(F.lit(0)).cast("int"))
-    large = known.where(F.col("size") > crowd).groupBy("key", "like").agg(F.ceil(F.count(F.lit(1)) / crowd).cast("int").alias("parts"))
-    large = large.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("like", "parts"))).alias("blocks"))
-    known = known.join(large, "key", "left")
-    parts = lambda d: F.coalesce(F.try_element_at("blocks", F.col("like") + d), F.lit(0 if d else 1))
-    block = F.pmod(F.xxhash64("node", F.lit(7)), parts(0)).cast("int")
-    known = known.withColumn("block", block)
-    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    mine = placed.join(mixed, "key", "left_semi").join(nodes, "node").withColumn("cost", F.greatest("n", F.lit(512)))
+    large = mine.groupBy("key").agg(F.sum("cost").alias("whole")).where(F.col("whole") > 512 * crowd).select("key", F.lit(True).alias("large"))
+    like = F.when(F.col("large"), F.floor(F.log("n") / np.log(4 / 3))).otherwise(F.lit(0)).cast("int")
+    mine = mine.join(large, "key", "left").withColumn("like", like)
+    parts = mine.where("large").groupBy("key", "like").agg(F.ceil(F.sum("cost") / (512 * crowd)).cast("int").alias("parts"))
+    blocks = parts.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("like", "parts"))).alias("blocks"))
+    mine = mine.join(blocks, "key", "left")
+    count = lambda d: F.coalesce(F.try_element_at("blocks", F.col("like") + d), F.lit(0 if d else 1))
+    mine = mine.withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), count(0)).cast("int"))
     place = lambda b, c, d, e: F.struct(b.alias("b"), c.alias("c"), d.alias("d"), e.alias("e"))
-    like, at = F.col("like"), F.col("block")
+    own, at = F.col("like"), F.col("block")
+    upto = lambda n: F.filter(F.sequence(F.lit(0), n), lambda i: i < n)
     slots = F.concat(
-        F.transform(upto(parts(0)), lambda i: place(like, F.least(at, i), like, F.greatest(at, i))),
-        F.when(parts(1) > 0, F.transform(upto(F.greatest(parts(1), F.lit(1))), lambda i: place(like, at, like + 1, i))).otherwise(F.array().cast("array<struct<b:int,c:int,d:int,e:int>>")),
-        F.when(parts(-1) > 0, F.transform(upto(F.greatest(parts(-1), F.lit(1))), lambda i: place(like - 1, i, like, at))).otherwise(F.array().cast("array<struct<b:int,c:int,d:int,e:int>>")),
+        F.transform(upto(count(0)), lambda i: place(own, F.least(at, i), own, F.greatest(at, i))),
+        F.transform(upto(count(1)), lambda i: place(own, at, own + 1, i)),
+        F.transform(upto(count(-1)), lambda i: place(own - 1, i, own, at)),
     )
-    dealt = known.withColumn("slot", F.explode(slots)).select("key", "slot", F.struct("node", "component", "n", "sketch", ((F.col("like") == F.col("slot.b")) & (F.col("block") == F.col("slot.c"))).alias("left"), ((F.col("like") == F.col("slot.d")) & (F.col("block") == F.col("slot.e"))).alias("right")).alias("m"))
-    places = dealt.groupBy("key", "slot").agg(F.collect_list("m").alias("g")).select((F.col("key").bitwiseAND(63)).cast("int").alias("band"), "g")
+    side = lambda b, c: ((own == F.col(f"slot.{b}")) & (at == F.col(f"slot.{c}")))
+    dealt = mine.withColumn("slot", F.explode(slots)).select("key", "slot", F.struct("node", "component", "n", "sketch", "set", side("b", "c").alias("left"), side("d", "e").alias("right")).alias("m"))
+    places = dealt.groupBy("key", "slot").agg(F.collect_list("m").alias("g")).select(F.col("key").bitwiseAND(63).cast("int").alias("band"), "g")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for band, group in zip(batch.column("band").to_pylist(), batch.column("g"), strict=True):
-                out += _side_by_side(band, group.values)
-            kind = batch.schema.field("g").type.value_type.field("node").type
-            kinds = (kind, kind, kind, kind, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["a", "b", "ca", "cb", "same"])
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[tuple] = []
+        for band, group in zip(batch.column("band").to_pylist(), batch.column("g"), strict=True):
+            out += _side_by_side(band, group.values)
+        kind = batch.schema.field("g").type.value_type.field("node").type
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i in range(2)], ["a", "b"])
 
-    return places.mapInArrow(compare, f"a {node_type}, b {node_type}, ca {node_type}, cb {node_type}, same int")
+    return map_batches(places, work, f"a {node_type}, b {node_type}").distinct()
 
 
 def _side_by_side(band: int, group: pa.StructArray) -> list[tuple]:
-    """Open pairs (a, b, ca, cb, same) of a place: nodes of its left block with nodes of its right one, in order of component and node."""
+    """Links of a place, between nodes of its left block and nodes of its right one, that join components."""
     nodes, names = group.field("node").to_pylist(), group.field("component").to_pylist()
     sizes = np.array(group.field("n").to_pylist())
     grid = np.frombuffer(b"".join(group.field("sketch").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+    sets = [np.frombuffer(x, _U) for x in group.field("set").to_pylist()]
     left, right = (np.array(group.field(x).to_pylist(), bool) for x in ("left", "right"))
     numbers = {c: i for i, c in enumerate(dict.fromkeys(names))}
     own = np.array([numbers[c] for c in names])
-    order = np.argsort(own, kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
+    place = np.arange(len(own))
+    fewest = int(BUCKETS * (LEAST - SIGMAS * np.sqrt(LEAST * (1 - LEAST) / BUCKETS)))  # fewer equal registers exclude a pair whatever the accidents
     out = []
     for i in np.flatnonzero(left).tolist():
-        with_ = right & (own != own[i]) & (sizes >= LEAST * sizes[i]) & (LEAST * sizes <= sizes[i]) & ~(left & (place < place[i]) & right[i])
-        others = np.flatnonzero(with_)
+        others = np.flatnonzero(right & (own != own[i]) & (sizes >= LEAST * sizes[i]) & (LEAST * sizes <= sizes[i]) & ~(left & right[i] & (place < i)))
         if not len(others):
             continue
         same = (grid[others] == grid[i]).sum(1)
-        for j, count in zip(others[same >= _fewest()].tolist(), same[same >= _fewest()].tolist(), strict=True):
-            if not _open(count, int(sizes[i]), int(sizes[j])):
-                continue
-            shared = (grid[i, : ROWS * BANDS] == grid[j, : ROWS * BANDS]).reshape(BANDS, ROWS).all(1)
-            if int(shared.argmax()) == band and shared[band]:
-                a, b = (i, j) if (names[i], nodes[i]) < (names[j], nodes[j]) else (j, i)
-                out.append((nodes[a], nodes[b], names[a], names[b], count))
+        near = np.flatnonzero(same >= fewest)
+        near = near[np.argsort(-same[near], kind="stable")]
+        others, same = others[near], same[near]
+        shared = (grid[others, : ROWS * BANDS] == grid[i, : ROWS * BANDS]).reshape(-1, BANDS, ROWS).all(2)
+        others = [j for j, count, first in zip(others.tolist(), same.tolist(), shared.argmax(1).tolist(), strict=True) if first == band and _open(count, int(sizes[i]), int(sizes[j]))]
+        if not others:
+            continue
+        joined = np.concatenate([sets[j] for j in others])
+        hits = sets[i][np.minimum(np.searchsorted(sets[i], joined), len(sets[i]) - 1)] == joined
+        both = np.add.reduceat(hits, np.append(0, np.cumsum(sizes[others])[:-1]), dtype=np.int64)
+        for j in (j for j, common in zip(others, both.tolist(), strict=True) if 100 * common >= 75 * (sizes[i] + sizes[j] - common)):
+            if own[j] != own[i]:
+                own[own == own[j]] = own[i]
+                out.append((nodes[i], nodes[j]))
     return out
-
-
-def _fewest() -> int:
-    """Fewer equal registers than this exclude a pair whatever the accidents."""
-    return int(BUCKETS * (LEAST - SIGMAS * np.sqrt(LEAST * (1 - LEAST) / BUCKETS)))

@@ -131,18 +131,21 @@ def test_size_border_with_hot_texts(spark):
     assert got == brute(docs)
 
 
-def test_a_pair_becomes_a_row_once(spark):
-    """Blocks of any size give each open pair of different components once, and none within a component."""
+def test_blocks_join_the_same_components(spark):
+    """Blocks of any size find links that join what is linked, and no others."""
     words = [f"w{i}" for i in range(400)]
-    texts = [" ".join(words[k : k + 150]) for k in (0, 0, 4, 8, 12, 200)]
-    rows = spark.createDataFrame([(i, t + f" end{i}") for i, t in enumerate(texts)], "_id long, _text string")
-    nodes = nd._marks(rows).select(F.col("_id").alias("node"), "n", "sketch")
+    texts = [" ".join(words[k : k + 150]) for k in (0, 0, 4, 8, 12, 28, 44, 200)]
+    docs = [(i, t + f" end{i}") for i, t in enumerate(texts)]
+    rows = spark.createDataFrame(docs, "node long, _text string")
+    nodes = nd._marks(rows.withColumnRenamed("node", "_id")).withColumnRenamed("_id", "node").join(nd._sets(rows), "node")
     held = nd._groups(nodes)
     labels = spark.createDataFrame([(0, 0), (1, 0)], "node long, component long")
-    want = {(0, 2), (1, 2), (0, 3), (1, 3), (2, 3), (2, 4), (3, 4), (0, 4), (1, 4)}
+    sets = {i: set(nd.shingles(t.encode()).tolist()) for i, t in docs}
     for crowd in (1, 2, 3, 100):
-        got = [(r["a"], r["b"]) for r in nd._apart(held, labels, nodes, crowd).collect()]
-        assert len(got) == len(set(got)) and set(got) <= want and {(2, 3), (3, 4)} <= set(got)
+        links = [(r["a"], r["b"]) for r in nd._apart(held, labels, nodes, crowd).collect()]
+        assert all(100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) for a, b in links)
+        got = {r["node"]: r["component"] for r in components(spark.createDataFrame([*links, (0, 1)], "a long, b long")).collect()}
+        assert {i: got.get(i, i) for i, _ in docs} == {i: c for i, (_, c, _) in brute(docs).items()}
 
 
 def test_very_long_text_and_clashing_columns(spark):
