@@ -20,12 +20,14 @@ _shipped: set[str] = set()
 def ready(spark: SparkSession) -> SparkSession:
     """Make a session fit for the operators: bounded Arrow batches, a checkpoint folder, and the package on every executor.
 
-    The cluster's ``spark.checkpoint.dir`` is used as it is; a folder is made only where the setting is absent (tests).
+    The cluster's ``spark.checkpoint.dir`` is used as it is; a folder is made only where the setting is absent and Spark runs in one process (tests).
     """
     sc = spark.sparkContext
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if not sc.getConf().get("spark.checkpoint.dir", "") and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc._jsc.sc().isLocal():
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="testlattice-checkpoint-"))
     if sc.applicationId not in _shipped:
         sc.addPyFile(_package_zip())
@@ -74,6 +76,27 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch |
     return df.mapInArrow(run, schema)
 
 
+class Memo:
+    """What ``make`` gives for words, made once for words that return: two generations of at most ``most`` words, so that frequent ones stay when rare ones go."""
+
+    def __init__(self, make: Callable[[list], list], most: int):
+        self.make, self.most = make, most
+        self.now: dict = {}
+        self.before: dict = {}
+
+    def learn(self, texts: list[list]) -> Callable:
+        """A look-up that knows all words of the texts, until the next call."""
+        if len(self.now) > self.most:
+            self.now, self.before = {}, self.now
+        now, before = self.now, self.before
+        met = {w for x in texts for w in x if w not in now}
+        new = [w for w in met if w not in before]
+        now.update((w, before[w]) for w in met if w in before)
+        if new:
+            now.update(zip(new, self.make(new), strict=True))
+        return now.__getitem__
+
+
 def utf8(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A text column as UTF-8 bytes; null counts as empty."""
     column = batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary())

@@ -13,13 +13,16 @@ from . import line_dedup as lines
 from . import html_text, media, mixing, near_dedup, sentencepiece_codec, suffix_dedup, token_file, toxicity
 from .common import table
 
-#: Folder of public tokenizer files; a setting of the session has precedence.
-TOKENIZERS = "/opt/tokenizers"
 MIX = {"entropy_ratio": 0.98, "max_repeats": 4.0, "block_tokens": 100_000}
 
 
 def tokenizer_file(spark: SparkSession, name: str) -> str:
-    return os.path.join(spark.conf.get("testlattice.tokenizers", TOKENIZERS), name)
+    """A public tokenizer's file: in the folder that the session's setting names, else where the package of public tokenizers has it."""
+    if folder := spark.conf.get("testlattice.tokenizers", ""):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

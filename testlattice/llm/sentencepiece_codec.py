@@ -4,11 +4,11 @@ The model file (a protobuf) is read here: pieces with score and type, the model
 From them a tokenizers pipeline is rebuilt: the normaliser (character map, extra white space, dummy prefix, the metaspace
 marker for a blank), a BPE or unigram model with byte fallback, and the matching decoder. Batches are encoded by the
 library's own threads. Before a worker encodes anything it compares the rebuilt tokenizer with the sentencepiece
-library on fixed probe texts, and fails if one differs; ``encode_digest``, and ``encode`` with ``verify=True``, compare every text of the table as well.
+library on fixed probe texts, and fails if one differs; ``encode_digest`` compares all that it encodes, and ``encode`` with ``verify=True`` every text.
 
 Where no piece holds the marker after another character, no merge can cross from a word to a following marker. The
-text is cut there, which changes no id, and a worker hands only words that it has not met to the library; the memo of
-words is emptied when it is full, so memory is bounded.
+text is cut there, which changes no id, and a worker hands only words that it has not met to the library, as one batch. Where the model does not normalise,
+each of them is compared with sentencepiece as it is met, and the first batch of every task is compared as whole texts; with other models every text is.
 
 Defined results: null counts as empty; the empty text has no ids; special tokens' strings are ordinary text.
 """
@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, utf8
+from .common import Memo, map_batches, ready, utf8
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values of the format
 UNIGRAM, BPE = 1, 2
 UNIT = f"{MARK}*[^{MARK}]+|{MARK}+"
-MEMO = 150_000
+MEMO = 200_000
 PROBES = ("", " ", "a", "Hello  world\n\tü", " leading and trailing ", "12345 67.8%", "<s> </s> <unk> <pad>", "\U0001d50a zero\x00byte", "ein Straßenfest — déjà vu, ¿qué tal? ñandú", MARK + " mark " + MARK * 3 + "x", "aaa aaaa aaaaa" * 5, "日本語のテキスト", "a\r\nb c　d")
 
 
@@ -149,37 +149,57 @@ class Codec:
         self.model = read_model(path)
         self.whole = rebuild(self.model)
         self.plain = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.exact = not (self.model.char_map or self.model.squeeze)  # texts are taken as they are
         self.units = Tokenizer(self.whole.model) if splits(self.model) else None
-        self.memo: dict[str, list[int]] = {}
+        self.memo = Memo(self._learn, MEMO)
         self.bytes = [bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(MARK, " ").encode() for p, t in zip(self.model.pieces, self.model.types, strict=True)]
         self.check(list(PROBES))
         ids = self.encode(list(PROBES))
         assert self.decode(ids) == self.whole.decode_batch(ids, skip_special_tokens=False), "the decoders differ"
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if self.units is None:
-            return [x.ids for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-        parts = [re.findall(UNIT, self.whole.normalizer.normalize_str(x)) if x else [] for x in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        new = list({u for x in parts for u in x if u not in self.memo})
-        self.memo.update(zip(new, (x.ids for x in self.units.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        get = self.memo.__getitem__
-        return [[i for u in map(get, x) for i in u] for x in parts]
+    def _learn(self, units: list[str]) -> list[tuple[bytes, bytes]]:
+        """Ids (little-endian, 32 bits) and bytes of each unit; where the model does not normalise, the ids are checked against sentencepiece."""
+        got = [x.ids for x in self.units.encode_batch_fast(units, add_special_tokens=False)]
+        if self.exact:
+            want = self.plain.encode([u[1:] for u in units] if self.model.dummy_prefix else units, num_threads=1)
+            want = [[self.plain.piece_to_id(MARK)] if u == MARK else x for u, x in zip(units, want, strict=True)]  # sentencepiece sees it at a text's end alone
+            if got != want:
+                at = next(i for i, (x, y) in enumerate(zip(got, want, strict=True)) if x != y)
+                raise AssertionError(f"the rebuilt tokenizer differs from sentencepiece on {units[at][:80]!r}: {got[at][:20]} and {want[at][:20]}")
+        spelled = self.bytes
+        return [(struct.pack(f"<{len(x)}I", *x), b"".join([spelled[i] for i in x])) for x in got]
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        """Pieces joined; texts whose bytes are not UTF-8 go to the library, which marks each such byte."""
+    def packed(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """Packed ids and spelled bytes of each text."""
+        if self.units is None:
+            ids = [x.ids for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+            return [(np.array(x, "<u4").tobytes(), b"".join([self.bytes[i] for i in x])) for x in ids]
+        if self.exact:
+            first = MARK if self.model.dummy_prefix else ""
+            parts = [re.findall(UNIT, first + x.replace(" ", MARK)) if x else [] for x in texts]
+        else:
+            parts = [re.findall(UNIT, self.whole.normalizer.normalize_str(x)) if x else [] for x in texts]
+        get = self.memo.learn(parts)
         out = []
-        for x in ids:
-            data = b"".join([self.bytes[i] for i in x])
-            try:
-                text = data.decode()
-            except UnicodeDecodeError:
-                out.append(self.whole.decode(x, skip_special_tokens=False))
-                continue
-            out.append(text[1:] if self.model.dummy_prefix and text.startswith(" ") else text)
+        for x in parts:
+            found = [get(u) for u in x]
+            out.append((b"".join([i for i, _ in found]), b"".join([s for _, s in found])))
         return out
 
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [np.frombuffer(x, "<u4").tolist() for x, _ in self.packed(texts)]
+
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        return [self.spelled(np.array(x, "<u4").tobytes(), b"".join([self.bytes[i] for i in x])) for x in ids]
+
+    def spelled(self, ids: bytes, data: bytes) -> str:
+        """The text of pieces whose bytes are ``data``; where they are not UTF-8 the library decodes, which marks each such byte."""
+        try:
+            text = data.decode()
+        except UnicodeDecodeError:
+            return self.whole.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
+        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
+
     def check(self, texts: list[str]) -> list[list[int]]:
         """Ids of the texts, which must be those of the library."""
         ids = self.encode(texts)
@@ -225,20 +245,29 @@ def crc_of_ids(ids) -> int:
     return zlib.crc32(np.asarray(ids, "<u4").tobytes())
 
 
-def digests(own: Codec, texts: list[str]) -> list[tuple[int, int, str, bool]]:
-    """(n_tokens, ids_crc32, decoded_sha256, round_trip) of each text of a batch, whose ids are checked against the library."""
-    ids = own.check(texts)
-    return [(len(x), crc_of_ids(x), hashlib.sha256(back.encode()).hexdigest(), own.decoded(t) == back) for t, x, back in zip(texts, ids, own.decode(ids), strict=True)]
+def digests(own: Codec, texts: list[str], whole: bool = True) -> list[tuple[int, int, str, bool]]:
+    """(n_tokens, ids_crc32, decoded_sha256, round_trip) of each text of a batch; ``whole``: texts are checked against sentencepiece, not their units alone."""
+    if whole or not own.exact or own.units is None:
+        own.check(texts)
+    out = []
+    for text, (ids, data) in zip(texts, own.packed(texts), strict=True):
+        back = own.spelled(ids, data)
+        out.append((len(ids) // 4, zlib.crc32(ids), hashlib.sha256(back.encode()).hexdigest(), own.decoded(text) == back))
+    return out
 
 
 def encode_digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, n_tokens, ids_crc32 (ids as little-endian unsigned 32-bit integers), decoded_sha256, round_trip; every text is checked."""
+    """``id_col``, n_tokens, ids_crc32 (ids as little-endian unsigned 32-bit integers), decoded_sha256, round_trip; all that is encoded is checked."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     id_type = rows.schema["_id"].dataType.simpleString()
+    ready(docs.sparkSession)
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = digests(codec(model_path), [x.decode("utf-8", "replace") for x in utf8(batch, "_text")])
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
-        return pa.RecordBatch.from_arrays([batch.column("_id"), *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds))], ["_id", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip"])
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = True
+        for batch in batches:
+            out = digests(codec(model_path), [x.decode("utf-8", "replace") for x in utf8(batch, "_text")], first)
+            first = False
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds))], ["_id", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip"])
 
-    return map_batches(rows, work, f"_id {id_type}, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean").withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(work, f"_id {id_type}, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean").withColumnRenamed("_id", id_col)

@@ -27,31 +27,53 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import token_coder
-from .common import ready, utf8
+from .common import Memo, ready, utf8
 
 MAGIC = b"TLTS1\0\0\0"
-SEGMENT, SIDE_BY_SIDE, MEMO = 1 << 20, 8 << 20, 150_000
+SEGMENT, SIDE_BY_SIDE, MEMO = 1 << 20, 8 << 20, 200_000
+
+
+#: Texts on which a tokenizer is tried before words are handed to it apart.
+PROBES = ("hello big world", "It's 12345 o'clock\tnow\nno", " a  b ", "x\x0by\x0cz\r\nend.", "\u00c0\u00e9 \u0301x \u03a3\u039f\u03a6\u039f\u03a3 .", "<|startoftext|>a<|endoftext|> b", "don 't we 'll")
 
 
 class Encoder:
-    """A tokenizer that is handed only words it hasn't met: its normaliser and pre-tokenizer never look across ASCII white space."""
+    """A tokenizer that is handed only words it hasn't met, if it shows on probe texts that it never looks across ASCII white space; else whole texts.
+
+    New words go to the library side by side in texts of WORDS words; the offsets tell whose an id is.
+    """
+
+    WORDS = 500
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
-        self.memo: dict[bytes, list[int]] = {}
+        self.memo = Memo(self._learn, MEMO)
+        whole = [x.ids for x in self.own.encode_batch_fast(list(PROBES), add_special_tokens=False)]
+        apart = [[i for w in x.encode().split() for i in self.own.encode(w.decode(), add_special_tokens=False).ids] for x in PROBES]
+        self.apart = whole == apart
+
+    def _learn(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, as little-endian unsigned 32-bit integers."""
+        out = []
+        spelled = [w.decode("utf-8", "replace") for w in words]
+        groups = [spelled[i : i + self.WORDS] for i in range(0, len(spelled), self.WORDS)]
+        for group, got in zip(groups, self.own.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            starts = np.cumsum([0, *(len(w) + 1 for w in group)])
+            ids = np.array(got.ids, "<u4")
+            at = np.searchsorted(starts, np.array(got.offsets, np.int64).reshape(-1, 2)[:, 0], "right") - 1
+            cuts = np.searchsorted(at, np.arange(len(group) + 1)).tolist()
+            data = ids.tobytes()
+            out += [data[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])]
+        return out
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
+        if not self.apart:
+            return [np.array(x.ids, np.int64) for x in self.own.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
         words = [t.split() for t in texts]
-        new = list({w for x in words for w in x if w not in self.memo})
-        if new:
-            got = self.own.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            self.memo.update(zip(new, (x.ids for x in got), strict=True))
-        get = self.memo.__getitem__
-        return [np.array([i for w in map(get, x) for i in w], np.int64) for x in words]
+        get = self.memo.learn(words)
+        return [np.frombuffer(b"".join([get(w) for w in x]), "<u4").astype(np.int64) for x in words]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -68,10 +90,12 @@ def crc(ids: np.ndarray) -> int:
 
 
 def pack(segments: list[list[np.ndarray]]) -> list[bytes]:
-    """A file row for each list of documents."""
+    """A file row for each list of documents; ids are below 65,536."""
     blocks, shapes = [], []
     for docs in segments:
         flat = np.concatenate(docs)
+        if len(flat) and not 0 <= flat.min() <= flat.max() < token_coder.IDS:
+            raise ValueError(f"ids from {flat.min()} to {flat.max()}: the coder takes ids from 0 to {token_coder.IDS - 1}")
         own = [flat[i : i + token_coder.BLOCK] for i in range(0, len(flat), token_coder.BLOCK)]
         shapes.append(len(own))
         blocks += own

@@ -157,7 +157,37 @@ def test_sentencepiece_digests_check_every_text():
     own = sp.Codec(MODEL)
     texts = ["one two three", "", "a  b\n"]
     assert [x[0] for x in sp.digests(own, texts)] == [len(own.plain.encode(x)) for x in texts]
-    unit = next(u for u in own.memo if "three" in u)
-    own.memo[unit] = own.memo[unit] + [5]  # a text on which the rebuilt tokenizer is wrong
+    unit = next(u for u in own.memo.now if "three" in u)
+    ids, data = own.memo.now[unit]
+    own.memo.now[unit] = ids + b"\5\0\0\0", data  # a text on which the rebuilt tokenizer is wrong
     with pytest.raises(AssertionError, match="differs"):
         sp.digests(own, ["none here", "one two three"])
+
+
+def test_sentencepiece_checks_every_new_unit():
+    own = sp.Codec(MODEL)
+    from tokenizers import Tokenizer, models
+
+    merges = sp.merges_of(own.model)[::-1]  # merges in a wrong order
+    own.units = Tokenizer(models.BPE({p: i for i, p in enumerate(own.model.pieces)}, merges, unk_token="<unk>", fuse_unk=True, byte_fallback=True))
+    with pytest.raises(AssertionError, match="differs"):
+        sp.digests(own, ["an extraordinarily misunderstood internationalisation"], whole=False)
+
+
+def test_sentencepiece_with_repeats_clashing_columns_and_long_texts(spark):
+    long = "words and more  words\n" * 50_000
+    rows = [(1, "a b", 3, "x"), (1, "a b", 3, "x"), (2, long, 0, "y"), (None, None, 1, "z")]
+    got = [tuple(r) for r in sp.encode_digest(spark.createDataFrame(rows, "doc_id long, text string, n_tokens int, decoded_sha256 string"), MODEL).collect()]
+    own = sp.Codec(MODEL).plain
+    want = [(i, len(ids := own.encode(t or "")), zlib.crc32(np.array(ids, "<u4").tobytes()), hashlib.sha256((t or "").encode()).hexdigest(), True) for i, t, *_ in rows]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_memo_keeps_frequent_words():
+    made = []
+    memo = sp.Memo(lambda words: made.extend(words) or [w * 2 for w in words], 3)
+    for k in range(20):
+        get = memo.learn([["often", f"rare{k}"]])
+        assert (get("often"), get(f"rare{k}")) == ("oftenoften", f"rare{k}" * 2)
+        assert len(memo.now) + len(memo.before) <= 10
+    assert made.count("often") == 1 and len(made) == 21

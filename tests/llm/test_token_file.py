@@ -52,3 +52,37 @@ def test_files(spark, monkeypatch):
     repeated = spark.createDataFrame([(None, "b"), (1, "a"), (1, "a"), (None, None)], "doc_id long, text string")
     got = sorted((r["start"], r["n_tokens"], r["doc_id"]) for r in tf.token_file(repeated, PATH).collect())
     assert [g[2] for g in got] == [None, None, 1, 1] and [g[0] for g in got] == [sum(g[1] for g in got[:k]) for k in range(4)]
+
+
+def test_tokenizers_that_look_across_blanks_get_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = PATH.replace("word_bpe_49k", "byte_bpe_50k")
+    own, whole = tf.Encoder(path), Tokenizer.from_file(path)
+    assert tf.Encoder(PATH).apart and not own.apart
+    texts = ["hello big world", "", " a  b\n"]
+    assert [x.tolist() for x in own.encode([t.encode() for t in texts])] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_ids_above_the_coder_are_an_error():
+    with pytest.raises(ValueError, match="65535"):
+        tf.pack([[np.array([1, 65536])]])
+
+
+def test_random_words_apart():
+    from tokenizers import Tokenizer
+
+    whole, rng = Tokenizer.from_file(PATH), random.Random(3)
+    letters = "aZé 'x9.́\t\nßſ한日😀\x00\x1c­​İ�"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.choice([1, 5, 40, 3000]))) for _ in range(300)]
+    assert [x.tolist() for x in tf.Encoder(PATH).encode([t.encode() for t in texts])] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_clashing_columns_and_a_very_long_text(spark):
+    from tokenizers import Tokenizer
+
+    long = "very long words here " * 60_000
+    df = spark.createDataFrame([(2, long, "s", 1), (1, "one", "t", 2)], "doc_id long, text string, start string, n_tokens int")
+    got = [(r["doc_id"], r["start"], r["n_tokens"]) for r in tf.token_file(df, PATH).orderBy("doc_id").collect()]
+    n = len(Tokenizer.from_file(PATH).encode(long, add_special_tokens=False).ids)
+    assert got == [(1, 0, 2), (2, 2, n + 1)]
