@@ -182,8 +182,8 @@ class Codec:
         get = self.memo.learn(parts)
         out = []
         for x in parts:
-            found = [get(u) for u in x]
-            out.append((b"".join([i for i, _ in found]), b"".join([s for _, s in found])))
+            ids, spelled = zip(*map(get, x)) if x else ((), ())
+            out.append((b"".join(ids), b"".join(spelled)))
         return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -200,9 +200,9 @@ class Codec:
             return self.whole.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
-    def check(self, texts: list[str]) -> list[list[int]]:
+    def check(self, texts: list[str], packed: list[tuple[bytes, bytes]] | None = None) -> list[list[int]]:
         """Ids of the texts, which must be those of the library."""
-        ids = self.encode(texts)
+        ids = [np.frombuffer(x, "<u4").tolist() for x, _ in packed or self.packed(texts)]
         for text, got, want in zip(texts, ids, self.plain.encode(texts, num_threads=1), strict=True):
             if got != want:
                 raise AssertionError(f"the rebuilt tokenizer differs from sentencepiece on {text[:80]!r}: {got[:20]} and {want[:20]}")
@@ -247,10 +247,10 @@ def crc_of_ids(ids) -> int:
 
 def digests(own: Codec, texts: list[str], whole: bool = True) -> list[tuple[int, int, str, bool]]:
     """(n_tokens, ids_crc32, decoded_sha256, round_trip) of each text of a batch; ``whole``: texts are checked against sentencepiece, not their units alone."""
+    packed, out = own.packed(texts), []
     if whole or not own.exact or own.units is None:
-        own.check(texts)
-    out = []
-    for text, (ids, data) in zip(texts, own.packed(texts), strict=True):
+        own.check(texts, packed)
+    for text, (ids, data) in zip(texts, packed, strict=True):
         back = own.spelled(ids, data)
         out.append((len(ids) // 4, zlib.crc32(ids), hashlib.sha256(back.encode()).hexdigest(), own.decoded(text) == back))
     return out
