@@ -3,8 +3,8 @@
 Markup is stripped into lines: one for each block of the page, split at block elements and line breaks. A line counts with the length
 of its text; lines of menus, headers, footers, sidebars, notices, adverts, forms and comments (by element, role, class or id) and lines that are mostly
 links count with 0. Sums over windows of three lines form the distribution: text begins where a sum surges over the threshold,
-ends where the sum dives to 0, and what lies between is kept. A page that marks its article (``article``, ``main``) has all other lines at 0 and
-a threshold of one character, so that no short paragraph of the article is lost.
+ends where the sum dives to 0, and what lies between is kept. A page that marks its article (``article``, ``main``) has all other lines at 0. Of several marked articles
+those stay whose own windows surge, all if none does; within these the threshold is one character, so that no short paragraph of the article is lost.
 
 On a page that marks none, windows run over the lines that markup leaves, and the block container that holds a surge keeps all its other lines too, such as headings,
 bylines, short paragraphs and paragraphs of links; headings of first order are kept wherever they count.
@@ -13,7 +13,7 @@ Classes and ids are matched as whole names: hints, alone or joined to each other
 mark an article or an element that holds one; only names of comments do, and only on a page that has text in an article elsewhere. A form counts as part of the
 page if it holds an article, a heading of first order or a header, menu or footer, or if nothing else counts.
 
-Defined results: null and text-free pages give ''; character references are decoded; any white space within a line becomes one blank;
+Defined results: null and text-free pages give ''; repeated pages give repeated rows, an empty table gives none; character references are decoded; any white space within a line becomes one blank;
 lines are trimmed and joined by one newline; a page whose sums never reach the threshold keeps all lines that count.
 """
 
@@ -21,7 +21,9 @@ from __future__ import annotations
 
 import functools
 import html
+import itertools
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,7 +49,8 @@ PLACES = frozenset("site page main top bottom primary secondary global mobile de
 THREAD = frozenset("comment comments commentlist respond reply replies disqus".split())
 WRAPPED = frozenset("article main nav header footer h1".split())  # what a form that wraps a page holds
 NO, HINT, COMMENT, FORM, SURE = range(5)  # why an element is outside the article
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]{0,65536}"|'[^']{0,65536}')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+REST = re.compile(r"""(?:[^>=]+|=\s*(?:"[^"]*"|'[^']*')|=)*+>""")
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][\w:.-]*)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 
@@ -88,8 +91,47 @@ def _outside(name: str, attributes: dict[str, str], in_article: bool) -> int:
     return max(map(_hint, names), default=NO) or (HINT if not in_article and any(map(_header, names)) else NO)
 
 
-def blocks_of(page: str) -> tuple[list[tuple[str, int, bool, bool]], list[int], list[int], list[str]]:
-    """Lines, the element of each, and the parent and name of every element; element 0 is the page.
+def tags_of(page: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(text before it, name, whether it closes, its attributes) of every tag; the last item has no name.
+
+    A comment or raw element that never ends takes the rest of the page. A value in quotes may hold ``>``; a tag that would then never end stops at its first ``>``, and so do
+    all after it. Nothing is read twice for each of many tags, so time grows with the length of the page.
+    """
+    at, start, last, quoted = 0, 0, page.rfind(">"), True
+    text: list[str] = []
+    while 0 <= (at := page.find("<", at)):
+        if page.startswith(("<!", "<?"), at):
+            text.append(page[start:at])
+            comment = page.startswith("<!--", at)
+            stop = page.find("-->" if comment else ">", at + (4 if comment else 2))
+            at = start = stop + (3 if comment else 1) if stop >= 0 else len(page)
+            continue
+        if at > last:
+            break
+        head = NAME.match(page, at)
+        if not head:
+            at += 1
+            continue
+        rest = REST.match(page, head.end()) if quoted else None
+        if quoted and not rest:
+            quoted = False
+        stop = rest.end() if rest else page.find(">", head.end()) + 1
+        if not stop:
+            break
+        text.append(page[start:at])
+        name = head[2].lower()
+        yield "".join(text), name, bool(head[1]), page[head.end() : stop - 1]
+        text.clear()
+        if name in RAW and not head[1]:
+            end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, stop)
+            stop = end.end() if end else len(page)
+        at = start = stop
+    text.append(page[start:])
+    yield "".join(text), "", False, ""
+
+
+def blocks_of(page: str) -> tuple[list[tuple[str, int, bool, bool]], list[int], list[int], list[str], list[int]]:
+    """Lines, the element of each, and the parent, name and outermost article of every element; element 0 is the page.
 
     A line is (text, characters in links, outside the article by markup, inside a marked article).
     """
@@ -98,6 +140,7 @@ def blocks_of(page: str) -> tuple[list[tuple[str, int, bool, bool]], list[int],
     names = [""]
     up, why, inside = [-1], [NO], [False]  # parent, reason to be outside and being in an article, of each element; 0 is the page
     holds = [False]  # whether an article begins at or in the element
+    root = [0]  # the outermost article, other than the page's main part, around the element
     parts: list[str] = []
     linked = 0
 
@@ -109,25 +152,25 @@ def blocks_of(page: str) -> tuple[list[tuple[str, int, bool, bool]], list[int],
         parts.clear()
         linked = 0
 
-    at, end = 0, len(page)
     links = 0
-    while at < end:
-        tag = TAG.search(page, at)
-        text = page[at : tag.start() if tag else end]
+    opened: dict[str, int] = {}  # open elements by name
+    forms: list[int] = []  # open forms that are not known to wrap the page
+
+    def close() -> str:
+        nonlocal links
+        name, k = stack.pop()
+        opened[name] -= 1
+        links -= name == "a"
+        if forms and forms[-1] == k:
+            forms.pop()
+        return name
+
+    for text, name, closing, rest in tags_of(page):
         if text:
             parts.append(text)
             if links:
                 linked += len(text)
-        if not tag:
-            break
-        at = tag.end()
-        name = (tag[2] or tag[5] or "").lower()
-        if not name:
-            continue
-        closing, rest = tag[1] or tag[4], tag[3] or tag[6] or ""
-        if name in RAW and not closing:
-            stop = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
-            at = stop.end() if stop else end
+        if not name or name in RAW:
             continue
         if name in BLOCK:
             line()
@@ -136,17 +179,15 @@ def blocks_of(page: str) -> tuple[list[tuple[str, int, bool, bool]], list[int],
         if name in VOID:
             continue
         if closing:
-            if any(x[0] == name for x in stack):
-                while stack.pop()[0] != name:
+            if opened.get(name):
+                while close() != name:
                     pass
-                links = sum(x[0] == "a" for x in stack)
             continue
-        if name in BLOCK and any(x[0] == "p" for x in stack):  # a block ends an open paragraph
+        if name in BLOCK and opened.get("p"):  # a block ends an open paragraph
             while stack[-1][0] not in ("p", "article", "main", "section", "div", "td", "li", "nav", "footer", "header", "aside", "form"):
-                stack.pop()
+                close()
             if stack[-1][0] == "p":
-                stack.pop()
-            links = sum(x[0] == "a" for x in stack)
+                close()
         if rest.endswith("/") and name in ("svg", "path"):
             continue
         parent = stack[-1][1] if stack else 0
@@ -158,18 +199,21 @@ def blocks_of(page: str) -> tuple[list[tuple[str, int, bool, bool]], list[int],
         inside.append(inside[parent] or starts)
         holds.append(False)
         k = len(up) - 1
+        root.append(root[parent] or k * (starts and name != "main" and attributes.get("role") != "main"))
         if starts and why[k] != SURE:
             while k > 0 and why[k] != SURE and not holds[k]:
                 holds[k] = True
                 k = up[k]
-            k = parent
         if starts or name in WRAPPED or attributes.get("role") in ("navigation", "banner", "contentinfo"):
-            while k > 0:  # a form around it is the page
-                if why[k] == FORM:
-                    why[k] = NO
-                k = up[k]
-        stack.append((name, len(up) - 1))
+            for k in forms:  # a form around it is the page
+                why[k] = NO
+            forms.clear()
+        k = len(up) - 1
+        stack.append((name, k))
+        opened[name] = opened.get(name, 0) + 1
         links += name == "a"
+        if why[k] == FORM:
+            forms.append(k)
     line()
 
     def marked(comments: bool) -> list[bool]:
@@ -185,7 +229,7 @@ def blocks_of(page: str) -> tuple[list[tuple[str, int, bool, bool]], list[int],
     if all(outside[k] for _, _, k in out):  # nothing but forms
         why[:] = [NO if x == FORM else x for x in why]
         outside = marked(False)
-    return [(text, n, outside[k], inside[k]) for text, n, k in out], [k for _, _, k in out], up, names
+    return [(text, n, outside[k], inside[k]) for text, n, k in out], [k for _, _, k in out], up, names, root
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
@@ -276,15 +320,26 @@ def held(weights: list[int], elements: list[int], up: list[int], names: list[str
     return keep
 
 
+def surging(weights: list[int], articles: list[int]) -> list[int]:
+    """Weights without the lines of articles whose own windows never surge, if those of another one do: cards and teasers beside the article."""
+    best: dict[int, int] = {}
+    for at, own in itertools.groupby(zip(articles, weights, strict=True), key=lambda x: x[0]):
+        lengths = [w for _, w in own]
+        best[at] = max([best.get(at, 0), *(sum(lengths[i : i + LINES]) for i in range(len(lengths)))])
+    if max((top for at, top in best.items() if at), default=0) < SURGE:
+        return weights
+    return [w if not at or best[at] >= SURGE else 0 for at, w in zip(articles, weights, strict=True)]
+
+
 def main_text(page: str) -> str:
-    lines, elements, up, names = blocks_of(page)
+    lines, elements, up, names, root = blocks_of(page)
     weights, surge = weights_of(lines)
     if surge == SURGE:  # no marked article: lines outside by markup don't part the others
         here = [i for i, x in enumerate(lines) if not x[2]]
         lines, elements, weights = ([x[i] for i in here] for x in (lines, elements, weights))
         keep = held(weights, elements, up, names, between(weights, surge))
     else:
-        keep = between(weights, surge)
+        keep = between(surging(weights, [root[k] for k in elements]), surge)
     return "\n".join(text for (text, *_), k in zip(lines, keep, strict=True) if k)
 
 

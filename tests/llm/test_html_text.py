@@ -1,4 +1,5 @@
 import re
+import time
 
 from testlattice.llm import html_text as ht
 
@@ -68,6 +69,36 @@ def test_broken_markup():
     assert ht.main_text("<!-- never closed <p>a</p>") == ""
 
 
+def test_the_distribution_decides_between_marked_articles():
+    long = "a sentence of some length that goes on and on until it is long enough for the surge"
+    card = "<article><h3>Teaser</h3><p>a few words</article>"
+    assert ht.main_text(f"<main><h1>Head</h1>{card}<article><p>{long}<p>short</article>{card}{card}</main>") == f"Head\n{long}\nshort"
+    assert ht.main_text(f"<main>{card}{card}</main>") == "Teaser\na few words\nTeaser\na few words"
+    assert ht.main_text(f"{card}<article><p>{long}</article><article><p>{long}</article>") == f"{long}\n{long}"
+
+
+def test_long_attributes():
+    for n in (60_000, 70_000, 1_000_000):
+        assert ht.main_text(f"<article><p data-x=\"{'>' * n}\">one<p data-y='{'y' * n}'>two</article>") == "one\ntwo"
+    assert ht.main_text("<article><p title=it's>one</p><p>don't</p></article>") == "one\ndon't"
+
+
+def test_broken_pages_take_no_longer():
+    n = 1_000_000
+    for piece in ("<i>", "<div>", "<a ", "</b>", "<a href='", "<p><i>", "<nav>", "<form><h1>", "<!x", "&amp", "<b =\"", "<", "<td><a>", "<li class=ad>", "x<br>"):
+        page = piece * (n // 4 // len(piece))
+        began = time.process_time()
+        ht.main_text(page), ht.main_text(f"<article>{'<i>' * 20_000}{page}</article>"), ht.main_text(page + '<b x=">">')
+        assert time.process_time() - began < 3, piece
+
+
+def test_repeated_rows_clashing_columns_and_an_empty_table(spark):
+    df = spark.createDataFrame([(1, "<p>a", 7, "x"), (1, "<p>a", 7, "x"), (2, "<p>" + "long words " * 200_000, 8, "y")], "page_id long, html string, n_chars int, text string")
+    got = sorted((r["page_id"], r["n_chars"], r["text"][:3]) for r in ht.html_text(df).collect())
+    assert got == [(1, 1, "a"), (1, 1, "a"), (2, 2_199_999, "lon")]
+    assert ht.html_text(df.limit(0)).collect() == []
+
+
 def test_test_pages(spark):
     """Against a plain reading of the test pages' own pattern: everything inside the article element, block by block."""
     import html
