@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Python workers get batches of at most so many rows and bytes, whatever the length of a text.
 BATCH_ROWS, BATCH_BYTES = 1000, "4m"
@@ -76,6 +77,16 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch |
     return df.mapInArrow(run, schema)
 
 
+SALTS = 16
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], by: str, how: str) -> DataFrame:
+    """``left`` joined with a ``right`` of one row a key; the rows of a key are dealt out to SALTS places by the hash of ``by``, each with a copy of the right row."""
+    many = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    few = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.join(few, [*on, "_salt"], how).drop("_salt")
+
+
 class Memo:
     """What ``make`` gives for words, made once for words that return: two generations of at most ``most`` words, so that frequent ones stay when rare ones go."""
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, map_batches, utf8
+from .common import cut_lineage, map_batches, salted_join, utf8
 
 # The four largest primes below 2^31 and the points at which the polynomials are taken.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
@@ -114,7 +114,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row for each row of ``docs``: ``id_col``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``."""
     marks = cut_lineage(fingerprints(docs, id_col, text_col, primes, huge_bytes))
     several = marks.groupBy("_fp", "_bytes").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_fp", "_bytes")
-    suspects = marks.join(several, ["_fp", "_bytes"], "left_semi").select("_id", "_fp", "_bytes", "text_sha256")
+    suspects = salted_join(marks, several, ["_fp", "_bytes"], "_id", "left_semi").select("_id", "_fp", "_bytes", "text_sha256")
     texts = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     pieces = (
         texts.withColumn("_sha", F.sha2(F.col("_text").cast("binary"), 256))
@@ -122,9 +122,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("_fp", "_bytes", F.posexplode(chunks(F.col("_text").cast("binary"))).alias("_no", "_chunk"))
     )
     differ = pieces.groupBy("_fp", "_bytes", "_no").agg(F.min("_chunk").alias("_least"), F.max("_chunk").alias("_most")).where("_least <> _most").select("_fp", "_bytes").distinct().withColumn("_split", F.lit(True))
-    keyed = marks.join(differ, ["_fp", "_bytes"], "left").withColumn("_part", F.when(F.col("_split"), F.col("text_sha256")).otherwise(F.lit("")))
-    groups = keyed.groupBy("_fp", "_bytes", "_part").agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return (
-        keyed.join(groups, ["_fp", "_bytes", "_part"])
-        .select(F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
-    )
+    keyed = salted_join(marks, differ, ["_fp", "_bytes"], "_id", "left").withColumn("_part", F.when(F.col("_split"), F.col("text_sha256")).otherwise(F.lit("")))
+    groups = keyed.groupBy("_fp", "_bytes", "_part").agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    out = salted_join(keyed, groups, ["_fp", "_bytes", "_part"], "_id", "left").withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col("_id")).otherwise(F.col("keep_id")))
+    return out.select(F.col("_id").alias(id_col), "keep_id", F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

@@ -3,7 +3,7 @@
 A line's key is the line stripped of ASCII white space at both ends with A-Z lower-cased. Each document sends every
 distinct key once, as a 128-bit hash, so the number of documents that hold a key is a plain count with map-side
 combine; a line found in a third of all rows costs one counter a task. Frequent keys go back to the documents that
-hold them, and the text is put together again in its own order.
+hold them, a key's documents being dealt out to several tasks, and the text is put together again in its own order.
 
 Defined results: a null or empty text is one empty line; keys shorter than ``min_chars`` code points never drop;
 every row is a document of its own, repeated rows included; rows with a null id are kept and treated like others that
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, utf8
+from .common import cut_lineage, map_batches, salted_join, utf8
 
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -49,9 +49,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             at += [i] * len(found)
         return pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(at, pa.int32())), pa.array(out, pa.binary())], ["_id", "key"])
 
-    held = map_batches(rows, keys, f"_id {id_type}, key binary")
+    held = cut_lineage(map_batches(rows, keys, f"_id {id_type}, key binary"))
     frequent = held.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select("key")
-    drops = held.join(frequent, "key", "left_semi").groupBy(F.col("_id").alias("_drop_id")).agg(F.collect_set("key").alias("_drop"))
+    drops = salted_join(held, frequent, ["key"], "_id", "left_semi").groupBy(F.col("_id").alias("_drop_id")).agg(F.collect_set("key").alias("_drop"))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, lines, dropped, digests = [], [], [], []

@@ -1,7 +1,9 @@
 """Suffix-array dedup: remove every byte of a LENGTH-byte string that also starts anywhere else.
 
-Positions are ranked by prefix doubling: the rank of L bytes is the rank of a pair of ranks at an offset, with L growing from 1 by
-doubling to the threshold. Spark sorts rank pairs and keeps positions whose rank isn't unique, in three rounds:
+The idea is prefix doubling: positions are ranked by ever longer prefixes, and a position leaves as soon as its rank is unique. Rank pairs of every position,
+sorted by Spark at every offset, would be dozens of times the input (README has figures). Here ranks are names, hashes of 32 and of LENGTH bytes that
+workers compute by doubling within a text; Spark counts equal names and drops unique ones, in three rounds; ordinals are never made, and bytes are not compared again,
+so that a removal rests on 128 bits of names:
 
 1. the 32-byte rank of *anchors*. Every LENGTH-byte window has one, the position in it whose rank is least, so equal windows have
    equal anchors at equal places, and a window whose anchor's rank is unique is unique. About one position in 70 is an anchor; rows for every

@@ -49,3 +49,31 @@ def test_run_and_odd_tables(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(str(empty / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(empty / "labels.parquet"))
     assert cp.run(spark, str(empty)).count() == 0
+
+
+def test_mixing_of_rows_that_share_an_id(spark):
+    """Rows of one id are drawn apart; nothing is doubled by its namesakes."""
+    from collections import Counter
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, "a b c", "en", "s", 5), (1, "d e f", "en", "s", 5), (2, "g h i", "en", "s", 5)]
+    got = Counter(tuple(r) for r in cp.mixing_stage(spark, spark.createDataFrame(rows, schema), SF).collect())
+    assert got == Counter(rows)
+    rows += [(1, "a b c", "de", "s", 5)] * 2 + [(None, "j k l", "en", None, 5), (None, None, "en", None, 0)]
+    got = Counter(tuple(r) for r in cp.mixing_stage(spark, spark.createDataFrame(rows, schema), SF).collect())
+    assert got.keys() == set(rows) and all(got[r] >= n for r, n in Counter(rows).items()) and sum(n for r, n in got.items() if r[3]) <= 8
+
+
+def test_sentencepiece_stage_against_the_library(spark):
+    import zlib
+
+    import numpy as np
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file="/opt/tokenizers/piece_bpe_32k.model")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {}
+    for r in docs.collect():
+        ids = own.encode(r["text"] or "")
+        want[r["doc_id"]] = (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in cp.sentencepiece_stage(spark, docs, SF).collect()} == want
