@@ -1,8 +1,8 @@
 """A corpus pipeline of five stages; each takes (spark, docs, sf_dir), and all but the last return the columns of ``docs``.
 
 toxicity: documents that the classifier rejects go. exact dedup: of equal texts the one with the largest id stays. near dedup: of each group of
-near duplicates the smallest id stays. mixing: sources are brought to tempered weights by reading small ones more often, at most MAX_REPEATS times; every document stays at least
-once, so that no clean text is lost. sentencepiece: ids, as counts and checksums, and whether decoding gives the text back.
+near duplicates the smallest id stays. mixing: sources are brought to tempered weights by reading small ones more often, to ENTROPY_RATIO of the largest entropy if
+MAX_REPEATS times are enough; every document stays at least once, so that no clean text is lost. sentencepiece: ids, as counts and checksums, and whether decoding gives the text back.
 
 Defined results: rows with a null id pass the filters that need ids to compare and are never a duplicate's representative unless all its copies lack ids too;
 null texts count as empty; empty tables stay empty; documents without words are not repeated.
@@ -11,6 +11,7 @@ null texts count as empty; empty tables stay empty; documents without words are
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from testlattice.llm import exact_dedup as exact
@@ -18,7 +19,7 @@ from testlattice.llm import mixing, near_dedup, queries, sentencepiece_codec
 from testlattice.llm import toxicity as toxic
 from testlattice.llm.common import ready, table
 
-ENTROPY_RATIO, MAX_REPEATS = 0.98, 1.5
+ENTROPY_RATIO, MAX_REPEATS = 0.88, 1.5
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +39,16 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mix = mixing.mix_sources(docs, entropy_ratio=ENTROPY_RATIO, max_repeats=MAX_REPEATS, budget="cover")
-    times = mix.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_times"))
-    repeated = docs.join(times, F.col("doc_id") == F.col("_id"), "left").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.coalesce("_times", F.lit(1)).cast("int"))))
-    return repeated.select(*docs.columns)
+    """Rows drawn, by a key of id, source and text: rows that share an id are drawn apart, and rows equal in all three share their draws."""
+    text = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    own = docs.withColumn("_key", F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("source"), F.lit("")), text)))
+    mix = mixing.mix_sources(own, id_col="_key", entropy_ratio=ENTROPY_RATIO, max_repeats=MAX_REPEATS, budget="cover")
+    times = mix.groupBy("_key").agg(F.count(F.lit(1)).alias("_times"))
+    rows = own.groupBy("_key").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
+    turn = F.when(F.col("_rows").isNull(), F.lit(0)).otherwise(F.row_number().over(W.partitionBy("_key").orderBy("doc_id")) - 1)
+    counted = own.join(rows, "_key", "left").join(times, "_key", "left").withColumn("_turn", turn)
+    share = F.floor(F.col("_times") / F.coalesce("_rows", F.lit(1))) + F.when(F.col("_turn") < F.col("_times") % F.coalesce("_rows", F.lit(1)), 1).otherwise(0)
+    return counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.coalesce(share, F.lit(1)), F.lit(1)).cast("int")))).select(*docs.columns)
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
