@@ -36,7 +36,7 @@ from .common import cut_lineage, map_batches, utf8
 from .graph import components
 
 WORDS, BUCKETS, ROWS, BANDS, MANTISSA = 5, 256, 5, 51, 10
-CROWD, SIGMAS, LEAST = 2048, 5.0, 0.75
+CROWD, PLACE, SIGMAS, LEAST = 2048, 2048, 5.0, 0.75
 _U = np.uint64
 _rng = np.random.default_rng(20240)
 _FACTOR = (_rng.integers(0, 1 << 31, BUCKETS, dtype=_U) * _U(2) + _U(1)).astype(np.uint32)[:, None]
@@ -224,16 +224,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _apart(held: DataFrame, labels: DataFrame, nodes: DataFrame, crowd: int) -> DataFrame:
     """Links (a, b) between nodes that share a group and are in different components: at least one for any two components that have one there.
 
-    A group goes to one place, a larger one to a place for every two of its blocks: nodes of like size, at most about ``crowd`` with up to 512 shingles.
+    A group goes to one place, a larger one to a place for every two of its blocks: nodes of like size, of at most about ``crowd`` times PLACE bytes. The rows of
+    a place follow each other in one task, which holds one place at a time.
     """
     node_type = nodes.schema["node"].dataType.simpleString()
     placed = held.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
-    mine = placed.join(mixed, "key", "left_semi").join(nodes, "node").withColumn("cost", F.greatest("n", F.lit(512)))
-    large = mine.groupBy("key").agg(F.sum("cost").alias("whole")).where(F.col("whole") > 512 * crowd).select("key", F.lit(True).alias("large"))
+    mine = placed.join(mixed, "key", "left_semi").join(nodes, "node").withColumn("cost", 8 * F.col("n") + 600)
+    large = mine.groupBy("key").agg(F.sum("cost").alias("whole")).where(F.col("whole") > PLACE * crowd).select("key", F.lit(True).alias("large"))
     like = F.when(F.col("large"), F.floor(F.log("n") / np.log(4 / 3))).otherwise(F.lit(0)).cast("int")
     mine = mine.join(large, "key", "left").withColumn("like", like)
-    parts = mine.where("large").groupBy("key", "like").agg(F.ceil(F.sum("cost") / (512 * crowd)).cast("int").alias("parts"))
+    parts = mine.where("large").groupBy("key", "like").agg(F.ceil(F.sum("cost") / (PLACE * crowd)).cast("int").alias("parts"))
     blocks = parts.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("like", "parts"))).alias("blocks"))
     mine = mine.join(blocks, "key", "left")
     count = lambda d: F.coalesce(F.try_element_at("blocks", F.col("like") + d), F.lit(0 if d else 1))
@@ -247,26 +248,46 @@ def _apart(held: DataFrame, labels: DataFrame, nodes: DataFrame, crowd: int) ->
         F.transform(upto(count(-1)), lambda i: place(own - 1, i, own, at)),
     )
     side = lambda b, c: ((own == F.col(f"slot.{b}")) & (at == F.col(f"slot.{c}")))
-    dealt = mine.withColumn("slot", F.explode(slots)).select("key", "slot", F.struct("node", "component", "n", "sketch", "set", side("b", "c").alias("left"), side("d", "e").alias("right")).alias("m"))
-    places = dealt.groupBy("key", "slot").agg(F.collect_list("m").alias("g")).select(F.col("key").bitwiseAND(63).cast("int").alias("band"), "g")
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[tuple] = []
-        for band, group in zip(batch.column("band").to_pylist(), batch.column("g"), strict=True):
-            out += _side_by_side(band, group.values)
-        kind = batch.schema.field("g").type.value_type.field("node").type
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i in range(2)], ["a", "b"])
-
-    return map_batches(places, work, f"a {node_type}, b {node_type}").distinct()
-
-
-def _side_by_side(band: int, group: pa.StructArray) -> list[tuple]:
+    dealt = mine.withColumn("slot", F.explode(slots)).select("key", F.xxhash64("slot").alias("at"), "node", "component", "n", "sketch", "set", side("b", "c").alias("left"), side("d", "e").alias("right"))
+    dealt = dealt.repartition("key", "at").sortWithinPartitions("key", "at")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # parts of the last place
+        last = None
+        kind = None
+
+        def compare(parts: list[pa.RecordBatch], key: int) -> list[tuple]:
+            return _side_by_side(key & 63, pa.Table.from_batches(parts))
+
+        for batch in batches:
+            out: list[tuple] = []
+            kind = batch.schema.field("node").type
+            keys, at = (batch.column(c).to_numpy() for c in ("key", "at"))
+            starts = [0, *(np.flatnonzero((np.diff(keys) != 0) | (np.diff(at) != 0)) + 1).tolist(), len(keys)]
+            for a, b in zip(starts, starts[1:]):
+                place = (int(keys[a]), int(at[a]))
+                if place != last and held:
+                    out += compare(held, last[0])
+                    held.clear()
+                last = place
+                held.append(batch.slice(a, b - a))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i in range(2)], ["a", "b"])
+        if held:
+            out = compare(held, last[0])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i in range(2)], ["a", "b"])
+
+    return dealt.mapInArrow(work, f"a {node_type}, b {node_type}").distinct()
+
+
+def _side_by_side(band: int, group: pa.Table) -> list[tuple]:
     """Links of a place, between nodes of its left block and nodes of its right one, that join components."""
-    nodes, names = group.field("node").to_pylist(), group.field("component").to_pylist()
-    sizes = np.array(group.field("n").to_pylist())
-    grid = np.frombuffer(b"".join(group.field("sketch").to_pylist()), np.uint16).reshape(-1, BUCKETS)
-    sets = [np.frombuffer(x, _U) for x in group.field("set").to_pylist()]
-    left, right = (np.array(group.field(x).to_pylist(), bool) for x in ("left", "right"))
+    if group.num_rows < 2:
+        return []
+    nodes, names = group.column("node").to_pylist(), group.column("component").to_pylist()
+    sizes = np.array(group.column("n").to_pylist())
+    grid = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+    sets = [np.frombuffer(x, _U) for x in group.column("set").to_pylist()]
+    left, right = (np.array(group.column(x).to_pylist(), bool) for x in ("left", "right"))
     numbers = {c: i for i, c in enumerate(dict.fromkeys(names))}
     own = np.array([numbers[c] for c in names])
     place = np.arange(len(own))

@@ -34,7 +34,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values of the format
 UNIGRAM, BPE = 1, 2
 UNIT = f"{MARK}*[^{MARK}]+|{MARK}+"
-MEMO = 200_000
+MEMO = 150_000
 PROBES = ("", " ", "a", "Hello  world\n\tü", " leading and trailing ", "12345 67.8%", "<s> </s> <unk> <pad>", "\U0001d50a zero\x00byte", "ein Straßenfest — déjà vu, ¿qué tal? ñandú", MARK + " mark " + MARK * 3 + "x", "aaa aaaa aaaaa" * 5, "日本語のテキスト", "a\r\nb c　d")
 
 
@@ -152,13 +152,14 @@ class Codec:
         self.exact = not (self.model.char_map or self.model.squeeze)  # texts are taken as they are
         self.units = Tokenizer(self.whole.model) if splits(self.model) else None
         self.memo = Memo(self._learn, MEMO)
+        self.odd: dict[str, bytes] = {}  # bytes of units that decode to something other than themselves
         self.bytes = [bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(MARK, " ").encode() for p, t in zip(self.model.pieces, self.model.types, strict=True)]
         self.check(list(PROBES))
         ids = self.encode(list(PROBES))
         assert self.decode(ids) == self.whole.decode_batch(ids, skip_special_tokens=False), "the decoders differ"
 
-    def _learn(self, units: list[str]) -> list[tuple[bytes, bytes]]:
-        """Ids (little-endian, 32 bits) and bytes of each unit; where the model does not normalise, the ids are checked against sentencepiece."""
+    def _learn(self, units: list[str]) -> list[bytes]:
+        """Ids (little-endian, 32 bits) of each unit; where the model does not normalise they are checked against sentencepiece."""
         got = [x.ids for x in self.units.encode_batch_fast(units, add_special_tokens=False)]
         if self.exact:
             want = self.plain.encode([u[1:] for u in units] if self.model.dummy_prefix else units, num_threads=1)
@@ -167,7 +168,11 @@ class Codec:
                 at = next(i for i, (x, y) in enumerate(zip(got, want, strict=True)) if x != y)
                 raise AssertionError(f"the rebuilt tokenizer differs from sentencepiece on {units[at][:80]!r}: {got[at][:20]} and {want[at][:20]}")
         spelled = self.bytes
-        return [(struct.pack(f"<{len(x)}I", *x), b"".join([spelled[i] for i in x])) for x in got]
+        for unit, ids in zip(units, got, strict=True):
+            data = b"".join([spelled[i] for i in ids])
+            if data != unit.replace(MARK, " ").encode():
+                self.odd[unit] = data
+        return [struct.pack(f"<{len(x)}I", *x) for x in got]
 
     def packed(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Packed ids and spelled bytes of each text."""
@@ -179,11 +184,14 @@ class Codec:
             parts = [re.findall(UNIT, first + x.replace(" ", MARK)) if x else [] for x in texts]
         else:
             parts = [re.findall(UNIT, self.whole.normalizer.normalize_str(x)) if x else [] for x in texts]
-        get = self.memo.learn(parts)
+        if len(self.odd) > MEMO:
+            self.odd, self.memo = {}, Memo(self._learn, MEMO)
+        get, odd = self.memo.learn(parts), self.odd
         out = []
         for x in parts:
-            ids, spelled = zip(*map(get, x)) if x else ((), ())
-            out.append((b"".join(ids), b"".join(spelled)))
+            plain = not odd or odd.keys().isdisjoint(x)
+            data = "".join(x).replace(MARK, " ").encode() if plain else b"".join([odd[u] if u in odd else u.replace(MARK, " ").encode() for u in x])
+            out.append((b"".join(map(get, x)), data))
         return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:

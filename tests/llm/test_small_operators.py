@@ -158,8 +158,7 @@ def test_sentencepiece_digests_check_every_text():
     texts = ["one two three", "", "a  b\n"]
     assert [x[0] for x in sp.digests(own, texts)] == [len(own.plain.encode(x)) for x in texts]
     unit = next(u for u in own.memo.now if "three" in u)
-    ids, data = own.memo.now[unit]
-    own.memo.now[unit] = ids + b"\5\0\0\0", data  # a text on which the rebuilt tokenizer is wrong
+    own.memo.now[unit] += b"\5\0\0\0"  # a text on which the rebuilt tokenizer is wrong
     with pytest.raises(AssertionError, match="differs"):
         sp.digests(own, ["none here", "one two three"])
 
