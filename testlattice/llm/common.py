@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -65,14 +66,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``work`` on each Arrow batch of ``df``."""
+def give_back() -> None:
+    """Return memory that a worker has freed to the system: workers stay for the next stage, which may need it in another process."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, most_rows: int = BATCH_ROWS) -> DataFrame:
+    """``work`` on each Arrow batch of ``df``, ``most_rows`` at a time."""
     ready(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := work(batch)) is not None:
-                yield out
+            for at in range(0, batch.num_rows, most_rows):
+                if (out := work(batch.slice(at, most_rows))) is not None:
+                    yield out
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, map_batches, utf8
+from .common import cut_lineage, give_back, map_batches, utf8
 from .graph import components
 
 WORDS, BUCKETS, ROWS, BANDS, MANTISSA = 5, 256, 5, 51, 10
@@ -275,6 +275,7 @@ def _apart(held: DataFrame, labels: DataFrame, nodes: DataFrame, crowd: int) ->
         if held:
             out = compare(held, last[0])
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i in range(2)], ["a", "b"])
+        give_back()
 
     return dealt.mapInArrow(work, f"a {node_type}, b {node_type}").distinct()
 

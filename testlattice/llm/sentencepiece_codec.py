@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, map_batches, ready, utf8
+from .common import Memo, give_back, map_batches, ready, utf8
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values of the format
 UNIGRAM, BPE = 1, 2
 UNIT = f"{MARK}*[^{MARK}]+|{MARK}+"
-MEMO = 150_000
+MEMO, AT_ONCE = 120_000, 1 << 21  # words known at most (twice that many), characters in a batch for the library
 PROBES = ("", " ", "a", "Hello  world\n\tü", " leading and trailing ", "12345 67.8%", "<s> </s> <unk> <pad>", "\U0001d50a zero\x00byte", "ein Straßenfest — déjà vu, ¿qué tal? ñandú", MARK + " mark " + MARK * 3 + "x", "aaa aaaa aaaaa" * 5, "日本語のテキスト", "a\r\nb c　d")
 
 
@@ -175,7 +175,16 @@ class Codec:
         return [struct.pack(f"<{len(x)}I", *x) for x in got]
 
     def packed(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """Packed ids and spelled bytes of each text."""
+        """Packed ids and spelled bytes of each text, from batches of AT_ONCE characters."""
+        out, at, size = [], 0, 0
+        for i, text in enumerate(texts, 1):
+            size += len(text)
+            if size >= AT_ONCE or i == len(texts):
+                out += self._packed(texts[at:i])
+                at, size = i, 0
+        return out
+
+    def _packed(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         if self.units is None:
             ids = [x.ids for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
             return [(np.array(x, "<u4").tobytes(), b"".join([self.bytes[i] for i in x])) for x in ids]
@@ -227,6 +236,7 @@ _codecs: dict[str, Codec] = {}
 def codec(path: str) -> Codec:
     if path not in _codecs:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+        os.environ.setdefault("RAYON_NUM_THREADS", "2")  # of each worker; every core of an executor has one
         _codecs[path] = Codec(path)
     return _codecs[path]
 
@@ -277,5 +287,6 @@ def encode_digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
             first = False
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("_id"), *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds))], ["_id", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip"])
+        give_back()
 
     return rows.mapInArrow(work, f"_id {id_type}, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean").withColumnRenamed("_id", id_col)

@@ -103,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     a, b = F.col("in_p") / sizes["p"], F.col("in_u") / sizes["u"]
     pooled = (F.col("in_p") + F.col("in_u")) / (sizes["p"] + sizes["u"])
     z = (a - b) / F.sqrt(pooled * (1 - pooled) * (1 / sizes["p"] + 1 / sizes["u"]) + F.lit(1e-12))
-    words = [r["word"] for r in map_batches(sample, spread, "word string, p boolean, u boolean").groupBy("word").agg(F.count_if("p").alias("in_p"), F.count_if("u").alias("in_u")).where("in_p >= 3").withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "word").limit(max_features).collect()]
+    words = [r["word"] for r in map_batches(sample, spread, "word string, p boolean, u boolean", 50).groupBy("word").agg(F.count_if("p").alias("in_p"), F.count_if("u").alias("in_u")).where("in_p >= 3").withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "word").limit(max_features).collect()]
     number = {w: i for i, w in enumerate(words)}
 
     def place(batch: pa.RecordBatch) -> pa.RecordBatch:
