@@ -37,6 +37,12 @@ def without_test_classes(cov_class: DataFrame, cov_method: DataFrame) -> tuple[D
     return cov_class.where(~sf.is_test_class(F.col("class_fqn"))), cov_method.join(dropped, ["test_name", "class_fqn"], "left_anti")
 
 
+def with_covered_lines(reports: DataFrame) -> DataFrame:
+    """Report trees with only the classes that have a covered line, as the XML writer wants them; packages that are left empty stay."""
+    covered = lambda c: F.exists(F.coalesce(c["counter"], F.array().cast("array<struct<_type:string,_missed:int,_covered:int>>")), lambda x: (x["_type"] == "LINE") & (x["_covered"] > 0))
+    return reports.withColumn("package", F.transform("package", lambda p: p.withField("class", F.filter(p["class"], covered))))
+
+
 def class_counters(reports: DataFrame) -> DataFrame:
     """Counters of the classes of report trees, one row for each test and class."""
     return classes(reports).select("test_name", "class_fqn", F.col("c.counter").alias("counter")).select("test_name", "class_fqn", *(_counter("counter", kind, f"_{field}").alias(f"{kind.lower()}_{field}") for kind in ("LINE", "BRANCH") for field in ("missed", "covered")))

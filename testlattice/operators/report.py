@@ -169,6 +169,6 @@ def ant_string(selected: DataFrame, unmapped: DataFrame) -> DataFrame:
     return classes.unionByName(bare).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "c", "t"))), lambda x: x["t"]), ",").alias("line"))
 
 
-def first_lines(rows: DataFrame, by: str, order: str, most: int) -> DataFrame:
-    """The first rows of each group."""
-    return rows.withColumn("_n", F.row_number().over(W.partitionBy(by).orderBy(order))).where(F.col("_n") <= most).drop("_n")
+def report_mode(tests: DataFrame) -> DataFrame:
+    """One row (tests, mode): chunked where there are more tests than a chunk holds, else inline."""
+    return tests.agg(F.count(F.lit(1)).alias("tests")).select("tests", F.when(F.col("tests") > CHUNK_TESTS, "chunked").otherwise("inline").alias("mode"))

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sf
-from ..model import CHUNK_TESTS
+from ..model import CHUNK_TESTS, TEST_METRICS
 from ..operators import changes, coverage, discovery, explore, merge, report, selection
+from ..session import shared_path
+from ..sources import maps, reports, sinks
 from .views import Views, with_views
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -589,3 +591,108 @@ def _(v):
 def _(v):
     old = F.concat(F.col("distance").cast("string"), F.lit(" tests selected out of "), F.col("distance").cast("string"), F.lit(" total"))
     return v.ladder_state.select("map_id", sf.pruned_reason(old, F.col("changes"), F.col("tests")).alias("reason"))
+
+
+# ---- files: written to the shared folder and read back
+
+
+def _map_tables(v: Views) -> dict[str, DataFrame]:
+    meta = v.spark.createDataFrame([("main", "abc1234", "2024-01-01T00:00:00Z")], "base_branch string, commit_id string, ts string")
+    return {"map_meta": meta, "map_test": v.map_test, "cov_class": v.cov_class, "cov_method": v.cov_method, "class_metrics": coverage.merge_metrics(v.counters)}
+
+
+def _stored_map(v: Views, write, gzip: bool = False) -> dict[str, DataFrame]:
+    path = shared_path(v.spark, "map")
+    write(_map_tables(v), path, gzip)
+    return maps.tables(maps.read_map(v.spark, path))
+
+
+@query("s3_k1_plain_map", "SELECT test_name, class_fqn, method_fqn, pos FROM {cov_method}")
+def _(v):
+    return _stored_map(v, sinks.write_plain_map)["cov_method"].select("test_name", "class_fqn", "method_fqn", (F.col("pos") + 1).cast("long").alias("pos"))
+
+
+@query("s4_k2_indexed_map", "SELECT test_name, class_fqn, pos FROM {cov_class}")
+def _(v):
+    return _stored_map(v, sinks.write_indexed_map)["cov_class"].select("test_name", "class_fqn", (F.col("pos") + 1).cast("long").alias("pos"))
+
+
+@query("s5_k3_gzip_map", "SELECT test_name, test_class FROM {map_test}")
+def _(v):
+    return _stored_map(v, sinks.write_indexed_map, gzip=True)["map_test"].select("test_name", "test_class")
+
+
+@query("s6_map_metadata", "SELECT 'main' AS \"baseBranch\", 'abc1234' AS \"commitId\", '2024-01-01T00:00:00Z' AS \"timestamp\"")
+def _(v):
+    path = shared_path(v.spark, "map")
+    sinks.write_plain_map(_map_tables(v), path)
+    return maps.read_metadata(v.spark, path)
+
+
+@query("s7_k4_selection", "SELECT 'SELECTED' AS status, test_name FROM {selected} UNION ALL SELECT 'UNMAPPED', class_fqn FROM {unmapped}")
+def _(v):
+    path = shared_path(v.spark, "selection")
+    tests = v.selected.agg(F.array_sort(F.collect_list("test_name")).alias("selectedTests"))
+    unmapped = v.unmapped.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("class_fqn", F.lit("new"))))).alias("unmappedTests"))
+    sinks.write_selection(tests.crossJoin(unmapped).select(F.lit("SELECTED").alias("status"), F.lit("").alias("reason"), "selectedTests", "unmappedTests", F.array().cast("array<string>").alias("changedClasses")), path)
+    read = reports.read_selection(v.spark, path)
+    return read.select("status", F.explode("selectedTests").alias("test_name")).unionByName(read.select(F.lit("UNMAPPED").alias("status"), F.explode(F.map_keys("unmappedTests")).alias("test_name")))
+
+
+@query("s13_k12_f31_metrics", "SELECT module, name, status, duration_ms, failure_class AS failure_type FROM {test_metric}")
+def _(v):
+    path = shared_path(v.spark, "metrics")
+    metric = v.test_metric.select("module", "name", "status", "duration_ms", F.col("failure_class").alias("failure_type"), F.lit(None).cast("string").alias("failure_message"))
+    sinks.write_metrics(metric, path, "run-1", "abc1234", "main", "local", "2024-01-01T00:00:00Z")
+    tests = v.spark.read.schema(TEST_METRICS).option("multiLine", True).json(path).select(F.explode("tests").alias("t"))
+    return tests.select("t.module", "t.name", "t.status", F.col("t.durationMs").alias("duration_ms"), F.col("t.failureType").alias("failure_type"))
+
+
+def _report_trees(v: Views) -> DataFrame:
+    """A report a test: a class for each that the map has, with a method of as many covered instructions as its number, less those divisible by 3."""
+    counter = lambda kind, n: F.array(F.struct(F.lit(kind).alias("_type"), F.lit(0).alias("_missed"), n.cast("int").alias("_covered")))
+    number = F.regexp_extract("method_fqn", "#m([0-9]+)$", 1).cast("int")
+    methods = v.cov_method.select("test_name", "class_fqn", F.struct(F.element_at(F.split("method_fqn", "#"), 2).alias("_name"), F.lit("()V").alias("_desc"), F.lit(1).alias("_line"), counter("INSTRUCTION", F.when(number % 3 == 0, 0).otherwise(number)).alias("counter")).alias("m"), number.alias("n"))
+    classes = methods.groupBy("test_name", "class_fqn").agg(F.array_sort(F.collect_list("m")).alias("method"), F.max(F.when(F.col("n") % 3 == 0, 0).otherwise(1)).alias("hit"))
+    own = classes.select("test_name", F.struct(F.translate("class_fqn", ".", "/").alias("_name"), F.lit("A.java").alias("_sourcefilename"), "method", counter("LINE", F.col("hit")).alias("counter")).alias("c"))
+    package = own.groupBy("test_name").agg(F.array(F.struct(F.lit("com").alias("_name"), F.array_sort(F.collect_list("c")).alias("class"))).alias("package"))
+    return package.select(F.lit("report").alias("_name"), F.array(F.struct(F.col("test_name").alias("_id"), F.lit(0).cast("long").alias("_start"), F.lit(0).cast("long").alias("_dump"))).alias("sessioninfo"), "package")
+
+
+def _stored_reports(v: Views, trees: DataFrame) -> DataFrame:
+    """Report trees written and read; many share a file, so that the test comes from the session in place of the file's name."""
+    path = shared_path(v.spark, "reports")
+    sinks.write_reports(trees.withColumn("test_name", F.lit("")), path)
+    return reports.read_reports(v.spark, path).withColumn("test_name", F.col("sessioninfo")[0]["_id"])
+
+
+@query("s1_k11_p1_a2_covered_methods", "SELECT test_name, class_fqn, method_fqn, CAST(regexp_extract(method_fqn, '#m([0-9]+)$', 1) AS INT) AS covered FROM {cov_method} WHERE CAST(regexp_extract(method_fqn, '#m([0-9]+)$', 1) AS INT) % 3 <> 0")
+def _(v):
+    return coverage.covered_methods(_stored_reports(v, _report_trees(v)))
+
+
+@query("p7_classes_with_covered_lines", "SELECT DISTINCT test_name, class_fqn FROM {cov_method} WHERE CAST(regexp_extract(method_fqn, '#m([0-9]+)$', 1) AS INT) % 3 <> 0")
+def _(v):
+    return coverage.classes(_stored_reports(v, coverage.with_covered_lines(_report_trees(v)))).select("test_name", "class_fqn")
+
+
+@query("d5_report_mode", "SELECT count(*) AS tests, CASE WHEN count(*) > 50 THEN 'chunked' ELSE 'inline' END AS mode FROM {map_test}")
+def _(v):
+    return report.report_mode(v.map_test)
+
+
+@query("k9_page_lines", "SELECT key, nr, text FROM {src_line}")
+def _(v):
+    path = shared_path(v.spark, "pages")
+    sinks.write_pages(v.src_line, path)
+    return v.spark.read.schema("key string, nr int, text string").json(path).select("key", "nr", "text")
+
+
+@query("s8_change_scans", "SELECT 'committed' AS origin, line FROM {name_status} WHERE ord % 2 = 0 UNION ALL SELECT 'worktree', line FROM {name_status} WHERE ord % 2 = 1")
+def _(v):
+    path = shared_path(v.spark, "changes")
+    for origin, rest in (("committed", 0), ("worktree", 1)):
+        v.name_status.where(F.col("ord") % 2 == rest).agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("value")).coalesce(1).write.text(f"{path}/{origin}.statuses")
+    # Spark names files itself: the folder says which scan a file is
+    parts = [reports.change_lines_of(v.spark, f"{path}/{origin}.statuses", origin) for origin in ("committed", "worktree")]
+    return parts[0].unionByName(parts[1]).select("origin", "line")

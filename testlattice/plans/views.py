@@ -34,7 +34,7 @@ VIEWS = {
     "ladder_state": "SELECT concat('map', o_orderkey) AS map_id, o_orderkey % 11 <> 0 AS found, o_orderkey % 13 <> 0 AS readable, CASE WHEN o_orderkey % 17 = 0 THEN NULL WHEN o_orderkey % 19 = 0 THEN '' ELSE 'abc' END AS commit_id, o_orderkey % 23 <> 0 AS valid, CAST(o_custkey % 600 AS INT) AS distance, o_orderkey % 29 = 0 AS triggered, CAST(o_orderkey % 4 AS INT) AS changes, CAST(o_orderkey % 5 AS INT) AS tests FROM {orders}",
     "xml_file": "SELECT CASE WHEN test_name LIKE '%5%' THEN concat('session_', test_name, '.xml') ELSE concat(test_name, '.xml') END AS file_name FROM {map_test} WHERE test_name NOT LIKE '%9'",
     "src_line": "SELECT class_fqn AS key, nr, concat('line ', nr) AS text FROM (SELECT DISTINCT class_fqn FROM {line_cov}) AS a CROSS JOIN (SELECT CAST(n_nationkey AS INT) AS nr FROM {nation} WHERE n_nationkey BETWEEN 1 AND 9) AS b",
-    "artifact": "SELECT concat('TEST-', test_class, '-', chr(CAST(97 + length(test_class) % 5 AS INT)), '.xml') AS file_name FROM (SELECT DISTINCT test_class FROM {map_test}) AS t UNION SELECT concat('junit_', test_class, '.txt') FROM {map_test} WHERE test_class LIKE '%5Test'",
+    "artifact": "SELECT concat('TEST-', test_class, '-', chr(CAST(97 + length(test_class) % 5 AS INT)), '.xml') AS file_name FROM (SELECT DISTINCT test_class FROM {map_test}) AS t UNION SELECT concat('junit_', test_class, '.txt') FROM {map_test} WHERE test_class LIKE '%5Test' UNION SELECT concat('my', test_class, '2.xml') FROM {map_test} WHERE test_class LIKE '%3Test' UNION SELECT concat('TEST-All', test_class, 'Extra_IT.xml') FROM {map_test} WHERE test_class LIKE '%2Test'",
     "commits": "SELECT o_orderkey AS position, concat('c', o_orderkey) AS commit_id FROM {orders}",
 }
 

@@ -3,17 +3,33 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read back; a folder is made only where the cluster names none."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir", "") and sc._jsc.sc().getCheckpointDir().isEmpty():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a local one is made only where none is named and Spark runs in one process."""
+    sc = spark.sparkContext
+    if named := sc.getConf().get("spark.checkpoint.dir", ""):
+        return named
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc._jsc.sc().isLocal():
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="testlattice-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -231,3 +231,33 @@ def test_stale_artifacts_contain_the_name(spark):
     assert [x for x, in rows(merge.stale_artifacts(files, tests))] == want(classes[:-1])
     assert [x for x, in rows(merge.stale_artifacts(files, tests, unmapped))] == want([*classes[:-1], "NewSpec", "Order"])
     assert merge.stale_artifacts(files, tests.limit(0)).isEmpty()
+
+
+def test_metrics_document_and_change_scans(spark, tmp_path):
+    metric = spark.createDataFrame([("m", "T#a", "PASSED", 3, None, None), ("m", "T#b", "FAILED", 4, "X", "no")], "module string, name string, status string, duration_ms long, failure_type string, failure_message string")
+    sinks.write_metrics(metric, str(tmp_path / "m.json"), "run", "abc", "main", "ci", "now")
+    one = spark.read.json(str(tmp_path / "m.json")).first()
+    assert (one["runId"], one["branch"], one["summary"]["total"], one["summary"]["failed"], one["summary"]["durationMs"]) == ("run", "main", 2, 1, 7)
+    assert rows(reports.read_metrics(spark, {"m": str(tmp_path / "m.json")}).select("name", "failure_type")) == [("T#a", None), ("T#b", "X")]
+    for origin in ("committed", "worktree"):
+        for scan in ("names", "statuses", "patch"):
+            (tmp_path / f"{origin}.{scan}").write_text(f"{scan} of {origin}\n\nlast\n")
+    scans = reports.change_scans(spark, str(tmp_path))
+    assert rows(scans["patch"]) == [("committed", 0, "patch of committed"), ("committed", 2, "last"), ("worktree", 0, "patch of worktree"), ("worktree", 2, "last")]
+
+
+def test_extensions_and_report_mode(spark, tmp_path):
+    (tmp_path / "extensions.xml").write_text('<config><extensions><path dir="${PLATFORM_BIN_DIR}/custom"/><extension name="core"/><extension dir="/abs/e"/></extensions></config>')
+    assert rows(reports.extensions(spark, str(tmp_path / "extensions.xml"), "/bin")) == [("/abs/e",), ("/bin/custom",), ("/bin/ext/core",)]
+    assert rows(report.report_mode(spark.range(50))) == [(50, "inline")] and rows(report.report_mode(spark.range(51))) == [(51, "chunked")]
+
+
+def test_live_summary(spark, tmp_path):
+    from testlattice.streaming.metrics import live_summary
+
+    schema = "name string, status string, duration_ms long, ts timestamp"
+    spark.sql("SELECT 'a' AS name, 'PASSED' AS status, 2L AS duration_ms, timestamp'2024-01-01 10:05:00' AS ts UNION ALL SELECT 'b', 'OTHER', 3L, timestamp'2024-01-01 10:50:00'").write.parquet(str(tmp_path / "in"))
+    stream = live_summary(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    stream.writeStream.outputMode("complete").format("memory").queryName("live_summary").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    got = spark.table("live_summary").first()
+    assert (got["total"], got["passed"], got["skipped"], got["duration_ms"]) == (2, 1, 1, 5)
