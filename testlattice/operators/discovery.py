@@ -80,7 +80,11 @@ def _reason(text: Column, lines: Column) -> Column:
 
 def not_instantiable(text: Column) -> Column:
     """P10: whether the first declaration of a source is abstract, an interface or an annotation."""
-    told = F.filter(code_lines(text), lambda x: (x != "") & ~x.rlike("^(package |import |//)"))
+    return _first_abstract(code_lines(text))
+
+
+def _first_abstract(lines: Column) -> Column:
+    told = F.filter(lines, lambda x: (x != "") & ~x.rlike("^(package |import |//)"))
     kind = F.transform(
         told,
         lambda x: F.when(x.contains("abstract class ") | x.contains("@interface ") | x.rlike(r"\binterface\s+\w+"), F.lit(1)).when(x.startswith("@"), F.lit(0)).when(x.contains(" class ") | x.contains(" enum "), F.lit(2)).otherwise(F.lit(0)),
@@ -93,8 +97,9 @@ def unmapped(files: DataFrame, map_test: DataFrame, changed_test: DataFrame, sou
 
     ``source``: (class_fqn, text). Classes that cannot be instantiated are left out; a reason from the status of a changed file comes before one from the source.
     """
-    own = new_tests(files, map_test).join(source, "class_fqn", "left").where(~not_instantiable(F.coalesce("text", F.lit(""))))
+    facts = source.withColumn("_lines", code_lines(F.col("text"))).select("class_fqn", _first_abstract(F.col("_lines")).alias("_skip"), _reason(F.col("text"), F.col("_lines")).alias("_why"))
+    own = new_tests(files, map_test).join(facts, "class_fqn", "left").where(~F.coalesce("_skip", F.lit(False)))
     status = changed_test.select(F.col("test_fqn").alias("class_fqn"), "status")
-    told = own.join(status, "class_fqn", "left").select("class_fqn", F.when(F.col("status") == "A", NEW).when(F.col("status") == "M", CHANGED).otherwise(F.coalesce(source_reason(F.col("text")), F.lit(UNKNOWN))).alias("reason"))
+    told = own.join(status, "class_fqn", "left").select("class_fqn", F.when(F.col("status") == "A", NEW).when(F.col("status") == "M", CHANGED).otherwise(F.coalesce("_why", F.lit(UNKNOWN))).alias("reason"))
     known = modified_known(changed_test, map_test).select("class_fqn", F.lit(MODIFIED_KNOWN).alias("reason"))
     return told.unionByName(known.join(told, "class_fqn", "left_anti"))
