@@ -15,6 +15,7 @@ have 32 bits), that is a text of about 1 GB.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 import zlib
@@ -32,6 +33,27 @@ FPS = 25
 # Fixed values of the JPEG standard: code lengths of the usual luminance DC table. The AC table has the end-of-block symbol alone.
 DC_COUNTS, DC_SYMBOLS = (0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0), tuple(range(12))
 AC_COUNTS, AC_SYMBOLS = (1, *[0] * 15), (0,)
+# Fixed values of the JPEG standard: the usual tables (class and number, code lengths, symbols), which motion JPEG frames may leave out.
+USUAL = {
+    0x00: (DC_COUNTS, bytes(DC_SYMBOLS)),
+    0x01: ((0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0), bytes(range(12))),
+    0x10: (
+        (0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125),
+        bytes.fromhex(
+            "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a161718191a25262728292a3435363738393a434445464748494a"
+            "535455565758595a636465666768696a737475767778797a838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9ca"
+            "d2d3d4d5d6d7d8d9dae1e2e3e4e5e6e7e8e9eaf1f2f3f4f5f6f7f8f9fa"
+        ),
+    ),
+    0x11: (
+        (0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119),
+        bytes.fromhex(
+            "0001020311040521310612415107617113223281081442"
+            "91a1b1c109233352f0156272d10a162434e125f11718191a262728292a35363738393a434445464748494a535455565758595a636465666768696a737475767778797a"
+            "82838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae2e3e4e5e6e7e8e9eaf2f3f4f5f6f7f8f9fa"
+        ),
+    ),
+}
 
 
 def _segment(marker: int, body: bytes) -> bytes:
@@ -142,12 +164,29 @@ def read_avi(data: bytes) -> tuple[list[bytes], float]:
     return [data[base + o + 8 : base + o + 8 + n] for o, n in zip(video[:, 2].tolist(), video[:, 3].tolist(), strict=True)], rate
 
 
+def look_up(counts, symbols) -> np.ndarray:
+    """For every 16 bits the symbol << 8 | length of the code that they begin with."""
+    look = np.zeros(65536, np.int32)
+    for symbol, (code, length) in huffman(counts, symbols).items():
+        look[code << (16 - length) : (code + 1) << (16 - length)] = symbol << 8 | length
+    return look
+
+
+@functools.cache
+def usual(name: int) -> np.ndarray:
+    return look_up(*USUAL[name])
+
+
 class Tables:
-    """What a frame's header says: the blocks of an MCU in order, with their decoding tables."""
+    """What a frame's header says: the blocks of an MCU in order, with their decoding tables; the usual ones where a frame has none."""
 
     def __init__(self, frame: bytes):
-        quant, coding, at, interval = {}, {}, 2, 0
+        if frame[:2] != b"\xff\xd8":
+            raise ValueError("a frame is not a JPEG image")
+        quant, coding, at, interval, parts = {}, {}, 2, 0, {}
         while True:
+            if len(frame) < at + 4 or frame[at] != 0xFF:
+                raise ValueError("a frame ends in its header")
             marker, size = frame[at + 1], struct.unpack_from(">H", frame, at + 2)[0]
             body = frame[at + 4 : at + 2 + size]
             if marker == 0xDB:
@@ -158,10 +197,7 @@ class Tables:
             elif marker == 0xC4:
                 while body:
                     n = sum(body[1:17])
-                    look = np.zeros(65536, np.int32)  # symbol << 8 | length of the code that the 16 bits begin with
-                    for symbol, (code, length) in huffman(body[1:17], body[17 : 17 + n]).items():
-                        look[code << (16 - length) : (code + 1) << (16 - length)] = symbol << 8 | length
-                    coding[body[0]] = look
+                    coding[body[0]] = look_up(body[1:17], body[17 : 17 + n])
                     body = body[17 + n :]
             elif marker in (0xC0, 0xC1):
                 self.height, self.width, n = struct.unpack_from(">HHB", body, 1)
@@ -176,6 +212,8 @@ class Tables:
             at += 2 + size
         if interval:
             raise ValueError("restart intervals are not supported")
+        if not parts:
+            raise ValueError("a frame has no size")
         across, down = max(p[0] for p in parts.values()), max(p[1] for p in parts.values())
         if len(parts) == 1:
             parts, across, down = {k: (1, 1, q) for k, (_, _, q) in parts.items()}, 1, 1
@@ -184,7 +222,8 @@ class Tables:
         for i in range(body[0]):
             part, which = body[1 + 2 * i], body[2 + 2 * i]
             h, v, q = parts[part]
-            self.blocks += [(i, coding[which >> 4], coding[16 | which & 15], quant[q])] * (h * v)
+            dc, ac = ((coding[x] if x in coding else usual(x & 0x11)) for x in (which >> 4, 16 | which & 15))
+            self.blocks += [(i, dc, ac, quant.get(q, 1))] * (h * v)
         self.luma = [k for k, b in enumerate(self.blocks) if b[0] == 0]
 
 
@@ -309,21 +348,40 @@ def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: fl
     return map_batches(rows, work, schema).withColumnRenamed("_id", id_col)
 
 
+def images_of(frames: list[bytes]) -> np.ndarray:
+    """Luma DC images of a film's frames, all of one size; an empty frame repeats the one before, as the format has it."""
+    whole = [f for f in frames if f]
+    if not whole or not frames[0]:
+        raise ValueError("the film begins without a frame")
+    try:
+        decoded = decode_frames(whole)
+    except (KeyError, IndexError, struct.error) as e:
+        raise ValueError("a frame is damaged") from e
+    if len({len(x) for x in decoded}) > 1:
+        raise ValueError("the frames differ in size")
+    return np.stack(decoded)[np.cumsum([bool(f) for f in frames]) - 1]
+
+
 def clips(files: DataFrame, id_col: str, media_col: str = "media", k: float = 3.0) -> DataFrame:
-    """Timed clip rows of AVI files: ``id_col``, shot, first_frame, end_frame, start_s, end_s."""
+    """Timed clip rows of AVI files: ``id_col``, shot, first_frame, end_frame, start_s, end_s, error.
+
+    A file that cannot be read, or holds frames that this reader refuses, has one row with the reason in ``error`` and nothing else; null files and files without frames have none.
+    """
     rows = files.select(F.col(id_col).alias("_id"), F.col(media_col).alias("_media")).where("_media is not null")
     id_type = rows.schema["_id"].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         at, out = [], []
         for i, file in enumerate(utf8(batch, "_media")):
-            frames, rate = read_avi(file)
-            if frames:
-                starts = [0, *cuts(np.stack(decode_frames(frames)), k).tolist()]
-                for shot, (a, b) in enumerate(zip(starts, [*starts[1:], len(frames)], strict=True)):
-                    at.append(i)
-                    out.append((shot, a, b, a / rate, b / rate))
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64())
-        return pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(at, pa.int32())), *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds))], ["_id", "shot", "first_frame", "end_frame", "start_s", "end_s"])
-
-    return map_batches(rows, work, f"_id {id_type}, shot int, first_frame int, end_frame int, start_s double, end_s double").withColumnRenamed("_id", id_col)
+            try:
+                frames, rate = read_avi(file)
+                starts = [0, *cuts(images_of(frames), k).tolist()] if frames else []
+                found = [(shot, a, b, a / rate, b / rate, None) for shot, (a, b) in enumerate(zip(starts, [*starts[1:], len(frames)]))]
+            except (ValueError, IndexError, struct.error, ZeroDivisionError) as e:
+                found = [(None, None, None, None, None, str(e) or "the file is damaged")]
+            out += found
+            at += [i] * len(found)
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.string())
+        return pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(at, pa.int32())), *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds))], ["_id", "shot", "first_frame", "end_frame", "start_s", "end_s", "error"])
+
+    return map_batches(rows, work, f"_id {id_type}, shot int, first_frame int, end_frame int, start_s double, end_s double, error string").withColumnRenamed("_id", id_col)

@@ -89,3 +89,55 @@ def test_operator(spark):
     shots = [tuple(r) for r in m.clips(m.media(df), "doc_id").collect()]
     assert len(shots) == sum(len(r["shots"]) for r in got.values())
     assert m.media(df.limit(0)).count() == 0
+
+
+def test_usual_tables():
+    for counts, symbols in m.USUAL.values():
+        assert sum(counts) == len(symbols) == len(set(symbols))
+    assert [len(m.USUAL[x][1]) for x in (0, 1, 16, 17)] == [12, 12, 162, 162]
+    grey = m.encode_frames(np.arange(64, dtype=np.uint8)[None])[0]
+    tables = grey.index(b"\xff\xc4")
+    size = struct.unpack_from(">H", grey, tables + 2)[0] + 2
+    bare = m.Tables(grey[:tables] + grey[tables + size :])  # without Huffman tables of its own
+    assert (bare.blocks[0][1] == m.Tables(grey).blocks[0][1]).all() and bare.blocks[0][2][0b1010 << 12] == 4  # end of block is 1010
+
+
+def brute_cuts(images, k=3.0, reach=12, floor=0.25):
+    """Cuts by plain loops over the definition."""
+    import statistics
+
+    grids = [[sum(1 for p in image if p // 16 == level) for level in range(16)] for image in images.tolist()]
+    d = [sum(abs(x - y) for x, y in zip(a, b)) / (2 * images.shape[1]) for a, b in zip(grids, grids[1:])]
+    out = []
+    for i, x in enumerate(d):
+        others = d[max(0, i - reach) : i] + d[i + 1 : i + 1 + reach]
+        mean = sum(others) / len(others) if others else 0
+        if x > mean + k * (statistics.pstdev(others) if others else 0) and x >= floor:
+            out.append(i + 1)
+    return out
+
+
+def test_cuts_against_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        shots = [np.clip(rng.integers(0, 256) + rng.integers(-30, 30, (int(rng.integers(1, 40)), 64)), 0, 255) for _ in range(int(rng.integers(1, 6)))]
+        images = np.concatenate(shots).astype(np.uint8)
+        assert m.cuts(images).tolist() == brute_cuts(images)
+
+
+def test_clips_of_damaged_files(spark):
+    good = m.store([m.padded(bytes([10] * 64 * 30 + [200] * 64 * 20))])[0]
+    frames = m.encode_frames(np.full((2, 64), 9, np.uint8))
+    bad = {
+        "junk": b"junk", "short": b"RIFF", "no movie": good[:60], "cut": m.write_avi([frames[0][:40]]), "text": m.write_avi([b"text"]),
+        "restart": m.write_avi([frames[0][:2] + m._segment(0xDD, b"\0\1") + frames[0][2:]]), "progressive": m.write_avi([frames[0].replace(b"\xff\xc0", b"\xff\xc2")]), "first empty": m.write_avi([b"", frames[0]]),
+    }
+    films = {"good": good, "repeat": m.write_avi([frames[0], b"", frames[1]]), "none": m.write_avi([]), "null": None, **bad}
+    rows = m.clips(spark.createDataFrame([(k, v, 1) for k, v in films.items()], "name string, media binary, shot int"), "name").collect()
+    assert {r["name"] for r in rows if r["error"]} == set(bad)
+    assert sorted((r["name"], r["first_frame"], r["end_frame"]) for r in rows if not r["error"]) == [("good", 0, 30), ("good", 30, 50), ("repeat", 0, 3)]
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a", 5, b"x", "f")], "doc_id long, text string, n_bytes int, media binary, feature string")
+    assert [(r["doc_id"], r["n_bytes"], r["payload_bytes"]) for r in m.media(df).collect()] == [(1, 1, 64)]

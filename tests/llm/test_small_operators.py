@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from testlattice.llm import exact_dedup as ex
 from testlattice.llm import line_dedup as ld
@@ -190,3 +191,52 @@ def test_memo_keeps_frequent_words():
         assert (get("often"), get(f"rare{k}")) == ("oftenoften", f"rare{k}" * 2)
         assert len(memo.now) + len(memo.before) <= 10
     assert made.count("often") == 1 and len(made) == 21
+
+
+def brute_train(positive, unlabelled, n, prior, rounds=400, rate=0.1, decay=1e-4):
+    """The non-negative estimator with dense rows, loops over rows, and Adam written out."""
+    w, m, v = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
+
+    def dense(rows):
+        out = np.zeros((len(rows), n + 1))
+        out[:, n] = 1
+        for i, r in enumerate(rows):
+            for c in r:
+                out[i, c] += 1
+        return out
+
+    p, u = dense(positive), dense(unlabelled)
+    for step in range(1, rounds + 1):
+        risk_u = np.mean([np.log1p(np.exp(x @ w)) for x in u])
+        risk_p = np.mean([np.log1p(np.exp(x @ w)) for x in p])
+        sigma = lambda x: 1 / (1 + np.exp(-(x @ w)))  # noqa: B023, E731
+        of_u = sum(sigma(x) * x for x in u) / len(u)
+        of_p = sum(sigma(x) * x for x in p) / len(p)
+        to_p = sum((sigma(x) - 1) * x for x in p) / len(p)
+        g = prior * to_p + of_u - prior * of_p if risk_u - prior * risk_p >= 0 else prior * of_p - of_u
+        g[:n] += decay * w[:n]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g**2
+        w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return w
+
+
+def test_training_against_brute_force():
+    rng = np.random.default_rng(4)
+    for prior in (0.05, 0.5):
+        rows = lambda k: [np.unique(rng.integers(0, 12, rng.integers(0, 6))) for _ in range(k)]
+        positive, unlabelled = rows(15), rows(40)
+        assert np.allclose(tx.train(positive, unlabelled, 12, prior, rounds=60), brute_train(positive, unlabelled, 12, prior, rounds=60), atol=1e-6)
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    long = "idle words go on\n" * 150_000
+    docs = spark.createDataFrame([(1, long, "s", 0.5, 3), (2, "x", "s", 0.5, 3), (3, "x", "s", 0.5, 3)], "doc_id long, text string, source string, score double, n_lines int")
+    labels = spark.createDataFrame([(2, 1)], "doc_id long, toxic int")
+    scored = {r["doc_id"]: r["score"] for r in tx.toxicity(docs, labels).collect()}
+    assert len(scored) == 3 and all(0 <= s <= 1 for s in scored.values()) and scored[2] == scored[3]
+    from testlattice.llm import line_dedup, mixing
+
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in line_dedup.line_dedup(docs, min_docs=2).collect()}
+    assert got == {1: (150_001, 0), 2: (1, 1), 3: (1, 1)}
+    mix = mixing.mix_sources(docs.withColumn("block", F.lit("b")).withColumn("alpha", F.lit("a"))).collect()
+    assert sorted(r["doc_id"] for r in mix) == [1, 2, 3] and {r["n_tokens"] for r in mix} == {600_000, 1}
