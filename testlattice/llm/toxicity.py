@@ -6,12 +6,13 @@ the second part turns negative, the step goes up it instead of down (the non-neg
 rows among all labelled training rows.
 
 Features are present or absent: a text's distinct lower-cased words, whole and as prefixes of 4 to 8 letters, so that a
-rare ending doesn't hide a known stem, and the length of a text doesn't add to its score. Of the words found in P, those
-stay that are more frequent there than in U by a two-proportion z test.
+rare ending doesn't hide a known stem, and the length of a text doesn't add to its score. Words are counted on the executors over
+every training row: those in at least 3 toxic rows stay that are more frequent there than in all rows by a two-proportion z test.
 
-The two samples are the ``max_positive`` and ``max_unlabelled`` training rows with the smallest hash of their id; these bounds
-keep training data small at every input size. Counting words runs on the executors; what reaches the driver is at most ``max_features``
-words and the sampled rows' places in that list. Every row of the table is scored, from its whole text.
+The gradient steps see the ``max_positive`` toxic and ``max_unlabelled`` other training rows with the smallest hash of their id; these bounds
+keep what the driver holds small at every input size. A word that none of them has, too rare for the sample, gets its weight from the counts: the
+logarithm of its ratio in toxic and in all rows, divided by the forms of a word, as these occur together.
+What reaches the driver is at most ``max_features`` words and the sampled rows' places in that list. Every row of the table is scored, from its whole text.
 
 Defined results: null counts as empty; a text without known words gets the classifier's bias; without labels or
 positives the score is the prior for all rows; a doc_id with several labels is toxic if any says so.
@@ -20,13 +21,15 @@ positives the score is the prior for all rows; a doc_id with several labels is t
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, map_batches, ready, utf8
+from .common import give_back, map_batches, ready, utf8
 
 WORDS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6, 7, 8)
@@ -80,6 +83,35 @@ def _smallest(ids: DataFrame, most: int) -> DataFrame:
     return ids.orderBy(F.xxhash64("_id"), "_id").limit(most)
 
 
+def word_counts(rows: DataFrame, most: int = 100_000) -> DataFrame:
+    """(word, in_p, in_u): how many rows of ``rows`` (_text, p) have a word, toxic ones and all. A task adds up before it sends, at most about ``most`` words at a time."""
+    ready(rows.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every, toxic = Counter(), Counter()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            words = list(every)
+            for at in range(0, len(words), 20_000):
+                own = words[at : at + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([toxic[w] for w in own], pa.int64()), pa.array([every[w] for w in own], pa.int64())], ["word", "in_p", "in_u"])
+            every.clear()
+            toxic.clear()
+
+        for batch in batches:
+            for text, p in zip(utf8(batch, "_text"), batch.column("p").to_pylist(), strict=True):
+                found = features(text.decode("utf-8", "replace"))
+                every.update(found)
+                if p:
+                    toxic.update(found)
+                if len(every) > most:
+                    yield from flush()
+        yield from flush()
+        give_back()
+
+    return rows.select("_text", "p").mapInArrow(work, "word string, in_p long, in_u long").groupBy("word").agg(F.sum("in_p").alias("in_p"), F.sum("in_u").alias("in_u"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_positive: int = 5000, max_unlabelled: int = 10000, max_features: int = 20000, least_z: float = 4.0) -> tuple[dict[str, float], float]:
     """Weights of words and the bias, learnt from rows that aren't held out."""
     ready(docs.sparkSession)
@@ -87,23 +119,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marks = labels.select(F.col(id_col).alias("_id"), "toxic").where(F.col("_id").isNotNull() & ~held_out(F.col("_id")) & F.col("toxic").isNotNull()).groupBy("_id").agg((F.max("toxic") >= 1).alias("toxic"))
     counts = marks.agg(F.count(F.lit(1)).alias("n"), F.count_if("toxic").alias("toxic")).first()
     prior = min(0.9, max(1e-4, counts["toxic"] / counts["n"])) if counts["n"] else 1e-4
-    positive = _smallest(own.select("_id").join(marks.where("toxic"), "_id", "left_semi").distinct(), max_positive).withColumn("p", F.lit(True))
-    unlabelled = _smallest(own.select("_id").distinct(), max_unlabelled).withColumn("u", F.lit(True))
-    chosen = positive.join(unlabelled, "_id", "full").select("_id", F.coalesce("p", F.lit(False)).alias("p"), F.coalesce("u", F.lit(False)).alias("u"))
-    sample = cut_lineage(own.join(chosen, "_id"))
-
-    def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [sorted(features(x.decode("utf-8", "replace"))) for x in utf8(batch, "_text")]
-        at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([w for x in found for w in x], pa.string()), batch.column("p").take(at), batch.column("u").take(at)], ["word", "p", "u"])
-
-    sizes = sample.agg(F.count_if("p").alias("p"), F.count_if("u").alias("u")).first()
-    if not sizes["p"] or not sizes["u"]:
+    bad = marks.where("toxic").select("_id", F.lit(True).alias("p"))
+    marked = own.join(bad, "_id", "left").select("_id", "_text", F.coalesce("p", F.lit(False)).alias("p"))
+    sizes = own.select("_id").join(bad, "_id", "left").agg(F.count_if("p").alias("p"), F.count(F.lit(1)).alias("u")).first()
+    if not sizes["p"]:
         return {}, float(np.log(prior / (1 - prior)))
     a, b = F.col("in_p") / sizes["p"], F.col("in_u") / sizes["u"]
     pooled = (F.col("in_p") + F.col("in_u")) / (sizes["p"] + sizes["u"])
     z = (a - b) / F.sqrt(pooled * (1 - pooled) * (1 / sizes["p"] + 1 / sizes["u"]) + F.lit(1e-12))
-    words = [r["word"] for r in map_batches(sample, spread, "word string, p boolean, u boolean", 50).groupBy("word").agg(F.count_if("p").alias("in_p"), F.count_if("u").alias("in_u")).where("in_p >= 3").withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "word").limit(max_features).collect()]
+    top = word_counts(marked).where("in_p >= 3").withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "word").limit(max_features).select("word", F.log(a / b).alias("ratio")).collect()
+    words, ratios = [r["word"] for r in top], [r["ratio"] for r in top]
+    positive = _smallest(own.select("_id").join(bad, "_id", "left_semi").distinct(), max_positive).withColumn("p", F.lit(True))
+    unlabelled = _smallest(own.select("_id").distinct(), max_unlabelled).withColumn("u", F.lit(True))
+    chosen = positive.join(unlabelled, "_id", "full").select("_id", F.coalesce("p", F.lit(False)).alias("p"), F.coalesce("u", F.lit(False)).alias("u"))
+    sample = own.join(chosen, "_id")
     number = {w: i for i, w in enumerate(words)}
 
     def place(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -112,7 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     got = sorted(map_batches(sample, place, "rows array<int>, p boolean, u boolean, _key string").collect(), key=lambda r: (r["_key"], r["rows"]))
     w = train([np.array(r["rows"], int) for r in got if r["p"]], [np.array(r["rows"], int) for r in got if r["u"]], len(words), prior)
-    return {x: float(w[i]) for x, i in number.items()}, float(w[-1])
+    seen = {i for r in got for i in r["rows"]}
+    return {x: float(w[i]) if i in seen else ratios[i] / (1 + len(PREFIXES)) for x, i in number.items()}, float(w[-1])
 
 
 def score_text(text: str, weights: dict[str, float], bias: float) -> float:

@@ -146,6 +146,29 @@ def test_held_out_accuracy(spark):
     assert caught >= 0.7 * sum(y for _, y in own) and false <= 0.03 * sum(1 - y for _, y in own)
 
 
+def test_toxicity_counts_words_over_all_training_rows(spark):
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"word{i}" for i in rng.integers(0, 40, rng.integers(0, 30))) for _ in range(120)] + [None, "", "word1 WORD1 word12"]
+    bad = rng.integers(0, 2, len(texts)).astype(bool)
+    rows = spark.createDataFrame([(t, bool(p)) for t, p in zip(texts, bad, strict=True)], "_text string, p boolean").repartition(5)
+    want = {}
+    for t, p in zip(texts, bad, strict=True):
+        for w in tx.features(t or ""):
+            n = want.setdefault(w, [0, 0])
+            n[0] += int(p)
+            n[1] += 1
+    for most in (3, 100_000):
+        assert {r["word"]: [r["in_p"], r["in_u"]] for r in tx.word_counts(rows, most).collect()} == want
+
+
+def test_toxicity_knows_words_too_rare_for_the_sample(spark):
+    plain = [f"calm river stone {i % 7} meadow" for i in range(900)]
+    docs = spark.createDataFrame([(i, t + (" vilewords" if i % 60 == 0 else " nastier" if i % 6 == 0 else "")) for i, t in enumerate(plain)], "doc_id long, text string")
+    labels = docs.select("doc_id", (docs.doc_id % 6 == 0).cast("int").alias("toxic"))
+    weights, _ = tx.fit(docs, labels, max_positive=6, max_unlabelled=12, least_z=2.0)
+    assert weights["vilewords"] > 0 and weights["nastier"] > 0
+
+
 def test_toxicity_without_labels_and_with_odd_rows(spark):
     docs = spark.createDataFrame([(1, "a b", 0.5), (None, None, 0.1), (2, "", 0.2)], "doc_id long, text string, score double")
     none = spark.createDataFrame([], "doc_id long, toxic int")
