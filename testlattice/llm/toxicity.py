@@ -21,6 +21,7 @@ positives the score is the prior for all rows; a doc_id with several labels is t
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,11 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, map_batches, ready, utf8
+from .common import cut_lineage, give_back, map_batches, ready, utf8
 
 WORDS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6, 7, 8)
 
+#: Flags of words that toxic rows have; workers send no other word. Words that share a flag cost rows, not results.
+PLACES = 1 << 20
+
 
 def features(text: str) -> set[str]:
     words = set(WORDS.findall(text.lower()))
@@ -83,33 +87,32 @@ def _smallest(ids: DataFrame, most: int) -> DataFrame:
     return ids.orderBy(F.xxhash64("_id"), "_id").limit(most)
 
 
-def word_counts(rows: DataFrame, most: int = 100_000) -> DataFrame:
-    """(word, in_p, in_u): how many rows of ``rows`` (_text, p) have a word, toxic ones and all. A task adds up before it sends, at most about ``most`` words at a time."""
+def word_counts(rows: DataFrame, places: bytes | None = None, most: int = 100_000) -> DataFrame:
+    """(word, n): how many rows of ``rows`` (_text) have a word. A task adds up before it sends, at most about ``most`` words at a time.
+
+    With ``places``, PLACES flags, words whose place isn't set are left out.
+    """
     ready(rows.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, toxic = Counter(), Counter()
+        counts = Counter()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            words = list(every)
+            words = [w for w in counts if places is None or places[zlib.crc32(w.encode("utf-8")) % PLACES]]
             for at in range(0, len(words), 20_000):
                 own = words[at : at + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([toxic[w] for w in own], pa.int64()), pa.array([every[w] for w in own], pa.int64())], ["word", "in_p", "in_u"])
-            every.clear()
-            toxic.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([counts[w] for w in own], pa.int64())], ["word", "n"])
+            counts.clear()
 
         for batch in batches:
-            for text, p in zip(utf8(batch, "_text"), batch.column("p").to_pylist(), strict=True):
-                found = features(text.decode("utf-8", "replace"))
-                every.update(found)
-                if p:
-                    toxic.update(found)
-                if len(every) > most:
+            for text in utf8(batch, "_text"):
+                counts.update(features(text.decode("utf-8", "replace")))
+                if len(counts) > most:
                     yield from flush()
         yield from flush()
         give_back()
 
-    return rows.select("_text", "p").mapInArrow(work, "word string, in_p long, in_u long").groupBy("word").agg(F.sum("in_p").alias("in_p"), F.sum("in_u").alias("in_u"))
+    return rows.select("_text").mapInArrow(work, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_positive: int = 5000, max_unlabelled: int = 10000, max_features: int = 20000, least_z: float = 4.0) -> tuple[dict[str, float], float]:
@@ -120,14 +123,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     counts = marks.agg(F.count(F.lit(1)).alias("n"), F.count_if("toxic").alias("toxic")).first()
     prior = min(0.9, max(1e-4, counts["toxic"] / counts["n"])) if counts["n"] else 1e-4
     bad = marks.where("toxic").select("_id", F.lit(True).alias("p"))
-    marked = own.join(bad, "_id", "left").select("_id", "_text", F.coalesce("p", F.lit(False)).alias("p"))
-    sizes = own.select("_id").join(bad, "_id", "left").agg(F.count_if("p").alias("p"), F.count(F.lit(1)).alias("u")).first()
-    if not sizes["p"]:
+    # Toxic ids grow with the input: never broadcast.
+    toxic_rows = own.join(bad.hint("merge"), "_id")
+    n_p, n_u = toxic_rows.select("_id").count(), own.count()
+    if not n_p:
         return {}, float(np.log(prior / (1 - prior)))
-    a, b = F.col("in_p") / sizes["p"], F.col("in_u") / sizes["u"]
-    pooled = (F.col("in_p") + F.col("in_u")) / (sizes["p"] + sizes["u"])
-    z = (a - b) / F.sqrt(pooled * (1 - pooled) * (1 / sizes["p"] + 1 / sizes["u"]) + F.lit(1e-12))
-    top = word_counts(marked).where("in_p >= 3").withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "word").limit(max_features).select("word", F.log(a / b).alias("ratio")).collect()
+    in_p = cut_lineage(word_counts(toxic_rows).where("n >= 3").withColumnRenamed("n", "in_p"))
+    places = bytearray(PLACES)
+    for r in in_p.select(F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(PLACES)).alias("at")).distinct().collect():
+        places[r["at"]] = 1
+    in_u = word_counts(own, bytes(places)).withColumnRenamed("n", "in_u")
+    a, b = F.col("in_p") / n_p, F.col("in_u") / n_u
+    pooled = (F.col("in_p") + F.col("in_u")) / (n_p + n_u)
+    z = (a - b) / F.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u) + F.lit(1e-12))
+    top = in_p.join(in_u, "word").withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "word").limit(max_features).select("word", F.log(a / b).alias("ratio")).collect()
     words, ratios = [r["word"] for r in top], [r["ratio"] for r in top]
     positive = _smallest(own.select("_id").join(bad, "_id", "left_semi").distinct(), max_positive).withColumn("p", F.lit(True))
     unlabelled = _smallest(own.select("_id").distinct(), max_unlabelled).withColumn("u", F.lit(True))
