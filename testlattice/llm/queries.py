@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import exact_dedup as exact
 from . import line_dedup as lines
-from . import html_text, media, mixing, near_dedup, sentencepiece_codec, suffix_dedup, token_file, toxicity
+from . import byte_bpe, filter_audit, html_text, media, mixing, near_dedup, sentencepiece_codec, source_audit, suffix_dedup, token_file, toxicity
 from .common import table
 
 MIX = {"entropy_ratio": 0.98, "max_repeats": 4.0, "block_tokens": 100_000}
@@ -25,6 +25,13 @@ def tokenizer_file(spark: SparkSession, name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def pattern() -> str:
+    """The expression that splits text before the merges of the public rank files."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), **MIX)
 
@@ -66,6 +73,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.source_audit(table(spark, sf_dir, "documents"), min_docs=10, most_terms=10)
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode_digest(table(spark, sf_dir, "documents"), tokenizer_file(spark, "byte_bpe_50k.tiktoken"), pattern())
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -121,7 +140,47 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (frequent.key IS NOT NULL) A
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (frequent.key IS NULL), '')) AS kept_sha256
 FROM keyed LEFT JOIN frequent ON keyed.key = frequent.key GROUP BY doc_id
 """
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(words) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask
+  FROM d LEFT JOIN l ON l.doc_id = d.doc_id
+), n AS (SELECT part, mask, good, toxic, count(*) AS n FROM m GROUP BY ALL
+), f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS x(name, bit)
+), o AS (SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM f AS a, f AS b, f AS c, f AS d, f AS e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), s AS (SELECT filter_order, k AS step, bits[k] AS bit, CAST(coalesce(list_sum(bits[1:k - 1]), 0) AS INTEGER) AS before FROM o, (SELECT CAST(unnest([1, 2, 3, 4, 5]) AS INTEGER) AS k) AS ks
+), r AS (
+  SELECT part, filter_order, step, bit, CAST(coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit <> 0), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (mask & before <> 0 AND mask & bit <> 0), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (mask = bit), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit <> 0 AND good = 1), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit <> 0 AND toxic = 1), 0) AS BIGINT) AS toxic_lost
+  FROM n, s GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r
+"""
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+), t AS (SELECT id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 10
+), c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN kept ON kept.lang = t.lang AND kept.term = t.term GROUP BY ALL
+), g AS (SELECT DISTINCT lang, source FROM d
+), v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), gn AS (SELECT g.lang, g.source, coalesce(v, 0) AS v, (SELECT coalesce(sum(n), 0) FROM c WHERE c.lang = g.lang AND c.source = g.source) AS total FROM g LEFT JOIN v ON v.lang = g.lang
+), ln AS (SELECT lang, v, sum(total) AS total FROM gn GROUP BY lang, v
+), lc AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term
+), lp AS (SELECT lc.lang, term, 1 + (1000000000::HUGEINT * (n + 2)) // (total + 2 * v) AS p FROM lc JOIN ln ON ln.lang = lc.lang
+), p AS (SELECT gn.lang, gn.source, kept.term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 2)) // (total + 2 * v) AS p FROM gn JOIN kept ON kept.lang = gn.lang LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = kept.term
+), pairs AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p AS a JOIN p AS b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL
+), every_ AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g AS a JOIN g AS b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL SELECT p.lang, p.source, 'term', p.term, ((p.p - lp.p) * (p.p - lp.p)) // (p.p + lp.p) FROM p JOIN lp ON lp.lang = p.lang AND lp.term = p.term WHERE p.n > 0 AND p.p > lp.p
+), ranked AS (SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM every_)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op1_source_mixing": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op8_line_dedup": OP8_SQL, "op11_filter_audit": OP11_SQL, "op12_source_audit": OP12_SQL}
