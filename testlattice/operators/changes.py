@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sf
+from ..session import pinned
 
 
 def changed_files(paths: DataFrame) -> DataFrame:
@@ -29,13 +30,20 @@ def changed_tests(name_status: DataFrame) -> DataFrame:
 def patch_classes(patch: DataFrame, by: str = "patch_id") -> DataFrame:
     """Every patch line with the class of the file it belongs to; lines are (patch_id, line_no, line).
 
-    A ``diff --git`` line always carries a struct, whose path may name no class, so a file that is no source ends the one before. Patches are independent
-    of each other: they are filled in partitions of their own.
+    A ``diff --git`` line always carries a struct, whose path may name no class, so a file that is no source ends the one before. Lines are dealt out by
+    ranges, whatever the number of patches: each range is filled on its own, and what comes before its first header is that of the last range with one. The
+    window over ranges has a row for each range and patch.
     """
     head = F.col("line").startswith("diff --git")
     mark = F.when(head, F.struct(sf.diff_target(F.col("line")).alias("path")))
-    fill = F.last(mark, ignorenulls=True).over(W.partitionBy(by).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0))
-    return patch.withColumn("_head", head).withColumn("_path", fill["path"]).withColumn("class_fqn", sf.path_to_fqn(F.col("_path"))).drop("_path")
+    dealt = pinned(patch.withColumn("_head", head).withColumn("_mark", mark).repartitionByRange(by, "line_no").withColumn("_range", F.spark_partition_id()))
+    inside = F.last("_mark", ignorenulls=True).over(W.partitionBy("_range", by).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0))
+    carried = F.last("_last", ignorenulls=True).over(W.partitionBy(by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    ends = dealt.groupBy("_range", by).agg(F.max_by("_mark", F.when(F.col("_head"), F.col("line_no"))).alias("_last"))
+    told = ends.select("_range", F.col(by).alias("_by"), carried.alias("_carried"))
+    filled = dealt.withColumn("_inside", inside).alias("l").join(told.alias("r"), (F.col("l._range") == F.col("r._range")) & F.col(f"l.{by}").eqNullSafe(F.col("r._by")))
+    path = F.coalesce("_inside", "_carried")["path"]
+    return filled.select(*(F.col(f"l.{c}") for c in patch.columns), F.col("l._head"), sf.path_to_fqn(path).alias("class_fqn"))
 
 
 def changed_methods(patch: DataFrame, by: str = "patch_id") -> DataFrame:

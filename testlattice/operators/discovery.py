@@ -40,41 +40,39 @@ def modified_known(changed_test: DataFrame, map_test: DataFrame) -> DataFrame:
     return own.join(touched, "simple", "left_semi").select(F.col("test_fqn").alias("class_fqn"))
 
 
-def code_lines(text: Column) -> Column:
-    """Trimmed lines outside block comments, as an array. A comment counts as open from a line that begins with its mark."""
+# White space that is trimmed from a line, without the line's end.
+_BLANK = r"[\x00-\x09\x0b-\x20]"
+_COMMENT = rf"(?dm)^{_BLANK}*/(?=\*)(?:(?s:.*?)\*/[^\n]*|(?s:.*))"
 
-    def step(state: Column, raw: Column) -> Column:
-        line = F.trim(raw)
-        opens = ~state["inside"] & line.startswith("/*")
-        closed = line.contains("*/")
-        kept = F.when(state["inside"] | opens, state["lines"]).otherwise(F.concat(state["lines"], F.array(line)))
-        return F.struct(((state["inside"] | opens) & ~closed).alias("inside"), kept.alias("lines"))
 
-    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("lines"))
-    return F.aggregate(F.split(F.replace(text, F.lit("\r"), F.lit("")), "\n"), start, step, lambda s: s["lines"])
+def code_text(text: Column) -> Column:
+    """The text with empty lines in place of block comments.
 
+    A comment opens where a line begins with its mark, and ends with the line that has the closing mark, or with the text; both marks may share a line.
+    One expression cuts all comments in one pass, so neither its code nor its time depends on the number of lines.
+    """
+    return F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), _COMMENT, "")
 
-def _bound(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` evaluated once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+
+def code_lines(text: Column) -> Column:
+    """The trimmed lines of ``code_text`` as an array."""
+    return F.transform(F.split(code_text(text), "\n"), lambda x: F.regexp_replace(x, rf"^{_BLANK}+|{_BLANK}+$", ""))
 
 
 def source_reason(text: Column) -> Column:
     """why a test class may have no coverage; null if its source says nothing."""
-    return _bound(code_lines(text), lambda lines: _reason(text, lines))
+    return _reason(text, code_text(text))
 
 
-def _reason(text: Column, lines: Column) -> Column:
-    some = lambda f: F.exists(lines, f)
-    annotated = lambda x, a: (x == a) | x.startswith(f"{a}(")
+def _reason(text: Column, code: Column) -> Column:
     return (
         F.when(text.isNull(), F.lit(None).cast("string"))
-        .when(some(lambda x: annotated(x, "@Disabled") | annotated(x, "@Ignore")), DISABLED)
-        .when(some(lambda x: x.contains("Enclosed.class")), ENCLOSED)
-        .when(some(lambda x: x.rlike(r"^(final\s+)?class\s+")), PACKAGE_PRIVATE)
+        .when(code.rlike(rf"(?dm)^{_BLANK}*@(?:Disabled|Ignore)(?:\(|{_BLANK}*$)"), DISABLED)
+        .when(code.contains("Enclosed.class"), ENCLOSED)
+        .when(code.rlike(rf"(?dm)^{_BLANK}*(?:final[ \t\x0b\f]+)?class[ \t\x0b\f]+[^\s]"), PACKAGE_PRIVATE)
         .when(text.contains("System.getenv("), CONDITIONAL)
-        .when(some(lambda x: x.contains("@ArchTest")), ARCH)
-        .when(~some(lambda x: x.contains("@Test") | x.contains("@ParameterizedTest")), NO_TESTS)
+        .when(code.contains("@ArchTest"), ARCH)
+        .when(~(code.contains("@Test") | code.contains("@ParameterizedTest")), NO_TESTS)
     )
 
 
@@ -84,12 +82,9 @@ def not_instantiable(text: Column) -> Column:
 
 
 def _first_abstract(lines: Column) -> Column:
-    told = F.filter(lines, lambda x: (x != "") & ~x.rlike("^(package |import |//)"))
-    kind = F.transform(
-        told,
-        lambda x: F.when(x.contains("abstract class ") | x.contains("@interface ") | x.rlike(r"\binterface\s+\w+"), F.lit(1)).when(x.startswith("@"), F.lit(0)).when(x.contains(" class ") | x.contains(" enum "), F.lit(2)).otherwise(F.lit(0)),
-    )
-    return F.coalesce(F.try_element_at(F.filter(kind, lambda k: k > 0), F.lit(1)) == 1, F.lit(False))
+    kind = lambda x: F.when((x == "") | x.rlike("^(package |import |//)"), 0).when(x.contains("abstract class ") | x.contains("@interface ") | x.rlike(r"\binterface\s+\w+"), 1).when(x.startswith("@"), 0).when(x.contains(" class ") | x.contains(" enum "), 2).otherwise(0)
+    told = F.filter(F.transform(lines, kind), lambda k: k > 0)
+    return F.coalesce(F.try_element_at(told, F.lit(1)) == 1, F.lit(False))
 
 
 def unmapped(files: DataFrame, map_test: DataFrame, changed_test: DataFrame, source: DataFrame) -> DataFrame:
@@ -97,7 +92,7 @@ def unmapped(files: DataFrame, map_test: DataFrame, changed_test: DataFrame, sou
 
     ``source``: (class_fqn, text). Classes that cannot be instantiated are left out; a reason from the status of a changed file comes before one from the source.
     """
-    facts = source.withColumn("_lines", code_lines(F.col("text"))).select("class_fqn", _first_abstract(F.col("_lines")).alias("_skip"), _reason(F.col("text"), F.col("_lines")).alias("_why"))
+    facts = source.select("class_fqn", not_instantiable(F.col("text")).alias("_skip"), source_reason(F.col("text")).alias("_why"))
     own = new_tests(files, map_test).join(facts, "class_fqn", "left").where(~F.coalesce("_skip", F.lit(False)))
     status = changed_test.select(F.col("test_fqn").alias("class_fqn"), "status")
     told = own.join(status, "class_fqn", "left").select("class_fqn", F.when(F.col("status") == "A", NEW).when(F.col("status") == "M", CHANGED).otherwise(F.coalesce("_why", F.lit(UNKNOWN))).alias("reason"))
