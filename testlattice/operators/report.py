@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as sf
 from ..model import CHUNK_TESTS, INLINE_CAP, LIST_CAP, TOP_CLASSES
-from ..session import numbered
+from ..session import numbered, pinned
+
+# The reasons that are shown.
+COVERS_METHOD, COVERS_CLASS, UNTOLD = "covers changed method ", "covers changed class ", "Selected by coverage match"
+
+LIST_BLOCK = 10_000
 
 
 def class_expansion(map_test: DataFrame, selected: DataFrame) -> DataFrame:
@@ -109,13 +114,18 @@ def split_source(source: DataFrame) -> DataFrame:
 
 def reasons(cov_method: DataFrame, cov_class: DataFrame, changed_method: DataFrame, changed_class: DataFrame, selected: DataFrame) -> DataFrame:
     """Why each selected test was selected: matching methods in the order of its list, then classes without method information."""
+    chosen = selected.select("test_name").distinct()
+    told = _told(cov_method, cov_class, changed_method, changed_class).join(chosen, "test_name", "left_semi").groupBy("test_name").agg(F.array_sort(F.collect_list(F.struct("k", "pos", "t"))).alias("x"))
+    return chosen.join(told, "test_name", "left").select("test_name", F.coalesce(F.array_join("x.t", "; "), F.lit(UNTOLD)).alias("reason"))
+
+
+def _told(cov_method: DataFrame, cov_class: DataFrame, changed_method: DataFrame, changed_class: DataFrame) -> DataFrame:
+    """(test_name, k, pos, t): each reason of each test, methods (k = 0) before classes."""
     from .selection import class_only
 
-    methods = cov_method.join(changed_method.select("method_fqn").distinct(), "method_fqn", "left_semi").select("test_name", F.lit(0).alias("k"), "pos", F.concat(F.lit("covers changed method "), F.substring_index("method_fqn", "#", -1)).alias("t"))
-    classes = cov_class.join(class_only(changed_class, changed_method), "class_fqn", "left_semi").select("test_name", F.lit(1).alias("k"), "pos", F.concat(F.lit("covers changed class "), sf.short_class(F.col("class_fqn"))).alias("t"))
-    chosen = selected.select("test_name").distinct()
-    told = methods.unionByName(classes).join(chosen, "test_name", "left_semi").groupBy("test_name").agg(F.array_sort(F.collect_list(F.struct("k", "pos", "t"))).alias("x"))
-    return chosen.join(told, "test_name", "left").select("test_name", F.coalesce(F.array_join("x.t", "; "), F.lit("Selected by coverage match")).alias("reason"))
+    methods = cov_method.join(changed_method.select("method_fqn").distinct(), "method_fqn", "left_semi").select("test_name", F.lit(0).alias("k"), "pos", F.concat(F.lit(COVERS_METHOD), F.substring_index("method_fqn", "#", -1)).alias("t"))
+    classes = cov_class.join(class_only(changed_class, changed_method), "class_fqn", "left_semi").select("test_name", F.lit(1).alias("k"), "pos", F.concat(F.lit(COVERS_CLASS), sf.short_class(F.col("class_fqn"))).alias("t"))
+    return methods.unionByName(classes)
 
 
 def chunked(map_test: DataFrame, size: int = CHUNK_TESTS) -> DataFrame:
@@ -169,6 +179,40 @@ def ant_string(selected: DataFrame, unmapped: DataFrame) -> DataFrame:
     return classes.unionByName(bare).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "c", "t"))), lambda x: x["t"]), ",").alias("line"))
 
 
+# ---- lists in blocks: a key has as many rows as its list needs, so no list is ever one array
+
+
+def blocks(values: DataFrame, key: str, *order: str, value: str, size: int = LIST_BLOCK) -> DataFrame:
+    """(key, block, first, values): the values of each key in order, ``size`` to a block; ``first`` is the place of a block's first value in the whole list.
+
+    Rows are numbered over all keys together, in ranges; a key's places count from its own first number, so a key that all rows share is dealt out like any other.
+    """
+    rows = pinned(numbered(values, key, *order, name="_n"))
+    start = rows.groupBy(F.col(key).alias("_key")).agg(F.min("_n").alias("_start"))
+    placed = rows.join(start, rows[key].eqNullSafe(F.col("_key"))).withColumn("_at", F.col("_n") - F.col("_start"))
+    packed = placed.groupBy(key, F.floor(F.col("_at") / size).alias("block")).agg(F.array_sort(F.collect_list(F.struct("_at", value))).alias("x"))
+    return packed.select(key, "block", F.col("x._at")[0].alias("first"), F.col(f"x.{value}").alias("values"))
+
+
+def class_test_blocks(cov_class: DataFrame, size: int = LIST_BLOCK) -> DataFrame:
+    """The sorted tests of each class in blocks, (class_fqn, block, first, values)."""
+    return blocks(cov_class.select("class_fqn", "test_name").distinct(), "class_fqn", "test_name", value="test_name", size=size)
+
+
+def reason_blocks(cov_method: DataFrame, cov_class: DataFrame, changed_method: DataFrame, changed_class: DataFrame, selected: DataFrame, size: int = LIST_BLOCK) -> DataFrame:
+    """The reasons of each selected test in their order, in blocks; a test without a match has one block with the one reason."""
+    chosen = selected.select("test_name").distinct()
+    told = _told(cov_method, cov_class, changed_method, changed_class).join(chosen, "test_name", "left_semi")
+    none = chosen.join(told.select("test_name").distinct(), "test_name", "left_anti").select("test_name", F.lit(0).alias("k"), F.lit(0).cast("long").alias("pos"), F.lit(UNTOLD).alias("t"))
+    return blocks(told.unionByName(none), "test_name", "k", "pos", "t", value="t", size=size)
+
+
+def link_blocks(cov_class: DataFrame, extra: DataFrame, value: str, size: int = LIST_BLOCK) -> DataFrame:
+    """What ``extra`` (class_fqn, value) has on the classes of each test, in blocks of (class_fqn, value) by class."""
+    own = cov_class.select("test_name", "class_fqn").distinct().join(extra.select("class_fqn", value), "class_fqn")
+    return blocks(own.select("test_name", "class_fqn", F.struct("class_fqn", value).alias("entry")), "test_name", "class_fqn", value="entry", size=size)
+
+
 def report_mode(tests: DataFrame) -> DataFrame:
     """One row (tests, mode): chunked where there are more tests than a chunk holds, else inline."""
     return tests.agg(F.count(F.lit(1)).alias("tests")).select("tests", F.when(F.col("tests") > CHUNK_TESTS, "chunked").otherwise("inline").alias("mode"))
