@@ -32,9 +32,10 @@ def mappings(covered: DataFrame) -> DataFrame:
 
 
 def without_test_classes(cov_class: DataFrame, cov_method: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Class rows without test classes, and method rows without those of classes just dropped from the same test."""
-    dropped = cov_class.where(sf.is_test_class(F.col("class_fqn"))).select("test_name", "class_fqn").distinct()
-    return cov_class.where(~sf.is_test_class(F.col("class_fqn"))), cov_method.join(dropped, ["test_name", "class_fqn"], "left_anti")
+    """Class rows without test classes, and method rows without those of classes just dropped from the same test (of the same map, where rows name one)."""
+    keys = [c for c in ("map_id",) if c in cov_class.columns and c in cov_method.columns] + ["test_name", "class_fqn"]
+    dropped = cov_class.where(sf.is_test_class(F.col("class_fqn"))).select(*keys).distinct()
+    return cov_class.where(~sf.is_test_class(F.col("class_fqn"))), cov_method.join(dropped, keys, "left_anti")
 
 
 def with_covered_lines(reports: DataFrame) -> DataFrame:
