@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as sf
 from ..model import CHUNK_TESTS, TEST_METRICS
-from ..operators import changes, coverage, discovery, explore, merge, report, selection
-from ..session import shared_path
-from ..sources import maps, reports, sinks
+from ..operators import changes, coverage, discovery, explore, history, merge, postings, report, selection, triggers, trigrams
+from ..session import pinned, shared_path
+from ..sources import maps, reports, sinks, store
+from ..streaming import ingest
+from .trees import move_parts, write_files
 from .views import Views, with_views
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,6 +109,20 @@ def _(v):
     return selection.trigger_match(v.changed_path, TRIGGERS)
 
 
+def many_globs(numbers: list[int]) -> list[str]:
+    return [f"src/main/java/com/*/P{k}.java" if k % 4 == 0 else f"**/Suite{k}Tes?.java" if k % 4 == 1 else f"{{doc,docs}}/README{k}.{{txt,md}}" if k % 4 == 2 else f"ext/**/S[{k % 10}]{k}.ja*" for k in numbers]
+
+
+@query("p11_many_globs", """WITH g AS (SELECT k, row_number() OVER (ORDER BY k DESC) AS place FROM {glob_number}), m AS (SELECT path, k, place FROM {changed_path} CROSS JOIN g WHERE CASE k % 4
+  WHEN 0 THEN starts_with(path, 'src/main/java/com/') AND ends_with(path, concat('/P', k, '.java')) AND length(path) - length(replace(path, '/', '')) = 5
+  WHEN 1 THEN contains(path, '/') AND regexp_matches(path, '/Suite[0-9]+Tes.[.]java$') AND regexp_extract(path, '/Suite([0-9]+)Tes', 1) = CAST(k AS VARCHAR)
+  WHEN 2 THEN path IN (concat('doc/README', k, '.txt'), concat('doc/README', k, '.md')) ELSE starts_with(path, 'ext/') AND contains(path, concat('/S', k % 10, k, '.ja')) END)
+  SELECT path, CASE k % 4 WHEN 0 THEN concat('src/main/java/com/*/P', k, '.java') WHEN 1 THEN concat('**/Suite', k, 'Tes?.java') WHEN 2 THEN concat('{{doc,docs}}/README', k, '.{{txt,md}}') ELSE concat('ext/**/S[', k % 10, ']', k, '.ja*') END AS pattern FROM m ORDER BY place, path LIMIT 1""")
+def _(v):
+    numbers = sorted((r["k"] for r in v.glob_number.collect()), reverse=True)  # at most 5,000
+    return triggers.first_trigger(v.changed_path, many_globs(numbers))
+
+
 @query("u4_runnable", f"WITH {PICK} SELECT test_name AS name FROM picked UNION SELECT class_fqn FROM {{unmapped}}")
 def _(v):
     return selection.runnable(_selected(v), v.unmapped)
@@ -176,19 +192,55 @@ def _(v):
     return changes.changed_tests(v.name_status)
 
 
-@query("w6_f3_f4_f5_changed_methods", f"""WITH h AS (SELECT *, max(CASE WHEN starts_with(line, 'diff') THEN line_no END) OVER (PARTITION BY patch_id ORDER BY line_no) AS head FROM {{patch}}),
-  f AS (SELECT h.line, string_split(d.line, ' b/')[-1] AS path FROM h JOIN {{patch}} AS d ON d.line_no = h.head AND d.patch_id = h.patch_id AND starts_with(d.line, 'diff') WHERE NOT starts_with(h.line, 'diff')),
+PATCH = f"""WITH h AS (SELECT *, max(CASE WHEN starts_with(line, 'diff') THEN line_no END) OVER (PARTITION BY patch_id ORDER BY line_no) AS head FROM {{PATCH_TABLE}}),
+  f AS (SELECT h.line, string_split(d.line, ' b/')[-1] AS path FROM h JOIN {{PATCH_TABLE}} AS d ON d.line_no = h.head AND d.patch_id = h.patch_id AND starts_with(d.line, 'diff') WHERE NOT starts_with(h.line, 'diff')),
   m AS (SELECT {FQN} AS class_fqn, regexp_extract(trim(regexp_extract(line, '^@@[ ]+[^@]+@@[ ]*(.*)$', 1)), '(?:public|private|protected|static|final|abstract|synchronized|native|default|[ ])*[a-zA-Z0-9_<>,\\[\\] ]+[ ]+([a-zA-Z0-9_]+)[ ]*[(]', 1) AS m FROM f)
-  SELECT DISTINCT concat(class_fqn, '#', m) AS method_fqn FROM m WHERE class_fqn IS NOT NULL AND m <> ''""")
+  SELECT DISTINCT concat(class_fqn, '#', m) AS method_fqn FROM m WHERE class_fqn IS NOT NULL AND m <> ''"""
+
+
+@query("w6_f3_f4_f5_changed_methods", PATCH.replace("PATCH_TABLE", "patch"))
 def _(v):
     return changes.changed_methods(v.patch)
 
 
+@query("w6_one_patch", PATCH.replace("PATCH_TABLE", "one_patch"))
+def _(v):
+    return changes.changed_methods(v.one_patch)
+
+
 @query("s9_commit_distance", "SELECT count(*) AS distance FROM {commits} WHERE position > (SELECT max(position) FROM {commits} WHERE commit_id = 'c700')")
 def _(v):
     return changes.commit_distance(v.commits, "c700")
 
 
+REACH = """RECURSIVE reach AS (
+    SELECT h.project, h.commit_id AS start, h.commit_id FROM {history} AS h WHERE h.commit_id IN (SELECT head_id FROM {head}) OR h.commit_id IN (SELECT commit_id FROM {map_commit})
+    UNION SELECT r.project, r.start, h.parent_id FROM reach AS r JOIN {history} AS h ON h.project = r.project AND h.commit_id = r.commit_id WHERE h.parent_id IS NOT NULL
+  ), pairs AS (SELECT m.project, slot, commit_id, head_id, commit_id IN (SELECT h.commit_id FROM {history} AS h WHERE h.project = m.project) AS known FROM {map_commit} AS m JOIN {head} AS t ON t.project = m.project
+  ), dist AS (SELECT p.project, slot, p.commit_id, p.head_id, CASE WHEN known THEN (SELECT count(*) FROM reach AS r WHERE r.project = p.project AND r.start = p.head_id AND r.commit_id NOT IN (SELECT q.commit_id FROM reach AS q WHERE q.project = p.project AND q.start = p.commit_id)) END AS distance FROM pairs AS p)"""
+
+
+@query("s9_commit_graph", f"WITH {REACH} SELECT project, slot, commit_id, head_id, CAST(distance AS BIGINT) AS distance FROM dist")
+def _(v):
+    return history.commit_distances(v.history, v.map_commit.join(v.head, "project")).select("project", "slot", "commit_id", "head_id", "distance")
+
+
+@query("s9_commit_graph_to_limit", f"WITH {REACH} SELECT project, slot, CAST(least(distance, 21) AS BIGINT) AS distance FROM dist WHERE distance IS NOT NULL")
+def _(v):
+    near = history.commit_distances(v.history, v.map_commit.join(v.head, "project"), most=20)
+    return near.where("distance is not null").select("project", "slot", "distance")
+
+
+@query("s9_known_commits", "SELECT project, slot, commit_id FROM {map_commit} AS m WHERE EXISTS (SELECT 1 FROM {history} AS h WHERE h.project = m.project AND h.commit_id = m.commit_id)")
+def _(v):
+    return history.known_commits(v.history, v.map_commit).select("project", "slot", "commit_id")
+
+
+@query("w9_nearest_by_history", f"WITH {REACH} SELECT project, slot, CAST(coalesce(distance, 2147483647) AS INT) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY coalesce(distance, 2147483647), slot = 'local') AS n FROM dist) AS s WHERE n = 1")
+def _(v):
+    return history.nearest_by_history(v.history, v.map_commit, v.head)
+
+
 # ---- discovery
 
 KNOWN = "known AS (SELECT DISTINCT split_part(test_name, '#', 1) AS simple FROM {map_test} WHERE instr(test_name, '#') > 1)"
@@ -228,6 +280,25 @@ def _(v):
     return v.plain_source.where(discovery.not_instantiable(F.col("text"))).select("class_fqn")
 
 
+CODE = """split AS (SELECT class_fqn, text, unnest(string_split(replace(text, chr(13), ''), chr(10))) AS raw, generate_subscripts(string_split(replace(text, chr(13), ''), chr(10)), 1) AS i FROM {commented_source}),
+  line AS (SELECT class_fqn, text, i, trim(raw, ' ' || chr(9)) AS x FROM split),
+  state AS (SELECT *, last_value(CASE WHEN contains(x, '*/') THEN 0 WHEN starts_with(x, '/*') THEN 1 END IGNORE NULLS) OVER (PARTITION BY class_fqn ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS inside FROM line),
+  code AS (SELECT * FROM state WHERE coalesce(inside, 0) = 0 AND NOT starts_with(x, '/*'))"""
+
+
+@query("w8_f22_commented_reason", f"""WITH {CODE} SELECT s.class_fqn, CASE WHEN bool_or(x IN ('@Disabled', '@Ignore') OR starts_with(x, '@Disabled(') OR starts_with(x, '@Ignore(')) THEN '{discovery.DISABLED}' WHEN bool_or(contains(x, 'Enclosed.class')) THEN '{discovery.ENCLOSED}'
+  WHEN bool_or(regexp_matches(x, '^(final +)?class +')) THEN '{discovery.PACKAGE_PRIVATE}' WHEN contains(s.text, 'System.getenv(') THEN '{discovery.CONDITIONAL}' WHEN bool_or(contains(x, '@ArchTest')) THEN '{discovery.ARCH}' WHEN NOT coalesce(bool_or(contains(x, '@Test')), false) THEN '{discovery.NO_TESTS}' END AS reason
+  FROM {{commented_source}} AS s LEFT JOIN code ON code.class_fqn = s.class_fqn GROUP BY s.class_fqn, s.text""")
+def _(v):
+    return v.commented_source.select("class_fqn", discovery.source_reason(F.col("text")).alias("reason"))
+
+
+@query("w8_p10_commented_kinds", f"""WITH {CODE}, kinds AS (SELECT class_fqn, i, CASE WHEN contains(x, 'abstract class ') OR regexp_matches(x, '\\binterface\\s+\\w+') THEN 1 WHEN starts_with(x, '@') THEN 0 WHEN contains(x, ' class ') THEN 2 ELSE 0 END AS kind FROM code WHERE NOT starts_with(x, 'package '))
+  SELECT class_fqn FROM (SELECT class_fqn, arg_min(kind, i) AS kind FROM kinds WHERE kind > 0 GROUP BY class_fqn) AS f WHERE kind = 1""")
+def _(v):
+    return v.commented_source.where(discovery.not_instantiable(F.col("text"))).select("class_fqn")
+
+
 @query("j7_d7_unmapped_reasons", f"""WITH {NEW}, {CHANGED_TEST}, {MODIFIED}, told AS (SELECT fresh.class_fqn, CASE status WHEN 'A' THEN '{discovery.NEW}' WHEN 'M' THEN '{discovery.CHANGED}' ELSE coalesce({REASON}, '{discovery.UNKNOWN}') END AS reason
   FROM fresh LEFT JOIN {{plain_source}} AS s ON s.class_fqn = fresh.class_fqn LEFT JOIN ct ON ct.test_fqn = fresh.class_fqn WHERE NOT coalesce(contains(text, 'public abstract class') OR contains(text, 'public interface'), false))
   SELECT class_fqn, reason FROM told UNION ALL SELECT class_fqn, '{discovery.MODIFIED_KNOWN}' FROM modified WHERE class_fqn NOT IN (SELECT class_fqn FROM told)""")
@@ -317,6 +388,34 @@ def _(v):
 RESOLVED = "r AS (SELECT test_name, u.class_fqn FROM {map_test} AS m JOIN (SELECT string_split(class_fqn, '.')[-1] AS simple, min(class_fqn) AS class_fqn FROM {unmapped} GROUP BY 1) AS u ON u.simple = m.test_class WHERE test_name NOT IN (SELECT test_name FROM {selected}))"
 
 
+VERSION = "test_name string, test_class string, payload bigint"
+
+
+@query("j12_store_merge", "SELECT * FROM {base_map} WHERE test_class NOT IN (SELECT test_class FROM {module_map}) UNION ALL SELECT * FROM {module_map}")
+def _(v):
+    path = shared_path(v.spark, "store")
+    store.merge(path, v.base_map, source="base", batch=0)
+    for _ in range(2):  # the second time changes nothing
+        store.merge(path, v.module_map, source="module", batch=0)
+    return store.read(v.spark, path, VERSION)
+
+
+@query("a17_store_by_test", "SELECT test_name, test_class, payload FROM (SELECT test_name, test_class, payload, 1 AS k FROM {module_map} UNION ALL SELECT test_name, test_class, payload, 0 FROM {base_map} WHERE test_name NOT IN (SELECT test_name FROM {module_map})) AS u")
+def _(v):
+    path = shared_path(v.spark, "store")
+    store.merge(path, v.base_map)
+    store.merge(path, v.module_map, how=store.replace_tests)
+    return store.read(v.spark, path, VERSION)
+
+
+@query("a3_store_of_counters", f"WITH {METRICS} SELECT * FROM metrics")
+def _(v):
+    path, columns = shared_path(v.spark, "store"), ["class_fqn", *coverage.FIELDS]
+    for rest in range(3):
+        store.merge(path, coverage.merge_metrics(v.counters.where(F.col("ord") % 3 == rest)).select(columns), key="class_fqn", how=store.merge_counters)
+    return store.read(v.spark, path, "class_fqn string, " + ", ".join(f"{c} int" for c in coverage.FIELDS))
+
+
 @query("j11_enriched_tests", f"WITH {RESOLVED} SELECT test_name FROM {{selected}} UNION SELECT test_name FROM r")
 def _(v):
     return merge.enrich(v.selected, v.unmapped, v.map_test)[0]
@@ -424,6 +523,53 @@ def _(v):
     return explore.grep(v.map_test, v.cov_class, v.cov_method, "T7")
 
 
+# ---- the same questions to stored postings
+
+
+def _postings(v: Views, *columns: str) -> tuple[DataFrame, ...]:
+    """(ids, postings of a column, ...) of the derived coverage, stored below the shared folder."""
+    path = shared_path(v.spark, "postings")
+    postings.test_numbers(v.map_test).write.parquet(f"{path}/ids")
+    ids = v.spark.read.parquet(f"{path}/ids")
+    for c in columns:
+        postings.store(postings.postings(v.cov_class if c == "class_fqn" else v.cov_method, ids, c), f"{path}/{c}")
+    return ids, *(postings.load(v.spark, f"{path}/{c}") for c in columns)
+
+
+def _trigrams(v: Views, names: DataFrame) -> str:
+    path = shared_path(v.spark, "trigrams")
+    trigrams.store(names, path)
+    return path
+
+
+@query("sel_by_postings", f"WITH {PICK} SELECT test_name, matched_by FROM picked")
+def _(v):
+    ids, classes, methods = _postings(v, "class_fqn", "method_fqn")
+    return postings.select_tests(methods, classes, ids, v.changed_method, v.changed_class)
+
+
+@query("j16_by_postings", "WITH k AS (SELECT DISTINCT class_fqn FROM {cov_class} WHERE test_name IN (SELECT test_name FROM {selected})) SELECT test_name, arg_min(class_fqn, pos) AS class_fqn FROM {cov_class} WHERE class_fqn IN (SELECT class_fqn FROM k) AND test_name NOT IN (SELECT test_name FROM {selected}) GROUP BY test_name")
+def _(v):
+    ids, classes = _postings(v, "class_fqn")
+    return postings.closure(classes, ids, v.selected)
+
+
+@query("p17_grep_by_trigrams", "SELECT DISTINCT 'test' AS kind, test_name AS name FROM {map_test} WHERE contains(lower(test_name), 'brand1') UNION SELECT 'class', class_fqn FROM {cov_class} WHERE contains(lower(class_fqn), 'brand1') UNION SELECT 'method', method_fqn FROM {cov_method} WHERE contains(lower(method_fqn), 'brand1')")
+def _(v):
+    return trigrams.search(v.spark, _trigrams(v, trigrams.names_of(v.map_test, v.cov_class, v.cov_method)), "BRAND1")
+
+
+@query("p14_similar_by_trigrams", "SELECT DISTINCT test_name AS name FROM {map_test} WHERE contains(test_name, 'Suite7')")
+def _(v):
+    return trigrams.search(v.spark, _trigrams(v, trigrams.names_of(v.map_test, v.cov_class, v.cov_method)), "Suite7", "test", ignore_case=False).select("name")
+
+
+@query("p15_similar_by_trigrams", "SELECT DISTINCT class_fqn FROM (SELECT test_name, arg_min(class_fqn, pos) AS class_fqn FROM {cov_class} WHERE contains(class_fqn, 'Brand1') GROUP BY 1) AS f ORDER BY class_fqn LIMIT 20")
+def _(v):
+    path = _trigrams(v, v.cov_class.select(F.lit("class").alias("kind"), F.col("class_fqn").alias("name")).distinct())
+    return trigrams.similar_classes(v.spark, path, _postings(v, "class_fqn")[1], "Brand1")
+
+
 # ---- report
 
 EXPANDED = "expanded AS (SELECT test_name, test_class, CASE WHEN test_name IN (SELECT test_name FROM {selected}) THEN 'selected' ELSE 'added' END AS kind FROM {map_test} WHERE test_class IN (SELECT split_part(test_name, '#', 1) FROM {selected}))"
@@ -497,6 +643,28 @@ def _(v):
     return report.class_tests(v.cov_class).select("class_fqn", F.array_join("tests", ",").alias("tests"))
 
 
+BLOCKS = 100
+
+
+@query("a21_test_blocks", f"SELECT class_fqn, block, block * {BLOCKS} AS first, string_agg(test_name, ',' ORDER BY n) AS tests FROM (SELECT *, n // {BLOCKS} AS block FROM (SELECT class_fqn, test_name, row_number() OVER (PARTITION BY class_fqn ORDER BY test_name) - 1 AS n FROM (SELECT DISTINCT class_fqn, test_name FROM {{cov_class}}) AS d) AS r) AS b GROUP BY class_fqn, block")
+def _(v):
+    return report.class_test_blocks(v.cov_class, BLOCKS).select("class_fqn", "block", "first", F.array_join("values", ",").alias("tests"))
+
+
+@query("a22_reason_blocks", f"""WITH {PICK}, r AS (SELECT test_name, 0 AS k, pos, concat('covers changed method ', split_part(method_fqn, '#', 2)) AS t FROM {{cov_method}} WHERE method_fqn IN (SELECT method_fqn FROM {{changed_method}})
+  UNION ALL SELECT test_name, 1, pos, concat('covers changed class ', string_split(class_fqn, '.')[-1]) FROM {{cov_class}} WHERE class_fqn IN (SELECT class_fqn FROM conly)),
+  n AS (SELECT p.test_name, coalesce(t, 'Selected by coverage match') AS t, row_number() OVER (PARTITION BY p.test_name ORDER BY k, pos, t) - 1 AS n FROM picked AS p LEFT JOIN r ON r.test_name = p.test_name)
+  SELECT test_name, n // 2 AS block, string_agg(t, '; ' ORDER BY n) AS reason FROM n GROUP BY test_name, n // 2""")
+def _(v):
+    found = report.reason_blocks(v.cov_method, v.cov_class, v.changed_method, v.changed_class, _selected(v), 2)
+    return found.select("test_name", "block", F.array_join("values", "; ").alias("reason"))
+
+
+@query("j13_link_blocks", f"WITH {PCT}, n AS (SELECT test_name, c.class_fqn, row_number() OVER (PARTITION BY test_name ORDER BY c.class_fqn) - 1 AS n FROM (SELECT DISTINCT test_name, class_fqn FROM {{cov_class}}) AS c JOIN pct ON pct.class_fqn = c.class_fqn) SELECT test_name, n // 3 AS block, string_agg(class_fqn, ',' ORDER BY n) AS classes FROM n GROUP BY test_name, n // 3")
+def _(v):
+    return report.link_blocks(v.cov_class, _pct(v), "line_pct", 3).select("test_name", "block", F.array_join("values.class_fqn", ",").alias("classes"))
+
+
 @query("j17_j18_source_lines", f"""WITH {MERGED} SELECT s.key, s.nr, s.text, CASE WHEN ci > 0 THEN 'hit' WHEN mi > 0 THEN 'missed' ELSE 'none' END AS hit, CASE WHEN coalesce(cb + mb, 0) = 0 THEN 'none' WHEN mb = 0 THEN 'full' WHEN cb = 0 THEN 'missed' ELSE 'partial' END AS branches
   FROM {{src_line}} AS s LEFT JOIN merged ON merged.class_fqn = s.key AND merged.nr = s.nr""")
 def _(v):
@@ -547,6 +715,12 @@ def _(v):
     return explore.section_search(report.search_index(report.chunk_rows(v.map_test, v.cov_class, v.cov_method, v.selected)), "Brand11", classes=True, methods=True, selected_only=True)
 
 
+@query("p20_search_by_trigrams", f"WITH {INDEX} SELECT * FROM idx WHERE s AND (contains(lower(c), 'brand11') OR contains(lower(m), 'brand11'))")
+def _(v):
+    rows = pinned(report.search_index(report.chunk_rows(v.map_test, v.cov_class, v.cov_method, v.selected)))
+    return trigrams.section_search(rows, _trigrams(v, trigrams.texts_of(rows)), "Brand11", "classes", "methods", selected_only=True)
+
+
 @query("k8_t5_j13_chunk_rows", """WITH c AS (SELECT test_name, string_agg(class_fqn, ',' ORDER BY pos) AS classes FROM {cov_class} GROUP BY 1), r AS (SELECT DISTINCT class_fqn FROM {counters} WHERE line_missed + line_covered > 0),
   n AS (SELECT test_name, count(*) AS rated FROM (SELECT DISTINCT test_name, class_fqn FROM {cov_class}) AS x WHERE class_fqn IN (SELECT class_fqn FROM r) GROUP BY 1) SELECT m.test_name AS t, coalesce(classes, '') AS classes, coalesce(rated, 0) AS rated FROM {map_test} AS m LEFT JOIN c ON c.test_name = m.test_name LEFT JOIN n ON n.test_name = m.test_name""")
 def _(v):
@@ -696,3 +870,96 @@ def _(v):
     # Spark names files itself: the folder says which scan a file is
     parts = [reports.change_lines_of(v.spark, f"{path}/{origin}.statuses", origin) for origin in ("committed", "worktree")]
     return parts[0].unionByName(parts[1]).select("origin", "line")
+
+
+# ---- readers that go by file names, one scan for many paths
+
+
+def _suite_reports(v: Views) -> str:
+    """A report a suite, in a file named after the suite's test as the capture does it; with an empty file, a broken one and one that is no XML beside them."""
+    path = shared_path(v.spark, "named")
+    counter = lambda kind, n: F.array(F.struct(F.lit(kind).alias("_type"), F.lit(0).alias("_missed"), n.cast("int").alias("_covered")))
+    number = F.regexp_extract("method_fqn", "#m([0-9]+)$", 1).cast("int")
+    method = F.struct(F.substring_index("method_fqn", "#", -1).alias("_name"), F.lit("()V").alias("_desc"), F.lit(1).alias("_line"), counter("INSTRUCTION", F.when(number % 3 == 0, 0).otherwise(number)).alias("counter"))
+    classes = v.suite_method.groupBy("test_name", "class_fqn").agg(F.array_sort(F.collect_list(method)).alias("method"))
+    tree = F.struct(F.translate("class_fqn", ".", "/").alias("_name"), F.lit("A.java").alias("_sourcefilename"), "method")
+    package = classes.groupBy("test_name").agg(F.array(F.struct(F.lit("com").alias("_name"), F.array_sort(F.collect_list(tree)).alias("class"))).alias("package"))
+    named = package.select(F.lit("report").alias("_name"), "package", sf.escape_file_name(F.col("test_name")).alias("file"))
+    named.repartition("file").write.partitionBy("file").format("xml").option("rootTag", "reports").option("rowTag", "report").save(f"{path}/written")
+    move_parts(v.spark, f"{path}/written", f"{path}/reports", lambda key: f"session_{key}.xml")
+    write_files(v.spark, f"{path}/reports", [("session_Empty#none.xml", ""), ("session_Broken#one.xml", "<report><package name="), ("notes.txt", "<report/>")])
+    return f"{path}/reports"
+
+
+@query("s1_f9_reports_by_file_name", "SELECT test_name, class_fqn, method_fqn, CAST(regexp_extract(method_fqn, '#m([0-9]+)$', 1) AS INT) AS covered FROM {suite_method} WHERE CAST(regexp_extract(method_fqn, '#m([0-9]+)$', 1) AS INT) % 3 <> 0")
+def _(v):
+    return coverage.covered_methods(reports.read_reports(v.spark, _suite_reports(v)))
+
+
+@query("s1_j12_ingested_reports", "SELECT test_name, split_part(test_name, '#', 1) AS test_class, class_fqn, method_fqn, CAST(regexp_extract(method_fqn, '#m([0-9]+)$', 1) AS BIGINT) AS covered FROM {suite_method} WHERE CAST(regexp_extract(method_fqn, '#m([0-9]+)$', 1) AS INT) % 3 <> 0")
+def _(v):
+    path = shared_path(v.spark, "ingest")
+    ingest.ingest_reports(v.spark, _suite_reports(v), f"{path}/map", f"{path}/checkpoint", files_a_batch=20).awaitTermination()
+    return store.read(v.spark, f"{path}/map", ingest.COVERED)
+
+
+@query("s15_modules_in_one_scan", "SELECT module, test_name, class_fqn, pos FROM {module_class}")
+def _(v):
+    path = shared_path(v.spark, "modules")
+    # modules of even numbers are plain, others indexed; a module's tests are dealt out to documents
+    split = v.module_class.withColumn("document", F.pmod(F.xxhash64("test_name"), F.lit(4)))
+    own = split.groupBy("module", "document", "test_name").agg(F.array_sort(F.collect_list(F.struct("pos", "class_fqn"))).alias("x")).select("module", "document", "test_name", F.col("x.class_fqn").alias("classes"))
+    index = own.groupBy("module", "document").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("classes")))).alias("classIndex"))
+    none = F.array().cast("array<string>")
+    tests = F.map_from_entries(F.collect_list(F.struct("test_name", F.struct("classes", none.alias("methods")))))
+    ids = F.map_from_entries(F.collect_list(F.struct("test_name", F.struct(F.transform("classes", lambda c: F.array_position("classIndex", c).cast("int") - 1).alias("classes"), F.array().cast("array<int>").alias("methods")))))
+    even = F.right("module", F.lit(1)).isin("0", "2", "4", "6")
+    plain = own.where(even).groupBy("module", "document").agg(tests.alias("testMappings")).select("module", F.to_json(F.struct("testMappings")).alias("value"))
+    coded = own.where(~even).join(index, ["module", "document"]).groupBy("module", "document", "classIndex").agg(ids.alias("testMappings")).select("module", F.to_json(F.struct("classIndex", none.alias("methodIndex"), "testMappings")).alias("value"))
+    _write_documents(plain.unionByName(coded), path)
+    modules = [r["module"] for r in v.module_class.select("module").distinct().collect()]
+    found = maps.read_modules(v.spark, {m: f"{path}/of={m}" for m in modules})["cov_class"]
+    return found.select(F.col("map_id").alias("module"), "test_name", "class_fqn", (F.col("pos") + 1).cast("long").alias("pos"))
+
+
+def _write_documents(rows: DataFrame, path: str) -> None:
+    """(module, value) rows as files of one document each, in a folder for each module."""
+    rows.select("value", F.col("module").alias("of")).write.option("maxRecordsPerFile", 1).partitionBy("of").text(path)
+
+
+@query("s13_metrics_by_module", "SELECT module, name, status, duration_ms, failure_class AS failure_type FROM {test_metric}")
+def _(v):
+    path = shared_path(v.spark, "metrics")
+    test = F.struct("name", "status", F.col("duration_ms").alias("durationMs"), F.col("failure_class").alias("failureType"))
+    # a file for each run of a module, as each virtual machine writes its own; the tests of a file don't name their module
+    runs = v.test_metric.withColumn("run", F.pmod(F.xxhash64("name"), F.lit(8))).groupBy("module", "run").agg(F.collect_list(test).alias("tests"))
+    _write_documents(runs.select("module", F.to_json(F.struct("tests")).alias("value")), path)
+    modules = [r["module"] for r in v.test_metric.select("module").distinct().collect()]
+    return reports.read_metrics(v.spark, {m: f"{path}/of={m}" for m in modules}).drop("failure_message")
+
+
+def _platform(v: Views) -> str:
+    """A platform's tree: extensions below ``ext``, below a folder named as path, one named itself, folders that are missing, and a bootstrap folder; classes and sources."""
+    home = f"{shared_path(v.spark, 'tree')}/bin/platform"
+    xml = '<config><extensions><path dir="${PLATFORM_BIN_DIR}/custom"/><path dir="${PLATFORM_BIN_DIR}/missing"/><extension name="core"/><extension dir="${PLATFORM_BIN_DIR}/lone"/><extension dir="/nowhere/e"/></extensions></config>'
+    rows = v.extension_class.distinct().collect()  # some hundred file names
+    files = [(f"{r['folder']}/{r['rel_path']}", "") for r in rows]
+    sources = [(f"{r['folder'].removesuffix('classes')}src/{r['rel_path'].removesuffix('.class')}.java", f"class {r['rel_path']}\n  // {r['folder']}") for r in rows if r["folder"].endswith("classes")]
+    write_files(v.spark, home, [("extensions.xml", xml), *files, *sources])
+    return home
+
+
+ORDER = "CASE folder WHEN 'ext/core/classes' THEN 0 WHEN 'ext/web/classes' THEN 1 WHEN '../custom/shop/classes' THEN 2 WHEN '../lone/classes' THEN 3 WHEN 'bootstrap/classes' THEN 4 END"
+
+
+@query("s14_s10_platform_classes", f"SELECT rel_path, CAST(min({ORDER}) AS INT) AS ord FROM {{extension_class}} WHERE folder <> 'ext/core/other' GROUP BY rel_path")
+def _(v):
+    roots = reports.platform_roots(v.spark, _platform(v))
+    return reports.class_files(v.spark, *roots).groupBy("rel_path").agg(F.min("ord").alias("ord"))
+
+
+@query("s14_s11_platform_sources", f"WITH f AS (SELECT replace(rel_path, '.class', '.java') AS rel_path, min({ORDER}) AS ord, arg_min(folder, {ORDER}) AS folder, rel_path AS was FROM {{extension_class}} WHERE folder NOT IN ('ext/core/other', 'bootstrap/classes') GROUP BY rel_path) SELECT rel_path, concat('class ', was, chr(10), '  // ', folder) AS text FROM f")
+def _(v):
+    roots = reports.platform_roots(v.spark, _platform(v), "src")
+    own = reports.source_files(v.spark, *roots).groupBy("rel_path").agg(F.min(F.struct("ord", "text")).alias("x"))
+    return own.select("rel_path", "x.text")

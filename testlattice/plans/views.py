@@ -26,6 +26,7 @@ VIEWS = {
     "prod_file": f"SELECT p_partkey AS ord, concat('mod', p_partkey % 6) AS module, CASE WHEN p_partkey % 9 = 0 THEN 'pom' ELSE 'jar' END AS packaging, concat(replace({CLASS}, '.', '/'), '.class') AS rel_path FROM {{part}}",
     "source": "SELECT class_fqn, concat('/* head', chr(10), ' * @Disabled */', chr(10), 'package com.acme;', chr(10), CASE n % 9 WHEN 0 THEN '@Disabled(\"x\")' WHEN 1 THEN '@RunWith(Enclosed.class)' WHEN 2 THEN 'class Hidden ' WHEN 3 THEN 'public class A String x = System.getenv(\"X\"); @Test void a() ' WHEN 4 THEN '  @ArchTest' WHEN 5 THEN 'public class B ' WHEN 6 THEN 'public abstract class Base @Test void a() ' WHEN 7 THEN 'public interface I @Test void a();' ELSE 'public class C @Test void a() ' END, chr(10), '  @Test void b()') AS text FROM (SELECT DISTINCT c_custkey % 300 AS n, concat('com.acme.C', c_custkey % 300, CASE c_custkey % 4 WHEN 0 THEN 'IT' WHEN 1 THEN 'Spec' WHEN 2 THEN 'Helper' ELSE 'Tests' END) AS class_fqn FROM {customer} WHERE c_custkey % 300 <> 7) AS s",
     "plain_source": "SELECT class_fqn, CASE WHEN class_fqn LIKE '%5Spec' THEN replace(replace(text, '@Test', '@T'), 'abstract', 'final') ELSE text END AS text FROM {source}",
+    "commented_source": "SELECT class_fqn, CASE length(class_fqn) % 5 WHEN 0 THEN concat('/*', chr(10), replace(text, '*/', '* /'), chr(10), ' closed */ @Disabled', chr(10), 'public class Z {{', chr(10), chr(9), '@Test void z() {{}}') WHEN 1 THEN concat(text, chr(10), chr(9), '/* @Disabled', chr(10), '@Disabled', chr(10), 'class Inner x') WHEN 2 THEN concat(chr(9), '/* one line */', chr(10), chr(9), '@Ignore ', chr(10), text) WHEN 3 THEN concat('int a; /* not at the start', chr(10), text, chr(10), '/*/', chr(10), 'final  class Late') ELSE concat(replace(text, chr(10), concat(chr(13), chr(10))), chr(13), chr(10), '/**', chr(13), chr(10), ' @ArchTest Enclosed.class', chr(10), '*/') END AS text FROM {source}",
     "versions": "SELECT concat('Suite', o_orderkey % 40, 'Test#t', o_orderkey % 5000) AS test_name, concat('Suite', o_orderkey % 40, 'Test') AS test_class, o_orderkey AS file_ord, o_custkey AS payload FROM {orders}",
     "base_map": "SELECT test_name, test_class, payload FROM {versions} WHERE file_ord % 3 <> 0",
     "module_map": "SELECT test_name, test_class, payload FROM {versions} WHERE file_ord % 3 = 0 AND test_class < 'Suite3'",
@@ -35,6 +36,15 @@ VIEWS = {
     "xml_file": "SELECT CASE WHEN test_name LIKE '%5%' THEN concat('session_', test_name, '.xml') ELSE concat(test_name, '.xml') END AS file_name FROM {map_test} WHERE test_name NOT LIKE '%9'",
     "src_line": "SELECT class_fqn AS key, nr, concat('line ', nr) AS text FROM (SELECT DISTINCT class_fqn FROM {line_cov}) AS a CROSS JOIN (SELECT CAST(n_nationkey AS INT) AS nr FROM {nation} WHERE n_nationkey BETWEEN 1 AND 9) AS b",
     "artifact": "SELECT concat('TEST-', test_class, '-', chr(CAST(97 + length(test_class) % 5 AS INT)), '.xml') AS file_name FROM (SELECT DISTINCT test_class FROM {map_test}) AS t UNION SELECT concat('junit_', test_class, '.txt') FROM {map_test} WHERE test_class LIKE '%5Test' UNION SELECT concat('my', test_class, '2.xml') FROM {map_test} WHERE test_class LIKE '%3Test' UNION SELECT concat('TEST-All', test_class, 'Extra_IT.xml') FROM {map_test} WHERE test_class LIKE '%2Test'",
+    "one_patch": "SELECT CAST(1 AS BIGINT) AS patch_id, patch_id * 1000000000 + line_no AS line_no, line FROM {patch}",
+    "history": "SELECT project, commit_id, ord, CASE WHEN ord % 5 = 0 THEN third ELSE previous END AS parent_id FROM {commit_line} UNION ALL SELECT project, commit_id, ord, sixth FROM {commit_line} WHERE ord % 7 = 0 AND sixth IS NOT NULL",
+    "commit_line": "SELECT concat('p', o_custkey % 40) AS project, concat('c', o_orderkey) AS commit_id, o_orderkey AS ord, lag(concat('c', o_orderkey), 1) OVER (PARTITION BY o_custkey % 40 ORDER BY o_orderkey) AS previous, lag(concat('c', o_orderkey), 3) OVER (PARTITION BY o_custkey % 40 ORDER BY o_orderkey) AS third, lag(concat('c', o_orderkey), 6) OVER (PARTITION BY o_custkey % 40 ORDER BY o_orderkey) AS sixth FROM {orders}",
+    "suite_method": "SELECT DISTINCT concat(test_class, '#everyCase') AS test_name, class_fqn, method_fqn FROM (SELECT split_part(test_name, '#', 1) AS test_class, class_fqn, method_fqn FROM {cov}) AS c",
+    "module_class": "SELECT concat('mod', CAST(substr(split_part(test_name, '#', 2), 2) AS BIGINT) % 7) AS module, test_name, class_fqn, pos FROM {cov_class}",
+    "extension_class": "SELECT DISTINCT CASE ord % 6 WHEN 0 THEN 'ext/core/classes' WHEN 1 THEN 'ext/web/classes' WHEN 2 THEN '../custom/shop/classes' WHEN 3 THEN '../lone/classes' WHEN 4 THEN 'bootstrap/classes' ELSE 'ext/core/other' END AS folder, rel_path FROM {class_file}",
+    "glob_number": "SELECT DISTINCT p_partkey % 5000 AS k FROM {part}",
+    "head": "SELECT concat('p', o_custkey % 40) AS project, concat('c', max(o_orderkey)) AS head_id FROM {orders} GROUP BY o_custkey % 40",
+    "map_commit": "SELECT concat('p', o_custkey % 40) AS project, CASE WHEN o_orderkey % 2 = 0 THEN 'remote' ELSE 'local' END AS slot, CASE WHEN o_custkey % 40 = 3 THEN 'gone' WHEN o_custkey % 4 = 0 THEN concat('c', min(o_orderkey)) ELSE concat('c', max(CASE WHEN o_orderkey % 9 = 4 THEN o_orderkey ELSE 1 END)) END AS commit_id FROM {orders} GROUP BY o_custkey % 40, o_custkey % 4, o_orderkey % 2",
     "commits": "SELECT o_orderkey AS position, concat('c', o_orderkey) AS commit_id FROM {orders}",
 }
 
@@ -81,4 +91,6 @@ def with_views(sql: str) -> str:
     body = plain(sql).strip()
     if not ctes:
         return body
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     return f"WITH {ctes},\n{body[5:]}" if body.startswith("WITH ") else f"WITH {ctes}\n{body}"
