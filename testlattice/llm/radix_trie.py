@@ -5,7 +5,7 @@ Byte order of UTF-8 is the order of code points, so a walk meets the terms of a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -36,6 +36,8 @@ def _common(a: bytes, b: bytes) -> int:
     n = min(len(a), len(b))
     if a[:n] == b[:n]:
         return n
+    if n < 32:
+        return next(i for i, (x, y) in enumerate(zip(a, b)) if x != y)  # noqa: B905
     low, high = 0, n  # a[:low] equals b[:low], a[:high] doesn't equal b[:high]
     while high - low > 1:
         mid = (low + high) // 2
@@ -57,6 +59,31 @@ class Trie:
         self.root = Node()
         self.size = 0
 
+    @classmethod
+    def of_sorted(cls, items: Iterable[tuple[bytes, Leaf]]) -> Trie:
+        """The trie of distinct keys that come in byte order: only the branch of the last key is touched by the next."""
+        out, last = cls(), b""
+        branch = [(out.root, 0)]  # the nodes on the way to the last key, with the lengths of their keys
+        for key, leaf in items:
+            n = _common(last, key)
+            while branch[-1][1] > n:
+                branch.pop()
+            node, depth = branch[-1]
+            if depth < n:
+                label, child = node.edges[last[depth]]
+                middle = Node()
+                middle.edges[label[n - depth]] = (label[n - depth :], child)
+                node.edges[last[depth]] = (label[: n - depth], middle)
+                node = middle
+                branch.append((node, n))
+            if n < len(key):
+                end = Node()
+                node.edges[key[n]] = (key[n:], end)
+                node = end
+                branch.append((node, len(key)))
+            node.leaf, last, out.size = leaf, key, out.size + 1
+        return out
+
     def leaf(self, key: bytes) -> Leaf:
         """The leaf of a key, made where there is none."""
         node = self._node(self.root, key)
@@ -108,29 +135,6 @@ class Trie:
                 label, child = node.edges[first]
                 todo.append((key + label, child))
 
-    def cut(self, depth: int) -> Iterator[tuple[bytes, Trie]]:
-        """The subtries below each prefix of ``depth`` bytes, in byte order; a shorter key is a prefix with nothing but its leaf."""
-        todo = [(b"", self.root)]
-        while todo:
-            key, node = todo.pop()
-            if len(key) == depth:
-                out = Trie()
-                out.root = node
-                yield key, out
-                continue
-            if node.leaf is not None:
-                out = Trie()
-                out.root = Node(node.leaf)
-                yield key, out
-            for first in sorted(node.edges, reverse=True):
-                label, child = node.edges[first]
-                n = depth - len(key)
-                if len(label) > n:
-                    held = Node()
-                    held.edges[label[n]] = (label[n:], child)
-                    label, child = label[:n], held
-                todo.append((key + label, child))
-
     def keep(self, least: int) -> None:
         """Drop the leaves of keys that fewer documents hold, and the branches that lead to none."""
         order, todo = [], [self.root]

@@ -1,8 +1,8 @@
 """Source divergence audit: how the sources of a language differ in the terms they use, by mergeable radix tries.
 
 Terms are the maximal runs of ASCII letters and of characters beyond ASCII, A-Z lower-cased. Each task counts the terms of
-its texts in one byte trie a language, whose leaves hold the number of documents and a counter for each source, and sends
-on what it counted as subtries below prefixes of ``STEM`` bytes: a term that every document holds leaves a task as one leaf.
+its texts and sends them on as byte tries, one for each language and prefix of ``STEM`` bytes, whose leaves hold the number of
+documents and a counter for each source: a term that every document holds leaves a task as one leaf.
 Spark deals out the subtries by ranges of (language, prefix), sorted, so a task merges the subtries of one prefix after
 another, drops the leaves of terms in too few documents, and keeps the merged tries. Their counters give the sums by group
 and the number of kept terms by language. Last, the merged tries are walked in byte order, which is the order of UTF-8: a
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, give_back, ready, salted_join, utf8
-from .radix_trie import Trie
+from .radix_trie import Leaf, Trie
 
 #: Bytes of the prefixes that subtries are dealt out by; leaves after which a task sends its tries on; leaves of a merged trie; cells of a matrix.
 STEM, MOST_LEAVES, MERGED_LEAVES, CELLS = 4, 400_000, 20_000, 1 << 20
@@ -51,19 +52,15 @@ def _pieces(text: bytes) -> Iterator[list[bytes]]:
 
 
 class Counting:
-    """The tries of a task, one for each language, filled by batches of texts."""
+    """The terms that a task has met, by language and source, and the tries that they leave it in."""
 
     def __init__(self) -> None:
-        self.tries: dict[str, Trie] = {}
-        self.sources: dict[str, int] = {}
+        self.docs: dict[str, Counter] = {}
+        self.counts: dict[str, dict[str, Counter]] = {}
 
     def add(self, texts: list[bytes], langs: list[str], sources: list[str]) -> None:
-        """Words of a batch are counted first, so that each walks its trie once."""
-        held: dict[str, Counter] = {}
-        found: dict[tuple[str, int], Counter] = {}
         for text, lang, source in zip(texts, langs, sources, strict=True):
-            key = (lang, self.sources.setdefault(source, len(self.sources)))
-            counts, docs = found.setdefault(key, Counter()), held.setdefault(lang, Counter())
+            counts, docs = self.counts.setdefault(lang, {}).setdefault(source, Counter()), self.docs.setdefault(lang, Counter())
             if len(text) <= PIECE:
                 terms = text.translate(_TERMS).split()
                 counts.update(terms)
@@ -74,28 +71,25 @@ class Counting:
                     counts.update(terms)
                     own.update(terms)
                 docs.update(own)
-        for lang, docs in held.items():
-            leaf = self.tries.setdefault(lang, Trie()).leaf
-            leaves = {term: leaf(term) for term in docs}
-            for term, n in docs.items():
-                leaves[term].docs += n
-            for (of, source), counts in found.items():
-                if of == lang:
-                    for term, n in counts.items():
-                        own = leaves[term].counts
-                        own[source] = own.get(source, 0) + n
 
     def size(self) -> int:
-        return sum(x.size for x in self.tries.values())
+        return sum(map(len, self.docs.values()))
 
     def batches(self) -> Iterator[pa.RecordBatch]:
-        """What was counted, as subtries; nothing is held afterwards."""
-        names = {i: s for s, i in self.sources.items()}
-        tries, self.tries, self.sources = self.tries, {}, {}
-        for lang, trie in tries.items():
+        """What was counted, as a trie for each language and prefix; nothing is held afterwards.
+
+        Equal terms of a task are one leaf before a trie is made, and sorted terms make their tries without a walk from the root for each.
+        """
+        docs, counts, self.docs, self.counts = self.docs, self.counts, {}, {}
+        for lang, held in docs.items():
+            names = list(counts[lang])
+            leaves = {term: Leaf(n) for term, n in held.items()}
+            for source, name in enumerate(names):
+                for term, n in counts[lang].pop(name).items():
+                    leaves[term].counts[source] = n
             rows = []
-            for stem, part in trie.cut(STEM):
-                data, known = part.packed()
+            for stem, terms in groupby(sorted(leaves), key=lambda x: x[:STEM]):
+                data, known = Trie.of_sorted((term[len(stem) :], leaves[term]) for term in terms).packed()
                 rows.append((lang, stem, data, [names[i] for i in known]))
                 if len(rows) == 2000:
                     yield _rows(rows, ["lang", "stem", "trie", "sources"])
