@@ -2,8 +2,7 @@
 
 The idea is prefix doubling: positions are ranked by ever longer prefixes, and a position leaves as soon as its rank is unique. Rank pairs of every position,
 sorted by Spark at every offset, would be dozens of times the input (README has figures). Here ranks are names, hashes of 32 and of LENGTH bytes that
-workers compute by doubling within a text; Spark counts equal names and drops unique ones, in three rounds; ordinals are never made, and bytes are not compared again,
-so that a removal rests on 128 bits of names:
+workers compute by doubling within a text; Spark counts equal names and drops unique ones, in three rounds; ordinals are never made, and bytes are not compared again:
 
 1. the 32-byte rank of *anchors*. Every LENGTH-byte window has one, the position in it whose rank is least, so equal windows have
    equal anchors at equal places, and a window whose anchor's rank is unique is unique. About one position in 70 is an anchor; rows for every
@@ -12,7 +11,11 @@ so that a removal rests on 128 bits of names:
    are alone with their anchor's rank are unique.
 3. the LENGTH-byte rank of every window of the other blocks, each different block once.
 
-Ranks are 64-bit names in place of ordinals; positions are compared under two of them (anchor and window), 128 bits. Classes of an anchor with up to
+Names stand for ordinals. Windows of blocks that differ are equal under a 64-bit rank of their anchor and two 64-bit ranks of their own, which come from
+different tables; blocks are equal under the rank of their anchor and one 64-bit hash of their bytes, so a removal of whole blocks rests on 64 bits among the
+blocks of one anchor rank. A text of a short period would have an anchor for every period: a run of equal blocks is one anchor, and of blocks that a text has
+several times, close together or not, one goes on, while the text's own spans are merged where it lies. So a text sends a row for each different block, at
+most one in about 70 bytes, and the spans of a text that meet in one row are fewer than that. Classes of an anchor with up to
 ``crowd`` different blocks are sorted side by side inside a task; larger ones, such as a passage in ever new surroundings, are sorted by Spark
 as rows of windows with map-side combine.
 
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, map_batches, ready, release, utf8
-from .suffix_ranks import LENGTH, anchors, ranks
+from .suffix_ranks import FIRST, LENGTH, SECOND, anchors, ranks
 
 CROWD, SORTED_BLOCKS = 8192, 2000
 
@@ -47,19 +50,37 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def own_repeats(first: np.ndarray, size: np.ndarray, count: np.ndarray, gram: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Of a text's anchors one for each different block, and the spans of blocks that the text has more than once."""
+    order = np.lexsort((block, gram))
+    new = np.append(True, (gram[order][1:] != gram[order][:-1]) | (block[order][1:] != block[order][:-1])) if len(order) else np.zeros(0, bool)
+    times = np.add.reduceat(count[order], np.flatnonzero(new)) if len(order) else np.zeros(0, np.int64)
+    twice = np.zeros(len(order), bool)
+    twice[order] = np.repeat(times, np.diff(np.append(np.flatnonzero(new), len(order)))) > 1
+    kept = np.sort(order[new])
+    return kept, merged(list(zip(first[twice].tolist(), (first + size * count + LENGTH - 1)[twice].tolist(), strict=True)))
+
+
 def _anchor_rows(texts: DataFrame) -> DataFrame:
+    """(gram, block, doc, first, size) of each different block of each text, and rows without a block for the spans that a text repeats itself, merged; their gram only deals them out."""
+
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         parts, names, counts = [], [], []
         for text in utf8(batch, "_text"):
-            got = anchors(text)
-            parts.append(got)
-            counts.append(len(got[0]))
+            gram, block, first, size, count = anchors(text)
+            kept, spans = own_repeats(first, size, count, gram, block)
+            n = len(kept)
+            a, b = (np.array([x[i] for x in spans], np.int64) for i in (0, 1))
+            known = np.append(np.ones(n, bool), np.zeros(len(spans), bool))
             names.append(hashlib.md5(text).digest())
-        gram, block, first, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+            dealt = np.frombuffer(names[-1][:8], np.uint64) + a.view(np.uint64)
+            parts.append((known, np.append(gram[kept], dealt), np.append(block[kept], dealt), np.append(first[kept], a), np.append(size[kept], b - a)))
+            counts.append(n + len(spans))
+        known, gram, block, first, size = (np.concatenate(x) for x in zip(*parts, strict=True))
         at = pa.array(np.repeat(np.arange(len(names)), counts))
-        return pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(block.view(np.int64)), pa.array(names, pa.binary()).take(at), pa.array(first, pa.int64()), pa.array(size.astype(np.int32))], ["gram", "block", "doc", "first", "size"])
+        return pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(block.view(np.int64), mask=~known), pa.array(names, pa.binary()).take(at), pa.array(first, pa.int64()), pa.array(size.astype(np.int64))], ["gram", "block", "doc", "first", "size"])
 
-    return map_batches(texts.where(F.octet_length("_text") >= LENGTH).select("_text"), work, "gram long, block long, doc binary, first long, size int")
+    return map_batches(texts.where(F.octet_length("_text") >= LENGTH).select("_text"), work, "gram long, block long, doc binary, first long, size long")
 
 
 def repeated_windows(classes: list[int], pieces: list[bytes]) -> list[list[tuple[int, int]]]:
@@ -70,10 +91,10 @@ def repeated_windows(classes: list[int], pieces: list[bytes]) -> list[list[tuple
     counts = np.array([len(p) - LENGTH + 1 for p in pieces])
     piece = np.repeat(np.arange(len(pieces)), counts)
     offset = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
-    rank = ranks(data, LENGTH)[starts[piece] + offset]
+    rank, second = (ranks(data, LENGTH, table)[starts[piece] + offset] for table in (FIRST, SECOND))
     own = np.unique(np.asarray(classes, np.int64), return_inverse=True)[1][piece]
     order = np.lexsort((rank, own))
-    same = (rank[order][1:] == rank[order][:-1]) & (own[order][1:] == own[order][:-1])
+    same = (rank[order][1:] == rank[order][:-1]) & (second[order][1:] == second[order][:-1]) & (own[order][1:] == own[order][:-1])
     twice = np.zeros(len(order), bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
@@ -123,13 +144,14 @@ def _sorted_by_spark(blocks: DataFrame) -> DataFrame:
     """Round 3 for classes of any size, as rows of windows."""
 
     def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = [ranks(np.frombuffer(p, np.uint8), LENGTH).view(np.int64) for p in batch.column("piece").to_pylist()]
+        pieces = [np.frombuffer(p, np.uint8) for p in batch.column("piece").to_pylist()]
+        got, more = ([ranks(p, LENGTH, table).view(np.int64) for p in pieces] for table in (FIRST, SECOND))
         at = pa.array(np.repeat(np.arange(len(got)), [len(x) for x in got]))
-        return pa.RecordBatch.from_arrays([batch.column("gram").take(at), batch.column("block").take(at), pa.array(np.concatenate([np.arange(len(x)) for x in got]).astype(np.int32)), pa.array(np.concatenate(got))], ["gram", "block", "at", "rank"])
+        return pa.RecordBatch.from_arrays([batch.column("gram").take(at), batch.column("block").take(at), pa.array(np.concatenate([np.arange(len(x)) for x in got]).astype(np.int32)), pa.array(np.concatenate(got)), pa.array(np.concatenate(more))], ["gram", "block", "at", "rank", "second"])
 
-    rows = map_batches(blocks.select("gram", "block", "piece"), spread, "gram long, block long, at int, rank long")
-    twice = rows.groupBy("gram", "rank").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "rank")
-    found = rows.join(twice, ["gram", "rank"], "left_semi").groupBy("gram", "block").agg(F.array_sort(F.collect_list("at")).alias("ats"))
+    rows = map_batches(blocks.select("gram", "block", "piece"), spread, "gram long, block long, at int, rank long, second long")
+    twice = rows.groupBy("gram", "rank", "second").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "rank", "second")
+    found = rows.join(twice, ["gram", "rank", "second"], "left_semi").groupBy("gram", "block").agg(F.array_sort(F.collect_list("at")).alias("ats"))
 
     def join_runs(batch: pa.RecordBatch) -> pa.RecordBatch:
         spans = []
@@ -145,8 +167,9 @@ def _sorted_by_spark(blocks: DataFrame) -> DataFrame:
 def _spans(texts: DataFrame, crowd: int) -> DataFrame:
     """(_doc, cut): the spans to remove from each text, from rows of (doc, _text)."""
     every = _anchor_rows(texts)
-    names = cut_lineage(every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))  # a table of its own, so that Spark can split a frequent rank in the join
-    round1 = cut_lineage(every.join(names, "gram", "left_semi"))
+    names = cut_lineage(every.where("block is not null").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", F.lit(True).alias("twice")))  # a table of its own, so that Spark can split a frequent rank in the join
+    held = cut_lineage(every.join(names, "gram", "left").where("twice or block is null").drop("twice"))
+    round1, own = held.where("block is not null"), held.where("block is null")
 
     blocks = cut_lineage(round1.groupBy("gram", "block").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "first", "size")).alias("r")).select("gram", "block", "n", "r.*"))
     several = blocks.groupBy("gram").agg(F.count(F.lit(1)).alias("different")).where("different > 1")
@@ -163,7 +186,8 @@ def _spans(texts: DataFrame, crowd: int) -> DataFrame:
 
     whole = blocks.where("n > 1").select("gram", "block", F.lit(0).alias("start"), (F.col("size") + LENGTH - 1).alias("stop"))
     spans = round1.join(whole.unionByName(found), ["gram", "block"]).select(F.col("doc").alias("_doc"), F.struct((F.col("first") + F.col("start")).alias("a"), (F.col("first") + F.col("stop")).alias("b")).alias("span"))
-    return spans.groupBy("_doc").agg(F.collect_set("span").alias("cut"))
+    own = own.select(F.col("doc").alias("_doc"), F.struct(F.col("first").alias("a"), (F.col("first") + F.col("size")).alias("b")).alias("span"))
+    return spans.unionByName(own).groupBy("_doc").agg(F.collect_set("span").alias("cut"))
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:

@@ -49,8 +49,37 @@ def test_same_as_brute_force(spark, crowd):
 def test_slices_of_long_texts(monkeypatch):
     monkeypatch.setattr(sr, "SLICE", 300)
     text = "".join(random.Random(1).choice("abcdefgh ") for _ in range(2000)).encode()
-    gram, block, first, size = sr.anchors(text)
-    assert first[0] == 0 and (first[1:] == (first + size)[:-1]).all() and (first + size)[-1] == len(text) - L + 1
+    gram, block, first, size, count = sr.anchors(text)
+    assert first[0] == 0 and (first[1:] == (first + size * count)[:-1]).all() and (first + size * count)[-1] == len(text) - L + 1
+
+
+@pytest.mark.parametrize("crowd", [512, 2])
+def test_runs_and_periods(spark, crowd):
+    rng = random.Random(11)
+    junk = lambda n: "".join(rng.choice("abcdefgh \n") for _ in range(n))
+    units = ["a", "ab", "xyz ", "0" * 31 + "1", junk(32), junk(33), junk(70), junk(131), junk(400)]
+    texts = [(u * (n // len(u) + 2))[k : n + k] for u in units for n in (199, 200, 201, 240, 700, 3000) for k in (0, 1)]
+    texts += [junk(50) + u * (400 // len(u) + 2) + junk(50) for u in units] + [u * (300 // len(u) + 1) + junk(300) + u * (300 // len(u) + 1) for u in units]
+    texts += [junk(150) + "a" * n + junk(150) for n in (150, 199, 200, 201, 260)] + ["ab" * 300 + "ba" * 300, ("a" * 99 + "b") * 9 + "a" * 150]
+    for some in (texts, texts[3::12], texts[-9:]):
+        df = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in sd.suffix_dedup(df, crowd=crowd).collect()}
+        assert [got[i] for i in range(len(some))] == brute(some)
+
+
+@pytest.mark.parametrize("unit, most", [(b"a", 40), (b"ab", 60), (b"xyz " * 20 + b"end of line\n", 20_000)])
+def test_long_runs_are_few_rows(unit, most):
+    text = unit * (4_000_000 // len(unit))
+    gram, block, first, size, count = sr.anchors(text)
+    kept, spans = sd.own_repeats(first, size, count, gram, block)
+    assert len(kept) <= most and len(kept) < 60 and spans[0][0] <= len(unit) and spans[-1][1] >= len(text) - len(unit) and len(spans) <= 5
+
+
+def test_one_very_long_text(spark):
+    rng = random.Random(2)
+    text = "a" * 3_000_000 + "".join(rng.choice("abcdefgh ") for _ in range(1_000_000)) + "b" * 1_000_000
+    (r,) = sd.suffix_dedup(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert r["n_removed"] >= 4_000_000 and r["n_removed"] <= 4_000_000 + 4 and r["n_spans"] == 2
 
 
 def test_null_ids_and_empty_table(spark):
