@@ -7,7 +7,8 @@ documents with an equal band are candidates.
 
 Pairs within a group of candidates are never all made:
 
-1. Documents with equal sets are one node, named by its smallest id. Bands that hold the same nodes are one group.
+1. Documents with equal sets are one node, named by its smallest id; where rows share an id but not a set, its node has several sets, each with its sketch,
+   and is linked by any of them. Bands that hold the same nodes are one group.
 2. In every group each node is paired with one node, the pivot: the one whose own groups are largest in sum, which in a group of near copies is the text
    they were made from. Pairs that pass the collision-corrected estimate from the sketches are confirmed on the full sets; confirmed ones are links.
 3. What can still be missed are links between nodes of one group in different components. They meet in tasks, in blocks of at most ``crowd`` nodes of common
@@ -18,7 +19,8 @@ Bands miss a pair of similarity 0.75 with a probability of (1 - 0.75^5)^51, 1e-6
 below, 3e-7. Nothing else is left out, whatever the size of a group. All links are confirmed on full sets.
 
 Defined results: null counts as empty; a text without words has an empty set and no links; with fewer than five words the whole
-sequence is the only shingle; repeated rows are equal sets; rows that share an id are one node; a null id is never linked.
+sequence is the only shingle; repeated rows are equal sets; rows that share an id are in one component, whatever their texts and their order; a null id
+makes no link, and its row is told the component of its text, if another row has it.
 """
 
 from __future__ import annotations
@@ -140,7 +142,12 @@ def _bands(nodes: DataFrame) -> DataFrame:
 
 def _groups(nodes: DataFrame) -> DataFrame:
     """(key, size, node) of bands that several nodes share; of bands with the same nodes only the first stands."""
-    every = _bands(nodes).repartition("key")
+    # only a node of several sets can hold a band twice; such nodes are rare, and most tables have none
+    several = cut_lineage(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("node"))
+    if several.isEmpty():
+        every = _bands(nodes).repartition("key")
+    else:
+        every = _bands(nodes.join(several, "node", "left_anti")).unionByName(_bands(nodes.join(several, "node", "left_semi")).distinct()).repartition("key")
     own = every.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.min("node").alias("first"), F.max("node").alias("last")).where("size > 1")
     names = own.groupBy("size", "x", "y", "first", "last").agg(F.min(F.struct(F.col("key").bitwiseAND(63).alias("band"), "key")).alias("k")).select("k.key", "size")
     return every.join(names, "key")
@@ -170,13 +177,14 @@ def _open(same: int, n: int, m: int) -> bool:
 
 
 def _sets(rows: DataFrame) -> DataFrame:
-    """(node, set) of rows (node, _text): the sorted hashes, 8 bytes each."""
+    """(node, digest, set) of rows (node, _text): the sorted hashes, 8 bytes each."""
     node_type = rows.schema["node"].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingles(x).tobytes() for x in utf8(batch, "_text")], pa.binary())], ["node", "set"])
+        sets = [shingles(x).tobytes() for x in utf8(batch, "_text")]
+        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), pa.array(sets, pa.binary())], ["node", "digest", "set"])
 
-    return map_batches(rows, work, f"node {node_type}, set binary")
+    return map_batches(rows, work, f"node {node_type}, digest binary, set binary")
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -200,20 +208,23 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marks = cut_lineage(_marks(rows))
     classes = marks.where("digest is not null and _id is not null").groupBy("digest").agg(F.min("_id").alias("node"))
     members = cut_lineage(marks.select("_id", "n", "digest").join(classes, "digest", "left").select("_id", "n", F.coalesce("node", "_id").alias("node")))
-    nodes = cut_lineage(marks.join(classes.withColumnRenamed("digest", "_d"), (F.col("digest") == F.col("_d")) & (F.col("_id") == F.col("node"))).select("node", "n", "sketch").dropDuplicates(["node"]))
+    nodes = cut_lineage(marks.join(classes.withColumnRenamed("digest", "_d"), (F.col("digest") == F.col("_d")) & (F.col("_id") == F.col("node"))).select("node", "digest", "n", "sketch").dropDuplicates(["node", "digest"]))
     del marks, classes
 
     held = cut_lineage(_groups(nodes))
     own = held.select("node").distinct()
     nodes = cut_lineage(nodes.join(own, "node", "left_semi"))
-    sets = cut_lineage(_sets(rows.withColumnRenamed("_id", "node").join(own, "node", "left_semi").dropDuplicates(["node"])))
+    sets = cut_lineage(_sets(rows.withColumnRenamed("_id", "node").join(own, "node", "left_semi")).dropDuplicates(["node", "digest"]))
 
     popular = held.groupBy("node").agg(F.sum("size").alias("known"))
     pivots = held.join(popular, "node").groupBy("key").agg(F.max(F.struct("known", "node")).alias("p")).select("key", F.col("p.node").alias("pivot"))
     pairs = held.join(pivots, "key").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = cut_lineage(_links(_likely(pairs, nodes), sets))
+    # the sets of one id may be those of other nodes
+    least = members.where("_id is not null").groupBy("_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("_id", "a")
+    same_id = members.join(least, "_id").select("a", F.col("node").alias("b")).where("a <> b")
+    links = cut_lineage(_links(_likely(pairs, nodes).distinct(), sets).distinct().unionByName(same_id))
     labels = components(links)
-    more = cut_lineage(_apart(held, labels, nodes.join(sets, "node"), crowd))
+    more = cut_lineage(_apart(held, labels, nodes.join(sets, ["node", "digest"]), crowd))
     if not more.isEmpty():
         labels = components(links.union(more))
 

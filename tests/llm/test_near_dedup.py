@@ -131,6 +131,22 @@ def test_size_border_with_hot_texts(spark):
     assert got == brute(docs)
 
 
+def test_ids_with_several_texts_in_any_order(spark):
+    rng = random.Random(4)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    a, b, c = words(60), words(60), words(60)
+    text = " ".join
+    rows = [(1, text(a)), (1, text(b)), (2, text(a + ["m"])), (3, text(b + ["cc"])), (0, text(c)), (7, text(c)), (7, text(a[:58])), (9, text(c[:57])), (11, text(words(40))), (11, ""), (12, text(words(9))), (None, text(a))]
+    links = {1: 0, 2: 0, 3: 0, 0: 0, 7: 0, 9: 0, 11: 11, 12: 12, None: 0}
+    for k in range(3):
+        rng.shuffle(rows)
+        got = nd.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(1 + k), crowd=(2048, 1, 3)[k]).collect()
+        assert len(got) == len(rows) and all(r["component_id"] == links[r["doc_id"]] for r in got), got
+    first = [r for r in rows if r[0] in (1, 2, 3)]
+    got = nd.near_dedup(spark.createDataFrame(first, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in got} == {(1, 1, True), (2, 1, False), (3, 1, False)}
+
+
 def test_blocks_join_the_same_components(spark):
     """Blocks of any size find links that join what is linked, and no others."""
     words = [f"w{i}" for i in range(400)]
