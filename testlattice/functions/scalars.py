@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ SIGNATURE = r"(?:public|private|protected|static|final|abstract|synchronized|nat
 HUNK = r"^@@\s+[^@]+@@\s*(.*)$"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value evaluated once, however often ``use`` names it; its text isn't copied into the plan or the generated code either."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _after(path: Column, marker: str) -> Column:
     """What follows the first occurrence of ``marker``."""
     return F.substring(path, F.instr(path, marker) + F.lit(len(marker)), F.length(path))
@@ -35,7 +42,7 @@ def path_to_fqn(path: Column) -> Column:
 
 def test_path_to_fqn(path: Column) -> Column:
     """class name of a test source path, null if it is none."""
-    return F.when(path.contains(TEST_ROOT) & path.endswith(".java"), _dotted(_after(path, TEST_ROOT)))
+    return once(path, lambda p: F.when(p.contains(TEST_ROOT) & p.endswith(".java"), _dotted(_after(p, TEST_ROOT))))
 
 
 def method_name(context: Column) -> Column:
@@ -56,8 +63,7 @@ def diff_target(line: Column) -> Column:
 def name_status(line: Column) -> tuple[Column, Column]:
     """status letter and target path of a name-status line; null where the line has no tab."""
     parts = F.split(F.trim(line), "\t")
-    ok = F.size(parts) >= 2
-    return F.when(ok, F.left(parts[0], F.lit(1))), F.when(ok, F.element_at(parts, -1))
+    return once(parts, lambda x: F.when(F.size(x) >= 2, F.left(x[0], F.lit(1)))), once(parts, lambda x: F.when(F.size(x) >= 2, F.element_at(x, -1)))
 
 
 def escape_file_name(test: Column) -> Column:

@@ -90,38 +90,44 @@ def prefer_mode(text: str | None) -> str:
     return text.strip().upper() if text and text.strip().upper() in ("REMOTE", "LOCAL") else "NEAREST"
 
 
+# The reasons that are shown.
+NO_MAP, NO_METADATA, NO_COMMIT = "Coverage map not found", "Coverage map or metadata missing", "No commitId in coverage map metadata"
+TRIGGERED, NO_CHANGES = "Changed file matches fullSuiteTrigger pattern", "No production code changes detected"
+NO_TESTS, SELECTED = "Coverage map has no test mappings", "Selected by coverage"
+
+
 def status_of(metadata: dict | None, valid_commit: bool, distance: int, trigger: str | None, changes: bool, most: int = MAX_COMMIT_DISTANCE) -> tuple[str, str]:
     """Status and reason for one map, from scalars. A map that could not be read has no metadata."""
     if metadata is None:
-        return "FULL_SUITE", "Coverage map or metadata missing"
+        return "FULL_SUITE", NO_METADATA
     commit = metadata.get("commit_id")
     if not commit:
-        return "FULL_SUITE", "No commitId in coverage map metadata"
+        return "FULL_SUITE", NO_COMMIT
     if not valid_commit:
         return "FULL_SUITE", f"commitId {commit} is not a valid git commit (rebase/force push?)"
     if distance > most:
         return "FULL_SUITE", f"Commit distance {distance} exceeds max {most} — mapping is too stale"
     if trigger:
-        return "FULL_SUITE", f"Changed file matches fullSuiteTrigger pattern: {trigger}"
-    return ("SELECTED", "") if changes else ("NONE", "No production code changes detected")
+        return "FULL_SUITE", f"{TRIGGERED}: {trigger}"
+    return ("SELECTED", "") if changes else ("NONE", NO_CHANGES)
 
 
 def ladder(state: DataFrame, most: int = MAX_COMMIT_DISTANCE) -> DataFrame:
     """D1, D2 over many maps at once: rows of (map_id, found, readable, commit_id, valid, distance, triggered, changes, tests) with their status."""
     full: list[tuple[Column, str]] = [
-        (~F.col("found"), "Coverage map not found"),
-        (~F.col("readable"), "Coverage map or metadata missing"),
-        (F.coalesce(F.col("commit_id"), F.lit("")) == "", "No commitId in coverage map metadata"),
+        (~F.col("found"), NO_MAP),
+        (~F.col("readable"), NO_METADATA),
+        (F.coalesce(F.col("commit_id"), F.lit("")) == "", NO_COMMIT),
         (~F.col("valid"), "commitId is not a valid git commit"),
         (F.col("distance") > most, "Commit distance exceeds max"),
-        (F.col("triggered"), "Changed file matches fullSuiteTrigger pattern"),
+        (F.col("triggered"), TRIGGERED),
     ]
     status, reason = F, F
     for condition, text in full:
         status, reason = status.when(condition, "FULL_SUITE"), reason.when(condition, text)
     none, empty = F.col("changes") == 0, F.col("tests") == 0
     status = status.when(none, "NONE").when(empty, "FULL_SUITE").otherwise("SELECTED")
-    reason = reason.when(none, "No production code changes detected").when(empty, "Coverage map has no test mappings").otherwise("Selected by coverage")
+    reason = reason.when(none, NO_CHANGES).when(empty, NO_TESTS).otherwise(SELECTED)
     return state.select("map_id", status.alias("status"), reason.alias("reason"))
 
 

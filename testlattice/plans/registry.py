@@ -771,7 +771,7 @@ def _(v):
 
 
 def _map_tables(v: Views) -> dict[str, DataFrame]:
-    meta = v.spark.createDataFrame([("main", "abc1234", "2024-01-01T00:00:00Z")], "base_branch string, commit_id string, ts string")
+    meta = v.commits.agg(F.max_by("commit_id", "position").alias("commit_id")).select(F.lit("main").alias("base_branch"), "commit_id", F.lit("2024-01-01T00:00:00Z").alias("ts"))
     return {"map_meta": meta, "map_test": v.map_test, "cov_class": v.cov_class, "cov_method": v.cov_method, "class_metrics": coverage.merge_metrics(v.counters)}
 
 
@@ -796,7 +796,7 @@ def _(v):
     return _stored_map(v, sinks.write_indexed_map, gzip=True)["map_test"].select("test_name", "test_class")
 
 
-@query("s6_map_metadata", "SELECT 'main' AS \"baseBranch\", 'abc1234' AS \"commitId\", '2024-01-01T00:00:00Z' AS \"timestamp\"")
+@query("s6_map_metadata", "SELECT 'main' AS \"baseBranch\", arg_max(commit_id, position) AS \"commitId\", '2024-01-01T00:00:00Z' AS \"timestamp\" FROM {commits}")
 def _(v):
     path = shared_path(v.spark, "map")
     sinks.write_plain_map(_map_tables(v), path)
@@ -943,7 +943,7 @@ def _platform(v: Views) -> str:
     home = f"{shared_path(v.spark, 'tree')}/bin/platform"
     xml = '<config><extensions><path dir="${PLATFORM_BIN_DIR}/custom"/><path dir="${PLATFORM_BIN_DIR}/missing"/><extension name="core"/><extension dir="${PLATFORM_BIN_DIR}/lone"/><extension dir="/nowhere/e"/></extensions></config>'
     rows = v.extension_class.distinct().collect()  # some hundred file names
-    files = [(f"{r['folder']}/{r['rel_path']}", "") for r in rows]
+    files = [(f"{r['folder']}/{r['rel_path']}", "compiled") for r in rows]
     sources = [(f"{r['folder'].removesuffix('classes')}src/{r['rel_path'].removesuffix('.class')}.java", f"class {r['rel_path']}\n  // {r['folder']}") for r in rows if r["folder"].endswith("classes")]
     write_files(v.spark, home, [("extensions.xml", xml), *files, *sources])
     return home
