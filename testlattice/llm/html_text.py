@@ -4,13 +4,15 @@ Markup is stripped into lines: one for each block of the page, split at block el
 of its text; lines of menus, headers, footers, sidebars, notices, adverts, forms and comments (by element, role, class or id) and lines that are mostly
 links count with 0. Sums over windows of three lines form the distribution: text begins where a sum surges over the threshold,
 ends where the sum dives to 0, and what lies between is kept. A page that marks its article (``article``, ``main``) has all other lines at 0. Of several marked articles
-those stay whose own windows surge, all if none does; within these the threshold is one character, so that no short paragraph of the article is lost.
+those stay whose own windows surge, all if none does; of the others only cards go: articles of links, such with a heading of third order or lower, and such with a
+heading or a link whose pattern of blocks comes several times. Within what stays the threshold is one character, so that no short paragraph of the article is lost.
 
 On a page that marks none, windows run over the lines that markup leaves, and the block container that holds a surge keeps all its other lines too, such as headings,
 bylines, short paragraphs and paragraphs of links; headings of first order are kept wherever they count.
 
 Classes and ids are matched as whole names: hints, alone or joined to each other and to words of place (``cookie-notice``, ``site-footer``), not ``has-sidebar``. They never
-mark an article or an element that holds one; only names of comments do, and only on a page that has text in an article elsewhere. A form counts as part of the
+mark an article or an element that holds one; only names of comments do, and only on a page that has text in an article elsewhere. Inside an article a class alone takes no
+element with more than half of the article's text, and words that an article may well use for its own parts (``menu``, ``social``, ``notice``) take only what is mostly links. A form counts as part of the
 page if it holds an article, a heading of first order or a header, menu or footer, or if nothing else counts.
 
 Defined results: null and text-free pages give ''; repeated pages give repeated rows, an empty table gives none; character references are decoded; any white space within a line becomes one blank;
@@ -21,8 +23,8 @@ from __future__ import annotations
 
 import functools
 import html
-import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,12 +45,14 @@ HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adslot adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay menu menus submenu nav navbar navigation breadcrumb breadcrumbs "
     "sidebar sidenav aside footer masthead topbar toolbar comment comments commentlist respond reply replies disqus share sharing social related recommended recommendations newsletter subscribe subscription signup login search pagination pager widget skip".split()
 )
+VAGUE = frozenset("menu menus notice notices notification alert promotion social share sharing related recommended recommendations search skip pager widget popup overlay".split())  # of the hints, those that an article's own parts may have
 CONTAINERS = frozenset("div section td th table tbody tr center dd details blockquote form".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEASER = frozenset("h3 h4 h5 h6".split())
 PLACES = frozenset("site page main top bottom primary secondary global mobile desktop list item items area box bar block container wrapper wrap inner section form button buttons link links icons posts articles slot unit title thread header".split())
 THREAD = frozenset("comment comments commentlist respond reply replies disqus".split())
 WRAPPED = frozenset("article main nav header footer h1".split())  # what a form that wraps a page holds
-NO, HINT, COMMENT, FORM, SURE = range(5)  # why an element is outside the article
+NO, WEAK, HINT, COMMENT, FORM, SURE = range(6)  # why an element is outside the article
 NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 REST = re.compile(r"""(?:[^>=]+|=\s*(?:"[^"]*"|'[^']*')|=)*+>""")
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][\w:.-]*)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -61,11 +65,11 @@ def _attributes(text: str) -> dict[str, str]:
 @functools.lru_cache(65536)
 def _hint(name: str) -> int:
     """What a whole class name or id says: nothing, something other than the article, or comments."""
-    parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
+    parts = [x for x in re.split(r"[^a-z0-9]+", name) if x and not x.isdigit()]
     hints = HINTS.intersection(parts)
     if not hints or not all(x in HINTS or x in PLACES for x in parts):
         return NO
-    return COMMENT if hints & THREAD else HINT
+    return COMMENT if hints & THREAD else WEAK if hints <= VAGUE else HINT
 
 
 def _header(name: str) -> bool:
@@ -141,6 +145,7 @@ def blocks_of(page: str) -> tuple[list[tuple[str, int, bool, bool]], list[int],
     up, why, inside = [-1], [NO], [False]  # parent, reason to be outside and being in an article, of each element; 0 is the page
     holds = [False]  # whether an article begins at or in the element
     root = [0]  # the outermost article, other than the page's main part, around the element
+    top = [0]  # the same, or the main part
     parts: list[str] = []
     linked = 0
 
@@ -199,6 +204,7 @@ def blocks_of(page: str) -> tuple[list[tuple[str, int, bool, bool]], list[int],
         inside.append(inside[parent] or starts)
         holds.append(False)
         k = len(up) - 1
+        top.append(top[parent] or k * starts)
         root.append(root[parent] or k * (starts and name != "main" and attributes.get("role") != "main"))
         if starts and why[k] != SURE:
             while k > 0 and why[k] != SURE and not holds[k]:
@@ -216,10 +222,26 @@ def blocks_of(page: str) -> tuple[list[tuple[str, int, bool, bool]], list[int],
             forms.append(k)
     line()
 
+    whole, linking = [0] * len(up), [0] * len(up)  # characters, and those in links, of each element
+    for text, n, k in out:
+        whole[k] += len(text)
+        linking[k] += n
+    for k in range(len(up) - 1, 0, -1):
+        whole[up[k]] += whole[k]
+        linking[up[k]] += linking[k]
+
+    def named(k: int) -> bool:
+        """Whether a class or id is enough to take an element out."""
+        if holds[k]:
+            return False
+        if not inside[up[k]] or linking[k] > LINK_SHARE * whole[k]:
+            return True
+        return why[k] == HINT and 2 * whole[k] <= whole[top[k]]
+
     def marked(comments: bool) -> list[bool]:
         outside = [False]
         for k in range(1, len(up)):
-            own = why[k] in (FORM, SURE) or why[k] == HINT and not holds[k] or why[k] == COMMENT and (comments or not holds[k])
+            own = why[k] in (FORM, SURE) or why[k] in (WEAK, HINT) and named(k) or why[k] == COMMENT and (comments or not holds[k])
             outside.append(outside[up[k]] or own)
         return outside
 
@@ -320,15 +342,23 @@ def held(weights: list[int], elements: list[int], up: list[int], names: list[str
     return keep
 
 
-def surging(weights: list[int], articles: list[int]) -> list[int]:
-    """Weights without the lines of articles whose own windows never surge, if those of another one do: cards and teasers beside the article."""
-    best: dict[int, int] = {}
-    for at, own in itertools.groupby(zip(articles, weights, strict=True), key=lambda x: x[0]):
-        lengths = [w for _, w in own]
-        best[at] = max([best.get(at, 0), *(sum(lengths[i : i + LINES]) for i in range(len(lengths)))])
-    if max((top for at, top in best.items() if at), default=0) < SURGE:
+def surging(weights: list[int], articles: list[int], links: list[int], blocks: list[str]) -> list[int]:
+    """Weights without the lines of cards and teasers: articles whose own windows never surge, beside one whose do, if they are mostly links, are headed by a lower heading, or have a heading or a link and a pattern of blocks that several of them have."""
+    own: dict[int, list[int]] = {}
+    for i, at in enumerate(articles):
+        own.setdefault(at, []).append(i)
+    top = {at: max(sum(weights[i] for i in lines[k : k + LINES]) for k in range(len(lines))) for at, lines in own.items()}
+    if max((n for at, n in top.items() if at), default=0) < SURGE:
         return weights
-    return [w if not at or best[at] >= SURGE else 0 for at, w in zip(articles, weights, strict=True)]
+    short = [at for at, n in top.items() if at and n < SURGE]
+    pattern = {at: tuple(blocks[i] for i in own[at] if weights[i]) for at in short}
+    often = Counter(pattern.values())
+    cards = set()
+    for at in short:
+        linked, length = sum(links[i] for i in own[at]), sum(weights[i] for i in own[at])
+        if linked > LINK_SHARE * length or TEASER.intersection(pattern[at]) or often[pattern[at]] > 1 and (linked or HEADINGS.intersection(pattern[at])):
+            cards.add(at)
+    return [0 if at in cards else w for at, w in zip(articles, weights, strict=True)]
 
 
 def main_text(page: str) -> str:
@@ -339,7 +369,7 @@ def main_text(page: str) -> str:
         lines, elements, weights = ([x[i] for i in here] for x in (lines, elements, weights))
         keep = held(weights, elements, up, names, between(weights, surge))
     else:
-        keep = between(surging(weights, [root[k] for k in elements]), surge)
+        keep = between(surging(weights, [root[k] for k in elements], [x[1] for x in lines], [names[k] for k in elements]), surge)
     return "\n".join(text for (text, *_), k in zip(lines, keep, strict=True) if k)
 
 

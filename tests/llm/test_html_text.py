@@ -77,6 +77,20 @@ def test_the_distribution_decides_between_marked_articles():
     assert ht.main_text(f"{card}<article><p>{long}</article><article><p>{long}</article>") == f"{long}\n{long}"
 
 
+def test_no_part_of_an_article_is_lost():
+    long = "a sentence of some length that goes on and on until it is long enough for the surge"
+    assert ht.main_text(f"<article><p>{long}<p>{long}</article><article><p>short second part</article>") == f"{long}\n{long}\nshort second part"
+    assert ht.main_text(f"<article><h2>Story</h2><p>{long}</article><article><h2>Brief</h2><p>one line</article>") == f"Story\n{long}\nBrief\none line"
+    assert ht.main_text(f"<article><p>{long}</article><article><p>a<p>b</article><article><p>c<p>d</article>") == f"{long}\na\nb\nc\nd"
+    assert ht.main_text(f"<article><p>{long}</article><article><p><a>read on</a></article>") == long
+    for name in ("menu", "menu-2", "social", "notice", "widget-3"):
+        assert ht.main_text(f"<article><p>{long}<div class='{name}'><p>Starter: soup<p>Main: fish</div></article>") == f"{long}\nStarter: soup\nMain: fish"
+        assert ht.main_text(f"<article><p>{long}<div class='{name}'><p><a>Home</a><p><a>About</a></div></article>") == long
+    for name in ("promo-box-2", "ad", "newsletter-signup", "sidebar", "cookie-notice"):
+        assert ht.main_text(f"<article><p>{long}<div class='{name}'>buy</div></article>") == long
+        assert ht.main_text(f"<article><p>short<div class='{name}'><p>{long}<p>{long}</div></article>") == f"short\n{long}\n{long}"
+
+
 def test_long_attributes():
     for n in (60_000, 70_000, 1_000_000):
         assert ht.main_text(f"<article><p data-x=\"{'>' * n}\">one<p data-y='{'y' * n}'>two</article>") == "one\ntwo"
