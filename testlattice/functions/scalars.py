@@ -227,3 +227,21 @@ def context(environment: dict[str, str]) -> str:
     if not environment.keys() & {"CI", "JENKINS_URL"}:
         return "local"
     return "ci-pr" if environment.keys() & {"CHANGE_ID", "GITHUB_PR_NUMBER"} else "ci-main"
+
+
+def context_of(environment: Column) -> Column:
+    """F23 over many runs: where each took place, from a map of its environment variables; a variable counts if it is set, even to nothing. No map is no variables."""
+    some = lambda *names: F.coalesce(F.arrays_overlap(F.map_keys(environment), F.array(*map(F.lit, names))), F.lit(False))
+    return F.when(~some("CI", "JENKINS_URL"), "local").when(some("CHANGE_ID", "GITHUB_PR_NUMBER"), "ci-pr").otherwise("ci-main")
+
+
+def prefer_of(text: Column) -> Column:
+    """F34 over many settings: a preference's name; anything unknown, or none, is NEAREST."""
+    name = F.upper(F.trim(text))
+    return F.when(name.isin("REMOTE", "LOCAL"), name).otherwise("NEAREST")
+
+
+def json_string(text: Column) -> Column:
+    """a text as a JSON string, with its quotes; null for null."""
+    whole = F.to_json(F.array(text))
+    return F.when(text.isNotNull(), F.substring(whole, F.lit(2), F.length(whole) - 2))

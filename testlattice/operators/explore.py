@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,3 +63,20 @@ def section_search(rows: DataFrame, part: str, tests: bool = False, classes: boo
         if ticked or every:
             hit = hit | contains_ignoring_case(F.col(column), part)
     return rows.where(hit & (F.col("s") if selected_only else F.lit(True)))
+
+
+def answers(asked: DataFrame, map_test: DataFrame, cov_class: DataFrame, cov_method: DataFrame) -> DataFrame:
+    """K13, P14-P16 for many questions (kind, name) at once: how many rows each answer has, and the exit code, 0 for a hit and 1 for a miss.
+
+    A test answers with its classes and is a hit even without any; a class or a method answers with its tests. Each table is counted for the names that are
+    asked alone. Questions of another kind, or without a name, are misses.
+    """
+    questions = asked.select("kind", "name").distinct()
+    own = lambda kind: questions.where(F.col("kind") == kind).select("name")
+    tests = map_test.select(F.col("test_name").alias("name")).distinct().join(own("test"), "name", "left_semi")
+    parts = [tests.select(F.lit("test").alias("kind"), "name", F.lit(None).cast("string").alias("of"))]
+    for kind, cov, key, of in (("test", cov_class, "test_name", "class_fqn"), ("class", cov_class, "class_fqn", "test_name"), ("method", cov_method, "method_fqn", "test_name")):
+        parts.append(cov.select(F.lit(kind).alias("kind"), F.col(key).alias("name"), F.col(of).alias("of")).join(own(kind), "name", "left_semi"))
+    found = reduce(DataFrame.unionByName, parts).distinct().groupBy("kind", "name").agg(F.count("of").alias("n"))
+    told = questions.join(found, ["kind", "name"], "left")
+    return told.select("kind", "name", F.coalesce("n", F.lit(0)).alias("rows"), F.when(F.col("n").isNull(), 1).otherwise(0).alias("exit_code"))

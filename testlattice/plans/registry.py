@@ -767,6 +767,33 @@ def _(v):
     return v.ladder_state.select("map_id", sf.pruned_reason(old, F.col("changes"), F.col("tests")).alias("reason"))
 
 
+@query("f23_contexts", "SELECT map_id, CASE WHEN NOT (tests = 1 OR tests = 2) THEN 'local' WHEN changes = 1 OR changes = 2 THEN 'ci-pr' ELSE 'ci-main' END AS context FROM {ladder_state}")
+def _(v):
+    set_if = lambda column, at, name: F.when(F.col(column) == at, F.array(F.struct(F.lit(name).alias("k"), F.lit("").alias("v")))).otherwise(F.array().cast("array<struct<k:string,v:string>>"))
+    given = (("tests", 1, "CI"), ("tests", 2, "JENKINS_URL"), ("changes", 1, "CHANGE_ID"), ("changes", 2, "GITHUB_PR_NUMBER"), ("changes", 0, "PATH"))
+    return v.ladder_state.select("map_id", sf.context_of(F.map_from_entries(F.concat(*(set_if(*x) for x in given)))).alias("context"))
+
+
+@query("f34_prefer_modes", "SELECT map_id, CASE WHEN tests = 0 THEN 'REMOTE' WHEN tests = 1 THEN 'LOCAL' ELSE 'NEAREST' END AS prefer FROM {ladder_state}")
+def _(v):
+    text = F.element_at(F.array(F.lit(" remote"), F.lit("Local "), F.lit("nearest"), F.lit("other"), F.lit(None).cast("string")), F.col("tests") + 1)
+    return v.ladder_state.select("map_id", sf.prefer_of(text).alias("prefer"))
+
+
+@query("f20_json_strings", "SELECT doc_id, CAST(to_json(concat(source, chr(9), '\"', text, '\\')) AS VARCHAR) AS json FROM {documents}")
+def _(v):
+    return v.documents.select("doc_id", sf.json_string(F.concat("source", F.lit("\t\""), "text", F.lit("\\"))).alias("json"))
+
+
+@query("k13_answers", """WITH a AS (SELECT 'test' AS kind, test_name AS name FROM {selected} UNION SELECT 'test', class_fqn FROM {unmapped} UNION SELECT 'class', class_fqn FROM {changed_class} UNION SELECT 'method', method_fqn FROM {changed_method}),
+  f AS (SELECT 'test' AS kind, m.test_name AS name, count(DISTINCT class_fqn) AS n FROM {map_test} AS m LEFT JOIN {cov_class} AS c ON c.test_name = m.test_name GROUP BY 2 UNION ALL SELECT 'class', class_fqn, count(DISTINCT test_name) FROM {cov_class} GROUP BY 2 UNION ALL SELECT 'method', method_fqn, count(DISTINCT test_name) FROM {cov_method} GROUP BY 2)
+  SELECT a.kind, a.name, coalesce(n, 0) AS rows, CASE WHEN n IS NULL THEN 1 ELSE 0 END AS exit_code FROM a LEFT JOIN f ON f.kind = a.kind AND f.name = a.name""")
+def _(v):
+    ask = lambda kind, df, c: df.select(F.lit(kind).alias("kind"), F.col(c).alias("name"))
+    asked = ask("test", v.selected, "test_name").unionByName(ask("test", v.unmapped, "class_fqn")).unionByName(ask("class", v.changed_class, "class_fqn")).unionByName(ask("method", v.changed_method, "method_fqn"))
+    return explore.answers(asked, v.map_test, v.cov_class, v.cov_method)
+
+
 # ---- files: written to the shared folder and read back
 
 

@@ -200,3 +200,19 @@ def test_a_source_of_100_000_lines(spark):
     df = spark.createDataFrame([(text,), (open_end,), (None,)], "text string")
     got = df.select(discovery.source_reason(F.col("text")), discovery.not_instantiable(F.col("text"))).collect()
     assert [tuple(r) for r in got] == [(None, False), (None, False), (None, False)] and time.time() - began < 20
+
+
+def test_answers_and_settings(spark):
+    from testlattice.functions import scalars as sf
+    from testlattice.operators import explore
+
+    tests = spark.createDataFrame([("T#a",), ("T#none",)], "test_name string")
+    cls = spark.createDataFrame([("T#a", "p.A"), ("T#a", "p.A"), ("T#a", "p.B")], "test_name string, class_fqn string")
+    method = spark.createDataFrame([("T#a", "p.A#m")], "test_name string, method_fqn string")
+    asked = spark.createDataFrame([("test", "T#a"), ("test", "T#none"), ("test", "T#x"), ("class", "p.A"), ("class", "T#a"), ("method", "p.A#m"), ("other", "p.A"), ("class", None)], "kind string, name string")
+    got = {tuple(r)[:2]: tuple(r)[2:] for r in explore.answers(asked.union(asked), tests, cls, method).collect()}
+    assert got == {("test", "T#a"): (2, 0), ("test", "T#none"): (0, 0), ("test", "T#x"): (0, 1), ("class", "p.A"): (1, 0), ("class", "T#a"): (0, 1), ("method", "p.A#m"): (1, 0), ("other", "p.A"): (0, 1), ("class", None): (0, 1)}
+    df = spark.createDataFrame([(None, None), ({}, "x"), ({"CI": ""}, " local"), ({"CHANGE_ID": "1"}, "REMOTE"), ({"JENKINS_URL": "u", "GITHUB_PR_NUMBER": "2"}, "")], "e map<string,string>, p string")
+    assert [tuple(r) for r in df.select(sf.context_of(F.col("e")), sf.prefer_of(F.col("p"))).collect()] == [("local", "NEAREST"), ("local", "NEAREST"), ("ci-main", "LOCAL"), ("local", "REMOTE"), ("ci-pr", "NEAREST")]
+    texts = ['a"b\\c\n\t/é ', "", None]
+    assert [r[0] and json.loads(r[0]) for r in spark.createDataFrame([(t,) for t in texts], "t string").select(sf.json_string(F.col("t"))).collect()] == texts
