@@ -32,12 +32,16 @@ def _dotted(relative: Column) -> Column:
 
 def path_to_fqn(path: Column) -> Column:
     """class name of a production source path, null if it is none."""
-    out = F
-    for root in SOURCE_ROOTS:
-        out = out.when(path.contains(root), _dotted(_after(path, root)))
-    rest = _after(path, "/src/")
-    other = path.contains("/src/") & rest.contains("/") & ~rest.startswith("test/") & ~rest.startswith("testsrc/")
-    return F.when(path.endswith(".java"), out.when(other, _dotted(rest)))
+
+    def use(p: Column) -> Column:
+        out = F
+        for root in SOURCE_ROOTS:
+            out = out.when(p.contains(root), _dotted(_after(p, root)))
+        rest = _after(p, "/src/")
+        other = p.contains("/src/") & rest.contains("/") & ~rest.startswith("test/") & ~rest.startswith("testsrc/")
+        return F.when(p.endswith(".java"), out.when(other, _dotted(rest)))
+
+    return once(path, use)
 
 
 def test_path_to_fqn(path: Column) -> Column:
