@@ -14,6 +14,9 @@ from ..session import numbered, pinned
 COVERS_METHOD, COVERS_CLASS, UNTOLD = "covers changed method ", "covers changed class ", "Selected by coverage match"
 
 LIST_BLOCK = 10_000
+#: Characters of a search field; a name takes one at least, its blank, so no more names can show than so many and one, or LIST_CAP.
+SEARCH_CAP = 500
+SHOWN = max(LIST_CAP, SEARCH_CAP + 1)
 
 
 def class_expansion(map_test: DataFrame, selected: DataFrame) -> DataFrame:
@@ -147,15 +150,17 @@ def inline(map_test: DataFrame, most: int = INLINE_CAP) -> DataFrame:
 def chunk_rows(map_test: DataFrame, cov_class: DataFrame, cov_method: DataFrame, selected: DataFrame, pcts: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
     """The rows of chunk files: t, s, cc, mc, classes, methods (cut to LIST_CAP), chunk, and maps ``sl`` and ``cp`` of a test's classes."""
 
-    def lists(cov: DataFrame, column: str) -> DataFrame:
-        ordered = F.array_sort(F.collect_list(F.struct("pos", column)))
-        return cov.groupBy("test_name").agg(F.transform(ordered, lambda x: x[column]).alias(column))
+    def lists(cov: DataFrame, column: str, count: str) -> DataFrame:
+        # as many names as a row can show; the count is that of all, and both come from rows that lie together
+        ranked = cov.select("test_name", "pos", column, F.row_number().over(W.partitionBy("test_name").orderBy("pos", column)).alias("_n"))
+        shown = F.array_sort(F.collect_list(F.when(F.col("_n") <= SHOWN, F.struct("pos", column))))
+        return ranked.groupBy("test_name").agg(F.transform(shown, lambda x: x[column]).alias(column), F.count(F.lit(1)).cast("int").alias(count))
 
-    out = chunked(map_test).join(lists(cov_class, "class_fqn"), "test_name", "left").join(lists(cov_method, "method_fqn"), "test_name", "left").join(selected.select("test_name").distinct().withColumn("s", F.lit(True)), "test_name", "left")
+    out = chunked(map_test).join(lists(cov_class, "class_fqn", "cc"), "test_name", "left").join(lists(cov_method, "method_fqn", "mc"), "test_name", "left").join(selected.select("test_name").distinct().withColumn("s", F.lit(True)), "test_name", "left")
     none = F.array().cast("array<string>")
     c, m = F.coalesce("class_fqn", none), F.coalesce("method_fqn", none)
     shorts = F.array_join(F.transform(m, lambda x: F.substring_index(x, "#", -1)), " ")
-    out = out.select(F.col("test_name").alias("t"), F.coalesce("s", F.lit(False)).alias("s"), F.size(c).alias("cc"), F.size(m).alias("mc"), F.slice(c, 1, LIST_CAP).alias("classes"), F.slice(m, 1, LIST_CAP).alias("methods"), sf.shortened(sf.short_names(c), 500).alias("c"), sf.shortened(shorts, 500).alias("m"), F.col("chunk").alias("k"))
+    out = out.select(F.col("test_name").alias("t"), F.coalesce("s", F.lit(False)).alias("s"), F.coalesce("cc", F.lit(0)).alias("cc"), F.coalesce("mc", F.lit(0)).alias("mc"), F.slice(c, 1, LIST_CAP).alias("classes"), F.slice(m, 1, LIST_CAP).alias("methods"), sf.shortened(sf.short_names(c), SEARCH_CAP).alias("c"), sf.shortened(shorts, SEARCH_CAP).alias("m"), F.col("chunk").alias("k"))
     for name, extra, value in (("sl", links, "link"), ("cp", pcts, "pct")):
         if extra is not None:
             own = cov_class.select("test_name", "class_fqn").distinct().join(extra, "class_fqn").groupBy(F.col("test_name").alias("t")).agg(F.map_from_entries(F.collect_list(F.struct("class_fqn", value))).alias(name))

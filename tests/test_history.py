@@ -199,3 +199,14 @@ def test_blocks(spark):
         joined[r["class_fqn"]] += r["values"]
     assert joined == {c: sorted({t for x, t in cov if x == c}) for c in ("C1", "C2", "C3")} | {None: ["T#x"]}
     assert report.class_test_blocks(df.limit(0)).count() == 0
+
+
+def test_chunk_rows_of_a_test_with_very_many_classes(spark):
+    many = [("T#big", f"p.{'C' * (k % 3)}{k}", k) for k in range(3000)]
+    cls = spark.createDataFrame([*many, ("T#one", "p.X", 0)], "test_name string, class_fqn string, pos int").repartition(5)
+    method = cls.select("test_name", F.concat("class_fqn", F.lit("#")).alias("method_fqn"), "pos")
+    tests = spark.createDataFrame([("T#big",), ("T#one",), ("T#none",)], "test_name string")
+    got = {r["t"]: r for r in report.chunk_rows(tests, cls, method, tests.limit(0)).collect()}
+    assert (got["T#big"]["cc"], got["T#one"]["cc"], got["T#none"]["cc"], got["T#none"]["classes"]) == (3000, 1, 0, [])
+    assert got["T#big"]["classes"] == [c for _, c, _ in many][:200] and got["T#big"]["c"] == " ".join(c[2:] for _, c, _ in many)[:500]
+    assert got["T#big"]["m"] == " " * 500 and got["T#big"]["mc"] == 3000
