@@ -1,7 +1,7 @@
 """Many path globs over many paths: each glob is looked for by a name that its paths must hold, and checked only where that name occurs.
 
-A glob is taken apart into literal path segments and the literal ending of its last segment; groups in braces give a glob each. A path has its own segments
-and its ending. Of a glob's names the one that the fewest paths hold is its anchor, so the join of anchors with the names of paths gives few candidates, and
+A glob is taken apart into literal path segments, the first ``HEAD`` characters of segments that begin with as many literal ones, and the literal ending of
+its last segment; groups in braces give a glob each. A path has its own segments, their beginnings and its ending. Of a glob's names the one that the fewest paths hold is its anchor, so the join of anchors with the names of paths gives few candidates, and
 a glob with a name that no path holds is done with. Globs without any literal name are checked on every path.
 """
 
@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions.glob import glob_regex
 
+#: Characters of a segment's begin.
+HEAD = 8
+
 
 def alternatives(pattern: str) -> list[str]:
     """The globs that a glob with groups in braces stands for; groups may hold others."""
@@ -45,20 +48,24 @@ def alternatives(pattern: str) -> list[str]:
 
 
 def names(pattern: str) -> list[str]:
-    """Names that every path of a glob without groups holds: ``/segment`` for a literal segment, ``.ending`` for what follows the last dot."""
+    """Names that every path of a glob without groups holds: ``/segment`` for a literal segment, ``^begin`` for the literal begin of another, ``.ending`` for what follows the last dot."""
     opaque = re.sub(r"\\.|\[[^\]]*\]", lambda m: "*" if "/" not in m.group() else "*" * len(m.group()), pattern)
     if re.search(r"\[[^\]]*/", pattern) or "{" in opaque or "}" in opaque:
         return []  # a class that holds a slash: segments cannot be told
     segments = opaque.split("/")
     out = [f"/{s}" for s in segments if s and not re.search(r"[*?\[\]]", s)]
+    begins = (re.match(r"[^*?\[\]]*", s).group() for s in segments if re.search(r"[*?\[\]]", s))
+    out += [f"^{b[:HEAD]}" for b in begins if len(b) >= HEAD]
     tail = re.search(r"\.([^.*?\[\]/]+)$", segments[-1])
     return out + ([f".{tail.group(1)}"] if tail else [])
 
 
 def path_names(path: F.Column) -> F.Column:
     """All names of a path, as ``names`` writes them."""
-    segments = F.transform(F.split(path, "/"), lambda s: F.concat(F.lit("/"), s))
-    return F.array_distinct(F.concat(segments, F.array(F.concat(F.lit("."), F.substring_index(path, ".", -1)))))
+    parts = F.split(path, "/")
+    segments = F.transform(parts, lambda s: F.concat(F.lit("/"), s))
+    begins = F.transform(F.filter(parts, lambda s: F.length(s) >= HEAD), lambda s: F.concat(F.lit("^"), F.left(s, F.lit(HEAD))))
+    return F.array_distinct(F.concat(segments, begins, F.array(F.concat(F.lit("."), F.substring_index(path, ".", -1)))))
 
 
 def globs(spark: SparkSession, triggers: list[str]) -> DataFrame:

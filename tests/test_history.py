@@ -145,14 +145,15 @@ def test_suggestions_and_section_search_by_trigrams(spark, tmp_path):
                 assert rows(trigrams.section_search(table, f"{path}-rows", part, *boxes, selected_only=only)) == rows(explore.section_search(table, part, selected_only=only, **ticked))
 
 
-PATTERNS = ["**/pom.xml", "a/b/*.gradle", "{a,b}/c?.{txt,md}", "**", "x\\*y/*.q", "src/[ab]/**/T*.java", "a", "*.md", "**/core/**", "a/**b/c.java", "z{1,2{3,4}}.k", "[!x]/y.z", "core/*"]
+PATTERNS = ["**/pom.xml", "a/b/*.gradle", "{a,b}/c?.{txt,md}", "**", "x\\*y/*.q", "src/[ab]/**/T*.java", "a", "*.md", "**/core/**", "a/**b/c.java", "z{1,2{3,4}}.k", "[!x]/y.z", "core/*", "**/Suite77Test*.java", "LongSegm*/q?", "m/**LongSegment*"]
 
 
 def test_anchored_globs(spark):
     rng = random.Random(12)
     assert triggers.alternatives("{a,b}/c?.{txt,md}") == ["a/c?.txt", "a/c?.md", "b/c?.txt", "b/c?.md"] and triggers.alternatives("z{1,2{3,4}}") == ["z1", "z23", "z24"]
+    assert triggers.names("**/Suite77Test*.java") == ["^Suite77T", ".java"] and triggers.names("LongSegment?/x\\*yyyyyyyyy*") == ["^LongSegm"]
     assert triggers.names("src/[ab]/**/T*.java") == ["/src", ".java"] and triggers.names("**") == [] and triggers.names("a/**b/c.java") == ["/a", "/c.java", ".java"]
-    paths = ["pom.xml", "m/pom.xml", "a/b/x.gradle", "b/c1.md", "x*y/1.q", "src/a/T.java", "src/b/q/r/T1.java", "a", "q.md", "m/core/x", "a/qb/c.java", "a/q/rb/c.java", "z23.k", "w/y.z", "core/x", "", "a/b", None]
+    paths = ["pom.xml", "m/pom.xml", "a/b/x.gradle", "b/c1.md", "x*y/1.q", "src/a/T.java", "src/b/q/r/T1.java", "a", "q.md", "m/core/x", "a/qb/c.java", "a/q/rb/c.java", "z23.k", "w/y.z", "core/x", "", "a/b", None, "m/Suite77Test.java", "m/Suite77Tes.java", "LongSegm/qq", "LongSegment/q1", "m/xLongSegment/y", "m/a/LongSegments"]
     df = spark.createDataFrame([(p,) for p in paths], "path string")
     for k in range(14):
         chosen = PATTERNS if k == 0 else rng.sample(PATTERNS, rng.randrange(0, 6))
