@@ -3,7 +3,7 @@
 Documents are dealt out by ranges of their id and sorted, encoded by the tokenizers library, and laid end to end, each with an end id. A file row holds a
 *segment* of whole documents:
 
-    magic "TLTS1\\0\\0\\0" | u32 number of documents | u32 number of blocks | u64 length of each document in ids ...
+    magic "TLTS2\\0\\0\\0" | u32 number of documents | u32 number of blocks | u64 length of each document in ids ...
     for each block: u32 number of ids | u32 CRC-32 of the ids (u32, little-endian) | u32 bytes of code
     the blocks' code, one after the other
 
@@ -15,32 +15,74 @@ Defined results: null counts as empty, and has the end id alone; null ids come f
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import token_coder
-from .common import Memo, ready, utf8
+from .common import ready
 
-MAGIC = b"TLTS1\0\0\0"
-SEGMENT, SIDE_BY_SIDE, MEMO = 1 << 20, 8 << 20, 200_000
+MAGIC = b"TLTS2\0\0\0"
+SEGMENT, SIDE_BY_SIDE, MEMO = 1 << 20, 8 << 20, 400_000
+#: Ids of a block; pieces of words that are kept; bytes of the batches whose words are numbered at once.
+BLOCK, PIECES, GATHERED = 1 << 20, 500_000, 6 << 20
 
 
 #: Texts on which a tokenizer is tried before words are handed to it apart.
 PROBES = ("hello big world", "It's 12345 o'clock\tnow\nno", " a  b ", "x\x0by\x0cz\r\nend.", "\u00c0\u00e9 \u0301x \u03a3\u039f\u03a6\u039f\u03a3 .", "<|startoftext|>a<|endoftext|> b", "don 't we 'll")
 
 
+#: A word of Latin letters and the ASCII punctuation at its end, without apostrophes: such letters have no combining forms, and each has one lower case.
+_LETTERS, _TAIL = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "!-&(-/:-@\\[-`{-~"
+_folded = re.compile(f"([{_LETTERS}]+)([{_TAIL}]*)").fullmatch
+_plain = re.compile(f"[{_LETTERS}]+").fullmatch
+
+
+class Words:
+    """Ids of words, one word after the other in one array."""
+
+    def __init__(self) -> None:
+        self.places: dict = {}
+        self.ids, self.starts = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+
+    def add(self, words: list, ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, end = len(self.places), int(self.starts[len(self.places)])
+        while len(self.ids) < end + len(ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while len(self.starts) <= n + len(words):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        self.ids[end : end + len(ids)] = ids
+        self.starts[n + 1 : n + 1 + len(words)] = end + np.cumsum(sizes)
+        self.places.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words at some places, and the number of ids of each."""
+        starts = self.starts.take(places)
+        sizes = self.starts.take(places + 1) - starts
+        ends = np.cumsum(sizes)
+        whole = int(ends[-1]) if len(ends) else 0
+        kind = np.int32 if whole + len(self.ids) < 1 << 31 else np.int64
+        return self.ids.take(np.repeat((starts - ends + sizes).astype(kind), sizes) + np.arange(whole, dtype=kind)), sizes
+
+
 class Encoder:
     """A tokenizer that is handed only words it hasn't met, if it shows on probe texts that it never looks across ASCII white space; else whole texts.
 
-    New words go to the library side by side in texts of WORDS words; the offsets tell whose an id is.
+    Arrow cuts the texts and numbers their words, so Python sees each word once a batch. Words that return keep their ids: two generations of at most MEMO words
+    and a batch, so that frequent ones stay when rare ones go. Of new words, Latin letters in lower case and the punctuation after them are looked up apart, if the
+    tokenizer shows on every such letter and sign that their ids are the word's. New pieces go to the library side by side in texts of WORDS pieces. Where
+    ids tell that they end a word and there are as many ends as pieces, they tell whose an id is; else the offsets do.
     """
 
     WORDS = 500
@@ -49,31 +91,92 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
-        self.memo = Memo(self._learn, MEMO)
+        self.now, self.before, self.pieces = Words(), Words(), Words()
         whole = [x.ids for x in self.own.encode_batch_fast(list(PROBES), add_special_tokens=False)]
         apart = [[i for w in x.encode().split() for i in self.own.encode(w.decode(), add_special_tokens=False).ids] for x in PROBES]
         self.apart = whole == apart
-
-    def _learn(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word, as little-endian unsigned 32-bit integers."""
-        out = []
+        spec = json.loads(self.own.to_str())
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.ending = np.zeros(max(self.own.get_vocab().values(), default=0) + 1, bool)
+        self.ending[[i for t, i in self.own.get_vocab().items() if suffix and t.endswith(suffix)]] = True
+        self.folds = self.apart and not any(_folded(t["content"].lstrip()) or re.fullmatch(f"[{_TAIL}]+", t["content"].strip()) for t in spec["added_tokens"]) and self._shows_folds()
+
+    def _shows_folds(self) -> bool:
+        every = [chr(c) for c in range(33, 256)]
+        letters, tails = [c for c in every if re.match(f"[{_LETTERS}]", c)], [c for c in every if re.match(f"[{_TAIL}]", c)]
+        probes = [f"{a}{b}{t}" for k, a in enumerate(letters) for b in ("", a, "e", "S") for t in ("", tails[k % len(tails)], *tails[:2])] + [f"aB\u00c9{t}{u}" for t in tails for u in ("", t, *tails)]
+        ids = lambda x: [i.ids for i in self.own.encode_batch_fast(x, add_special_tokens=False)]
+        parts = [_folded(p) for p in probes]
+        return ids(probes) == [a + b for a, b in zip(ids([m[1].lower() for m in parts]), ids([m[2] for m in parts]), strict=True)]
+
+    def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and the number of ids of each."""
         spelled = [w.decode("utf-8", "replace") for w in words]
-        groups = [spelled[i : i + self.WORDS] for i in range(0, len(spelled), self.WORDS)]
-        for group, got in zip(groups, self.own.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            starts = np.cumsum([0, *(len(w) + 1 for w in group)])
-            ids = np.array(got.ids, "<u4")
-            at = np.searchsorted(starts, np.array(got.offsets, np.int64).reshape(-1, 2)[:, 0], "right") - 1
-            cuts = np.searchsorted(at, np.arange(len(group) + 1)).tolist()
-            data = ids.tobytes()
-            out += [data[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])]
+        if not self.folds:
+            return self._ask(spelled)
+        if len(self.pieces.places) > PIECES:
+            self.pieces = Words()
+        parts: list[str] = []
+        for word, m in zip(spelled, map(_folded, spelled), strict=True):
+            parts += (m[1].lower(), m[2]) if m else (word, "")
+        new = sorted({x for x in parts if x not in self.pieces.places}, key=lambda x: not _plain(x))
+        if new:
+            self.pieces.add(new, *self._ask(new))
+        ids, sizes = self.pieces.of(np.fromiter(map(self.pieces.places.__getitem__, parts), np.int64, len(parts)))
+        return ids, sizes.reshape(-1, 2).sum(axis=1)
+
+    def _ask(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of all words, and the number of ids of each."""
+        groups = [words[i : i + self.WORDS] for i in range(0, len(words), self.WORDS)]
+        ids, sizes = [], []
+        for group, got in zip(groups, self.own.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            own = np.array(got.ids, np.uint32)
+            ends = np.flatnonzero(self.ending[own])
+            if len(ends) == len(group) and ends[-1] == len(own) - 1 and all(map(_plain, group)):
+                sizes.append(np.diff(ends, prepend=-1))
+            else:
+                starts = np.cumsum([0, *(len(w) + 1 for w in group)])
+                got = self.own.encode(" ".join(group), add_special_tokens=False)
+                own = np.array(got.ids, np.uint32)
+                at = np.searchsorted(starts, np.array(got.offsets, np.int64).reshape(-1, 2)[:, 0], "right") - 1
+                sizes.append(np.bincount(at, minlength=len(group)))
+            ids.append(own)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _places(self, words: list[bytes]) -> np.ndarray:
+        """Places of distinct words among those of now."""
+        if len(self.now.places) > MEMO:
+            self.now, self.before = Words(), self.now
+        out = np.fromiter(map(self.now.places.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            first, unknown = len(self.now.places), [words[k] for k in missing.tolist()]
+            held = np.fromiter(map(self.before.places.get, unknown, repeat(-1)), np.int64, len(unknown))
+            old, new = np.flatnonzero(held >= 0), np.flatnonzero(held < 0)
+            self.now.add([unknown[k] for k in old.tolist()], *self.before.of(held[old]))
+            if len(new):
+                fresh = [unknown[k] for k in new.tolist()]
+                self.now.add(fresh, *self._learn(fresh))
+            out[missing[np.append(old, new)]] = np.arange(first, first + len(missing))
         return out
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a column of texts, one text after the other, and the number of ids of each."""
         if not self.apart:
-            return [np.array(x.ids, np.int64) for x in self.own.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
-        words = [t.split() for t in texts]
-        get = self.memo.learn(words)
-        return [np.frombuffer(b"".join([get(w) for w in x]), "<u4").astype(np.int64) for x in words]
+            got = [np.array(x.ids, np.uint32) for x in self.own.encode_batch_fast([(t or b"").decode("utf-8", "replace") for t in texts.cast(pa.large_binary()).to_pylist()], add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.uint32), *got]), np.array([len(x) for x in got], np.int64)
+        cut = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = cut.flatten().cast(pa.large_binary()).dictionary_encode()
+        ids, sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if len(words):
+            places = self._places(words.dictionary.to_pylist())  # now may be another one after this
+            ids, sizes = self.now.of(places.take(words.indices.to_numpy(zero_copy_only=False)))
+        ends = np.append(0, np.cumsum(sizes))[np.cumsum(np.append(0, pc.list_value_length(cut).to_numpy(zero_copy_only=False)))]
+        return ids, np.diff(ends)
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        ids, sizes = self.flat(pa.array(texts, pa.binary()).view(pa.string()))
+        return np.split(ids.astype(np.int64), np.cumsum(sizes)[:-1]) if texts else []
 
 
 _encoders: dict[str, Encoder] = {}
@@ -86,7 +189,7 @@ def encoder(path: str) -> Encoder:
 
 
 def crc(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
+    return zlib.crc32(np.ascontiguousarray(ids, "<u4"))
 
 
 def pack(segments: list[list[np.ndarray]]) -> list[bytes]:
@@ -96,7 +199,7 @@ def pack(segments: list[list[np.ndarray]]) -> list[bytes]:
         flat = np.concatenate(docs)
         if len(flat) and not 0 <= flat.min() <= flat.max() < token_coder.IDS:
             raise ValueError(f"ids from {flat.min()} to {flat.max()}: the coder takes ids from 0 to {token_coder.IDS - 1}")
-        own = [flat[i : i + token_coder.BLOCK] for i in range(0, len(flat), token_coder.BLOCK)]
+        own = [flat[i : i + BLOCK] for i in range(0, len(flat), BLOCK)]
         shapes.append(len(own))
         blocks += own
     coded, at, out = token_coder.encode(blocks), 0, []
@@ -131,6 +234,18 @@ def unpack(rows: list[bytes]) -> list[list[np.ndarray]]:
     return out
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, small ones put together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= GATHERED:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of all documents under ``path`` (Parquet rows of shard, segment, ids, tokens, data)."""
     ready(docs.sparkSession)
@@ -153,11 +268,17 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, id_c
             names.clear()
             return out
 
-        for batch in batches:
+        for batch in _gathered(batches):
             column, first = batch.column("_id"), 0
-            for i, got in enumerate(own.encode(utf8(batch, "_text"))):
-                held.append(np.append(got, end_id))
-                waiting += len(got) + 1
+            coded, sizes = own.flat(batch.column("_text"))
+            ends = np.cumsum(sizes + 1)
+            whole = np.full(ends[-1] if len(ends) else 0, end_id, np.int32)
+            inner = np.ones(len(whole), bool)
+            inner[ends - 1] = False
+            whole[inner] = coded
+            for i, got in enumerate(np.split(whole, ends[:-1]) if len(ends) else []):
+                held.append(got)
+                waiting += len(got)
                 if waiting >= SEGMENT:
                     names.append(pa.concat_arrays([*ids, column.slice(first, i + 1 - first)]))
                     segments.append(held)

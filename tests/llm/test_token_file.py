@@ -86,3 +86,58 @@ def test_clashing_columns_and_a_very_long_text(spark):
     got = [(r["doc_id"], r["start"], r["n_tokens"]) for r in tf.token_file(df, PATH).orderBy("doc_id").collect()]
     n = len(Tokenizer.from_file(PATH).encode(long, add_special_tokens=False).ids)
     assert got == [(1, 0, 2), (2, 2, n + 1)]
+
+
+def test_model_learns_by_stretches(monkeypatch):
+    steps, learn = [], tc.Model.learn
+    monkeypatch.setattr(tc.Model, "learn", lambda self, *x: (steps.append(1), learn(self, *x))[1])
+    rng = np.random.default_rng(4)
+    blocks = [np.minimum(rng.geometric(0.01, n), 65535) for n in (1, 2, 3, 17, 1023, 1024, 1025, 9000, 300_000)]  # the last has more lanes than teach
+    coded = tc.encode(blocks)
+    assert len(steps) <= len(tc.EDGES)
+    assert [x.tolist() for x in tc.decode(coded, [len(b) for b in blocks])] == [b.tolist() for b in blocks]
+    assert len(coded[-1]) * 8 < 8.6 * len(blocks[-1])  # 8.1 bits of entropy
+    with pytest.raises(ValueError, match="long"):
+        tc.decode([coded[-1][:-4]], [300_000])
+
+
+def test_library_meets_a_word_once_whatever_its_case_and_tail():
+    class Counting:
+        def __init__(self, own):
+            self.own, self.words = own, 0
+
+        def __getattr__(self, name):
+            def call(texts, **options):
+                self.words += sum(len(t.split()) for t in ([texts] if isinstance(texts, str) else texts))
+                return getattr(self.own, name)(texts, **options)
+
+            return call
+
+    encoder = tf.Encoder(PATH)
+    assert encoder.apart and not tf.Encoder(PATH.replace("word_bpe_49k", "byte_bpe_50k")).folds
+    encoder.own = Counting(encoder.own)
+    words = ["".join(random.Random(k).choices("abcdefgh", k=8)) for k in range(40)]
+    texts = [" ".join(f(w) + tail for w in words) for f in (str, str.upper, str.title) for tail in ("", ".", ",", "?!", "$$$")]
+    got = [x.tolist() for x in encoder.encode([t.encode() for t in texts])]
+    assert encoder.own.words <= 3 * len(words)  # 600 forms
+    assert got == [encoder.own.own.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_random_forms_of_words():
+    from tokenizers import Tokenizer
+
+    whole, rng, own = Tokenizer.from_file(PATH), random.Random(9), tf.Encoder(PATH)
+    letters, tails = "abZÉéßÿÀÞµªº×÷ÅøIİıſΣ", ".,;:!?$%&*()[]{}<>|/\\~`^_=+-@#\"'’—…́̇"
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randrange(5))) + "".join(rng.choices(tails, k=rng.choice([0, 0, 1, 3]))) + rng.choice(["", "", "a", "9"]) for _ in range(60)) for _ in range(200)]
+    assert [x.tolist() for x in own.encode([t.encode() for t in texts])] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_words_outlive_their_generation(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tf, "MEMO", 50)
+    monkeypatch.setattr(tf, "PIECES", 30)
+    whole, rng, own = Tokenizer.from_file(PATH), random.Random(2), tf.Encoder(PATH)
+    for _ in range(12):
+        texts = [" ".join(f"w{chr(97 + rng.randrange(26))}{rng.choice('xyz')}{rng.choice(['', '.', '9'])}" for _ in range(40)), ""]
+        assert [x.tolist() for x in own.encode([t.encode() for t in texts])] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
