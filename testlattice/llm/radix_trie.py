@@ -5,6 +5,7 @@ Byte order of UTF-8 is the order of code points, so a walk meets the terms of a
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,6 +32,16 @@ class Node:
         self.edges: dict[int, tuple[bytes, Node]] = {}
         self.leaf = leaf
 
+    def leaves(self) -> int:
+        """Leaves of this node and below."""
+        n, todo = 0, [self]
+        while todo:
+            node = todo.pop()
+            n += node.leaf is not None
+            if node.edges:
+                todo += [child for _, child in node.edges.values()]
+        return n
+
 
 def _common(a: bytes, b: bytes) -> int:
     n = min(len(a), len(b))
@@ -48,10 +59,63 @@ def _common(a: bytes, b: bytes) -> int:
     return low
 
 
-def _narrow(x: np.ndarray) -> np.ndarray:
-    """The numbers in as few bytes each as hold them all."""
-    most = int(x.max(initial=0))
-    return x.astype(next(f"<i{w}" for w in (1, 2, 4, 8) if most < 1 << 8 * w - 1))
+#: Codes of signed numbers by their bytes.
+_CODES = {array(c).itemsize: c for c in "bhiq"}
+
+
+def _bytes(shape: list[int], labels: list[bytes], docs: list[int], sources: list[int], values: list[int]) -> tuple[bytes, list[int]]:
+    """The bytes of a trie whose nodes, leaves and counters are listed in the order of the walk; and the sources that the counters name."""
+    known = sorted(set(sources))
+    places = {x: i for i, x in enumerate(known)}
+    parts, head = [], []
+    for x in (shape, docs, [places[s] for s in sources], values):
+        most = max(x, default=0)
+        width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w - 1)
+        parts.append(array(_CODES[width], x).tobytes())
+        head += (len(x), width)
+    return b"".join([array("q", head).tobytes(), *parts, *labels]), known
+
+
+def packed_sorted(keys: list[bytes], docs: list[int], counts: list[list[int]]) -> tuple[bytes, list[int]]:
+    """What ``Trie.of_sorted(...).packed()`` gives for distinct keys in byte order, without making the nodes.
+
+    ``counts`` has a source and its counter in turn. The keys below a node are a range, whose first and last key have in common what the node has.
+    """
+    shape: list[int] = []
+    labels, met, sources, values = [], [], [], []
+    todo = [(0, len(keys), 0, True)]
+    while todo:
+        low, high, start, root = todo.pop()
+        key = keys[low]
+        if high - low == 1 and not root:
+            own = counts[low]
+            shape += (len(key) - start, 0, len(own) >> 1)
+            labels.append(key[start:])
+            met.append(docs[low])
+            sources += own[::2]
+            values += own[1::2]
+            continue
+        end = 0 if root else start + _common(key[start:], keys[high - 1][start:]) if key != keys[high - 1] else len(key)
+        held = -1
+        labels.append(key[start:end])
+        if len(key) == end:
+            own = counts[low]
+            held = len(own) >> 1
+            met.append(docs[low])
+            sources += own[::2]
+            values += own[1::2]
+            low += 1
+        below = []
+        while low < high:
+            first = keys[low][end]
+            next_ = low + 1
+            while next_ < high and keys[next_][end] == first:
+                next_ += 1
+            below.append((low, next_, end, False))
+            low = next_
+        shape += (end - start, len(below), held)
+        todo += reversed(below)
+    return _bytes(shape, labels, met, sources, values)
 
 
 class Trie:
@@ -122,7 +186,12 @@ class Trie:
                     self.size += 1
                 else:
                     own.leaf.add(new.leaf)
-            todo += [(self._node(own, label), child) for label, child in new.edges.values()]
+            for first, (label, child) in new.edges.items():
+                if first in own.edges:
+                    todo.append((self._node(own, label), child))
+                else:  # nothing to merge with: the branch is taken as it is
+                    own.edges[first] = (label, child)
+                    self.size += child.leaves()
 
     def walk(self) -> Iterator[tuple[bytes, Leaf]]:
         """Keys in byte order, with their leaves."""
@@ -161,10 +230,7 @@ class Trie:
                 sources += node.leaf.counts
                 values += node.leaf.counts.values()
             todo += [node.edges[f] for f in sorted(node.edges, reverse=True)]
-        known, places = np.unique(np.array(sources, np.int64), return_inverse=True)
-        parts = [_narrow(np.array(x, np.int64)) for x in (shape, leaves, places, values)]
-        head = np.array([(len(x), x.itemsize) for x in parts], np.int64)
-        return b"".join([head.tobytes(), *(x.tobytes() for x in parts), *labels]), known.tolist()
+        return _bytes(shape, labels, leaves, sources, values)
 
     @classmethod
     def unpacked(cls, data: bytes, sources: list[int]) -> Trie:
@@ -186,9 +252,11 @@ class Trie:
                 open_[-1][0].edges[label[0]] = (label, node)
                 open_[-1][1] -= 1
             if held >= 0:
-                node.leaf = Leaf(leaves[leaf], {sources[p]: v for p, v in zip(places[entry : entry + held], values[entry : entry + held], strict=True)})
+                counts = {sources[places[entry]]: values[entry]} if held == 1 else {sources[p]: v for p, v in zip(places[entry : entry + held], values[entry : entry + held], strict=True)}
+                node.leaf = Leaf(leaves[leaf], counts)
                 leaf, entry, out.size = leaf + 1, entry + held, out.size + 1
-            open_.append([node, edges])
+            if edges:
+                open_.append([node, edges])
             while open_ and not open_[-1][1]:
                 open_.pop()
         return out

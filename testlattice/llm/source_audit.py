@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, give_back, ready, salted_join, utf8
-from .radix_trie import Leaf, Trie
+from .radix_trie import Trie, packed_sorted
 
 #: Bytes of the prefixes that subtries are dealt out by; leaves after which a task sends its tries on; leaves of a merged trie; cells of a matrix.
 STEM, MOST_LEAVES, MERGED_LEAVES, CELLS = 4, 400_000, 20_000, 1 << 20
@@ -83,13 +83,14 @@ class Counting:
         docs, counts, self.docs, self.counts = self.docs, self.counts, {}, {}
         for lang, held in docs.items():
             names = list(counts[lang])
-            leaves = {term: Leaf(n) for term, n in held.items()}
+            leaves: dict[bytes, list[int]] = {term: [] for term in held}  # a source and its counter in turn
             for source, name in enumerate(names):
                 for term, n in counts[lang].pop(name).items():
-                    leaves[term].counts[source] = n
+                    leaves[term] += (source, n)
             rows = []
-            for stem, terms in groupby(sorted(leaves), key=lambda x: x[:STEM]):
-                data, known = Trie.of_sorted((term[len(stem) :], leaves[term]) for term in terms).packed()
+            for stem, some in groupby(sorted(leaves), key=lambda x: x[:STEM]):
+                terms = list(some)
+                data, known = packed_sorted([t[len(stem) :] for t in terms], [held[t] for t in terms], [leaves[t] for t in terms])
                 rows.append((lang, stem, data, [names[i] for i in known]))
                 if len(rows) == 2000:
                     yield _rows(rows, ["lang", "stem", "trie", "sources"])

@@ -12,6 +12,7 @@ import tiktoken
 
 from testlattice.llm import byte_bpe as bb
 from testlattice.llm import filter_audit as fa
+from testlattice.llm import radix_trie as rt
 from testlattice.llm import source_audit as sa
 from testlattice.llm.radix_trie import Leaf, Trie
 
@@ -129,6 +130,23 @@ def test_trie_against_a_dict():
     assert list(none.walk()) == [] and none.size == 0 and not none.root.edges and list(Trie.unpacked(*none.packed()).walk()) == []
 
 
+def test_sorted_terms_are_packed_without_nodes(monkeypatch):
+    rng = random.Random(8)
+    for size in (1, 2, 30, 400):
+        keys = sorted({bytes(rng.choices(b"ab\xc3\xa9", k=rng.randrange(0, 9))) for _ in range(size)})
+        docs = [rng.choice([1, 2, 200, 70_000]) for _ in keys]
+        counts = [[x for s in rng.sample(range(300), rng.randrange(4)) for x in (s, rng.choice([1, 127, 128, 1 << 40]))] for _ in keys]
+        want = Trie.of_sorted((k, Leaf(d, dict(zip(c[::2], c[1::2], strict=True)))) for k, d, c in zip(keys, docs, counts, strict=True))
+        assert rt.packed_sorted(keys, docs, counts) == want.packed()
+        again = [(k, x.docs, x.counts) for k, x in Trie.unpacked(*want.packed()).walk()]
+        assert again == [(k, d, dict(zip(c[::2], c[1::2], strict=True))) for k, d, c in zip(keys, docs, counts, strict=True)]
+    nodes = []
+    monkeypatch.setattr(rt, "Node", lambda *x: nodes.append(x))
+    own = sa.Counting()
+    own.add([b"one two twofold", b"two", b""], ["en", "en", "de"], ["a", "b", "a"])
+    assert sum(b.num_rows for b in own.batches()) == 3 and not nodes  # a task made a node for each term and fork before
+
+
 def test_exact_quotients():
     rng = random.Random(2)
     totals = [rng.randrange(1, 10**k) for k in range(2, 16)]
