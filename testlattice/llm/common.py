@@ -10,6 +10,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,10 +54,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let go of shuffle and checkpoint files that no live DataFrame needs.
 
-    Spark deletes them when their owners are collected; a driver with little to do collects seldom, so it is asked to.
+    Spark deletes them when their owners are collected; a driver with little to do collects seldom, so it is asked to. What planning and compiling have
+    freed outside its heap goes back to the system too.
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trim_driver(spark)
+
+
+def trim_driver(spark: SparkSession) -> bool:
+    """Ask the driver's JVM to return freed native memory, by its command ``System.trim_native_heap`` (Linux, JDK 17.0.9 on); False where it has none."""
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    named = jvm.java.lang.Class.forName
+    kinds, given = array(jvm.java.lang.Class, 4), array(jvm.java.lang.Object, 4)
+    try:
+        for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[i] = named(kind)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        named("javax.management.MBeanServerConnection").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JJavaError:
+        return False
+    return True
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

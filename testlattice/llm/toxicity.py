@@ -115,6 +115,17 @@ def word_counts(rows: DataFrame, places: bytes | None = None, most: int = 100_00
     return rows.select("_text").mapInArrow(work, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _flags(words: DataFrame) -> bytes:
+    """PLACES flags, set where a word of ``words`` has its CRC-32; they come to the driver as bitmaps."""
+    at = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(PLACES)).cast("long") + 1  # Spark counts buckets from 1, and their places from 0
+    maps = words.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    flags = np.zeros(PLACES, np.uint8)
+    for r in maps.collect():
+        own = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
+        flags[(r["bucket"] - 1) * len(own) :][: len(own)] = own
+    return flags.tobytes()
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_positive: int = 5000, max_unlabelled: int = 10000, max_features: int = 20000, least_z: float = 4.0) -> tuple[dict[str, float], float]:
     """Weights of words and the bias, learnt from rows that aren't held out."""
     ready(docs.sparkSession)
@@ -129,15 +140,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not n_p:
         return {}, float(np.log(prior / (1 - prior)))
     in_p = cut_lineage(word_counts(toxic_rows).where("n >= 3").withColumnRenamed("n", "in_p"))
-    places = bytearray(PLACES)
-    for r in in_p.select(F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(PLACES)).alias("at")).distinct().collect():
-        places[r["at"]] = 1
-    in_u = word_counts(own, bytes(places)).withColumnRenamed("n", "in_u")
+    in_u = word_counts(own, _flags(in_p)).withColumnRenamed("n", "in_u")
     a, b = F.col("in_p") / n_p, F.col("in_u") / n_u
     pooled = (F.col("in_p") + F.col("in_u")) / (n_p + n_u)
     z = (a - b) / F.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u) + F.lit(1e-12))
-    top = in_p.join(in_u, "word").withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "word").limit(max_features).select("word", F.log(a / b).alias("ratio")).collect()
-    words, ratios = [r["word"] for r in top], [r["ratio"] for r in top]
+    top = in_p.join(in_u, "word").withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "word").limit(max_features).select("word", F.log(a / b).alias("ratio")).toArrow()
+    words, ratios = top.column("word").to_pylist(), top.column("ratio").to_pylist()
     positive = _smallest(own.select("_id").join(bad, "_id", "left_semi").distinct(), max_positive).withColumn("p", F.lit(True))
     unlabelled = _smallest(own.select("_id").distinct(), max_unlabelled).withColumn("u", F.lit(True))
     chosen = positive.join(unlabelled, "_id", "full").select("_id", F.coalesce("p", F.lit(False)).alias("p"), F.coalesce("u", F.lit(False)).alias("u"))
@@ -148,10 +156,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         rows = [sorted(number[w] for w in features(x.decode("utf-8", "replace")) & number.keys()) for x in utf8(batch, "_text")]
         return pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), batch.column("p"), batch.column("u"), batch.column("_id").cast(pa.string())], ["rows", "p", "u", "_key"])
 
-    got = sorted(map_batches(sample, place, "rows array<int>, p boolean, u boolean, _key string").collect(), key=lambda r: (r["_key"], r["rows"]))
-    w = train([np.array(r["rows"], int) for r in got if r["p"]], [np.array(r["rows"], int) for r in got if r["u"]], len(words), prior)
-    seen = {i for r in got for i in r["rows"]}
-    return {x: float(w[i]) if i in seen else ratios[i] / (1 + len(PREFIXES)) for x, i in number.items()}, float(w[-1])
+    # As Arrow: row objects with a Python number for each word took several times the memory, here and in the driver's JVM.
+    got = map_batches(sample, place, "rows array<int>, p boolean, u boolean, _key string").toArrow()
+    rows, keys = [np.asarray(x.values, np.int32) for x in got.column("rows")], got.column("_key").to_pylist()
+    order = sorted(range(len(rows)), key=lambda i: (keys[i], rows[i].tolist()))
+    in_p, in_u = got.column("p").to_pylist(), got.column("u").to_pylist()
+    w = train([rows[i] for i in order if in_p[i]], [rows[i] for i in order if in_u[i]], len(words), prior)
+    seen = np.zeros(len(words), bool)
+    seen[np.concatenate([*rows, np.zeros(0, np.int32)])] = True
+    del got, rows, keys, order, in_p, in_u
+    give_back()
+    return {x: float(w[i]) if seen[i] else ratios[i] / (1 + len(PREFIXES)) for x, i in number.items()}, float(w[-1])
 
 
 def score_text(text: str, weights: dict[str, float], bias: float) -> float:

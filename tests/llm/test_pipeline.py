@@ -77,3 +77,25 @@ def test_sentencepiece_stage_against_the_library(spark):
         ids = own.encode(r["text"] or "")
         want[r["doc_id"]] = (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
     assert {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in cp.sentencepiece_stage(spark, docs, SF).collect()} == want
+
+
+def test_driver_keeps_little_of_training(spark, monkeypatch):
+    """The training sample comes as Arrow and the words' flags as bitmaps, not as a row object for each; freed native memory goes back."""
+    import zlib
+
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from testlattice.llm import common, toxicity
+
+    came, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: (lambda rows: (came.append(len(rows)), rows)[1])(collect(self)))
+    docs = spark.createDataFrame([(i, f"word{'abcdefgh'[i % 8]} {'nasty' if i % 5 == 0 else 'kind'} thing") for i in range(3000)], "doc_id long, text string")
+    weights, _ = toxicity.fit(docs, docs.selectExpr("doc_id", "int(doc_id % 5 = 0) toxic"))
+    assert weights["nasty"] > 0 and max(came) <= 64
+    words = ["a", "bc", "d\u00e9f", *map(str, range(500))]
+    flags = toxicity._flags(spark.createDataFrame([(w,) for w in words], "word string"))
+    assert len(flags) == toxicity.PLACES and {i for i, x in enumerate(flags) if x} == {zlib.crc32(w.encode()) % toxicity.PLACES for w in words}
+    trimmed = []
+    monkeypatch.setattr(common, "trim_driver", lambda s, own=common.trim_driver: trimmed.append(own(s)))
+    common.release(spark)
+    assert trimmed == [True]
