@@ -31,12 +31,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import token_coder
-from .common import ready
+from .common import give_back, ready
 
 MAGIC = b"TLTS2\0\0\0"
-SEGMENT, SIDE_BY_SIDE, MEMO = 1 << 20, 8 << 20, 400_000
-#: Ids of a block; pieces of words that are kept; bytes of the batches whose words are numbered at once.
-BLOCK, PIECES, GATHERED = 1 << 20, 500_000, 6 << 20
+SEGMENT, SIDE_BY_SIDE = 1 << 20, 4 << 20
+#: Ids of a block; bytes of the batches whose words are numbered at once.
+BLOCK, GATHERED = 1 << 20, 6 << 20
+#: What a generation keeps before the next begins: pieces of words, or words of a tokenizer that doesn't show that they can be cut.
+PIECES, MEMO = 300_000, 300_000
 
 
 #: Texts on which a tokenizer is tried before words are handed to it apart.
@@ -46,9 +48,20 @@ PROBES = ("hello big world", "It's 12345 o'clock\tnow\nno", " a  b ", "x\x0by\x0
 #: A word of Latin letters and the ASCII punctuation at its end, without apostrophes: such letters have no combining forms, and each has one lower case.
 _LETTERS, _TAIL = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "!-&(-/:-@\\[-`{-~"
 _folded = re.compile(f"([{_LETTERS}]+)([{_TAIL}]*)").fullmatch
+_CUT = f"^(?P<stem>[{_LETTERS}]+)(?P<tail>[{_TAIL}]*)$"
 _plain = re.compile(f"[{_LETTERS}]+").fullmatch
 
 
+def runs(ids: np.ndarray, starts: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids from ``starts`` of each place to that of the next one, one place after the other, and their numbers."""
+    first = starts.take(places)
+    sizes = starts.take(places + 1) - first
+    ends = np.cumsum(sizes)
+    whole = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if whole + len(ids) < 1 << 31 else np.int64
+    return ids.take(np.repeat((first - ends + sizes).astype(kind), sizes) + np.arange(whole, dtype=kind)), sizes
+
+
 class Words:
     """Ids of words, one word after the other in one array."""
 
@@ -68,21 +81,16 @@ class Words:
 
     def of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words at some places, and the number of ids of each."""
-        starts = self.starts.take(places)
-        sizes = self.starts.take(places + 1) - starts
-        ends = np.cumsum(sizes)
-        whole = int(ends[-1]) if len(ends) else 0
-        kind = np.int32 if whole + len(self.ids) < 1 << 31 else np.int64
-        return self.ids.take(np.repeat((starts - ends + sizes).astype(kind), sizes) + np.arange(whole, dtype=kind)), sizes
+        return runs(self.ids, self.starts, places)
 
 
 class Encoder:
     """A tokenizer that is handed only words it hasn't met, if it shows on probe texts that it never looks across ASCII white space; else whole texts.
 
-    Arrow cuts the texts and numbers their words, so Python sees each word once a batch. Words that return keep their ids: two generations of at most MEMO words
-    and a batch, so that frequent ones stay when rare ones go. Of new words, Latin letters in lower case and the punctuation after them are looked up apart, if the
-    tokenizer shows on every such letter and sign that their ids are the word's. New pieces go to the library side by side in texts of WORDS pieces. Where
-    ids tell that they end a word and there are as many ends as pieces, they tell whose an id is; else the offsets do.
+    Arrow cuts the texts and numbers their words. Of distinct words it cuts Latin letters, in lower case, from the punctuation after them, if the tokenizer shows on every
+    such letter and sign that their ids are the word's, and numbers these pieces, so Python sees each piece once a batch and no word. Pieces that return keep
+    their ids: two generations of at most PIECES pieces and a batch, so that frequent ones stay when rare ones go. New pieces go to the library side by side in texts of
+    WORDS pieces. Where ids tell that they end a word and there are as many ends as pieces, they tell whose an id is; else the offsets do.
     """
 
     WORDS = 500
@@ -91,7 +99,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
-        self.now, self.before, self.pieces = Words(), Words(), Words()
+        self.now, self.before = Words(), Words()
         whole = [x.ids for x in self.own.encode_batch_fast(list(PROBES), add_special_tokens=False)]
         apart = [[i for w in x.encode().split() for i in self.own.encode(w.decode(), add_special_tokens=False).ids] for x in PROBES]
         self.apart = whole == apart
@@ -109,22 +117,6 @@ class Encoder:
         parts = [_folded(p) for p in probes]
         return ids(probes) == [a + b for a, b in zip(ids([m[1].lower() for m in parts]), ids([m[2] for m in parts]), strict=True)]
 
-    def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words, and the number of ids of each."""
-        spelled = [w.decode("utf-8", "replace") for w in words]
-        if not self.folds:
-            return self._ask(spelled)
-        if len(self.pieces.places) > PIECES:
-            self.pieces = Words()
-        parts: list[str] = []
-        for word, m in zip(spelled, map(_folded, spelled), strict=True):
-            parts += (m[1].lower(), m[2]) if m else (word, "")
-        new = sorted({x for x in parts if x not in self.pieces.places}, key=lambda x: not _plain(x))
-        if new:
-            self.pieces.add(new, *self._ask(new))
-        ids, sizes = self.pieces.of(np.fromiter(map(self.pieces.places.__getitem__, parts), np.int64, len(parts)))
-        return ids, sizes.reshape(-1, 2).sum(axis=1)
-
     def _ask(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The library's ids of all words, and the number of ids of each."""
         groups = [words[i : i + self.WORDS] for i in range(0, len(words), self.WORDS)]
@@ -143,34 +135,48 @@ class Encoder:
             ids.append(own)
         return np.concatenate(ids), np.concatenate(sizes)
 
-    def _places(self, words: list[bytes]) -> np.ndarray:
-        """Places of distinct words among those of now."""
-        if len(self.now.places) > MEMO:
+    def _places(self, pieces: list[bytes]) -> np.ndarray:
+        """Places of distinct pieces among those of now."""
+        if len(self.now.places) > (PIECES if self.folds else MEMO):
             self.now, self.before = Words(), self.now
-        out = np.fromiter(map(self.now.places.get, words, repeat(-1)), np.int64, len(words))
+        out = np.fromiter(map(self.now.places.get, pieces, repeat(-1)), np.int64, len(pieces))
         missing = np.flatnonzero(out < 0)
         if len(missing):
-            first, unknown = len(self.now.places), [words[k] for k in missing.tolist()]
+            first, unknown = len(self.now.places), [pieces[k] for k in missing.tolist()]
             held = np.fromiter(map(self.before.places.get, unknown, repeat(-1)), np.int64, len(unknown))
             old, new = np.flatnonzero(held >= 0), np.flatnonzero(held < 0)
             self.now.add([unknown[k] for k in old.tolist()], *self.before.of(held[old]))
             if len(new):
-                fresh = [unknown[k] for k in new.tolist()]
-                self.now.add(fresh, *self._learn(fresh))
+                fresh = [(unknown[k].decode("utf-8", "replace"), k) for k in new.tolist()]
+                fresh.sort(key=lambda x: not _plain(x[0]))
+                new = np.array([k for _, k in fresh])
+                self.now.add([unknown[k] for k in new.tolist()], *self._ask([x for x, _ in fresh]))
             out[missing[np.append(old, new)]] = np.arange(first, first + len(missing))
         return out
 
+    def _spell(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words, one word after the other, and where each begins, with the end of the last."""
+        if self.folds:
+            cut = pc.extract_regex(words, _CUT)
+            stem, tail = (pc.struct_field(cut, x) for x in ("stem", "tail"))
+            parts = pa.concat_arrays([pc.coalesce(pc.utf8_lower(stem), words), pc.coalesce(tail, "")]).cast(pa.large_binary()).dictionary_encode()
+            places = self._places(parts.dictionary.to_numpy(zero_copy_only=False).tolist())[parts.indices.to_numpy()]
+            ids, sizes = self.now.of(places.reshape(2, -1).T.reshape(-1))
+            sizes = sizes.reshape(-1, 2).sum(axis=1)
+        else:
+            ids, sizes = self.now.of(self._places(words.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()))
+        return ids, np.append(0, np.cumsum(sizes))
+
     def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a column of texts, one text after the other, and the number of ids of each."""
         if not self.apart:
             got = [np.array(x.ids, np.uint32) for x in self.own.encode_batch_fast([(t or b"").decode("utf-8", "replace") for t in texts.cast(pa.large_binary()).to_pylist()], add_special_tokens=False)]
             return np.concatenate([np.zeros(0, np.uint32), *got]), np.array([len(x) for x in got], np.int64)
         cut = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        words = cut.flatten().cast(pa.large_binary()).dictionary_encode()
+        words = cut.flatten().dictionary_encode()
         ids, sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if len(words):
-            places = self._places(words.dictionary.to_pylist())  # now may be another one after this
-            ids, sizes = self.now.of(places.take(words.indices.to_numpy(zero_copy_only=False)))
+            ids, sizes = runs(*self._spell(words.dictionary), words.indices.to_numpy())
         ends = np.append(0, np.cumsum(sizes))[np.cumsum(np.append(0, pc.list_value_length(cut).to_numpy(zero_copy_only=False)))]
         return ids, np.diff(ends)
 
@@ -292,6 +298,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, id_c
             segments.append(held)
         if segments:
             yield flush()
+        give_back()
 
     ordered = rows.repartitionByRange("_id").sortWithinPartitions("_id", F.md5(F.col("_text").cast("binary")))
     coded = ordered.mapInArrow(work, f"segment long, ids array<{id_type}>, tokens long, data binary")
@@ -310,8 +317,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 8):
-                batch = whole.slice(at, 8)
+            for at in range(0, whole.num_rows, SIDE_BY_SIDE // SEGMENT):
+                batch = whole.slice(at, SIDE_BY_SIDE // SEGMENT)
                 docs = [d for row in unpack(batch.column("data").to_pylist()) for d in row]
                 sizes_ = np.array([len(d) for d in docs], np.int64)
                 per_row = [len(x) for x in batch.column("ids").to_pylist()]
@@ -325,6 +332,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     [batch.column("shard").take(row), batch.column("segment").take(row), batch.column("ids").flatten(), pa.array(np.concatenate(starts_)), pa.array(sizes_), pa.array([crc(d) for d in docs], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(docs).astype(np.int32)))],
                     ["shard", "segment", "id", "inside", "n_tokens", "ids_crc32", "token_ids"],
                 )
+        give_back()
 
     docs = files.select("shard", "segment", "ids", "data").mapInArrow(work, f"shard long, segment long, id {id_type}, inside long, n_tokens long, ids_crc32 long, token_ids array<int>")
     return docs.join(starts, ["shard", "segment"]).select("id", (F.col("start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "token_ids")

@@ -141,3 +141,13 @@ def test_words_outlive_their_generation(monkeypatch):
     for _ in range(12):
         texts = [" ".join(f"w{chr(97 + rng.randrange(26))}{rng.choice('xyz')}{rng.choice(['', '.', '9'])}" for _ in range(40)), ""]
         assert [x.tolist() for x in own.encode([t.encode() for t in texts])] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_pieces_are_kept_not_words():
+    """Forms of a word share its pieces, also beside words that aren't cut, punctuation alone and text that is not UTF-8."""
+    own = tf.Encoder(PATH)
+    words = ["".join(random.Random(k).choices("abcdefghé", k=8)) for k in range(200)]
+    text = " ".join(f(w) + tail for w in words for f in (str, str.upper, str.title) for tail in ("", ".", ",", "?!", "$$$")).encode() + b" . ,a 9x ?! o'clock a\xffb. \xe9\x00. \xc3\x89T\xc3\x89."
+    got = own.encode([text, b"", text])
+    assert got[0].tolist() == got[2].tolist() == own.own.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids and not len(got[1])
+    assert len(own.now.places) + len(own.before.places) <= len(words) + 12  # 3,000 forms
