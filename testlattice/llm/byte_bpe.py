@@ -7,10 +7,11 @@ tokens in which each pair fits, and it is found from the left: the longest token
 its neighbour, the next shorter one; if none does, the neighbour is given up for its own next shorter one. A place from
 which no fitting end was found is never tried again, so the work is linear in the length of the piece.
 
-Bytes are read as Latin-1, one character a byte, so that pyahocorasick finds the tokens of a piece: one pass gives all
-matches, of which the longest from each place is kept. Longest matches are found a window at a time. Whether two tokens fit
-is remembered, and so are the ids of pieces that return. A piece that is itself in the rank file is that one token, as in
-the tiktoken library, even where merging would not get there; such tokens aren't offered inside longer pieces.
+Bytes are read as Latin-1, one character a byte, so that pyahocorasick finds the tokens of a piece: it gives the longest match
+from a place and goes on behind it, and starts anew where a shorter token is taken. Characters are made a window at a time. Which
+token fits is remembered, and so are the ids of pieces that return, as four bytes each, so that a text is one look-up a piece and one
+join. A piece that is itself in the rank file is that one token, as in the tiktoken library, even where merging would not get
+there; such tokens aren't offered inside longer pieces.
 
 The file's ranks have to be those of byte-pair merging: every single byte is there, and a token that merging reaches is
 joined from two tokens of lesser rank.
@@ -24,7 +25,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 from itertools import chain, islice
 
@@ -34,10 +35,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, give_back, map_batches, ready, utf8
+from .common import give_back, map_batches, ready, utf8
 
-#: Texts of more characters are cut into pieces as they are needed; bytes of a window; remembered pairs and pieces.
-PIECE, WINDOW, MOST_PAIRS, MOST_PIECES = 1 << 20, 1 << 16, 1 << 20, 200_000
+#: Texts of more characters are cut into pieces as they are needed; bytes of a window; remembered pairs, and pieces of a generation (some 170 bytes each, two generations a worker).
+PIECE, WINDOW, MOST_PAIRS, MOST_PIECES = 1 << 20, 1 << 16, 1 << 20, 400_000
 #: Longer pieces are encoded anew each time.
 LONG_PIECE = 200
 
@@ -59,6 +60,28 @@ def merged(data: bytes, ranks: dict[bytes, int], below: int) -> list[bytes]:
     return parts
 
 
+class Pieces(dict):
+    """Pieces and what ``make`` gives for them, made when one is first looked up; pieces above LONG_PIECE aren't kept. Two generations, so that frequent ones stay when rare ones go."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make = make
+        self.before: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.before.get(piece)
+        if found is None:
+            found = self.make(piece)
+        if len(piece) <= LONG_PIECE:
+            self[piece] = found
+        return found
+
+    def bound(self) -> None:
+        """To be called between lists of pieces: begins a generation where one is full."""
+        if len(self) > MOST_PIECES:
+            self.before = dict(self)
+            self.clear()
+
+
 class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         if any(bytes([b]) not in ranks for b in range(256)):
@@ -83,8 +106,8 @@ class Codec:
         self.automaton.make_automaton()
         self.longest_token = max(self.size)
         self.shorter = self._shorter()
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.memo = Memo(lambda pieces: [self.piece(x) for x in pieces], MOST_PIECES)
+        self.pairs: dict[tuple[int, int], int] = {}
+        self.memo = Pieces(lambda piece: array("i", self.piece(piece)).tobytes())
 
     def _shorter(self) -> dict[int, int]:
         """The longest token that a token begins with, less than itself; -1 for none."""
@@ -94,18 +117,23 @@ class Codec:
             out[rank] = next((known[data[:n]] for n in range(len(data) - 1, 0, -1) if data[:n] in known), -1)
         return out
 
-    def fits(self, left: int, right: int) -> bool:
-        """Whether merging leaves two tokens side by side."""
-        key = (left, right)
+    def follows(self, left: int, token: int) -> int:
+        """The longest of a token and those that it begins with that fits beside ``left`` (-1: nothing); -1 for none."""
+        key = (left, token)
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= MOST_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[key] = self._fits(left, right)
+            while left >= 0 and token >= 0 and not self.fits(left, token):
+                token = self.shorter[token]
+            known = self.pairs[key] = token
         return known
 
-    def _fits(self, left: int, right: int) -> bool:
-        """Take the merges on both sides of the border back, later ones first; a pair across it that joins before what was last taken back would have been joined."""
+    def fits(self, left: int, right: int) -> bool:
+        """Whether merging leaves two tokens side by side.
+
+        Take the merges on both sides of the border back, later ones first; a pair across it that joins before what was last taken back would have been joined.
+        """
         limit = len(self.bytes)
         while True:
             if self.joined.get((left, right), limit) < limit:
@@ -128,39 +156,39 @@ class Codec:
             return [whole]
         return self.backtrack(data)
 
-    def _window(self, text: str, start: int) -> list[int]:
-        """The longest token from each place of a window."""
-        end = min(len(text), start + WINDOW)
-        longest, size = [0] * (end - start), self.size
-        for last, rank in self.automaton.iter(text, start, min(len(text), end + self.longest_token)):
-            at = last + 1 - size[rank] - start
-            if at < end - start:
-                longest[at] = rank  # matches come by their ends, so a later one from the same place is longer
-        return longest
+    def _window(self, data: bytes, start: int) -> str:
+        """The characters of a window, and as many more as a token from its last place may take."""
+        return data[start : start + WINDOW + self.longest_token].decode("latin-1")
 
     def backtrack(self, data: bytes) -> list[int]:
-        text, n, size, shorter, fits = data.decode("latin-1"), len(data), self.size, self.shorter, self.fits
+        n, size, shorter, known, longest = len(data), self.size, self.shorter, self.pairs.get, self.automaton.iter_long
         dead = bytearray(n + 1)  # places that no fitting sequence goes through
-        out, at = array("l"), 0
-        window, longest = 0, self._window(text, 0)
-        token = longest[0]
+        out, at, last = array("l"), 0, -1
+        window, text = 0, self._window(data, 0)
+        ahead = longest(text)  # the longest tokens one after another, as long as each is taken
+        token = next(ahead)[1]
         while True:
-            last = out[-1] if out else -1
-            while token >= 0 and (dead[at + size[token]] or (last >= 0 and not fits(last, token))):
+            offered = token
+            while token >= 0:
+                fitting = known((last, token))
+                token = self.follows(last, token) if fitting is None else fitting
+                if token < 0 or not dead[at + size[token]]:
+                    break
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
-                at += size[token]
+                at, last = at + size[token], token
                 if at == n:
                     return out.tolist()
                 if not window <= at < window + WINDOW:
-                    window = at
-                    longest = self._window(text, window)
-                token = longest[at - window]
+                    window, text, ahead = at, self._window(data, at), None
+                if ahead is None or token != offered:
+                    ahead = longest(text, at - window)
+                token = next(ahead)[1]
             else:
                 dead[at] = 1
-                token = out.pop()
-                at -= size[token]
+                token, ahead = out.pop(), None
+                at, last = at - size[token], out[-1] if out else -1
                 token = shorter[token]
 
     def pieces(self, text: str) -> Iterator[list[str]]:
@@ -173,8 +201,8 @@ class Codec:
             yield some
 
     def ids(self, pieces: list[str]) -> list[int]:
-        get = self.memo.learn([[x for x in pieces if len(x) <= LONG_PIECE]])
-        return list(chain.from_iterable(get(x) if len(x) <= LONG_PIECE else self.piece(x) for x in pieces))
+        self.memo.bound()
+        return array("i", b"".join(map(self.memo.__getitem__, pieces))).tolist()
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.ids, self.pieces(text))))

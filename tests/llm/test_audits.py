@@ -270,6 +270,61 @@ def test_tokens_that_merging_does_not_reach():
         bb.Codec({b"a": 0}, r"\S+")
 
 
+class CountedMatches:
+    """An automaton that counts the matches it hands out."""
+
+    def __init__(self, automaton):
+        self.automaton, self.matches = automaton, 0
+
+    def __getattr__(self, name):
+        def found(*given):
+            for x in getattr(self.automaton, name)(*given):
+                self.matches += 1
+                yield x
+
+        return found
+
+
+def test_few_matches_an_id(both, monkeypatch):
+    """Longest matches alone are asked for, once for each piece, also for pieces that return."""
+    own, library = both
+    counted = CountedMatches(own.automaton)
+    monkeypatch.setattr(own, "automaton", counted)
+    words = ["".join(random.Random(k).choices(["th", "er", "in", "tion", "èa", "qu", "Ou"], k=6)) + "xq" for k in range(500)]
+    assert own.encode(" ".join(words)) == library.encode_ordinary(" ".join(words))
+    n = sum(len(library.encode_ordinary(" " * (k > 0) + w)) for k, w in enumerate(words))
+    assert 0 < counted.matches <= 3 * n
+    before = counted.matches
+    assert own.encode(" ".join(words)) == library.encode_ordinary(" ".join(words))
+    assert counted.matches == before
+
+
+def test_pieces_outlive_their_generation(both, monkeypatch):
+    own, library = both
+    monkeypatch.setattr(bb, "MOST_PIECES", 30)
+    rng, made = random.Random(8), []
+    own = bb.Codec(own.ranks, public_tokenizers.PATTERN)
+    piece = own.piece
+    monkeypatch.setattr(own, "piece", lambda x: made.append(x) or piece(x))
+    for _ in range(50):
+        text = "every text has these words" + "".join(f" {rng.choice('abcdef')}x{rng.choice('uvw')}q{rng.randrange(1000)}é" for _ in range(12)) + " " + "long" * 60
+        assert own.encode(text) == library.encode_ordinary(text)
+        assert len(own.memo) <= 30 + 60 and len(own.memo.before) <= 30 + 60
+    assert made.count(" these") == 1 and made.count(" " + "long" * 60) == 50 and len(made) > 300
+
+
+def test_backtracking_across_windows(both, monkeypatch):
+    """Places before a window are taken back too, and places that nothing goes through aren't tried again."""
+    own, library = both
+    rng = random.Random(12)
+    pieces = [bytes(rng.choices(rng.choice([b"-= ", b"aab", b"thertion", b"\xc3\xa8\xc3\xa9ou", bytes(range(256))]), k=rng.randrange(1, 300))) for _ in range(400)]
+    for window in (1, 2, 7, 50, 1 << 16):
+        monkeypatch.setattr(bb, "WINDOW", window)
+        for x in pieces:
+            if x not in own.ranks:
+                assert own.backtrack(x) == library._encode_single_piece(x)
+
+
 def test_byte_bpe_of_tables(spark, both):
     own, library = both
     texts = [None, "", " ", "a\r\nb", "\x00é", "It's 12 o'clock", "It's 12 o'clock", "x" * 5000]
