@@ -39,8 +39,8 @@ from .common import give_back, map_batches, ready, utf8
 
 #: Texts of more characters are cut into pieces as they are needed; bytes of a window; remembered pairs, and pieces of a generation (some 170 bytes each, two generations a worker).
 PIECE, WINDOW, MOST_PAIRS, MOST_PIECES = 1 << 20, 1 << 16, 1 << 20, 400_000
-#: Longer pieces are encoded anew each time.
-LONG_PIECE = 200
+#: Longer pieces are encoded anew each time; bytes of the pieces of a generation.
+LONG_PIECE, MOST_HELD = 200, 1 << 26
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -66,6 +66,7 @@ class Pieces(dict):
     def __init__(self, make: Callable[[str], bytes]):
         self.make = make
         self.before: dict[str, bytes] = {}
+        self.held = 0  # bytes of the pieces and of what was made for them
 
     def __missing__(self, piece: str) -> bytes:
         found = self.before.get(piece)
@@ -73,12 +74,13 @@ class Pieces(dict):
             found = self.make(piece)
         if len(piece) <= LONG_PIECE:
             self[piece] = found
+            self.held += 4 * len(piece) + len(found)
         return found
 
     def bound(self) -> None:
         """To be called between lists of pieces: begins a generation where one is full."""
-        if len(self) > MOST_PIECES:
-            self.before = dict(self)
+        if len(self) > MOST_PIECES or self.held > MOST_HELD:
+            self.before, self.held = dict(self), 0
             self.clear()
 
 

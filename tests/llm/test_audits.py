@@ -313,6 +313,17 @@ def test_pieces_outlive_their_generation(both, monkeypatch):
     assert made.count(" these") == 1 and made.count(" " + "long" * 60) == 50 and len(made) > 300
 
 
+def test_long_pieces_are_held_by_their_bytes(both, monkeypatch):
+    own, library = both
+    monkeypatch.setattr(bb, "MOST_HELD", 10_000)
+    own, rng = bb.Codec(own.ranks, public_tokenizers.PATTERN), random.Random(3)
+    for _ in range(40):
+        text = " ".join("".join(rng.choices("日本語한국ab", k=190)) for _ in range(3))
+        assert own.encode(text) == library.encode_ordinary(text)
+        assert sum(4 * len(a) + len(b) for a, b in own.memo.items()) == own.memo.held <= 10_000 + 3 * 8_000
+        assert len(own.memo.before) <= 20
+
+
 def test_backtracking_across_windows(both, monkeypatch):
     """Places before a window are taken back too, and places that nothing goes through aren't tried again."""
     own, library = both
