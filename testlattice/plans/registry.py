@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sf
-from ..model import CHUNK_TESTS, TEST_METRICS
+from ..model import CHUNK_TESTS
 from ..operators import changes, coverage, discovery, explore, history, merge, postings, report, selection, triggers, trigrams
 from ..session import pinned, shared_path
 from ..sources import maps, reports, sinks, store
@@ -805,7 +805,7 @@ def _map_tables(v: Views) -> dict[str, DataFrame]:
 def _stored_map(v: Views, write, gzip: bool = False) -> dict[str, DataFrame]:
     path = shared_path(v.spark, "map")
     write(_map_tables(v), path, gzip)
-    return maps.tables(maps.read_map(v.spark, path))
+    return maps.read_tables(v.spark, path)
 
 
 @query("s3_k1_plain_map", "SELECT test_name, class_fqn, method_fqn, pos FROM {cov_method}")
@@ -845,8 +845,7 @@ def _(v):
     path = shared_path(v.spark, "metrics")
     metric = v.test_metric.select("module", "name", "status", "duration_ms", F.col("failure_class").alias("failure_type"), F.lit(None).cast("string").alias("failure_message"))
     sinks.write_metrics(metric, path, "run-1", "abc1234", "main", "local", "2024-01-01T00:00:00Z")
-    tests = v.spark.read.schema(TEST_METRICS).option("multiLine", True).json(path).select(F.explode("tests").alias("t"))
-    return tests.select("t.module", "t.name", "t.status", F.col("t.durationMs").alias("duration_ms"), F.col("t.failureType").alias("failure_type"))
+    return reports.read_tests(v.spark, [path]).select("t.module", "t.name", "t.status", F.col("t.durationMs").alias("duration_ms"), F.col("t.failureType").alias("failure_type"))
 
 
 def _report_trees(v: Views) -> DataFrame:
